@@ -13,38 +13,52 @@ class ContractError(ValueError):
     """A frame does not have the columns its contract asks for."""
 
 
-def _table(ddl: str) -> T.StructType:
-    return T.StructType.fromDDL(ddl)
+_TYPES: dict[str, T.DataType] = {
+    "boolean": T.BooleanType(),
+    "int": T.IntegerType(),
+    "bigint": T.LongType(),
+    "double": T.DoubleType(),
+    "string": T.StringType(),
+    "date": T.DateType(),
+    "timestamp": T.TimestampType(),
+    "array<string>": T.ArrayType(T.StringType()),
+}
 
 
-DAILY_BARS = _table(
+def table(columns: str) -> T.StructType:
+    """A schema from "name type, ..." text; usable before any session exists."""
+    pairs = (column.split() for column in columns.split(","))
+    return T.StructType([T.StructField(name, _TYPES[kind]) for name, kind in pairs])
+
+
+DAILY_BARS = table(
     "date date, ticker string, exchange string, ticker_type string, is_common_share boolean,"
     " raw_close double, adj_close double, volume double, shares_out double, mcap double"
 )
 
-PANEL = _table(
+PANEL = table(
     "date date, ticker string, exchange string, ticker_type string, is_common_share boolean,"
     " raw_close double, adj_close double, ret_1d double, volume double, shares_out double,"
     " mcap double, gics_sector string, gics_industry string, eligible_flag boolean,"
     " data_snapshot_id string"
 )
 
-UNIVERSE_FLAGS = _table(
+UNIVERSE_FLAGS = table(
     "date date, ticker string, eligible_flag boolean, price_ok boolean, history_ok boolean,"
     " exchange_ok boolean, common_share_ok boolean, fail_reason string"
 )
 
-INDEX_MEMBERSHIP = _table(
+INDEX_MEMBERSHIP = table(
     "ticker string, name string, wiki_sector string, wiki_sub_industry string,"
     " date_added date, date_removed date, cik_code bigint"
 )
 
-TICKER_METADATA = _table(
+TICKER_METADATA = table(
     "ticker string, name string, primary_exchange string, ticker_type string, list_date date,"
     " delisted_date date, sic_code string, sic_description string, cik bigint"
 )
 
-TICKER_ALIASES = _table(
+TICKER_ALIASES = table(
     "canonical_ticker string, alias string, effective_from date, effective_to date, note string"
 )
 
@@ -60,35 +74,35 @@ STATEMENT_VALUES = (
     "operating_cash_flow",
 )
 
-FUNDAMENTALS = _table(
+FUNDAMENTALS = table(
     "ticker string, cik bigint, filing_date date, period_end_date date, fiscal_year int,"
     " fiscal_quarter int, period_kind string, "
     + ", ".join(f"{name} double" for name in STATEMENT_VALUES)
     + ", source_endpoints array<string>"
 )
 
-FACTOR = _table(
+FACTOR = table(
     "date date, ticker string, factor_name string, raw_value double, winsorized_value double,"
     " zscore_value double, valid_flag boolean, tradable_flag boolean,"
     " feature_snapshot_id string, invalid_reason string"
 )
 
-EXPERIMENTS = _table(
+EXPERIMENTS = table(
     "experiment_id string, name string, config_hash string, git_sha string, created_at timestamp"
 )
 
-CANDIDATES = _table(
+CANDIDATES = table(
     "candidate_id string, experiment_id string, candidate_name string, candidate_type string,"
     " formula_string string, data_snapshot_id string, status string, created_at timestamp,"
     " updated_at timestamp"
 )
 
-ARTIFACTS = _table(
+ARTIFACTS = table(
     "artifact_id string, candidate_id string, artifact_type string, path string,"
     " checksum string, created_at timestamp"
 )
 
-METRICS = _table(
+METRICS = table(
     "metric_id string, candidate_id string, metric_name string, value double, fold string,"
     " horizon int, created_at timestamp"
 )

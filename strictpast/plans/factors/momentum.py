@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strictpast.plans.factors.base import Factor, FactorContext, eligibility
-from strictpast.plans.panel import BY_TICKER
+from strictpast.plans.panel import by_ticker
 
 SKIP_ROWS = 21
 LOOKBACK_ROWS = 252
@@ -23,9 +23,8 @@ class Momentum(Factor):
 
     def raw(self, panel: DataFrame, context: FactorContext) -> DataFrame:
         log_price = F.ln("adj_close")
-        change = F.lag(log_price, SKIP_ROWS).over(BY_TICKER) - F.lag(log_price, LOOKBACK_ROWS).over(
-            BY_TICKER
-        )
+        rows = by_ticker()
+        change = F.lag(log_price, SKIP_ROWS).over(rows) - F.lag(log_price, LOOKBACK_ROWS).over(rows)
         return panel.select(
             "date",
             "ticker",

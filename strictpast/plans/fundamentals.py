@@ -35,10 +35,10 @@ def within_filing_window(
     statements: DataFrame, universe: DataFrame, not_before: date, grace_days: int = 30
 ) -> DataFrame:
     """Filings since ``not_before``; for former members only up to the grace period's end."""
-    limits = universe.select("ticker", "ref_date")
+    limits = universe.select(F.col("ticker").alias("requested"), "ref_date")
     until = F.date_add("ref_date", grace_days)
     return (
-        statements.join(limits, "ticker")
+        statements.join(limits, "requested")
         .where(F.col("filing_date") >= F.lit(not_before))
         .where(F.col("ref_date").isNull() | (F.col("filing_date") < until))
         .drop("ref_date")
@@ -50,7 +50,8 @@ def merge_statements(*feeds: DataFrame) -> DataFrame:
 
     A column's value is the first non-null one in feed order; equal feeds are settled by the
     earlier filing. The filing date is the latest of all, and the feed tags are listed once
-    each in feed order. The period key is the entity id, or the ticker when there is none.
+    each in feed order. Records are merged per requested entity; the period key is the
+    entity id, or the ticker when there is none.
     """
     stacked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), feeds)
     feed_order = F.array_position(F.lit(list(ENDPOINTS)), F.col("endpoint")).cast("int")
@@ -72,7 +73,7 @@ def merge_statements(*feeds: DataFrame) -> DataFrame:
     tags = F.array_compact(
         F.array(*(F.when(F.bool_or(F.col("endpoint") == t), F.lit(t)) for t in ENDPOINTS))
     )
-    period = ["_entity", "fiscal_year", "fiscal_quarter", "period_kind", "period_end_date"]
+    period = ["requested", "_entity", "fiscal_year", "fiscal_quarter", "period_kind", "period_end_date"]
     merged = keyed.groupBy(*period).agg(
         first_seen("ticker"),
         first_seen("cik"),
@@ -88,9 +89,12 @@ def complete_filings(merged: DataFrame) -> DataFrame:
     return merged.dropna(subset=["ticker", "filing_date", "period_end_date", "period_kind"])
 
 
-def without_filings(universe: DataFrame, merged: DataFrame) -> DataFrame:
-    """Entities of the fetch universe that no merged row covers."""
-    return universe.join(merged.select("ticker").distinct(), "ticker", "left_anti").select("ticker")
+def without_filings(universe: DataFrame, *feeds: DataFrame) -> DataFrame:
+    """Entities of the fetch universe for which no feed has a usable record."""
+    covered = reduce(lambda a, b: a.union(b), (f.select("requested") for f in feeds)).distinct()
+    return universe.select("ticker").join(
+        covered.withColumnRenamed("requested", "ticker"), "ticker", "left_anti"
+    )
 
 
 # --- dated facts ----------------------------------------------------------------------

@@ -242,7 +242,7 @@ def fundamentals_snapshot(
         for raw, tag in ((income, feeds.INCOME), (balance, feeds.BALANCE), (cashflow, feeds.CASHFLOW))
     ]
     merged = fund.merge_statements(*projected)
-    return fund.complete_filings(merged), fund.without_filings(universe, merged)
+    return fund.complete_filings(merged), fund.without_filings(universe, *projected)
 
 
 def publish_fundamentals(

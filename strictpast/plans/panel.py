@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from strictpast.contracts import (
@@ -24,7 +24,11 @@ from strictpast.contracts import (
 from strictpast.functions import is_common
 from strictpast.operators.fingerprint import fingerprint
 
-BY_TICKER = Window.partitionBy("ticker").orderBy("date")
+
+def by_ticker() -> WindowSpec:
+    """A ticker's rows in date order."""
+    return Window.partitionBy("ticker").orderBy("date")
+
 
 # Eligibility rules in the order they are tried, and their failure names.
 FAIL_REASONS = {
@@ -53,9 +57,9 @@ def with_universe_flags(bars: DataFrame, rules: UniverseRules) -> DataFrame:
         {
             "common_share_ok": is_common(F.col("ticker_type")),
             "exchange_ok": F.coalesce(F.col("exchange").isin(*rules.exchanges), F.lit(False)),
-            "history_ok": F.row_number().over(BY_TICKER) - 1 >= rules.min_history_days,
+            "history_ok": F.row_number().over(by_ticker()) - 1 >= rules.min_history_days,
             "price_ok": F.coalesce(
-                F.lag("raw_close").over(BY_TICKER) >= rules.price_floor, F.lit(False)
+                F.lag("raw_close").over(by_ticker()) >= rules.price_floor, F.lit(False)
             ),
         }
     )
@@ -75,7 +79,7 @@ def universe_flags(bars: DataFrame, rules: UniverseRules = UniverseRules()) -> D
 def with_returns(bars: DataFrame) -> DataFrame:
     """Log return on the adjusted close; NULL on a ticker's first row."""
     log_price = F.ln("adj_close")
-    return bars.withColumn("ret_1d", log_price - F.lag(log_price).over(BY_TICKER))
+    return bars.withColumn("ret_1d", log_price - F.lag(log_price).over(by_ticker()))
 
 
 def build_panel(bars: DataFrame, rules: UniverseRules = UniverseRules()) -> DataFrame:

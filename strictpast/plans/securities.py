@@ -32,22 +32,19 @@ def listed_on(requests: DataFrame, metadata: DataFrame) -> DataFrame:
     )
 
 
-def _traded_alias(requests: DataFrame, aliases: DataFrame) -> DataFrame:
-    """(canonical, date, ...) with the aliases in force that day counted and picked."""
+def _in_force(asked: DataFrame, aliases: DataFrame) -> DataFrame:
+    """Add ``matches`` and ``alias``: the rename intervals of ``canonical`` in force on ``date``.
+
+    ``asked`` has one row per (ticker, date). Intervals not in force never leave the join.
+    """
     a = aliases.select(
-        F.col("canonical_ticker").alias("canonical"), "alias", "effective_from", "effective_to"
+        F.col("canonical_ticker").alias("_lineage"), "alias", "effective_from", "effective_to"
     )
     inside = covers(F.col("effective_from"), F.col("effective_to"), F.col("date"), open_start=True)
-    in_force = (
-        requests.select("canonical", "date")
-        .distinct()
-        .join(a, "canonical")
-        .where(inside)
-        .groupBy("canonical", "date")
-        .agg(F.count("*").alias("matches"), F.min("alias").alias("alias"))
-    )
-    return requests.join(in_force, ["canonical", "date"], "left").withColumn(
-        "matches", F.coalesce("matches", F.lit(0))
+    return (
+        asked.join(a, (F.col("canonical") == F.col("_lineage")) & inside, "left")
+        .groupBy("ticker", "date", "canonical")
+        .agg(F.count("_lineage").alias("matches"), F.min("alias").alias("alias"))
     )
 
 
@@ -66,7 +63,7 @@ def canonicalize(requests: DataFrame, aliases: DataFrame) -> DataFrame:
     traded = F.when(F.col("matches") == 0, F.col("canonical")).when(
         F.col("matches") == 1, F.col("alias")
     )
-    return _traded_alias(asked, aliases).select(
+    return _in_force(asked, aliases).select(
         "ticker", "date", "canonical", traded.alias("traded_as"), "matches"
     )
 
@@ -76,16 +73,16 @@ def historical_symbol(requests: DataFrame, aliases: DataFrame) -> DataFrame:
 
     Days before a lineage's earliest known start have no symbol (NULL).
     """
-    asked = requests.select(F.col("ticker").alias("canonical"), "date").distinct()
-    births = aliases.groupBy(F.col("canonical_ticker").alias("canonical")).agg(
+    asked = requests.select("ticker", "date").distinct().withColumn("canonical", F.col("ticker"))
+    births = aliases.groupBy(F.col("canonical_ticker").alias("ticker")).agg(
         F.min("effective_from").alias("_born")
     )
     unborn = F.col("_born").isNotNull() & (F.col("date") < F.col("_born"))
     symbol = F.when(F.col("matches") > 0, F.col("alias")).when(~unborn, F.col("canonical"))
     return (
-        _traded_alias(asked, aliases)
-        .join(births, "canonical", "left")
-        .select(F.col("canonical").alias("ticker"), "date", symbol.alias("symbol"))
+        _in_force(asked, aliases)
+        .join(births, "ticker", "left")
+        .select("ticker", "date", symbol.alias("symbol"))
     )
 
 
@@ -99,16 +96,23 @@ def resolve_universe(members: DataFrame, metadata: DataFrame, aliases: DataFrame
     Fail-closed: a symbol without metadata, or not listed that day, is dropped with a reason.
     """
     traded = canonicalize(members, aliases)
-    listed = listed_on(traded.select(F.col("traded_as").alias("ticker"), "date"), metadata)
-    joined = traded.join(
-        listed.withColumnRenamed("ticker", "traded_as"), ["traded_as", "date"], "left"
+    spans = metadata.select(F.col("ticker").alias("traded_as"), "list_date", "delisted_date")
+    spans = spans.withColumn("_known", F.lit(True))
+    inside = covers(F.col("list_date"), F.col("delisted_date"), F.col("date"), open_start=True)
+    checked = (
+        traded.join(spans, "traded_as", "left")
+        .groupBy("date", "ticker", "traded_as", "matches")
+        .agg(
+            F.coalesce(F.bool_or("_known"), F.lit(False)).alias("known"),
+            F.coalesce(F.bool_or(F.col("_known") & inside), F.lit(False)).alias("listed"),
+        )
     )
     status = (
         F.when(F.col("matches") > 1, _tagged(ALIAS_OVERLAP, F.col("ticker")))
-        .when(~F.coalesce("known", F.lit(False)), _tagged(METADATA_MISSING, F.col("traded_as")))
-        .when(~F.coalesce("listed", F.lit(False)), _tagged(NOT_ACTIVE, F.col("traded_as")))
+        .when(~F.col("known"), _tagged(METADATA_MISSING, F.col("traded_as")))
+        .when(~F.col("listed"), _tagged(NOT_ACTIVE, F.col("traded_as")))
     )
-    return joined.select(
+    return checked.select(
         "date", F.col("ticker").alias("source"), F.col("traded_as").alias("resolved"), status.alias("status")
     )
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from strictpast.contracts import table
 from strictpast.functions import (
     PERIOD_KINDS,
     calendar_day,
@@ -36,7 +37,7 @@ INCOME, BALANCE, CASHFLOW = "income_statements", "balance_sheets", "cash_flow_st
 ENDPOINTS = (INCOME, BALANCE, CASHFLOW)
 FIELDS_OF = {INCOME: INCOME_FIELDS, BALANCE: BALANCE_FIELDS, CASHFLOW: CASHFLOW_FIELDS}
 
-BAR_RECORD = T.StructType.fromDDL(
+BAR_RECORD = table(
     "ticker string, timestamp bigint, close double, volume double"
 )
 
@@ -44,13 +45,13 @@ BAR_RECORD = T.StructType.fromDDL(
 def statement_record(tag: str) -> T.StructType:
     """Landing schema of one statement feed."""
     values = ", ".join(f"{name} double" for name in FIELDS_OF[tag])
-    return T.StructType.fromDDL(
+    return table(
         "requested string, tickers array<string>, cik string, filing_date string,"
         f" period_end string, fiscal_year int, fiscal_quarter int, timeframe string, {values}"
     )
 
 
-DETAIL_RECORD = T.StructType.fromDDL(
+DETAIL_RECORD = table(
     "ticker string, name string, primary_exchange string, type string, list_date string,"
     " delisted_utc string, sic_code string, sic_description string, cik string,"
     " weighted_shares_outstanding double"
@@ -77,7 +78,8 @@ def project_statements(raw: DataFrame, fields: Mapping[str, str], tag: str) -> D
     """One statement feed -> partial filings rows tagged with their feed.
 
     The requested ticker wins if the record lists it, else the first listed one, else the
-    requested one. Fields the record does not have are NULL.
+    requested one. ``requested`` stays on the row: it names the entity the record was asked
+    for. Fields the record does not have are NULL.
     """
     listed = F.coalesce(F.array_contains("tickers", F.col("requested")), F.lit(False))
     first = F.get("tickers", F.lit(0))
@@ -88,6 +90,7 @@ def project_statements(raw: DataFrame, fields: Mapping[str, str], tag: str) -> D
         for src, dst in fields.items()
     ]
     return raw.select(
+        "requested",
         F.when(listed, F.col("requested"))
         .otherwise(F.coalesce(first, F.col("requested")))
         .alias("ticker"),
