@@ -39,22 +39,23 @@ def group_bounds(
     there are any, go through :func:`_bracketed_bounds`; the answer is exact either way.
     """
     lower, upper = _check_bounds(pct)
-    values = df.where(F.col(value).isNotNull()).select(by, F.col(value).alias("v"))
-    large = values.groupBy(by).agg(F.count("*").alias("n")).where(F.col("n") > max_buffered)
-    large = stage(large, "large-groups")
+    present = F.col(value).isNotNull() & F.col(by).isNotNull()
+    values = df.where(present).select(by, F.col(value).alias("v"))
     exact = F.percentile("v", F.array(F.lit(lower), F.lit(upper)))
 
     def buffered(rows: DataFrame) -> DataFrame:
         found = rows.groupBy(by).agg(exact.alias("q"))
         return found.select(by, F.col("q")[0].alias("lo"), F.col("q")[1].alias("hi"))
 
+    # No group can exceed the buffer when the whole table does not.
+    if df.count() <= max_buffered:
+        return buffered(values)
+    sizes = values.groupBy(by).agg(F.count("*").alias("n"))
+    large = stage(sizes.where(F.col("n") > max_buffered), "large-groups")
     if large.isEmpty():
         return buffered(values)
-    # Null-safe keys: a NULL group is a group like any other.
-    big = large.select(F.col(by).alias("_g"), "n")
-    same = F.col(by).eqNullSafe(F.col("_g"))
-    small_part = buffered(values.join(big, same, "left_anti"))
-    large_part = _bracketed_bounds(values.join(big, same).drop("_g"), by, lower, upper, accuracy)
+    small_part = buffered(values.join(large, by, "left_anti"))
+    large_part = _bracketed_bounds(values.join(large, by), by, lower, upper, accuracy)
     return small_part.unionByName(large_part)
 
 
@@ -85,22 +86,16 @@ def _bracketed_bounds(
         for end, fn in (("_a", F.floor), ("_b", F.ceil))
     }
     sketched = stage(sketched.withColumns(ranks), "sketched-bounds")
-    sk = sketched.withColumnRenamed(by, "_g")
-    same = F.col(by).eqNullSafe(F.col("_g"))
-    rows = values.drop("n").join(sk, same)
-
-    def counted(test) -> object:
-        return F.count_if(test)
-
-    proof = rows.groupBy(by).agg(
-        counted(F.col("v") < F.col("b")[0]).alias("below_lo"),
-        counted(F.col("v") <= F.col("b")[1]).alias("upto_lo"),
-        counted(F.col("v") < F.col("b")[2]).alias("below_hi"),
-        counted(F.col("v") <= F.col("b")[3]).alias("upto_hi"),
+    values = values.drop("n")
+    proof = values.join(sketched, by).groupBy(by).agg(
+        F.count_if(F.col("v") < F.col("b")[0]).alias("below_lo"),
+        F.count_if(F.col("v") <= F.col("b")[1]).alias("upto_lo"),
+        F.count_if(F.col("v") < F.col("b")[2]).alias("below_hi"),
+        F.count_if(F.col("v") <= F.col("b")[3]).alias("upto_hi"),
     )
     good_lo = (F.col("below_lo") <= F.col("lo_a")) & (F.col("upto_lo") > F.col("lo_b"))
     good_hi = (F.col("below_hi") <= F.col("hi_a")) & (F.col("upto_hi") > F.col("hi_b"))
-    proven = proof.join(sk, same).select(
+    proven = proof.join(sketched, by).select(
         by,
         "n",
         "lo_a",
@@ -112,14 +107,14 @@ def _bracketed_bounds(
         F.when(good_hi, F.col("b")[2]).otherwise(F.col("least")).alias("z0"),
         F.when(good_hi, F.col("b")[3]).otherwise(F.col("most")).alias("z1"),
     )
-    proven = stage(proven, "proven-brackets").withColumnRenamed(by, "_g")
+    proven = stage(proven, "proven-brackets")
 
     v = F.col("v")
     kept = v.between(F.col("a0"), F.col("a1")) | v.between(F.col("z0"), F.col("z1"))
     # Values outside the brackets only need counting: represent each run by one marker.
     marker = F.when(v < F.least("a0", "z0"), F.lit(0)).when(v > F.greatest("a1", "z1"), F.lit(4))
     segment = F.when(kept, F.lit(None)).otherwise(F.coalesce(marker, F.lit(2)))
-    tagged = values.drop("n").join(proven, same).withColumns(
+    tagged = values.join(proven, by).withColumns(
         {
             "seg": F.coalesce(segment, F.when(v <= F.col("a1"), F.lit(1)).otherwise(F.lit(3))),
             "x": F.when(kept, v),
@@ -153,8 +148,7 @@ def _bracketed_bounds(
 
 def _with_stats(df: DataFrame, stats: DataFrame, by: str) -> DataFrame:
     """Attach one row of statistics per group; broadcast only if the planner sees it is small."""
-    keyed = stage(stats, "group-stats").withColumnRenamed(by, "_g")
-    return df.join(keyed, F.col(by).eqNullSafe(F.col("_g")), "left").drop("_g")
+    return df.join(stage(stats, "group-stats"), by, "left")
 
 
 def winsorize(
@@ -167,15 +161,15 @@ def winsorize(
 ) -> DataFrame:
     """Clip ``value`` to its group's quantile bounds; missing values stay missing.
 
-    Reads ``df`` more than once: pass a stored or staged table.
+    A row without a group has no bounds and keeps its value. Reads ``df`` more than once:
+    pass a stored or staged table.
     """
     require_columns(df, [value, by], "winsorize input")
     bounds = group_bounds(df, value, by, _check_bounds(pct), max_buffered)
-    clipped = F.when(
-        F.col(value).isNotNull(), F.least(F.greatest(F.col(value), F.col("_lo")), F.col("_hi"))
-    )
+    # greatest/least skip NULLs, so a missing value must not reach them.
+    clipped = F.when(F.col(value).isNotNull(), F.least(F.greatest(value, "_lo"), "_hi"))
     bounds = bounds.withColumnsRenamed({"lo": "_lo", "hi": "_hi"})
-    return _with_stats(df, bounds, by).withColumn(out, clipped).drop("_lo", "_hi")
+    return _with_stats(df, bounds, by).select(*df.columns, clipped.alias(out))
 
 
 def zscore(df: DataFrame, value: str, out: str, by: str = "date", ddof: int = 0) -> DataFrame:
@@ -185,9 +179,9 @@ def zscore(df: DataFrame, value: str, out: str, by: str = "date", ddof: int = 0)
         raise ValueError(f"ddof must be 0 or 1, got {ddof!r}")
     spread = F.stddev_pop(value) if ddof == 0 else F.stddev_samp(value)
     stats = (
-        df.where(F.col(value).isNotNull())
+        df.where(F.col(value).isNotNull() & F.col(by).isNotNull())
         .groupBy(by)
         .agg(F.avg(value).alias("_mean"), spread.alias("_sd"))
     )
     score = F.when(F.col("_sd") > 0, (F.col(value) - F.col("_mean")) / F.col("_sd"))
-    return _with_stats(df, stats, by).withColumn(out, score).drop("_mean", "_sd")
+    return _with_stats(df, stats, by).select(*df.columns, score.alias(out))

@@ -21,6 +21,7 @@ from strictpast.plans.factors import REGISTRY, FactorContext
 from strictpast.plans.factors.base import diagnostics_dict
 from strictpast.plans.ledger import append_ledger
 from strictpast.plans.panel import UniverseRules, build_panel, for_members
+from strictpast.session import stage
 from strictpast.sinks import writers
 from strictpast.sources import feeds, index_pages
 from strictpast.sources.tables import read_panel
@@ -86,10 +87,14 @@ def run_slice(
     The factor reads the written panel, so the artifact is what was computed on.
     """
     require_columns(bars, columns_of(DAILY_BARS), "bars")
-    if bars.isEmpty():
+    # Checked, fingerprinted and swept: derived bars would be recomputed for each pass.
+    bars = stage(bars, "bars")
+    copies = bars.groupBy("date", "ticker").agg(F.count("*").alias("n"))
+    keys = copies.agg(F.count("*").alias("keys"), F.count_if(F.col("n") > 1).alias("repeated")).first()
+    if keys["keys"] == 0:
         raise ValueError("no bars for the requested universe")
-    keys = quality.duplicate_keys(bars, ["date", "ticker"])
-    quality.enforce_empty(keys, "duplicate (date, ticker) rows")
+    if keys["repeated"] > 0:
+        raise quality.QualityError(f"{keys['repeated']} repeated (date, ticker) keys in the bars")
     spec = REGISTRY[factor]
     panel_path = f"{out}/daily_panel_{label}"
     factor_path = f"{out}/factor_{factor}_{label}"

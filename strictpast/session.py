@@ -18,6 +18,9 @@ def build_session(app: str = "strictpast", cores: int | str = "*", **conf: str)
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.sql.adaptive.enabled", "true")
+        # Parquet grows in memory: without this the planner takes compressed file sizes for
+        # row sizes and broadcasts tables that are not small.
+        .config("spark.sql.sources.fileCompressionFactor", "4")
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "16g")
     )

@@ -154,8 +154,8 @@ SELECT ticker, date{", entity_id" if suffix else ""},
        {status.format(n="rev_n")} AS revenues_status,
        CASE WHEN NOT coalesce(ambiguous, false) AND complete AND ni_n = 4 THEN ni END AS net_income_ttm,
        CASE WHEN NOT coalesce(ambiguous, false) AND complete AND rev_n = 4 THEN rev END AS revenues_ttm,
-       CASE WHEN NOT coalesce(ambiguous, false) THEN date_diff('day', last_filed, date) END AS latest_lag_days,
-       CASE WHEN NOT coalesce(ambiguous, false) AND complete THEN date_diff('day', oldest, date) END AS oldest_lag_days,
+       CASE WHEN NOT coalesce(ambiguous, false) THEN CAST(date_diff('day', last_filed, date) AS INTEGER) END AS latest_lag_days,
+       CASE WHEN NOT coalesce(ambiguous, false) AND complete THEN CAST(date_diff('day', oldest, date) AS INTEGER) END AS oldest_lag_days,
        coalesce(ambiguous, false) AS ambiguous, last_filed
 FROM answers{suffix}"""
 
@@ -560,7 +560,7 @@ FROM resolved WHERE status IS NULL GROUP BY date, resolved HAVING count(*) > 1""
 oracle(
     "alias_overlaps",
     "aliases",
-    """SELECT DISTINCT b.canonical AS canonical_ticker, b.f AS interval_from, b.t AS interval_to, 1 AS copies
+    """SELECT DISTINCT b.canonical AS canonical_ticker, b.f AS interval_from, b.t AS interval_to, CAST(1 AS BIGINT) AS copies
 FROM (SELECT canonical, coalesce(effective_from, DATE '0001-01-01') AS f,
              coalesce(effective_to, DATE '9999-12-31') AS t FROM aliases) a
 JOIN (SELECT canonical, coalesce(effective_from, DATE '0001-01-01') AS f,

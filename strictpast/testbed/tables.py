@@ -42,8 +42,8 @@ class Tables:
     def trade_days(self, lines: DataFrame | None = None) -> DataFrame:
         """(k, date, cents, qty, net): exact sums per supplier and day."""
         li = self.read("lineitem") if lines is None else lines
-        cents = F.round(F.col("l_extendedprice") * 100).cast("bigint")
-        share = F.lit(100).cast("bigint") - F.round(F.col("l_discount") * 100).cast("bigint")
+        cents = F.rint(F.col("l_extendedprice") * 100).cast("bigint")
+        share = F.lit(100).cast("bigint") - F.rint(F.col("l_discount") * 100).cast("bigint")
         return li.groupBy(F.col("l_suppkey").alias("k"), F.to_date("l_shipdate").alias("date")).agg(
             F.sum(cents).alias("cents"),
             F.sum(F.col("l_quantity").cast("bigint")).alias("qty"),
@@ -97,9 +97,9 @@ class Tables:
         """(k, fy, fq, net, gross, tax, o, pe): results per supplier and calendar quarter."""
         li = self.read("lineitem")
         day = F.to_date("l_shipdate")
-        cents = F.round(F.col("l_extendedprice") * 100).cast("bigint")
-        share = F.lit(100).cast("bigint") - F.round(F.col("l_discount") * 100).cast("bigint")
-        tax = F.round(F.col("l_tax") * 100).cast("bigint")
+        cents = F.rint(F.col("l_extendedprice") * 100).cast("bigint")
+        share = F.lit(100).cast("bigint") - F.rint(F.col("l_discount") * 100).cast("bigint")
+        tax = F.rint(F.col("l_tax") * 100).cast("bigint")
         base = li.groupBy(
             F.col("l_suppkey").alias("k"), F.year(day).alias("fy"), F.quarter(day).alias("fq")
         ).agg(
@@ -364,7 +364,7 @@ class Tables:
     # --- ledger -------------------------------------------------------------------------
 
     def _checksum(self, salt: str):
-        cents = F.round(F.col("o_totalprice") * 100).cast("bigint")
+        cents = F.rint(F.col("o_totalprice") * 100).cast("bigint")
         return F.sha2(F.concat_ws("|", "o_orderkey", "o_orderstatus", cents, F.lit(salt)), 256)
 
     def ledger(self) -> Ledger:
