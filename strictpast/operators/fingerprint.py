@@ -7,6 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+# Stands for the checksum of a dataset none of whose part files can be read.
+UNREADABLE = "<unreadable>"
+
 # Row hashes are summed in three 22-bit pieces so that plain long sums cannot overflow
 # below two trillion rows. Sums, unlike XOR, do not let duplicate rows cancel.
 _PIECES = ((0, 22), (22, 22), (44, 20))
@@ -55,22 +58,28 @@ def artifact_checksums(spark: SparkSession, root: str) -> DataFrame:
 
     One scan hashes all part files where they lie. They are folded per dataset directory by
     a commutative sum, so the result does not depend on part file names and no list of parts
-    is gathered. Artifacts that are gone give no row. A part file must stay below 2 GB.
+    is gathered. Artifacts that are gone give no row. Part files the file system itself
+    finds damaged count as changed, they do not stop the job. A part file must stay below 2 GB.
     """
-    directory = F.regexp_replace("path", r"(/[^/=]+=[^/]*)*/part-[^/]*$", "")
     parts = (
         spark.read.format("binaryFile")
         .option("pathGlobFilter", "part-*")
         .option("recursiveFileLookup", "true")
+        .option("ignoreCorruptFiles", "true")
         .load(root)
-        .select(
-            F.regexp_replace(directory, "^file:/+", "/").alias("path"),
-            F.sha2("content", 256).alias("h"),
-        )
     )
+    directory = F.regexp_replace("path", r"(/[^/=]+=[^/]*)*/part-[^/]*$", "")
+    dataset = F.regexp_replace(directory, "^file:/+", "/").alias("path")
     pieces = [
         F.sum(F.conv(F.substring("h", start, 8), 16, 10).cast("bigint")).cast("string")
         for start in range(1, 65, 8)
     ]
     digest = F.sha2(F.concat_ws("|", F.count("*").cast("string"), *pieces), 256)
-    return parts.groupBy("path").agg(digest.alias("checksum"))
+    hashed = (
+        parts.select(dataset, F.sha2("content", 256).alias("h"))
+        .groupBy("path")
+        .agg(digest.alias("checksum"))
+    )
+    # Listing reads no contents, so it also names datasets without a single readable part.
+    listed = parts.select(dataset).distinct()
+    return listed.join(hashed, "path", "left").fillna(UNREADABLE, ["checksum"])

@@ -43,7 +43,9 @@ def write_factor(factor: DataFrame, path: str, diagnostics: dict | None = None)
 
 def read_diagnostics(spark: SparkSession, path: str) -> dict:
     """Diagnostics of a written factor, from the footer alone; ``{}`` when there are none."""
-    note = spark.read.parquet(path).schema[DIAGNOSTICS_COLUMN].metadata.get(DIAGNOSTICS_KEY)
+    fields = {f.name: f for f in spark.read.parquet(path).schema.fields}
+    carrier = fields.get(DIAGNOSTICS_COLUMN)
+    note = carrier.metadata.get(DIAGNOSTICS_KEY) if carrier else None
     return json.loads(note) if note else {}
 
 
