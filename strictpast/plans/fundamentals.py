@@ -120,27 +120,27 @@ def _tie_order() -> Column:
     )
 
 
-def _ambiguity_events(filings: DataFrame) -> DataFrame:
-    """The day a second entity id is first seen under a ticker."""
-    first_seen = (
-        filings.where(F.col("entity_id").isNotNull() & F.col("filing_date").isNotNull())
-        .groupBy("ticker", "entity_id")
-        .agg(F.min("filing_date").alias("since"))
-    )
-    order = Window.partitionBy("ticker").orderBy("since", "entity_id")
-    return (
-        first_seen.withColumn("_n", F.row_number().over(order))
-        .where(F.col("_n") == 2)
-        .select("ticker", "since", F.lit(True).alias("ambiguous"))
-    )
-
+def _daily_facts(filings: DataFrame, keys: list[str]) -> DataFrame:
+    """Per entity and filing day: newest report, any quarterly, and whether ids conflict by then.
 
-def _latest_events(filings: DataFrame, keys: list[str]) -> DataFrame:
-    """The newest filing of each filing day, over all period kinds."""
+    One aggregate over the filings. Several ids are visible exactly when the least and the
+    greatest id seen so far differ; the running pair is swept over days, not over filings.
+    """
     row = F.struct(*(c for c in FUNDAMENTALS.fieldNames() if c not in ("ticker", "source_endpoints")))
-    return filings.groupBy(*keys, F.col("filing_date").alias("since")).agg(
-        F.max_by(row, _tie_order()).alias("latest")
+    dated = F.when(F.col("filing_date").isNotNull(), F.col("entity_id"))
+    facts = filings.groupBy(*keys, F.col("filing_date").alias("since")).agg(
+        F.max_by(row, _tie_order()).alias("latest"),
+        F.max(F.when(F.col("period_kind") == "quarterly", F.lit(True))).alias("quarterly"),
+        F.min(dated).alias("_least"),
+        F.max(dated).alias("_most"),
+    )
+    so_far = (
+        Window.partitionBy(*keys)
+        .orderBy("since")
+        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
+    conflict = F.min("_least").over(so_far) != F.max("_most").over(so_far)
+    return facts.withColumn("ambiguous", F.when(conflict, F.lit(True))).drop("_least", "_most")
 
 
 def _quarterly_events(filings: DataFrame, keys: list[str], fields: Sequence[str]) -> DataFrame:
@@ -211,28 +211,15 @@ def _quarterly_events(filings: DataFrame, keys: list[str], fields: Sequence[str]
 def filing_states(
     filings: DataFrame, fields: Sequence[str] = ("net_income",), by_id: bool = False
 ) -> DataFrame:
-    """Dated facts per entity, one row per filing day: (keys, since, ttm, quarterly, latest, ambiguous).
+    """Dated facts per entity: (keys, since, latest, quarterly, ambiguous, ttm).
 
     A fact dated ``since`` is visible to requests strictly after that day. ``by_id`` keys the
     facts by (ticker, entity_id) for lookups that name the entity.
     """
     tagged, keys = _entity_columns(filings, by_id)
-    tagged = tagged.where(F.col("filing_date").isNotNull())
-    quarterly = (
-        tagged.where(F.col("period_kind") == "quarterly")
-        .groupBy(*keys)
-        .agg(F.min("filing_date").alias("since"))
-        .withColumn("quarterly", F.lit(True))
-    )
-    parts = [_latest_events(tagged, keys), quarterly, _quarterly_events(tagged, keys, fields)]
-    if not by_id:
-        parts.append(_ambiguity_events(tagged))
-    facts = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
-    if by_id:
-        facts = facts.withColumn("ambiguous", F.lit(None).cast("boolean"))
-    named = ("ttm", "quarterly", "latest", "ambiguous")
-    return facts.groupBy(*keys, "since").agg(
-        *(F.first(c, ignorenulls=True).alias(c) for c in named)
+    dated = tagged.where(F.col("filing_date").isNotNull())
+    return _daily_facts(dated, keys).unionByName(
+        _quarterly_events(dated, keys, fields), allowMissingColumns=True
     )
 
 
@@ -278,16 +265,14 @@ def coverage_grid(filings: DataFrame, start: date, end: date) -> DataFrame:
     """
     if start > end:
         raise ValueError(f"start={start} after end={end}")
-    tagged, _ = _entity_columns(filings, by_id=False)
-    first = tagged.groupBy("ticker").agg(F.min("filing_date").alias("first_filed"))
-    clouded = _ambiguity_events(tagged).select("ticker", F.col("since").alias("clouded"))
+    tagged, keys = _entity_columns(filings, by_id=False)
+    spans = _daily_facts(tagged, keys).groupBy("ticker").agg(
+        F.min("since").alias("first_filed"),
+        F.min(F.when(F.col("ambiguous"), F.col("since"))).alias("clouded"),
+    )
     visible = F.col("first_filed") < F.col("date")
     clear = F.col("clouded").isNull() | (F.col("date") <= F.col("clouded"))
     days = F.explode(F.sequence(F.lit(start), F.lit(end))).alias("date")
-    return (
-        first.join(clouded, "ticker", "left")
-        .select("ticker", "first_filed", "clouded", days)
-        .select(
-            "date", "ticker", F.coalesce(visible & clear, F.lit(False)).alias("has_pit_fundamentals")
-        )
+    return spans.select("ticker", "first_filed", "clouded", days).select(
+        "date", "ticker", F.coalesce(visible & clear, F.lit(False)).alias("has_pit_fundamentals")
     )

@@ -172,14 +172,13 @@ def active_on(dates: DataFrame, membership: DataFrame) -> DataFrame:
     and the join key is the month, so no day is compared with every interval.
     """
     days = dates.select("date").distinct().withColumn("_month", F.trunc("date", "month"))
-    last = days.agg(F.max("date").alias("d")).scalar()
-    first = days.agg(F.min("date").alias("d")).scalar()
+    span = days.agg(F.struct(F.min("date").alias("first"), F.max("date").alias("last"))).scalar()
     clipped = (
         membership.select("ticker", "date_added", "date_removed")
         .distinct()
-        .withColumns({"_first": first, "_last": last})
-        .withColumn("_from", F.greatest("date_added", "_first"))
-        .withColumn("_to", F.least(F.date_sub("date_removed", 1), "_last"))
+        .withColumn("_span", span)
+        .withColumn("_from", F.greatest("date_added", "_span.first"))
+        .withColumn("_to", F.least(F.date_sub("date_removed", 1), F.col("_span.last")))
         .where(F.col("date_added").isNotNull() & (F.col("_from") <= F.col("_to")))
     )
     step = F.expr("interval 1 month")
