@@ -53,9 +53,11 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     Used where several passes read one intermediate result. Unlike a cached frame, the
     table survives lost executors, is column-pruned per pass, and its size on storage is
     known to the planner, so a later join broadcasts it only below
-    ``spark.sql.autoBroadcastJoinThreshold``.
+    ``spark.sql.autoBroadcastJoinThreshold``. Tables lie in a folder per application, so a
+    finished run's scratch data can be dropped as a whole.
     """
     spark = df.sparkSession
-    path = f"{scratch_root(spark)}/staged/{label}-{uuid.uuid4().hex}"
+    run = spark.sparkContext.applicationId
+    path = f"{scratch_root(spark)}/staged/{run}/{label}-{uuid.uuid4().hex}"
     df.write.mode("errorifexists").parquet(path)
     return spark.read.schema(df.schema).parquet(path)

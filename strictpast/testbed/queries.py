@@ -283,7 +283,7 @@ def constituent_tolerance(t: Tables) -> DataFrame:
 
 
 def members(t: Tables) -> DataFrame:
-    return idx.active_on(t.days(), t.membership())
+    return idx.active_on(t.days(), t.stored_membership())
 
 
 @query
@@ -432,7 +432,7 @@ def snapshot_facts(t: Tables) -> DataFrame:
 
 def answers(t: Tables, fields: tuple[str, ...] = ("net_income",)) -> DataFrame:
     asked = t.bars().select("ticker", "date")
-    return fund.as_of_states(asked, fund.filing_states(t.filings(), fields), fields, unique_requests=True)
+    return fund.as_of_states(asked, fund.filing_states(t.stored_filings(), fields), fields, unique_requests=True)
 
 
 @query
@@ -461,7 +461,7 @@ def ttm_by_entity_id(t: Tables) -> DataFrame:
     """Lookups that name the entity, in padded text form."""
     key = F.substring("ticker", 2, 15).cast("bigint") + 100000
     asked = t.bars().select("ticker", "date", normalize_id(padded_id(key)).alias("entity_id"))
-    states = fund.filing_states(t.filings(), by_id=True)
+    states = fund.filing_states(t.stored_filings(), by_id=True)
     out = fund.as_of_states(asked, states, unique_requests=True)
     return rounded(out, 4, "net_income_ttm").select(
         "ticker", "entity_id", "date", "net_income_ttm", "net_income_status", "latest_lag_days"
@@ -487,7 +487,7 @@ def coverage_grid(t: Tables) -> DataFrame:
 
 
 def earnings(t: Tables) -> DataFrame:
-    context = FactorContext(t.filings())
+    context = FactorContext(t.stored_filings())
     return REGISTRY["earnings_yield"].compute(panels.build_panel(t.bars(), RULES), context)
 
 

@@ -17,6 +17,7 @@ from strictpast.plans import membership as idx
 from strictpast.plans.bars import stamp_details
 from strictpast.plans.ledger import Ledger
 from strictpast.plans.panel import UniverseRules
+from strictpast.session import stage
 from strictpast.sources import index_pages
 
 RULES = UniverseRules(price_floor=2000.0)
@@ -171,6 +172,10 @@ class Tables:
             FUNDAMENTALS,
         )
 
+    def stored_filings(self) -> DataFrame:
+        """Filings as a stored table, which is how lookups get them."""
+        return stage(self.filings(), "filings")
+
     def statement_feed(self, tag: str) -> DataFrame:
         """Raw records of one statement feed, with every oddity the projection settles."""
         k, o = F.col("k"), F.col("o")
@@ -292,6 +297,9 @@ class Tables:
         enriched = idx.enrich_intervals(idx.membership_intervals(current, changes)[0], current, changes)
         return idx.apply_patches(enriched, *self.patches())
 
+    def stored_membership(self) -> DataFrame:
+        return stage(self.membership(), "membership")
+
     # --- securities -------------------------------------------------------------------
 
     def metadata(self) -> DataFrame:
