@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 from datetime import date, datetime, timezone
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,7 +22,7 @@ from strictpast.plans.bars import daily_bars
 from strictpast.plans.factors import REGISTRY, FactorContext
 from strictpast.plans.factors.base import diagnostics_dict
 from strictpast.plans.ledger import append_ledger
-from strictpast.plans.panel import UniverseRules, build_panel, for_members
+from strictpast.plans.panel import REPEATED_KEY, UniverseRules, build_panel, for_members
 from strictpast.session import stage
 from strictpast.sinks import writers
 from strictpast.sources import feeds, index_pages
@@ -81,31 +83,35 @@ def run_slice(
     context: FactorContext | None = None,
     rules: UniverseRules = UniverseRules(),
     label: str = "slice",
+    stored: bool = False,
 ) -> SliceResult:
     """Panel -> factor -> checksums -> one experiment, one candidate, two artifacts.
 
-    The factor reads the written panel, so the artifact is what was computed on.
+    The factor reads the written panel, so the artifact is what was computed on. Pass
+    ``stored`` when ``bars`` is already a plain table on storage.
     """
     require_columns(bars, columns_of(DAILY_BARS), "bars")
-    # Checked, fingerprinted and swept: derived bars would be recomputed for each pass.
-    bars = stage(bars, "bars")
-    copies = bars.groupBy("date", "ticker").agg(F.count("*").alias("n"))
-    keys = copies.agg(F.count("*").alias("keys"), F.count_if(F.col("n") > 1).alias("repeated")).first()
-    if keys["keys"] == 0:
+    if not stored:
+        # Fingerprinted and swept: derived bars would be computed once per pass.
+        bars = stage(bars, "bars")
+    if bars.isEmpty():
         raise ValueError("no bars for the requested universe")
-    if keys["repeated"] > 0:
-        raise quality.QualityError(f"{keys['repeated']} repeated (date, ticker) keys in the bars")
     spec = REGISTRY[factor]
     panel_path = f"{out}/daily_panel_{label}"
     factor_path = f"{out}/factor_{factor}_{label}"
-    writers.write_slice(build_panel(bars, rules), panel_path)
+    try:
+        writers.write_slice(build_panel(bars, rules, check_keys=True), panel_path)
+    except (PySparkException, Py4JJavaError) as error:
+        if REPEATED_KEY in str(error):
+            raise quality.QualityError(REPEATED_KEY) from error
+        raise
     panel = read_panel(spark, panel_path)
 
     computed = spec.compute(panel, context)
     notes = diagnostics_dict(spec.diagnostics(computed, context))
     writers.write_factor(computed, factor_path, notes)
     counters = reports.slice_counters(spark.read.parquet(factor_path)).first()
-    snapshot = panel.agg(F.max("data_snapshot_id").alias("id")).first()["id"]
+    snapshot = panel.select("data_snapshot_id").first()[0]
 
     now = datetime.now(timezone.utc)
     experiment_id, candidate_id = str(uuid.uuid4()), str(uuid.uuid4())

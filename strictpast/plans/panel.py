@@ -38,6 +38,9 @@ FAIL_REASONS = {
     "price_ok": "price_below_floor",
 }
 
+# Starts the message of a job that met a repeated (date, ticker).
+REPEATED_KEY = "repeated (date, ticker) key in the bars"
+
 
 @dataclass(frozen=True)
 class UniverseRules:
@@ -82,15 +85,25 @@ def with_returns(bars: DataFrame) -> DataFrame:
     return bars.withColumn("ret_1d", log_price - F.lag(log_price).over(by_ticker()))
 
 
-def build_panel(bars: DataFrame, rules: UniverseRules = UniverseRules()) -> DataFrame:
+def build_panel(
+    bars: DataFrame, rules: UniverseRules = UniverseRules(), check_keys: bool = False
+) -> DataFrame:
     """Bars -> the 15-column panel: returns, eligibility, and the snapshot id of its input.
 
     Returns and flags share one sort per ticker. The snapshot id is a one-row aggregate of
     the bars read as a scalar subquery, so consumers that do not select it never compute it.
+    ``check_keys`` makes the job fail on a repeated (date, ticker): in date order a repeated
+    day equals its predecessor, so the check rides on the sort that is there anyway.
     """
     require_columns(bars, columns_of(DAILY_BARS), "bars")
     snapshot = fingerprint(bars, columns_of(DAILY_BARS)).scalar()
     enriched = with_returns(with_universe_flags(bars, rules))
+    if check_keys:
+        repeated = F.lag("date").over(by_ticker()) == F.col("date")
+        message = F.concat(F.lit(f"{REPEATED_KEY}: "), F.concat_ws(", ", "date", "ticker"))
+        enriched = enriched.withColumn(
+            "ret_1d", F.when(repeated, F.raise_error(message).cast("double")).otherwise(F.col("ret_1d"))
+        )
     return conform(enriched.withColumn("data_snapshot_id", snapshot), PANEL)
 
 
