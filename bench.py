@@ -9,15 +9,12 @@ from __future__ import annotations
 import json
 import os
 import sys
-import tempfile
 import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
-from strictpast.plans.jobs import RunInfo, run_slice
 from strictpast.session import build_session
 from strictpast.testbed.queries import QUERIES
-from strictpast.testbed.tables import RULES, Tables
 
 HEADLINE = (
     "panel",
@@ -33,15 +30,10 @@ HEADLINE = (
     "dq_summary",
     "panel_stamped",
     "verify_verdict",
+    "slice_job",
 )
 
 
-def slice_job(spark, sf_dir: str) -> None:
-    out = tempfile.mkdtemp(prefix="spark-")
-    run = RunInfo("bench", "0" * 64, "0" * 40)
-    run_slice(spark, Tables(spark, sf_dir).bars(), out, f"{out}/ledger", run, rules=RULES)
-
-
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cores = os.environ.get("BENCH_CPUS", "8")
@@ -55,9 +47,6 @@ def main() -> None:
         start = time.perf_counter()
         QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
         seconds[name] = round(time.perf_counter() - start, 3)
-    start = time.perf_counter()
-    slice_job(spark, sf_dir)
-    seconds["slice_job"] = round(time.perf_counter() - start, 3)
     line = {
         "metric": "headline_total",
         "value": round(sum(seconds.values()), 3),

@@ -21,7 +21,7 @@ from strictpast.plans import reports, securities
 from strictpast.plans.bars import daily_bars
 from strictpast.plans.factors import REGISTRY, FactorContext
 from strictpast.plans.factors.base import diagnostics_dict
-from strictpast.plans.ledger import append_ledger
+from strictpast.plans.ledger import Ledger, append_ledger, open_ledger, verify
 from strictpast.plans.panel import REPEATED_KEY, UniverseRules, build_panel, for_members
 from strictpast.session import stage
 from strictpast.sinks import writers
@@ -170,6 +170,27 @@ def run_slice(
     )
 
 
+def verify_candidate(
+    spark: SparkSession,
+    ledger_root: str,
+    artifacts_root: str,
+    candidate_id: str,
+    config_hash: str | None,
+    known_code_ids: DataFrame,
+    check_config: bool = True,
+) -> DataFrame:
+    """One candidate's verdict against what ``artifacts_root`` holds now; an unknown id raises."""
+    book = open_ledger(spark, ledger_root)
+    mine = F.col("candidate_id") == candidate_id
+    candidate = book.candidates.where(mine)
+    if candidate.isEmpty():
+        raise LookupError(f"candidate {candidate_id} is not in the ledger")
+    one = Ledger(book.experiments, candidate, book.artifacts.where(mine))
+    recorded = one.artifacts.select("path")
+    now = artifact_checksums(spark, artifacts_root).join(recorded, "path", "left_semi")
+    return verify(one, now, config_hash, known_code_ids, check_config)
+
+
 def fixed_slice(spark: SparkSession, bars: DataFrame, out: str, ledger_root: str, run: RunInfo, **kw) -> SliceResult:
     """The fixed eight-name slice; every name must have bars."""
     wanted = _tickers(spark, FIXED_UNIVERSE)

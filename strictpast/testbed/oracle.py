@@ -409,14 +409,14 @@ oracle(
 )
 oracle("panel_stamped", PRICES, "SELECT 64 AS digits, count(*) AS rows FROM bars")
 oracle(
-    "winsorized",
+    "winsorize",
     PRICES,
     """SELECT b.date, ticker, round(least(greatest(ln(adj_close), lo), hi), 8) AS clipped
 FROM bars b JOIN (SELECT date, quantile_cont(ln(adj_close), 0.05) AS lo, quantile_cont(ln(adj_close), 0.95) AS hi
                   FROM bars GROUP BY date) q ON q.date = b.date""",
 )
 oracle(
-    "zscored",
+    "zscore",
     PRICES,
     """SELECT date, ticker, round(CASE WHEN s > 0 THEN (adj_close - m) / s END, 6) AS z,
        round(CASE WHEN s1 > 0 THEN (adj_close - m) / s1 END, 6) AS z_sample
@@ -437,6 +437,13 @@ oracle(
     """SELECT count(*) AS panel_rows, count(*) FILTER (WHERE valid_flag) AS valid_rows,
        count(*) FILTER (WHERE tradable_flag) AS tradable_rows FROM mom_12_1""",
 )
+oracle(
+    "slice_job",
+    MOM,
+    """SELECT count(*) AS panel_rows, count(*) FILTER (WHERE valid_flag) AS valid_rows,
+       count(*) FILTER (WHERE tradable_flag) AS tradable_rows, CAST(2 AS BIGINT) AS artifacts_verified, true AS all_ok
+FROM mom_12_1""",
+)
 _DAILY_Z = """SELECT date, avg(zscore_value) AS mean, stddev_samp(zscore_value) AS std FROM mom_12_1
 WHERE valid_flag GROUP BY date"""
 oracle(
@@ -658,6 +665,24 @@ oracle(
     """SELECT count(*) AS rows, count(DISTINCT ticker) AS tickers, min(filing_date) AS first_filing,
        max(filing_date) AS last_filing FROM filings""",
 )
+oracle(
+    "fundamentals_manifest",
+    "quarters filings",
+    """SELECT 'fundamentals' AS snapshot, count(*) AS rows, count(DISTINCT ticker) AS tickers,
+       min(filing_date) AS first_filing, max(filing_date) AS last_filing FROM filings""",
+)
+oracle(
+    "membership_manifest",
+    MEMBERS,
+    """SELECT 'index_membership' AS snapshot, count(*) AS rows, count(*) - count(date_removed) AS current_members,
+       count(date_removed) AS historical_removals, (SELECT min(date) FROM changes) AS earliest_change FROM membership""",
+)
+oracle(
+    "metadata_manifest",
+    "metadata",
+    """SELECT 'ticker_metadata' AS snapshot, count(*) AS rows, count(*) - count(delisted_date) AS current,
+       count(delisted_date) AS delisted FROM metadata""",
+)
 oracle(
     "fundamentals_as_of",
     FILED,

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from datetime import date
 
@@ -22,7 +23,16 @@ from strictpast.plans import reports, securities
 from strictpast.plans.factors import REGISTRY, FactorContext
 from strictpast.plans.factors.base import invalid_reason_counts
 from strictpast.plans.factors.earnings_yield import lag_distribution
-from strictpast.plans.jobs import fundamentals_snapshot, panel_for_date, reconstruct_membership
+from strictpast.plans.jobs import (
+    RunInfo,
+    fundamentals_snapshot,
+    panel_for_date,
+    reconstruct_membership,
+    run_slice,
+    verify_candidate,
+)
+from strictpast.session import scratch_root
+from strictpast.sinks import writers
 from strictpast.sources import feeds, index_pages
 from strictpast.sources.tables import equity_holdings
 from strictpast.testbed.tables import RULES, Tables
@@ -37,14 +47,18 @@ NOT_BEFORE = date(1996, 1, 1)
 CONFIG = "config 1"
 
 
-def query(fn: Callable[[Tables], DataFrame]) -> Callable[[Tables], DataFrame]:
+def query(fn: Callable[[Tables], DataFrame], name: str | None = None) -> Callable[[Tables], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         return fn(Tables(spark, sf_dir))
 
-    QUERIES[fn.__name__] = run
+    QUERIES[name or fn.__name__] = run
     return fn
 
 
+def named(name: str) -> Callable:
+    return lambda fn: query(fn, name)
+
+
 def rounded(df: DataFrame, digits: int, *names: str) -> DataFrame:
     return df.withColumns({n: F.round(n, digits) for n in names})
 
@@ -139,14 +153,14 @@ def panel_stamped(t: Tables) -> DataFrame:
 # --- cross-section and momentum -------------------------------------------------------------
 
 
-@query
+@named("winsorize")
 def winsorized(t: Tables) -> DataFrame:
     rows = t.bars().select("date", "ticker", F.ln("adj_close").alias("log_price"))
     out = winsorize(rows, "log_price", "clipped", (0.05, 0.95))
     return rounded(out, 8, "clipped").select("date", "ticker", "clipped")
 
 
-@query
+@named("zscore")
 def zscored(t: Tables) -> DataFrame:
     rows = t.bars().select("date", "ticker", "adj_close")
     out = zscore(zscore(rows, "adj_close", "z"), "adj_close", "z_sample", ddof=1)
@@ -199,6 +213,21 @@ def ticker_series(t: Tables) -> DataFrame:
     return rounded(reports.ticker_series(momentum(t), "S7"), 8, "raw_value")
 
 
+@query
+def slice_job(t: Tables) -> DataFrame:
+    """The whole pipeline: both artifacts and the ledger written, then verified from storage."""
+    out = f"{scratch_root(t.spark)}/slices/{uuid.uuid4().hex}"
+    run = RunInfo("testbed", "ab" * 32, "c0ffee1")
+    done = run_slice(t.spark, t.bars(), out, f"{out}/ledger", run, rules=RULES)
+    codes = t.read("region").select(F.lit(run.code_id).alias("git_sha"))
+    verdict = verify_candidate(t.spark, f"{out}/ledger", out, done.candidate_id, run.config_hash, codes)
+    factor = t.spark.read.parquet(done.factor_path)
+    verified = verdict.select(F.struct("artifacts_verified", "all_ok")).scalar()
+    return reports.slice_counters(factor).withColumn("_v", verified).select(
+        "panel_rows", "valid_rows", "tradable_rows", "_v.artifacts_verified", "_v.all_ok"
+    )
+
+
 # --- membership -------------------------------------------------------------------------------
 
 
@@ -430,6 +459,21 @@ def snapshot_facts(t: Tables) -> DataFrame:
     )
 
 
+@query
+def fundamentals_manifest(t: Tables) -> DataFrame:
+    return writers.fundamentals_manifest(t.filings()).drop("content_sha")
+
+
+@query
+def membership_manifest(t: Tables) -> DataFrame:
+    return writers.membership_manifest(t.membership(), t.changes()).drop("content_sha")
+
+
+@query
+def metadata_manifest(t: Tables) -> DataFrame:
+    return writers.metadata_manifest(t.metadata()).drop("content_sha")
+
+
 def answers(t: Tables, fields: tuple[str, ...] = ("net_income",)) -> DataFrame:
     asked = t.bars().select("ticker", "date")
     return fund.as_of_states(asked, fund.filing_states(t.stored_filings(), fields), fields, unique_requests=True)
