@@ -181,12 +181,14 @@ def verify_candidate(
 ) -> DataFrame:
     """One candidate's verdict against what ``artifacts_root`` holds now; an unknown id raises."""
     book = open_ledger(spark, ledger_root)
-    mine = F.col("candidate_id") == candidate_id
-    candidate = book.candidates.where(mine)
+    wanted = spark.createDataFrame([(candidate_id,)], "candidate_id string")
+    candidate = book.candidates.join(wanted, "candidate_id", "left_semi")
     if candidate.isEmpty():
         raise LookupError(f"candidate {candidate_id} is not in the ledger")
-    one = Ledger(book.experiments, candidate, book.artifacts.where(mine))
-    recorded = one.artifacts.select("path")
+    # Joined rather than filtered by a literal: equal literals would cost the joins their key.
+    artifacts = book.artifacts.join(wanted, "candidate_id", "left_semi")
+    one = Ledger(book.experiments, candidate, artifacts)
+    recorded = artifacts.select("path").distinct()
     now = artifact_checksums(spark, artifacts_root).join(recorded, "path", "left_semi")
     return verify(one, now, config_hash, known_code_ids, check_config)
 

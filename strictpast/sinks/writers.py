@@ -26,7 +26,8 @@ def write_slice(panel: DataFrame, path: str, by_year: bool = False) -> None:
     """One directory per slice; an existing slice is never overwritten."""
     require_exact(panel, PANEL, "panel slice")
     if by_year:
-        year = panel.withColumn("year", F.year("date"))
+        # Ranges keep a task within a year or two and spread each year over many tasks.
+        year = panel.withColumn("year", F.year("date")).repartitionByRange("year", "ticker")
         year.write.mode("errorifexists").partitionBy("year").parquet(path)
     else:
         panel.write.mode("errorifexists").parquet(path)

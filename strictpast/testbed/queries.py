@@ -69,7 +69,7 @@ def rounded(df: DataFrame, digits: int, *names: str) -> DataFrame:
 @query
 def bars_from_feed(t: Tables) -> DataFrame:
     """Epoch-millisecond records of the raw feed back to days."""
-    ms = F.unix_millis(F.col("date").cast("timestamp")) + 3_600_000
+    ms = F.unix_date("date").cast("bigint") * 86_400_000 + 3_600_000
     landed = t.raw_feed().withColumn("timestamp", ms).drop("date")
     return feeds.bars_from_feed(landed)
 
@@ -219,7 +219,7 @@ def slice_job(t: Tables) -> DataFrame:
     out = f"{scratch_root(t.spark)}/slices/{uuid.uuid4().hex}"
     run = RunInfo("testbed", "ab" * 32, "c0ffee1")
     done = run_slice(t.spark, t.bars(), out, f"{out}/ledger", run, rules=RULES)
-    codes = t.read("region").select(F.lit(run.code_id).alias("git_sha"))
+    codes = t.spark.createDataFrame([(run.code_id,)], "git_sha string")
     verdict = verify_candidate(t.spark, f"{out}/ledger", out, done.candidate_id, run.config_hash, codes)
     factor = t.spark.read.parquet(done.factor_path)
     verified = verdict.select(F.struct("artifacts_verified", "all_ok")).scalar()

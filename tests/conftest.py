@@ -17,8 +17,10 @@ from strictpast.session import build_session  # noqa: E402
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
     scratch = str(tmp_path_factory.mktemp("checkpoints"))
-    session = build_session("tests", 4, spark__checkpoint__dir=scratch)
-    session.conf.set("spark.sql.shuffle.partitions", "4")
+    session = build_session("tests", 8, spark__checkpoint__dir=scratch)
+    session.conf.set("spark.sql.shuffle.partitions", "2")
+    # Tiny inputs: compiling each stage would take longer than running it.
+    session.conf.set("spark.sql.codegen.wholeStage", "false")
     yield session
 
 

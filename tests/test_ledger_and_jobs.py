@@ -204,6 +204,11 @@ def test_verify(spark, slice_run):
     assert ledger.candidate_provenance(ledger.open_ledger(spark, root), result.candidate_id).count() == 2
     with pytest.raises(LookupError):
         ledger.candidate_provenance(ledger.open_ledger(spark, root), "nobody")
+    codes = spark.createDataFrame([(RUN.code_id,)], "git_sha string")
+    args = (RUN.config_hash, codes)
+    assert jobs.verify_candidate(spark, root, out, result.candidate_id, *args).first().all_ok
+    with pytest.raises(LookupError):
+        jobs.verify_candidate(spark, root, out, "nobody", *args)
 
 
 def test_changed_bytes_are_noticed(spark, tmp_path):
