@@ -8,7 +8,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strictpast.llm import chat_snapshots, language_mixture, sentencepiece_codec, token_counts, token_files
+from strictpast.llm import (
+    chat_snapshots,
+    language_mixture,
+    minhash_dedup,
+    sentencepiece_codec,
+    token_counts,
+    token_files,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 BYTE_BPE, PIECE_BPE = "byte_bpe_50k.json", "piece_bpe_32k.model"
@@ -63,3 +70,10 @@ def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SentencePiece ids of all documents and what they decode to, as digests."""
     docs = table(spark, sf_dir, "documents")
     return sentencepiece_codec.digest_documents(docs, public_tokenizers.path(PIECE_BPE))
+
+
+@query
+def op10_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate components of all documents."""
+    docs = table(spark, sf_dir, "documents")
+    return minhash_dedup.near_duplicates(docs, words=3, percent=85)
