@@ -18,3 +18,37 @@ FROM prefixes
 WHERE NOT more AND chat NOT IN (SELECT chat FROM prefixes WHERE more)
 GROUP BY place, chat
 """
+
+# Runs of two non-blank lines; a line goes if it lies in a run that stood earlier.
+ORACLE["op9_line_dedup"] = r"""
+WITH lines AS (
+    SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+        generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS place
+    FROM documents
+), stripped AS (
+    SELECT doc_id, line, place, trim(line, chr(32) || chr(9) || chr(11) || chr(12) || chr(13)) AS bare FROM lines
+), counted AS (
+    SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY place) AS k FROM stripped WHERE bare <> ''
+), runs AS (
+    SELECT doc_id, k, bare AS one, lead(bare) OVER (PARTITION BY doc_id ORDER BY k) AS two FROM counted
+), later AS (
+    SELECT doc_id, k FROM (
+        SELECT doc_id, k, row_number() OVER (PARTITION BY one, two ORDER BY doc_id, k) AS copy
+        FROM runs WHERE two IS NOT NULL
+    ) WHERE copy > 1
+), gone AS (
+    SELECT doc_id, k FROM later UNION SELECT doc_id, k + 1 FROM later
+), totals AS (
+    SELECT c.doc_id, count(*) AS n_lines, count(g.k) AS n_removed
+    FROM counted c LEFT JOIN gone g ON g.doc_id = c.doc_id AND g.k = c.k GROUP BY c.doc_id
+), left_over AS (
+    SELECT s.doc_id, string_agg(s.line, chr(10) ORDER BY s.place) AS text
+    FROM stripped s LEFT JOIN counted c ON c.doc_id = s.doc_id AND c.place = s.place
+        LEFT JOIN gone g ON g.doc_id = c.doc_id AND g.k = c.k
+    WHERE g.k IS NULL GROUP BY s.doc_id
+)
+SELECT d.doc_id,
+    CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(l.text, '') END AS text,
+    coalesce(t.n_lines, 0) AS n_lines, coalesce(t.n_removed, 0) AS n_removed
+FROM documents d LEFT JOIN totals t ON t.doc_id = d.doc_id LEFT JOIN left_over l ON l.doc_id = d.doc_id
+"""

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from strictpast.llm import (
     chat_snapshots,
     language_mixture,
+    line_dedup,
     minhash_dedup,
     sentencepiece_codec,
     token_counts,
@@ -77,3 +78,10 @@ def op10_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components of all documents."""
     docs = table(spark, sf_dir, "documents")
     return minhash_dedup.near_duplicates(docs, words=3, percent=85)
+
+
+@query
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without repeated runs of lines."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return line_dedup.drop_repeated_lines(docs)
