@@ -14,6 +14,7 @@ from strictpast.llm import (
     line_dedup,
     minhash_dedup,
     sentencepiece_codec,
+    suffix_dedup,
     token_counts,
     token_files,
 )
@@ -85,3 +86,9 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents without repeated runs of lines."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return line_dedup.drop_repeated_lines(docs)
+
+
+@query
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages of fifty words and more that documents share."""
+    return suffix_dedup.repeated_passages(table(spark, sf_dir, "documents"))
