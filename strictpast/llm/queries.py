@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from strictpast.llm import (
     chat_snapshots,
+    decontaminate,
+    embedding_dedup,
     language_mixture,
     line_dedup,
     minhash_dedup,
@@ -92,3 +94,15 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Passages of fifty words and more that documents share."""
     return suffix_dedup.repeated_passages(table(spark, sf_dir, "documents"))
+
+
+@query
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items that documents contain."""
+    return decontaminate.contaminations(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of all embeddings at a cosine of 0.9."""
+    return embedding_dedup.near_vectors(table(spark, sf_dir, "embeddings"), 0.9)
