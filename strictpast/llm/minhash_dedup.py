@@ -228,3 +228,17 @@ def _links(docs: DataFrame, signed: DataFrame, classes: DataFrame, words: int, p
     rest = rest.select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")).distinct()
     rest = stage(rest.join(first, ["a", "b"], "left_anti"), "rest-pairs")
     return links.unionByName(verified(rest, "rest"))
+
+
+def one_of_each_group(docs: DataFrame, words: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Pipeline stage: of each group of near-duplicates the document with the least key.
+
+    Of rows that repeat a kept key one stays; rows without a key all stay.
+    """
+    found = stage(near_duplicates(docs, words, percent, key, text), "near-duplicates")
+    gone = found.where("not kept").select(F.col(key).alias("_key")).distinct()
+    several = found.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("_key")).count().where("count > 1").select("_key")
+    same = F.col(key) == F.col("_key")
+    kept = docs.join(gone, same, "left_anti")
+    single = kept.join(several, same, "left_anti")
+    return single.unionByName(kept.join(several, same, "left_semi").dropDuplicates([key]))
