@@ -58,11 +58,12 @@ def range_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, codes:
         first = starts[i]
         j = int(np.searchsorted(ends, first + SLICE, "right"))
         if j <= i:  # one range longer than a slice: add up its pieces
-            shift = 1
+            total, shift = 0, 1
             for at in range(int(first), int(ends[i]), SLICE):
                 piece = data[at : min(at + SLICE, int(ends[i]))]
-                out[i] += (codes[piece] * _UP[: len(piece)]).sum(dtype=np.uint64) * np.uint64(shift)
+                total += int((codes[piece] * _UP[: len(piece)]).sum(dtype=np.uint64)) * shift
                 shift = shift * pow(STEP, SLICE, 1 << 64) % (1 << 64)
+            out[i] = total % (1 << 64)
             i += 1
             continue
         sums = np.zeros(int(ends[j - 1] - first) + 1, np.uint64)
