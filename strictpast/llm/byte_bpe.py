@@ -16,7 +16,7 @@ import regex
 from tokenizers import Tokenizer
 
 #: Entries that a worker keeps of each of its two caches; a full cache starts anew.
-CACHE = 250_000
+CACHE = 500_000
 
 
 def byte_alphabet() -> list[str]:
