@@ -5,9 +5,10 @@
 2. Documents with equal sets fold into a class; one representative goes on.
 3. In a band bucket every member meets a few centres, the least members under several hash
    orders, which are found by aggregation. The pairs are verified and contracted to components.
-4. What is left apart is compared in full: in every bucket, members outside the bucket's largest
-   component meet all members of other components. So every pair that shares a bucket is either
-   connected already or compared, without listing all pairs of a group of copies.
+4. What is left apart is compared in full: documents tied by buckets form a family, and in it
+   members outside the largest component meet all members of other components, inside tasks
+   that get two chunks of the family. So every pair that shares a bucket is either connected
+   already or compared, and the pairs of a group of copies are never listed.
 
 Verification reads the sketches batch by batch. After n hashes with m matches the similarity
 has the posterior Beta(m + 1, n - m + 1) under a flat prior; a pair is pruned as soon as the
@@ -37,6 +38,8 @@ BANDS, ROWS, SKETCH, BATCH = 32, 5, 96, 16
 MISS = 1e-6
 #: Centres that every member of a bucket meets first.
 CENTRES = 4
+#: Documents and bytes of text of a chunk of a family.
+CHUNK, CHUNK_BYTES = 512, 8 << 20
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -204,30 +207,93 @@ def _links(docs: DataFrame, signed: DataFrame, classes: DataFrame, words: int, p
     crowded = stage(entries.join(buckets, "bucket"), "bucket-members")
     involved = stage(crowded.select("node").distinct(), "bucket-nodes")
     sketches = stage(reps.select("node", "sketch").join(involved, "node"), "sketches")
-    bodies = docs.select(F.col(key).alias("node"), F.col(text).alias("body")).join(involved, "node")
+    written = docs.where(F.col(text).rlike(r"[^\x20\x09-\x0D]"))
+    bodies = written.select(F.col(key).alias("node"), F.col(text).alias("body")).join(involved, "node")
     bodies = stage(bodies, "bodies")
 
-    def verified(pairs: DataFrame, label: str) -> DataFrame:
-        survivors = stage(_sequential(pairs, sketches, percent / 100), f"survivors-{label}")
-        return stage(_exact(survivors, bodies, words, percent), f"links-{label}")
-
     met = crowded.select("node", F.explode(F.array_distinct("centres")).alias("centre")).where("node != centre")
     first = met.select(F.greatest("node", "centre").alias("b"), F.least("node", "centre").alias("a")).distinct()
     first = stage(first.select("a", "b"), "centre-pairs")
-    links = verified(first, "centres")
-
-    joined = components(links)
-    placed = crowded.select("bucket", "node").join(joined, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("component"))
-    placed = stage(placed, "bucket-components")
-    sizes = placed.groupBy("bucket", "component").agg(F.count("*").alias("n"))
-    largest = sizes.groupBy("bucket").agg(F.max(F.struct("n", "component"))["component"].alias("main"), F.count("*").alias("parts"))
-    apart = placed.join(largest.where("parts > 1"), "bucket")
-    apart = stage(apart.drop("parts"), "bucket-apart")
-    outside = apart.where("component != main").select("bucket", F.col("node").alias("x"), F.col("component").alias("cx"))
-    rest = outside.join(apart, "bucket").where("component != cx and (component = main or node > x)")
-    rest = rest.select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")).distinct()
-    rest = stage(rest.join(first, ["a", "b"], "left_anti"), "rest-pairs")
-    return links.unionByName(verified(rest, "rest"))
+    survivors = stage(_sequential(first, sketches, percent / 100), "survivors")
+    links = stage(_exact(survivors, bodies, words, percent), "links")
+    return links.unionByName(_rest(first, links, reps, bodies, words, percent))
+
+
+def _rest(first: DataFrame, links: DataFrame, reps: DataFrame, bodies: DataFrame, words: int, percent: int) -> DataFrame:
+    """Links between what the centres left apart.
+
+    A family holds all documents that are tied by shared buckets. In each, the members outside
+    its largest component meet all members of other components, chunk by chunk: a task gets
+    two chunks, prunes the pairs that share no band, then by sequential batches of the sketches,
+    counts the intersections of the survivors, and returns for each outsider one link to each
+    component that it reaches. Pairs never become rows.
+    """
+    families = components(first).withColumnRenamed("component", "family")
+    state = families.join(components(links), "node", "left")
+    state = stage(state.select("node", "family", F.coalesce("component", "node").alias("component")), "family-members")
+    sized = state.join(bodies.select("node", F.octet_length("body").alias("bytes")), "node")
+    parts = sized.groupBy("family", "component").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"))
+    whole = parts.groupBy("family").agg(
+        F.max(F.struct("n", "component"))["component"].alias("main"), F.max("n").alias("n_main"), F.count("*").alias("parts"),
+        F.sum("n").alias("n"), F.sum("bytes").alias("bytes"))
+
+    def chunks(n):
+        return F.greatest(F.ceil(n / CHUNK), F.ceil(F.col("bytes") / CHUNK_BYTES)).cast("int")
+
+    whole = whole.where("parts > 1").select("family", "main", chunks(F.col("n") - F.col("n_main")).alias("outs"), chunks(F.col("n")).alias("ins"))
+    rows = state.join(whole, "family").join(reps, "node").join(bodies, "node")
+    rows = stage(rows.select("family", "component", "main", "outs", "ins", "node", "bands", "sketch", "body"), "family-rows")
+    facts = ["component", "node", "bands", "sketch", "body"]
+
+    def dealt(side: str, others: str):
+        own = F.pmod(F.xxhash64("node"), F.col(side)).cast("int").alias(side[0])
+        return "family", own, F.explode(F.sequence(F.lit(0), F.col(others) - 1)).alias(others[0])
+
+    outsiders = rows.where("component != main").select(*dealt("outs", "ins"), *facts)
+    members = rows.select(*dealt("ins", "outs"), *facts)
+    bounds = least_matches(percent / 100)
+
+    def meet(one: pa.Table, two: pa.Table) -> pa.Table:
+        a, b = (_Chunk(t, words) for t in (one, two))
+        found = [[], []]
+        if a.n and b.n:
+            mark = np.zeros(len(b.vocabulary) + 1, np.int64)
+            for i in range(a.n):
+                near = np.flatnonzero((a.bands[i] == b.bands).any(axis=1) & (b.component != a.component[i]))
+                for step, least in enumerate(bounds):
+                    part = slice(0, (step + 1) * BATCH)
+                    near = near[(a.sketch[i, part] == b.sketch[near, part]).sum(axis=1) >= least]
+                if len(near):
+                    own = np.searchsorted(b.vocabulary, a.sets[i])
+                    own = own[b.vocabulary[np.minimum(own, len(b.vocabulary) - 1)] == a.sets[i]]
+                    mark[own] = 1
+                    both = np.add.reduceat(mark[b.places], b.starts)[near]
+                    mark[own] = 0
+                    near = near[100 * both >= percent * (len(a.sets[i]) + b.sizes[near] - both)]
+                    near = near[np.unique(b.component[near], return_index=True)[1]]
+                    found[0] += [a.node[i]] * len(near)
+                    found[1] += b.node[near].tolist()
+        kind = one.schema.field("node").type
+        return pa.table({"a": pa.array(found[0], kind), "b": pa.array(found[1], kind)})
+
+    keys = ["family", "o", "i"]
+    schema = T.StructType([typed(links, "a"), typed(links, "b")])
+    met = outsiders.groupBy(*keys).cogroup(members.select(*(F.col(c).alias(c) for c in (*keys, *facts))).groupBy(*keys))
+    return met.applyInArrow(meet, schema)
+
+
+class _Chunk:
+    """A chunk of documents as arrays; ``places`` lists the shingles of all as vocabulary numbers."""
+
+    def __init__(self, rows: pa.Table, words: int):
+        self.n = rows.num_rows
+        self.node, self.component = (rows[c].to_numpy() for c in ("node", "component"))
+        self.bands = np.array(rows["bands"].to_pylist(), np.int64).reshape(self.n, BANDS)
+        self.sketch = np.frombuffer(b"".join(rows["sketch"].to_pylist()), np.uint16).reshape(self.n, SKETCH)
+        self.sets = [build() for build in blocks_of_one(rows["body"], words)]
+        self.sizes = np.array([len(s) for s in self.sets], np.int64)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.vocabulary, self.places = np.unique(np.concatenate([np.empty(0, np.uint64), *self.sets]), return_inverse=True)
 
 
 def one_of_each_group(docs: DataFrame, words: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
