@@ -77,14 +77,16 @@ class Suffixes:
         return short[before], short[after]
 
 
-def compared(
-    rows: DataFrame, order: list[str], told: list[T.StructField], tell: Callable[[pa.RecordBatch], list[pa.Array]], label: str
-) -> DataFrame:
+Tell = Callable[[pa.RecordBatch], tuple[list[pa.Array], np.ndarray]]
+
+
+def compared(rows: DataFrame, order: list[str], bulky: list[str], told: list[T.StructField], tell: Tell, label: str) -> DataFrame:
     """``rows`` with the columns ``tell`` adds to each from its REACH neighbours in ``order``.
 
-    ``tell`` gets consecutive rows and returns the added columns for all of them; rows with
-    fewer than REACH rows on a side at hand are told again. The rows at partition borders, at
-    most eight of a partition, are gathered and told together.
+    ``tell`` gets consecutive rows and returns the added columns and a mask of the rows to keep;
+    rows with fewer than REACH rows on a side at hand are told again. The rows at partition
+    borders, at most eight of a partition, are gathered and told together. The columns in
+    ``bulky`` are null in the result.
     """
     state = T.StructField("_state", T.IntegerType())
     schema = T.StructType([*rows.schema.fields, *told, state])
@@ -92,9 +94,13 @@ def compared(
     given = rows.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out(part: pa.RecordBatch, states: np.ndarray) -> pa.RecordBatch:
-            columns = [*part.columns, *tell(part), pa.array(states, pa.int32())]
-            return pa.RecordBatch.from_arrays(columns, names=schema.names).filter(pa.array(states >= 0))
+        def out(part: pa.RecordBatch, states: np.ndarray) -> Iterator[pa.RecordBatch]:
+            added, keep = tell(part)
+            whole = pa.RecordBatch.from_arrays([*part.columns, *added, pa.array(states, pa.int32())], names=schema.names)
+            done = whole.filter(pa.array((states == decided) & keep))
+            columns = [pa.nulls(done.num_rows, c.type) if n in bulky else c for n, c in zip(schema.names, done.columns)]
+            yield pa.RecordBatch.from_arrays(columns, names=schema.names)
+            yield whole.filter(pa.array(states > decided))
 
         held, begun = None, False
         for batch in batches:
@@ -107,10 +113,9 @@ def compared(
                 states = np.full(n, decided)
                 states[n - REACH :] = -1
                 states[:REACH] = -1 if begun else open_
-                yield out(part, states)
+                yield from out(part, states)
                 if not begun:
-                    edge = part.slice(0, 2 * REACH)
-                    yield out(edge, np.array([-1] * REACH + [context] * REACH))
+                    yield from out(part.slice(0, 2 * REACH), np.array([-1] * REACH + [context] * REACH))
                 begun, part = True, part.slice(n - 2 * REACH)
             held = part
         if held is not None:
@@ -119,24 +124,27 @@ def compared(
             if begun:  # the held rows begin with REACH rows of context
                 states[:REACH] = -1
                 states[REACH : n - REACH] = decided
-                yield out(held, states)
+                yield from out(held, states)
                 states = np.full(n, -1)
                 states[max(0, n - 2 * REACH) : n - REACH] = context
-            yield out(held, states)
+                yield from out(held, states)
+            else:
+                yield from out(held, states)
 
     def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gathered = [b for b in batches if b.num_rows]
         if gathered:
             part = pa.concat_batches(gathered)
             plain = part.select(given)
-            full = pa.RecordBatch.from_arrays([*plain.columns, *tell(plain), part.column("_state")], names=schema.names)
-            yield full.filter(pc.equal(full.column("_state"), open_))
+            added, keep = tell(plain)
+            full = pa.RecordBatch.from_arrays([*plain.columns, *added, part.column("_state")], names=schema.names)
+            yield full.filter(pc.and_(pc.equal(full.column("_state"), open_), pa.array(keep)))
 
     dealt = rows.repartitionByRange(*order).sortWithinPartitions(*order)
     first = stage(dealt.mapInArrow(run, schema), label)
     edges = first.where(F.col("_state") != decided).select(*given, "_state")
     border = edges.repartition(1).sortWithinPartitions(*order).mapInArrow(again, schema)
-    return first.where(F.col("_state") == decided).unionByName(border).drop("_state")
+    return first.where(F.col("_state") == decided).unionByName(border).drop("_state", *bulky)
 
 
 def suffix_rows(docs: DataFrame, key: str, text: str, length: int, kmer: int, span: int) -> DataFrame:
@@ -162,28 +170,30 @@ def matched(suffixes: DataFrame, key: str) -> DataFrame:
     ``earlier`` is the key of the row before in order of prefix and document, if it matches.
     """
 
-    def tell(rows: pa.RecordBatch) -> list[pa.Array]:
+    def tell(rows: pa.RecordBatch) -> tuple[list[pa.Array], np.ndarray]:
         prefix, ids = rows.column(0).to_numpy(), rows.column(1)
         equal = prefix[1:] == prefix[:-1]
         equal &= pc.not_equal(ids.slice(1), ids.slice(0, len(ids) - 1)).to_numpy(zero_copy_only=False)
         before, after = np.append(False, equal), np.append(equal, False)
         previous = pa.array(np.maximum(np.arange(len(ids)) - 1, 0), mask=~before)
-        return [pa.array(before | after), ids.take(previous)]
+        return [ids.take(previous)], before | after
 
-    told = [T.StructField("match", T.BooleanType()), typed(suffixes, key, "earlier")]
     distinct = suffixes.select("prefix", key)
-    return compared(distinct, ["prefix", key], told, tell, "suffix-order").where("match").drop("match")
+    return compared(distinct, ["prefix", key], [], [typed(suffixes, key, "earlier")], tell, "suffix-order")
 
 
 def extended(sides: DataFrame, key: str) -> DataFrame:
-    """Add ``more`` to rows of ``(prefix, side, context, key, ...)``: the words of ``context`` that
-    some row of another document with this prefix and side has as well; null without such a row."""
+    """``(side, key, earlier, chain, w, more, byte)`` of the rows of ``sides`` that have a ``chain``.
+
+    ``more`` counts the words of ``context`` that some row of another document with this prefix
+    and side has as well, ``byte`` is the entry of ``reach`` at it.
+    """
 
-    def tell(rows: pa.RecordBatch) -> list[pa.Array]:
+    def tell(rows: pa.RecordBatch) -> tuple[list[pa.Array], np.ndarray]:
         n = rows.num_rows
         prefix, side = (rows.column(i).to_numpy() for i in (0, 1))
         context = np.frombuffer(b"".join(rows.column(2).to_pylist()), np.uint32).reshape(n, -1)
-        ids, best = rows.column(3), np.full(n, -1)
+        ids, best = rows.column(3), np.zeros(n, np.int64)
         for step in range(1, REACH + 1):
             if n <= step:
                 break
@@ -191,12 +201,17 @@ def extended(sides: DataFrame, key: str) -> DataFrame:
             other = pc.not_equal(ids.slice(step), ids.slice(0, n - step)).to_numpy(zero_copy_only=False)
             same = (prefix[a] == prefix[b]) & (side[a] == side[b]) & other
             equal = (context[a] == context[b]) & (context[a] != 0)
-            common = np.where(same, np.cumprod(equal, axis=1).sum(axis=1), -1)
+            common = np.where(same, np.cumprod(equal, axis=1).sum(axis=1), 0)
             np.maximum(best[a], common, out=best[a])
             np.maximum(best[b], common, out=best[b])
-        return [pa.array(best, mask=best < 0)]
+        keep = rows.column("chain").is_valid().to_numpy(zero_copy_only=False)
+        at = np.flatnonzero(keep)
+        byte = np.zeros(n, np.int64)
+        byte[at] = rows.column("reach").flatten().to_numpy().reshape(len(at), context.shape[1] + 1)[np.arange(len(at)), best[at]]
+        return [pa.array(best), pa.array(byte)], keep
 
-    return compared(sides, ["prefix", "side", "context", key], [T.StructField("more", T.LongType())], tell, "suffix-sides")
+    told = [T.StructField("more", T.LongType()), T.StructField("byte", T.LongType())]
+    return compared(sides, ["prefix", "side", "context", key], ["prefix", "context", "reach"], told, tell, "suffix-sides")
 
 
 def repeated_passages(
@@ -223,7 +238,7 @@ def repeated_passages(
     bodies = docs.select(key, text).join(hits, F.col(key) == F.col("_key")).select(key, text, "prefixes", "earlier")
     schema = T.StructType([
         T.StructField("prefix", T.LongType()), T.StructField("side", T.IntegerType()), T.StructField("context", T.BinaryType()),
-        typed(docs, key), typed(docs, key, "earlier"), *T.StructType.fromDDL("w bigint, b0 array<int>, b1 array<int>").fields])
+        typed(docs, key), typed(docs, key, "earlier"), *T.StructType.fromDDL("chain int, w int, reach array<int>").fields])
 
     def sides(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -244,31 +259,37 @@ def repeated_passages(
                 ids = batch.column(0).slice(row, len(offsets) - 1).take(pa.array(of))
                 before = pa.concat_arrays(earlier) if earlier else ids
                 before = pc.if_else(pc.equal(before, ids), pa.scalar(None, ids.type), before)
+                # Suffixes whose prefixes overlap or touch are a chain; only those that can reach
+                # beyond its ends are told, the others are neighbours for other documents.
+                fresh = np.append(True, (np.diff(at) > size) | (np.diff(of) != 0))[: len(at)]
+                number = np.cumsum(fresh) - 1
+                head = at[fresh][number]
+                tail = at[np.append(fresh[1:], True)[: len(at)]][number]
                 # Byte offsets of the words to which an extension may reach.
                 steps = np.arange(reach + 1)
                 lefts = block.starts[np.maximum(at[:, None] - steps, block.first[of][:, None])] - offsets[of][:, None]
                 rights = block.ends[np.minimum(at[:, None] + size - 1 + steps, block.first[of + 1][:, None] - 1)] - offsets[of][:, None]
+                told = (at - head <= reach, tail - at <= reach)
                 for side, (context, bytes_) in enumerate(zip(block.around(at, of, size, reach), (lefts, rights))):
-                    shown = pa.ListArray.from_arrays(np.arange(0, bytes_.size + 1, reach + 1, dtype=np.int32), pa.array(bytes_.reshape(-1).astype(np.int32)))
-                    void = pa.nulls(len(at), shown.type)
+                    sizes = np.where(told[side], reach + 1, 0)
+                    bounds_ = pa.array(np.append(0, np.cumsum(sizes)).astype(np.int32), mask=np.append(~told[side], False))
+                    shown = pa.ListArray.from_arrays(bounds_, pa.array(bytes_[told[side]].reshape(-1).astype(np.int32)))
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(block.prefix[keep]), pa.array(np.full(len(at), side, np.int32)), pa.array([c.tobytes() for c in context], pa.binary()),
-                         ids, before, pa.array(at - block.first[of]), void if side else shown, shown if side else void], names=schema.names)
+                         ids, before, pa.array((head - block.first[of]).astype(np.int32), mask=~told[side]), pa.array((at - block.first[of]).astype(np.int32)), shown],
+                        names=schema.names)
 
-    runs = extended(bodies.mapInArrow(sides, schema), key).where("more is not null")
+    runs = extended(bodies.mapInArrow(sides, schema), key)
     left, right = F.col("side") == 0, F.col("side") == 1
-    more = F.col("more")
-    runs = runs.select(
-        key, "earlier",
-        F.when(left, F.col("w") - more).otherwise(F.col("w")).alias("w0"),
-        (F.col("w") + size + F.when(right, more).otherwise(0)).alias("w1"),
-        F.when(left, F.get("b0", more.cast("int"))).alias("b0"), F.when(right, F.get("b1", more.cast("int"))).alias("b1"))
+    chains = runs.groupBy(key, "chain").agg(
+        F.min(F.when(left, F.col("w") - F.col("more"))).alias("w0"), F.max(F.when(right, F.col("w") + size + F.col("more"))).alias("w1"),
+        F.min(F.when(left, F.col("byte"))).alias("b0"), F.max(F.when(right, F.col("byte"))).alias("b1"), F.min("earlier").alias("earlier"))
 
     order = Window.partitionBy(key).orderBy("w0", "w1")
     reached = F.max("w1").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    marked = runs.withColumn("_new", F.coalesce(F.col("w0") > reached, F.lit(True)).cast("int"))
+    marked = chains.withColumn("_new", F.coalesce(F.col("w0") > reached, F.lit(True)).cast("int"))
     marked = marked.withColumn("_span", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     united = marked.groupBy(key, "_span").agg(
-        F.min("w0").alias("first_word"), (F.max("w1") - F.min("w0")).alias("n_words"),
-        F.min("b0").cast("bigint").alias("first_byte"), F.max("b1").cast("bigint").alias("end_byte"), F.min("earlier").alias("earlier"))
+        F.min("w0").cast("bigint").alias("first_word"), (F.max("w1") - F.min("w0")).cast("bigint").alias("n_words"),
+        F.min("b0").alias("first_byte"), F.max("b1").alias("end_byte"), F.min("earlier").alias("earlier"))
     return united.where(F.col("n_words") >= length).drop("_span")
