@@ -12,10 +12,11 @@ from __future__ import annotations
 
 import functools
 import hashlib
-import heapq
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from heapq import heapify, heappop, heappush
 
+import numpy as np
 import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame
@@ -25,7 +26,8 @@ from strictpast.llm.byte_bpe import Bounded, Irregular
 from strictpast.llm.workers import importable, one_by_one, texts, typed
 
 SPACE = "▁"
-CACHE = 300_000
+#: Segments whose ids a worker keeps; a full cache starts anew.
+CACHE = 800_000
 
 
 class Codec:
@@ -38,51 +40,53 @@ class Codec:
         if len(self.byte_ids) != 256:
             raise ValueError("the vocabulary must have all byte pieces")
         plain = [i for i in ids if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i))]
-        self.vocabulary = {sp.id_to_piece(i): (sp.get_score(i), i) for i in plain}
+        #: Piece to what orders it in the agenda (less is sooner) and its id.
+        self.vocabulary = {sp.id_to_piece(i): (-sp.get_score(i), i) for i in plain}
         if any(SPACE in p.lstrip(SPACE) for p in self.vocabulary):
             raise ValueError("a piece spans a space; segments would not be independent")
         self.pieces = {i: p for p, (_, i) in self.vocabulary.items()}
         self.bytes = {i: b for b, i in self.byte_ids.items()}
         self.words = Bounded(self._word, CACHE)
-        self.fresh: list[str] = []
+        self.fresh: list[tuple[str, list[int], str]] = []
 
     def encode_segment(self, segment: str) -> list[int]:
-        """Work off the agenda of one segment."""
-        vocabulary = self.vocabulary
+        """Work off the agenda of one segment.
+
+        ``symbols[i]`` is the symbol that starts at character ``i``, empty once merged into the
+        one before; ``right[i]`` is where the next one starts. An entry of the agenda is stale
+        when its merged piece no longer is the two symbols that stand there.
+        """
+        merged = self.vocabulary.get
         symbols = list(segment)
         last = len(symbols)
-        left, right = list(range(-1, last - 1)), list(range(1, last + 1))
-        agenda = []
-        for i in range(last - 1):
-            known = vocabulary.get(pair := symbols[i] + symbols[i + 1])
-            if known:
-                agenda.append((-known[0], i, i + 1, pair))
-        heapq.heapify(agenda)
-        while agenda:
-            _, i, j, pair = heapq.heappop(agenda)
-            # Stale when either symbol has been merged since.
-            if symbols[i] is None or symbols[j] is None or right[i] != j or len(symbols[i]) + len(symbols[j]) != len(pair):
-                continue
-            symbols[i], symbols[j] = pair, None
-            right[i] = after = right[j]
-            if after < last:
-                left[after] = i
-                if known := vocabulary.get(both := pair + symbols[after]):
-                    heapq.heappush(agenda, (-known[0], i, after, both))
-            if (before := left[i]) >= 0 and (known := vocabulary.get(both := symbols[before] + pair)):
-                heapq.heappush(agenda, (-known[0], before, i, both))
-        out = []
-        for s in symbols:
-            if s is not None:
-                if known := vocabulary.get(s):
-                    out.append(known[1])
-                else:
-                    out.extend([self.byte_ids[b] for b in s.encode()])
-        return out
+        agenda = [(known[0], i, pair) for i, pair in enumerate(map(str.__add__, symbols, symbols[1:])) if (known := merged(pair))]
+        if agenda:
+            heapify(agenda)
+            left, right = list(range(-1, last)), list(range(1, last + 1))
+            while agenda:
+                _, i, pair = heappop(agenda)
+                one, j = symbols[i], right[i]
+                if not one or j >= last or len(one) + len(symbols[j]) != len(pair):
+                    continue
+                symbols[i], symbols[j] = pair, ""
+                right[i] = after = right[j]
+                if after < last:
+                    left[after] = i
+                    if known := merged(both := pair + symbols[after]):
+                        heappush(agenda, (known[0], i, both))
+                if (before := left[i]) >= 0 and (known := merged(both := symbols[before] + pair)):
+                    heappush(agenda, (known[0], before, both))
+        try:
+            return [merged(s)[1] for s in symbols if s]
+        except TypeError:  # some symbol is not in the vocabulary
+            return [i for s in symbols if s for i in ([merged(s)[1]] if merged(s) else [self.byte_ids[b] for b in s.encode()])]
 
     def decode_segment(self, ids: list[int]) -> str:
         """The text of the ids of one segment, with its spaces; runs of byte pieces are UTF-8."""
-        out, run = [], bytearray()
+        try:
+            return "".join([self.pieces[i] for i in ids]).replace(SPACE, " ")
+        except KeyError:  # there are byte pieces
+            out, run = [], bytearray()
         for i in ids:
             if i in self.bytes:
                 run.append(self.bytes[i])
@@ -100,8 +104,10 @@ class Codec:
 
     def _segment(self, segment: str) -> tuple[str, str]:
         ids = self.encode_segment(segment)
-        self.fresh.append((segment, ids))
-        return ",".join(map(str, ids)), self.decode_segment(ids)
+        decoded = self.decode_segment(ids)
+        if segment != SPACE:  # no text of its own gives this one; it ends texts only
+            self.fresh.append((segment, ids, decoded))
+        return ",".join(map(str, ids)), decoded
 
     def __call__(self, text: str) -> tuple[str, str]:
         """The ids of a text, joined by commas, and the text they decode to."""
@@ -120,16 +126,13 @@ class Codec:
         """Hold all segments encoded since the last call against the library."""
         if not self.fresh:
             return
-        library = self.library
-        given = library.encode([s.replace(SPACE, " ")[1:] for s, _ in self.fresh], num_threads=1)
-        for (segment, ids), theirs in zip(self.fresh, given):
-            if ids != theirs:
-                raise ValueError(f"{segment!r} encodes as {ids}, in the library as {theirs}")
-        decoded = library.decode([ids for _, ids in self.fresh], num_threads=1)
-        for (segment, ids), theirs in zip(self.fresh, decoded):
-            if self.decode_segment(ids)[1:] != theirs:
-                raise ValueError(f"{ids} decode to another text than in the library")
+        segments, ids, decoded = map(list, zip(*self.fresh))
         self.fresh.clear()
+        theirs = self.library.encode([s.replace(SPACE, " ")[1:] for s in segments], num_threads=1)
+        back = [" " + t for t in self.library.decode(ids, num_threads=1)]
+        if theirs != ids or back != decoded:
+            wrong = next(i for i in range(len(ids)) if theirs[i] != ids[i] or back[i] != decoded[i])
+            raise ValueError(f"{segments[wrong]!r} is {ids[wrong]}, {decoded[wrong]!r}; the library has {theirs[wrong]}, {back[wrong]!r}")
 
 
 @functools.lru_cache(maxsize=1)
@@ -139,36 +142,41 @@ def shared_codec(path: str) -> Codec:
 
 
 def encode_documents(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``(key, n_tokens, ids, decoded)`` of every row; ``ids`` are joined by commas.
+    """``(key, n_tokens, ids, decoded)`` of every row.
 
     Null and empty texts have no ids and decode to the empty text. Repeated rows are encoded
     each, other columns are not read, an empty table stays empty, and texts are encoded whole.
     A segment that the library encodes or decodes otherwise fails the task.
     """
-    importable(docs.sparkSession)
-    schema = T.StructType([typed(docs, key), T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.StringType()), T.StructField("decoded", T.StringType())])
-    return docs.select(key, text).mapInArrow(_encoder(path, schema.names, digests=False), schema)
+
+    def show(rows: list[tuple[str, str]], counts: np.ndarray) -> list[pa.Array]:
+        flat = [np.fromstring(ids, np.int32, sep=",") for ids, _ in rows if ids]
+        bounds = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
+        return [pa.ListArray.from_arrays(bounds, np.concatenate([np.empty(0, np.int32), *flat])), pa.array([d for _, d in rows], pa.string())]
+
+    return _encoded(docs, path, key, text, "ids array<int>, decoded string", show)
 
 
 def digest_documents(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Like :func:`encode_documents` with SHA-256 digests of ids and decoded text instead."""
-    importable(docs.sparkSession)
-    schema = T.StructType([typed(docs, key), T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())])
-    return docs.select(key, text).mapInArrow(_encoder(path, schema.names, digests=True), schema)
+    """Like :func:`encode_documents` with the SHA-256 of the decimal ids, joined by commas, and
+    of the decoded text."""
+
+    def show(rows: list[tuple[str, str]], counts: np.ndarray) -> list[pa.Array]:
+        return [pa.array([hashlib.sha256(r[i].encode()).hexdigest() for r in rows], pa.string()) for i in (0, 1)]
 
+    return _encoded(docs, path, key, text, "ids_sha256 string, decoded_sha256 string", show)
 
-def _encoder(path: str, names: list[str], digests: bool):
-    def sha(value: str) -> str:
-        return hashlib.sha256(value.encode()).hexdigest()
+
+def _encoded(docs: DataFrame, path: str, key: str, text: str, shown: str, show: Callable) -> DataFrame:
+    importable(docs.sparkSession)
+    schema = T.StructType([typed(docs, key), T.StructField("n_tokens", T.LongType()), *T.StructType.fromDDL(shown).fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = shared_codec(path)
         for batch in one_by_one(batches, 1000):
             rows = [codec(t) for t in texts(batch.column(1))]
             codec.check()
-            counts = pa.array([ids.count(",") + 1 if ids else 0 for ids, _ in rows], pa.int64())
-            shown = [(sha(a), sha(b)) for a, b in rows] if digests else rows
-            columns = [pa.array([r[i] for r in shown], pa.string()) for i in (0, 1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), counts, *columns], names=names)
+            counts = np.array([ids.count(",") + 1 if ids else 0 for ids, _ in rows], np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts), *show(rows, counts)], names=schema.names)
 
-    return run
+    return docs.select(key, text).mapInArrow(run, schema)
