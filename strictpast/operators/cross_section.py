@@ -12,9 +12,7 @@ from pyspark.sql import functions as F
 from strictpast.contracts import require_columns
 from strictpast.session import stage
 
-# Largest group whose distinct values are held in one exact-percentile buffer.
-MAX_BUFFERED = 1_000_000
-# Rank accuracy of the sketch that brackets the wanted ranks of larger groups.
+# Rank accuracy of the sketch that brackets the wanted ranks.
 SKETCH_ACCURACY = 20_000
 
 
@@ -26,123 +24,60 @@ def _check_bounds(pct: tuple[float, float]) -> tuple[float, float]:
 
 
 def group_bounds(
-    df: DataFrame,
-    value: str,
-    by: str,
-    pct: tuple[float, float],
-    max_buffered: int = MAX_BUFFERED,
-    accuracy: int = SKETCH_ACCURACY,
+    df: DataFrame, value: str, by: str, pct: tuple[float, float], accuracy: int = SKETCH_ACCURACY
 ) -> DataFrame:
     """Exact linear-interpolated quantiles ``(by, lo, hi)`` of the non-null values per group.
 
-    Groups up to ``max_buffered`` values use the built-in exact percentile. Larger ones, if
-    there are any, go through :func:`_bracketed_bounds`; the answer is exact either way.
+    One path for every size, and no task holds a group:
+    1. a mergeable sketch cuts each group into five segments, two of them narrow ones that
+       should hold the wanted ranks;
+    2. one pass counts the segments, which tells exactly which of them each rank lies in, so
+       the sketch only decides how much is left to order, never the result;
+    3. of these segments, equal values are counted map-side and the distinct ones are ordered.
     """
     lower, upper = _check_bounds(pct)
     present = F.col(value).isNotNull() & F.col(by).isNotNull()
     values = df.where(present).select(by, F.col(value).alias("v"))
-    exact = F.percentile("v", F.array(F.lit(lower), F.lit(upper)))
-
-    def buffered(rows: DataFrame) -> DataFrame:
-        found = rows.groupBy(by).agg(exact.alias("q"))
-        return found.select(by, F.col("q")[0].alias("lo"), F.col("q")[1].alias("hi"))
-
-    # No group can exceed the buffer when the whole table does not.
-    if df.count() <= max_buffered:
-        return buffered(values)
-    sizes = values.groupBy(by).agg(F.count("*").alias("n"))
-    large = stage(sizes.where(F.col("n") > max_buffered), "large-groups")
-    if large.isEmpty():
-        return buffered(values)
-    small_part = buffered(values.join(large, by, "left_anti"))
-    large_part = _bracketed_bounds(values.join(large, by), by, lower, upper, accuracy)
-    return small_part.unionByName(large_part)
-
-
-def _bracketed_bounds(
-    values: DataFrame, by: str, lower: float, upper: float, accuracy: int
-) -> DataFrame:
-    """Exact quantiles of large groups from a sketch, a count and a narrow exact tail.
-
-    1. A mergeable quantile sketch gives, per group, two value brackets that should hold the
-       wanted ranks. 2. One counting pass proves or refutes each bracket; a refuted one is
-       widened to the whole value range, so the result never depends on the sketch.
-       3. Equal values are counted map-side. Everything outside the brackets collapses into
-       one counter per side, and only the bracketed distinct values are ordered.
-    """
     slack = 3.0 / accuracy
-    probes = [max(0.0, lower - slack), min(1.0, lower + slack)]
-    probes += [max(0.0, upper - slack), min(1.0, upper + slack)]
+    probes = [min(1.0, max(0.0, p + side * slack)) for p in (lower, upper) for side in (-1, 1)]
     sketched = values.groupBy(by).agg(
-        F.max("n").alias("n"),
-        F.min("v").alias("least"),
-        F.max("v").alias("most"),
-        F.percentile_approx("v", probes, accuracy).alias("b"),
-    )
-    # 0-based ranks on either side of each fractional position.
-    ranks = {
-        f"{side}{end}": fn((F.col("n") - 1) * F.lit(p)).cast("bigint")
-        for side, p in (("lo", lower), ("hi", upper))
-        for end, fn in (("_a", F.floor), ("_b", F.ceil))
-    }
-    sketched = stage(sketched.withColumns(ranks), "sketched-bounds")
-    values = values.drop("n")
-    proof = values.join(sketched, by).groupBy(by).agg(
-        F.count_if(F.col("v") < F.col("b")[0]).alias("below_lo"),
-        F.count_if(F.col("v") <= F.col("b")[1]).alias("upto_lo"),
-        F.count_if(F.col("v") < F.col("b")[2]).alias("below_hi"),
-        F.count_if(F.col("v") <= F.col("b")[3]).alias("upto_hi"),
-    )
-    good_lo = (F.col("below_lo") <= F.col("lo_a")) & (F.col("upto_lo") > F.col("lo_b"))
-    good_hi = (F.col("below_hi") <= F.col("hi_a")) & (F.col("upto_hi") > F.col("hi_b"))
-    proven = proof.join(sketched, by).select(
-        by,
-        "n",
-        "lo_a",
-        "lo_b",
-        "hi_a",
-        "hi_b",
-        F.when(good_lo, F.col("b")[0]).otherwise(F.col("least")).alias("a0"),
-        F.when(good_lo, F.col("b")[1]).otherwise(F.col("most")).alias("a1"),
-        F.when(good_hi, F.col("b")[2]).otherwise(F.col("least")).alias("z0"),
-        F.when(good_hi, F.col("b")[3]).otherwise(F.col("most")).alias("z1"),
-    )
-    proven = stage(proven, "proven-brackets")
-
-    v = F.col("v")
-    kept = v.between(F.col("a0"), F.col("a1")) | v.between(F.col("z0"), F.col("z1"))
-    # Values outside the brackets only need counting: represent each run by one marker.
-    marker = F.when(v < F.least("a0", "z0"), F.lit(0)).when(v > F.greatest("a1", "z1"), F.lit(4))
-    segment = F.when(kept, F.lit(None)).otherwise(F.coalesce(marker, F.lit(2)))
-    tagged = values.join(proven, by).withColumns(
-        {
-            "seg": F.coalesce(segment, F.when(v <= F.col("a1"), F.lit(1)).otherwise(F.lit(3))),
-            "x": F.when(kept, v),
-        }
-    )
-    counts = tagged.groupBy(by, "seg", "x", "lo_a", "lo_b", "hi_a", "hi_b", "n").agg(
-        F.count("*").alias("c")
+        F.count("*").alias("n"), F.percentile_approx("v", probes, accuracy).alias("cuts")
     )
-    order = Window.partitionBy(by).orderBy("seg", "x")
-    cumulated = counts.withColumn("upto", F.sum("c").over(order))
+    sketched = stage(sketched, "sketched-bounds")
 
-    def at(rank: str):
-        return F.min(F.when(F.col("upto") > F.col(rank), F.col("x"))).alias(f"x_{rank}")
+    v, cuts = F.col("v"), [F.col("cuts")[i] for i in range(4)]
+    segment = F.when(v < cuts[0], 0).when(v <= cuts[1], 1).when(v < cuts[2], 2).when(v <= cuts[3], 3)
+    placed = values.join(sketched.select(by, "cuts"), by).select(by, segment.otherwise(4).alias("seg"), "v")
+    sizes = placed.groupBy(by, "seg").agg(F.count("*").alias("c"))
+    before = Window.partitionBy(by).orderBy("seg").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.withColumn("below", F.coalesce(F.sum("c").over(before), F.lit(0)))
 
-    picked = cumulated.groupBy(by).agg(
-        F.max("n").alias("n"), *(at(r) for r in ("lo_a", "lo_b", "hi_a", "hi_b"))
+    # 0-based ranks on either side of each fractional position.
+    ranks = [
+        F.struct(F.lit(f"{side}_{end}").alias("name"), fn((F.col("n") - 1) * F.lit(p)).cast("bigint").alias("rank"))
+        for side, p in (("lo", lower), ("hi", upper))
+        for end, fn in (("a", F.floor), ("b", F.ceil))
+    ]
+    wanted = sketched.select(by, F.explode(F.array(*ranks)).alias("r")).select(by, "r.*").join(sizes, by)
+    wanted = wanted.where(F.col("rank").between(F.col("below"), F.col("below") + F.col("c") - 1))
+    wanted = stage(wanted.select(by, "seg", "name", (F.col("rank") - F.col("below")).alias("place")), "wanted-ranks")
+
+    needed = wanted.select(by, "seg").distinct()
+    distinct = placed.join(needed, [by, "seg"], "left_semi").groupBy(by, "seg", "v").agg(F.count("*").alias("c"))
+    order = Window.partitionBy(by, "seg").orderBy("v")
+    ordered = distinct.withColumn("upto", F.sum("c").over(order))
+    met = ordered.join(wanted, [by, "seg"])
+    picked = met.where((F.col("place") < F.col("upto")) & (F.col("place") >= F.col("upto") - F.col("c")))
+    found = picked.groupBy(by).agg(
+        *(F.max(F.when(F.col("name") == n, F.col("v"))).alias(n) for n in ("lo_a", "lo_b", "hi_a", "hi_b"))
     )
 
     def interpolated(p: float, a: str, b: str):
         weight = (F.col("n") - 1) * F.lit(p) - F.floor((F.col("n") - 1) * F.lit(p))
-        return F.when(weight == 0, F.col(a)).otherwise(
-            F.col(a) * (1 - weight) + F.col(b) * weight
-        )
-
-    return picked.select(
-        by,
-        interpolated(lower, "x_lo_a", "x_lo_b").alias("lo"),
-        interpolated(upper, "x_hi_a", "x_hi_b").alias("hi"),
+        return F.when(weight == 0, F.col(a)).otherwise(F.col(a) * (1 - weight) + F.col(b) * weight)
+
+    return found.join(sketched.select(by, "n"), by).select(
+        by, interpolated(lower, "lo_a", "lo_b").alias("lo"), interpolated(upper, "hi_a", "hi_b").alias("hi")
     )
 
 
@@ -157,7 +92,6 @@ def winsorize(
     out: str,
     pct: tuple[float, float] = (0.01, 0.99),
     by: str = "date",
-    max_buffered: int = MAX_BUFFERED,
 ) -> DataFrame:
     """Clip ``value`` to its group's quantile bounds; missing values stay missing.
 
@@ -165,7 +99,7 @@ def winsorize(
     pass a stored or staged table.
     """
     require_columns(df, [value, by], "winsorize input")
-    bounds = group_bounds(df, value, by, _check_bounds(pct), max_buffered)
+    bounds = group_bounds(df, value, by, _check_bounds(pct))
     # greatest/least skip NULLs, so a missing value must not reach them.
     clipped = F.when(F.col(value).isNotNull(), F.least(F.greatest(value, "_lo"), "_hi"))
     bounds = bounds.withColumnsRenamed({"lo": "_lo", "hi": "_hi"})

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from strictpast.functions import KNOWN_TYPES, MIC_TO_EXCHANGE, OTHER_TYPE, PERIOD_KINDS, is_finite
 from strictpast.plans.factors.base import INVALID_REASONS
+from strictpast.session import stage
 
 
 class QualityError(ValueError):
@@ -234,7 +235,10 @@ def enforce(df: DataFrame, rules: Sequence[Rule], what: str) -> None:
 
 
 def enforce_empty(df: DataFrame, what: str, show: int = 5) -> None:
-    """Raise if ``df`` has rows; the message shows a few."""
-    some = df.limit(show).collect()
-    if some:
-        raise QualityError(f"{what}: {', '.join(str(tuple(r)) for r in some)}")
+    """Raise if ``df`` has rows. The message has their number, names the table all of them
+    were written to, and quotes the first ``show``."""
+    found = stage(df, "violations")
+    total = found.count()
+    if total:
+        quoted = ", ".join(str(tuple(r)) for r in found.orderBy(*found.columns).limit(show).collect())
+        raise QualityError(f"{what}: {total} rows, all in {found.inputFiles()[0].rsplit('/', 1)[0]}, such as {quoted}")

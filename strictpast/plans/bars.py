@@ -18,7 +18,7 @@ NO_BARS = "aggs: no rows returned"
 def between_days(df: DataFrame, start: date, end: date) -> DataFrame:
     """Rows dated in ``[start, end]``; a plain comparison that reaches the scan."""
     if end < start:
-        raise ValueError(f"end ({end}) must be >= start ({start})")
+        raise ValueError(f"window {start} to {end} holds no day")
     return df.where(F.col("date").between(F.lit(start), F.lit(end)))
 
 

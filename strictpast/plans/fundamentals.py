@@ -264,7 +264,7 @@ def coverage_grid(filings: DataFrame, start: date, end: date) -> DataFrame:
     it ambiguous: two days per ticker decide the whole row of the grid.
     """
     if start > end:
-        raise ValueError(f"start={start} after end={end}")
+        raise ValueError(f"coverage window {start} to {end} is empty")
     tagged, keys = _entity_columns(filings, by_id=False)
     spans = _daily_facts(tagged, keys).groupBy("ticker").agg(
         F.min("since").alias("first_filed"),

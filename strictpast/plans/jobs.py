@@ -26,7 +26,7 @@ from strictpast.plans.panel import REPEATED_KEY, UniverseRules, build_panel, for
 from strictpast.session import stage
 from strictpast.sinks import writers
 from strictpast.sources import feeds, index_pages
-from strictpast.sources.tables import read_panel
+from strictpast.sources.tables import read_fundamentals, read_membership, read_panel, read_ticker_metadata, snapshot_of
 
 # The eight names of the fixed-universe slice.
 FIXED_UNIVERSE = ("AAPL", "MSFT", "GOOGL", "AMZN", "NVDA", "META", "JPM", "JNJ")
@@ -107,11 +107,15 @@ def run_slice(
         raise
     panel = read_panel(spark, panel_path)
 
-    computed = spec.compute(panel, context)
+    # Computed once: its diagnostics and its file read the same stored rows.
+    computed = stage(spec.compute(panel, context), "factor")
     notes = diagnostics_dict(spec.diagnostics(computed, context))
     writers.write_factor(computed, factor_path, notes)
     counters = reports.slice_counters(spark.read.parquet(factor_path)).first()
-    snapshot = panel.select("data_snapshot_id").first()[0]
+    stamps = [r.data_snapshot_id for r in snapshot_of(panel).limit(2).collect()]
+    if len(stamps) != 1:
+        raise quality.QualityError(f"a panel has one snapshot id, this one {stamps}")
+    snapshot = stamps[0]
 
     now = datetime.now(timezone.utc)
     experiment_id, candidate_id = str(uuid.uuid4()), str(uuid.uuid4())
@@ -142,9 +146,7 @@ def run_slice(
     kinds = F.when(F.col("path").endswith(f"/daily_panel_{label}"), "panel").when(
         F.col("path").endswith(f"/factor_{factor}_{label}"), "factor"
     )
-    checksums = artifact_checksums(spark, panel_path).unionByName(
-        artifact_checksums(spark, factor_path)
-    )
+    checksums = stage(artifact_checksums(spark, panel_path, factor_path), "checksums")
     artifacts = checksums.select(
         F.lit(candidate_id).alias("candidate_id"),
         kinds.alias("artifact_type"),
@@ -188,8 +190,10 @@ def verify_candidate(
     # Joined rather than filtered by a literal: equal literals would cost the joins their key.
     artifacts = book.artifacts.join(wanted, "candidate_id", "left_semi")
     one = Ledger(book.experiments, candidate, artifacts)
-    recorded = artifacts.select("path").distinct()
-    now = artifact_checksums(spark, artifacts_root).join(recorded, "path", "left_semi")
+    # A candidate has a handful of artifacts: only what lies at their paths is read.
+    recorded = [r.path for r in artifacts.select("path").distinct().collect()]
+    inside = artifacts_root.removeprefix("file:").rstrip("/") + "/"
+    now = artifact_checksums(spark, *(p for p in recorded if p and p.startswith(inside)))
     return verify(one, now, config_hash, known_code_ids, check_config)
 
 
@@ -225,7 +229,7 @@ def universe_slice(
 ) -> SliceResult:
     """A slice over the universe that was tradable on ``day``."""
     members = idx.members_on(membership, day).withColumn("date", F.lit(day))
-    resolved = securities.resolve_universe(members, metadata, aliases)
+    resolved = stage(securities.resolve_universe(members, metadata, aliases), "resolved")
     overlap = resolved.where(F.col("status").startswith(securities.ALIAS_OVERLAP))
     quality.enforce_empty(overlap, "overlapping alias intervals")
     quality.enforce_empty(securities.alias_collisions(resolved), "alias collision")
@@ -254,10 +258,12 @@ def reconstruct_membership(
 def publish_membership(membership: DataFrame, changes: DataFrame, out: str, min_rows: int = 640) -> None:
     """Check, write, and record a membership snapshot."""
     require_columns(membership, columns_of(INDEX_MEMBERSHIP), "membership")
+    membership = stage(membership, "membership")
     quality.enforce(membership, quality.membership_rules(), "membership")
     floors = quality.snapshot_floors(membership, min_rows).where(~F.col("ok"))
     quality.enforce_empty(floors, "membership below its floors")
     writers.write_membership(membership, f"{out}/index_membership")
+    membership = read_membership(membership.sparkSession, f"{out}/index_membership")
     writers.append_manifest(writers.membership_manifest(membership, changes), f"{out}/snapshot_manifest")
 
 
@@ -282,19 +288,23 @@ def fundamentals_snapshot(
 def publish_fundamentals(
     filings: DataFrame, out: str, min_rows: int = 10_000, min_tickers: int = 500
 ) -> None:
+    filings = stage(filings, "filings")
     quality.enforce(filings, quality.filing_rules(), "fundamentals")
     floors = quality.snapshot_floors(filings, min_rows, min_tickers).where(~F.col("ok"))
     quality.enforce_empty(floors, "fundamentals below their floors")
     writers.write_fundamentals(filings, f"{out}/fundamentals")
+    filings = read_fundamentals(filings.sparkSession, f"{out}/fundamentals")
     writers.append_manifest(writers.fundamentals_manifest(filings), f"{out}/snapshot_manifest")
 
 
 def publish_ticker_metadata(
     metadata: DataFrame, out: str, min_rows: int = 500, min_delisted: int = 50
 ) -> None:
+    metadata = stage(metadata, "metadata")
     quality.enforce_empty(quality.duplicate_keys(metadata, ["ticker"]), "duplicate tickers")
     quality.enforce(metadata, quality.metadata_rules(), "ticker metadata")
     floors = quality.snapshot_floors(metadata, min_rows, 0, min_delisted).where(~F.col("ok"))
     quality.enforce_empty(floors, "ticker metadata below its floors")
     writers.write_ticker_metadata(metadata, f"{out}/ticker_metadata")
+    metadata = read_ticker_metadata(metadata.sparkSession, f"{out}/ticker_metadata")
     writers.append_manifest(writers.metadata_manifest(metadata), f"{out}/snapshot_manifest")

@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from strictpast.contracts import ARTIFACTS, CANDIDATES, EXPERIMENTS, METRICS, conform
 from strictpast.operators import quality
+from strictpast.session import stage
 
 TABLES: dict[str, T.StructType] = {
     "experiments": EXPERIMENTS,
@@ -65,7 +66,7 @@ def open_ledger(spark: SparkSession, root: str) -> Ledger:
 
 def append_ledger(spark: SparkSession, root: str, table: str, rows: DataFrame) -> None:
     """Insert rows that meet the table's rules and whose parents exist. Nothing is ever updated."""
-    shaped = conform(rows, TABLES[table])
+    shaped = stage(conform(rows, TABLES[table]), f"new-{table}")
     quality.enforce(shaped, _RULES[table](), table)
     if table in PARENTS:
         parent, key = PARENTS[table]

@@ -168,10 +168,10 @@ def members_on(membership: DataFrame, day: date) -> DataFrame:
 def active_on(dates: DataFrame, membership: DataFrame) -> DataFrame:
     """(date, ticker) members on each of many days.
 
-    Days meet intervals month by month: an interval is repeated once per month it touches
-    and the join key is the month, so no day is compared with every interval.
+    Intervals are clipped to the span of the days and unrolled, and the unrolled days that are
+    asked for stay: an equi-join on the day, in which no day is compared with every interval.
     """
-    days = dates.select("date").distinct().withColumn("_month", F.trunc("date", "month"))
+    days = dates.select("date").distinct()
     span = days.agg(F.struct(F.min("date").alias("first"), F.max("date").alias("last"))).scalar()
     clipped = (
         membership.select("ticker", "date_added", "date_removed")
@@ -181,19 +181,8 @@ def active_on(dates: DataFrame, membership: DataFrame) -> DataFrame:
         .withColumn("_to", F.least(F.date_sub("date_removed", 1), F.col("_span.last")))
         .where(F.col("date_added").isNotNull() & (F.col("_from") <= F.col("_to")))
     )
-    step = F.expr("interval 1 month")
-    by_month = clipped.select(
-        "ticker",
-        "_from",
-        "_to",
-        F.explode(F.sequence(F.trunc("_from", "month"), F.trunc("_to", "month"), step)).alias("_month"),
-    )
-    return (
-        days.join(by_month, "_month")
-        .where(F.col("date").between(F.col("_from"), F.col("_to")))
-        .select("date", "ticker")
-        .distinct()
-    )
+    unrolled = clipped.select("ticker", F.explode(F.sequence("_from", "_to")).alias("date"))
+    return unrolled.join(days, "date", "left_semi").select("date", "ticker").distinct()
 
 
 def membership_window(membership: DataFrame, start: date, end: date) -> DataFrame:

@@ -86,14 +86,14 @@ def with_returns(bars: DataFrame) -> DataFrame:
 
 
 def build_panel(
-    bars: DataFrame, rules: UniverseRules = UniverseRules(), check_keys: bool = False
+    bars: DataFrame, rules: UniverseRules = UniverseRules(), check_keys: bool = True
 ) -> DataFrame:
     """Bars -> the 15-column panel: returns, eligibility, and the snapshot id of its input.
 
     Returns and flags share one sort per ticker. The snapshot id is a one-row aggregate of
     the bars read as a scalar subquery, so consumers that do not select it never compute it.
-    ``check_keys`` makes the job fail on a repeated (date, ticker): in date order a repeated
-    day equals its predecessor, so the check rides on the sort that is there anyway.
+    A repeated (date, ticker) makes the job fail unless ``check_keys`` is off: in date order a
+    repeated day equals its predecessor, so the check rides on the sort that is there anyway.
     """
     require_columns(bars, columns_of(DAILY_BARS), "bars")
     snapshot = fingerprint(bars, columns_of(DAILY_BARS)).scalar()

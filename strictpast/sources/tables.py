@@ -19,10 +19,13 @@ from strictpast.contracts import (
 from strictpast.functions import calendar_day
 
 
-def _csv(spark: SparkSession, path: str) -> DataFrame:
-    """A headed CSV as text columns; no inference pass over the data."""
-    header = spark.read.option("header", True).csv(path).schema
-    return spark.read.schema(header).option("header", True).csv(path)
+def _csv(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
+    """Headed CSV files as text columns. Every file's own header must be ``columns`` in order:
+    a file with other or exchanged columns fails the read instead of swapping values."""
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in columns])
+    options = {"header": True, "enforceSchema": False, "mode": "FAILFAST"}
+    # Without column pruning, as a pruned read would compare fewer header names.
+    return spark.read.schema(schema).options(**options).csv(path)
 
 
 def read_contract(
@@ -32,8 +35,13 @@ def read_contract(
 
     Date columns that come as text or timestamps are coerced, unreadable ones to NULL.
     """
-    df = _csv(spark, path) if fmt == "csv" else spark.read.format(fmt).load(path)
-    require_exact(df, contract, f"{fmt} table at {path}")
+    if fmt == "csv":
+        # One file's header is compared while planning, every file's own while reading.
+        require_exact(spark.read.option("header", True).csv(path), contract, f"csv table at {path}")
+        df = _csv(spark, path, columns_of(contract))
+    else:
+        df = spark.read.format(fmt).load(path)
+        require_exact(df, contract, f"{fmt} table at {path}")
     dates = [f.name for f in contract.fields if isinstance(f.dataType, T.DateType)]
     stored = {f.name: f.dataType for f in df.schema.fields}
     coerced = {

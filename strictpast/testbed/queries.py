@@ -10,10 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+from strictpast.contracts import DAILY_BARS, columns_of
 from strictpast.functions import normalize_id, padded_id, undotted
 from strictpast.operators import quality
 from strictpast.operators.cross_section import winsorize, zscore
-from strictpast.operators.fingerprint import portable_fingerprint
+from strictpast.operators.fingerprint import fingerprint
 from strictpast.plans import bars as bar_plans
 from strictpast.plans import fundamentals as fund
 from strictpast.plans import ledger as books
@@ -89,10 +90,10 @@ def daily_bars(t: Tables) -> DataFrame:
 
 @query
 def skip_audit(t: Tables) -> DataFrame:
-    """Customers ask for tickers that only suppliers have, over a few days only."""
+    """Customers ask for tickers that only suppliers have; every third supplier has no bars."""
     requested = t.read("customer").select(F.concat(F.lit("S"), "c_custkey").alias("ticker"))
-    few = bar_plans.between_days(t.raw_feed(), date(1998, 3, 2), date(1998, 3, 4))
-    return bar_plans.skipped_tickers(requested, t.details(), few)
+    priced = t.raw_feed().where(F.substring("ticker", 2, 20).cast("bigint") % 3 != 0)
+    return bar_plans.skipped_tickers(requested, t.details(), priced)
 
 
 @query
@@ -137,17 +138,15 @@ def panel_summary(t: Tables) -> DataFrame:
 
 @query
 def panel_fingerprint(t: Tables) -> DataFrame:
-    whole = t.bars().select(
-        "date", "ticker", "exchange", "ticker_type", "is_common_share", F.col("volume").cast("bigint").alias("volume")
-    )
-    return portable_fingerprint(whole, whole.columns)
+    """The content fingerprint of all bars, all columns."""
+    bars = t.bars()
+    return fingerprint(bars, columns_of(DAILY_BARS))
 
 
 @query
 def panel_stamped(t: Tables) -> DataFrame:
-    """The native fingerprint stamped on every row, one row per distinct stamp."""
-    stamped = panels.build_panel(t.bars(), RULES).groupBy("data_snapshot_id").agg(F.count("*").alias("rows"))
-    return stamped.select((F.length("data_snapshot_id")).alias("digits"), "rows")
+    """The fingerprint of its input stamped on every panel row, one row per distinct stamp."""
+    return panels.build_panel(t.bars(), RULES).groupBy("data_snapshot_id").agg(F.count("*").alias("rows"))
 
 
 # --- cross-section and momentum -------------------------------------------------------------

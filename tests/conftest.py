@@ -50,22 +50,25 @@ def bar_rows(ticker, exchange, kind, closes, days):
     ]
 
 
+#: What sets each ticker of the eligibility table apart: exchange, type, closes by row, days.
+ELIGIBILITY = {
+    "ASPEN": ("NYSE", "CS", lambda i: 31.0 + i % 7, 300),
+    "BIRCH": ("NASDAQ", "CS", lambda i: 5.0, 300),  # exactly the floor
+    "CEDAR": ("NYSE", "ETF", lambda i: 40.0, 300),
+    "DATURA": ("OTC", "CS", lambda i: 40.0, 300),
+    "ELDER": ("NASDAQ", "CS", lambda i: 40.0, 120),
+    "FIG": ("NYSE", "CS", lambda i: 3.25, 300),
+    "GORSE": ("NYSE", "CS", lambda i: 9.0 if i % 3 == 0 else 2.0, 300),  # one day in three above
+    "HAZEL": ("OTC", "ADRC", lambda i: 1.0, 300),  # breaks every rule
+}
+
+
 @pytest.fixture(scope="session")
 def eligibility_bars(spark):
-    """Ten tickers, each built to pass or to fail one particular rule."""
-    days = business_days(date(2020, 1, 2), 400)
-    flat = lambda v: [v] * 400
+    days = business_days(date(2017, 3, 1), 300)
     rows = []
-    rows += bar_rows("T_PASS_NYSE", "NYSE", "CS", flat(10.0), days)
-    rows += bar_rows("T_PASS_NASD", "NASDAQ", "CS", flat(25.0), days)
-    rows += bar_rows("T_FAIL_SHARE", "NYSE", "PFD", flat(10.0), days)
-    rows += bar_rows("T_FAIL_EXCH", "OTC", "CS", flat(10.0), days)
-    rows += bar_rows("T_FAIL_HIST", "NYSE", "CS", flat(10.0)[:200], days[:200])
-    rows += bar_rows("T_FAIL_PRICE", "NYSE", "CS", flat(4.99), days)
-    rows += bar_rows("T_BOUND_PASS", "NYSE", "CS", flat(5.01), days)
-    rows += bar_rows("T_BOUND_FAIL", "NYSE", "CS", [4.99, 5.00] * 200, days)
-    rows += bar_rows("T_T1_DISC", "NYSE", "CS", [4.0] + [6.0] * 399, days)
-    rows += bar_rows("T_MULTIFAIL", "OTC", "PFD", flat(10.0), days)
+    for ticker, (exchange, kind, close, n) in ELIGIBILITY.items():
+        rows += bar_rows(ticker, exchange, kind, [close(i) for i in range(n)], days[:n])
     return spark.createDataFrame(rows, BAR_SCHEMA)
 
 
@@ -88,67 +91,38 @@ def filings_frame(spark, rows):
     return spark.createDataFrame(rows, FUNDAMENTALS)
 
 
+QUARTER_ENDS = [f"{y}-{e}" for y in (2019, 2020, 2021) for e in ("03-31", "06-30", "09-30", "12-31")]
+
+
+def quarters(ticker, cik, first, income, fiscal, revenues=None):
+    """Quarterly reports from quarter number ``first`` of QUARTER_ENDS on, filed 33 days after
+    their end; ``fiscal`` is the ordinal (4 * year + quarter - 1) of the first; None skips one."""
+    rows = []
+    for i, net in enumerate(income):
+        if net is None:
+            continue
+        ended = QUARTER_ENDS[first + i]
+        filed = str(d(ended) + timedelta(days=33))
+        year, quarter = divmod(fiscal + i, 4)
+        rows.append(filing(ticker, cik, filed, ended, year, quarter + 1, revenues[i] if revenues else 9.0 * net, net))
+    return rows
+
+
 @pytest.fixture(scope="session")
 def filing_rows():
-    """Restatement, fiscal-year shifts, short, sparse and gapped histories, reused symbols."""
-    rows = []
-    ends = [
-        ("2023-12-31", "2024-01-25", 2024, 1),
-        ("2024-03-31", "2024-04-25", 2024, 2),
-        ("2024-06-30", "2024-07-25", 2024, 3),
-        ("2024-09-30", "2024-10-25", 2024, 4),
-        ("2024-12-31", "2025-01-25", 2025, 1),
-        ("2025-03-31", "2025-04-25", 2025, 2),
-        ("2025-06-30", "2025-07-25", 2025, 3),
-        ("2025-09-30", "2025-10-25", 2025, 4),
-    ]
-    for i, (ended, filed, fy, fq) in enumerate(ends, 1):
-        rows.append(filing("AAPL_X", 1, filed, ended, fy, fq, 100.0 * i, 10.0 * i))
-    rows.append(filing("AAPL_X", 1, "2024-11-01", "2024-09-30", 2024, None, 1000.0, 100.0, "annual"))
-    rows.append(
-        filing("AAPL_X", 1, "2024-11-02", "2024-09-30", 2024, None, 99999.0, 99999.0, "trailing_twelve_months")
-    )
-    msft = [
-        ("2023-09-30", "2023-10-25", 2024, 1, 100.0, 10.0),
-        ("2023-12-31", "2024-01-25", 2024, 2, 200.0, 20.0),
-        ("2024-03-31", "2024-04-25", 2024, 3, 300.0, 30.0),
-        ("2024-06-30", "2024-07-25", 2024, 4, 400.0, 40.0),
-        ("2024-09-30", "2024-10-25", 2025, 1, 500.0, 50.0),
-        ("2024-03-31", "2024-05-25", 2024, 3, 350.0, 35.0),
-    ]
-    rows += [filing("MSFT_X", 2, f, e, y, q, r, n) for e, f, y, q, r, n in msft]
-    mar = [
-        ("2023-12-31", "2024-02-01", 2024, 3, 300.0, 30.0),
-        ("2024-03-31", "2024-05-01", 2024, 4, 400.0, 40.0),
-        ("2024-06-30", "2024-08-01", 2025, 1, 500.0, 50.0),
-        ("2024-09-30", "2024-11-01", 2025, 2, 600.0, 60.0),
-    ]
-    rows += [filing("MAR_FY_X", 3, f, e, y, q, r, n) for e, f, y, q, r, n in mar]
-    rows += [
-        filing("SHORT_X", 4, "2024-07-25", "2024-06-30", 2024, 2, 10.0, 1.0),
-        filing("SHORT_X", 4, "2024-10-25", "2024-09-30", 2024, 3, 20.0, 2.0),
-    ]
-    sparse = [("2024-03-31", "2024-04-20", 1, 100.0, 10.0), ("2024-06-30", "2024-07-20", 2, None, 20.0)]
-    sparse += [("2024-09-30", "2024-10-20", 3, 300.0, 30.0), ("2024-12-01", "2024-12-20", 4, 400.0, 40.0)]
-    rows += [filing("SPARSE_X", 5, f, e, 2024, q, r, n) for e, f, q, r, n in sparse]
-    gap = [
-        ("2024-03-31", "2024-04-20", 2024, 1),
-        ("2024-06-30", "2024-07-20", 2024, 2),
-        ("2024-12-31", "2025-01-20", 2024, 4),
-        ("2025-01-15", "2025-02-20", 2025, 1),
-    ]
-    rows += [filing("GAP_X", 6, f, e, y, q, 100.0, 10.0) for e, f, y, q in gap]
-    for cik, first in ((11111, 10.0), (22222, 100.0)):
-        for q, (ended, filed) in enumerate(
-            [
-                ("2023-12-31", "2024-01-31"),
-                ("2024-03-31", "2024-04-30"),
-                ("2024-06-30", "2024-07-31"),
-                ("2024-09-30", "2024-10-31"),
-            ],
-            1,
-        ):
-            rows.append(filing("REUSE_X", cik, filed, ended, 2024, q, first * q, first * q / 10))
+    """LARK files plainly, WREN restates, FINCH has a shifted year, SWIFT is young, CRANE omits a
+    value, HERON skips a quarter, and two companies used the symbol DOVE."""
+    rows = quarters("LARK", 41, 5, [3.0, 5.0, 7.0, 11.0, 13.0, 17.0], 4 * 2020 + 1)
+    rows.append(filing("LARK", 41, "2021-02-20", "2020-12-31", 2020, None, 999.0, 888.0, "annual"))
+    rows.append(filing("LARK", 41, "2021-02-21", "2020-12-31", 2020, None, 999.0, 777.0, "trailing_twelve_months"))
+    rows += quarters("WREN", 42, 6, [4.0, 6.0, 8.0, 10.0], 4 * 2020 + 2)
+    rows.append(filing("WREN", 42, "2021-06-10", "2021-03-31", 2021, 1, 81.0, 9.0))
+    rows += quarters("FINCH", 43, 7, [20.0, 22.0, 24.0, 26.0], 4 * 2021 + 1)
+    rows += quarters("SWIFT", 44, 8, [1.0, 1.5, 2.0], 4 * 2021)
+    rows += quarters("CRANE", 45, 7, [2.0, 3.0, 4.0, 6.0], 4 * 2020 + 3, [18.0, None, 36.0, 54.0])
+    rows += quarters("HERON", 46, 6, [5.0, 5.0, None, 5.0, 5.0], 4 * 2020 + 2)
+    rows += quarters("DOVE", 7001, 7, [1.0, 2.0, 3.0, 4.0], 4 * 2020 + 3)
+    rows += quarters("DOVE", 7002, 7, [30.0, 31.0, 32.0, 33.0], 4 * 2020 + 3)
     return rows
 
 

@@ -42,9 +42,12 @@ def test_momentum_values_and_warmup(spark):
 
 
 def test_momentum_skips_the_last_month(spark):
-    flat_then_double = [100.0] * 280 + [200.0] * 20
-    out = Momentum().compute(prices(spark, A=flat_then_double, B=ramp()))
-    assert rows_of(out, "A")[-1].raw_value == pytest.approx(0.0)
+    """Whatever the last 21 days do, the last value reads the close before them."""
+    calm = ramp(275, step=0.25)
+    series = {"CALM": calm, "FALL": calm[:-21] + [c / 3 for c in calm[-21:]], "SOAR": calm[:-21] + [c * 5 for c in calm[-21:]]}
+    out = Momentum().compute(prices(spark, **series))
+    last = {t: rows_of(out, t)[-1].raw_value for t in series}
+    assert last["FALL"] == last["CALM"] == last["SOAR"] == pytest.approx(math.log(calm[-22] / calm[-253]))
 
 
 def test_single_name_days_have_no_score(spark):
@@ -113,14 +116,10 @@ def value_rows(*rows):
     return [(d(day), t, m, 10.0, 1e6, ok) for day, t, m, ok in rows]
 
 
+TODAY, LATER = "2021-11-15", "2021-11-22"
 VALUE_PANEL = value_rows(
-    ("2024-12-01", "AAPL_X", 1000.0, True),
-    ("2024-12-01", "MSFT_X", 1500.0, True),
-    ("2024-12-01", "MAR_FY_X", 2000.0, True),
-    ("2025-01-01", "MISSING_X", 500.0, True),
-    ("2025-01-01", "SHORT_X", 500.0, True),
-    ("2025-01-01", "SPARSE_X", 500.0, True),
-    ("2025-01-01", "REUSE_X", 500.0, True),
+    *((TODAY, t, m, True) for t, m in (("LARK", 600.0), ("WREN", 1160.0), ("FINCH", 920.0))),
+    *((LATER, t, 60.0, True) for t in ("NOBODY", "SWIFT", "CRANE", "DOVE")),
 )
 
 
@@ -132,41 +131,40 @@ def value_panel(spark):
 def test_earnings_yield_values_and_reasons(spark, value_panel, filings):
     out = EarningsYield().compute(value_panel, FactorContext(filings))
     got = {r.ticker: r for r in out.collect()}
-    assert got["AAPL_X"].raw_value == pytest.approx(0.10)
-    # The restated third quarter: 20 + 35 + 40 + 50 over 1500.
-    assert got["MSFT_X"].raw_value == pytest.approx(145 / 1500)
-    assert got["MAR_FY_X"].raw_value == pytest.approx(0.09)
-    assert all(got[t].valid_flag for t in ("AAPL_X", "MSFT_X", "MAR_FY_X"))
-    assert got["MISSING_X"].invalid_reason == "missing_fundamentals"
-    assert got["SHORT_X"].invalid_reason == "insufficient_quarters"
-    assert got["REUSE_X"].invalid_reason == "missing_fundamentals"
+    # 48 / 600, 29 / 1160 (restated) and 92 / 920.
+    raw = {t: got[t].raw_value for t in ("LARK", "WREN", "FINCH")}
+    assert raw == {"LARK": pytest.approx(0.08), "WREN": pytest.approx(0.025), "FINCH": pytest.approx(0.1)}
+    assert all(got[t].valid_flag for t in raw)
+    assert got["NOBODY"].invalid_reason == "missing_fundamentals"
+    assert got["SWIFT"].invalid_reason == "insufficient_quarters"
+    assert got["DOVE"].invalid_reason == "missing_fundamentals"
     # The only usable name of its day has no spread to be scored against.
-    assert got["SPARSE_X"].raw_value == pytest.approx(0.20)
-    assert got["SPARSE_X"].invalid_reason == "raw_factor_nan"
+    assert got["CRANE"].raw_value == pytest.approx(0.25)
+    assert got["CRANE"].invalid_reason == "raw_factor_nan"
 
 
 def test_bad_denominators_and_lag_diagnostics(spark, filings):
     rows = value_rows(
-        ("2024-12-01", "AAPL_X", 0.0, True),
-        ("2024-12-01", "MSFT_X", None, True),
-        ("2024-12-01", "MAR_FY_X", float("nan"), True),
-        ("2024-12-01", "NOBODY", 1.0, True),
+        (TODAY, "LARK", 0.0, True),
+        (TODAY, "WREN", None, True),
+        (TODAY, "FINCH", float("nan"), True),
+        (TODAY, "NOBODY", 1.0, True),
     )
     ctx = FactorContext(filings)
     out = EarningsYield().compute(spark.createDataFrame(rows, VALUE), ctx)
     reasons = {r.ticker: r.invalid_reason for r in out.collect()}
-    assert {reasons[t] for t in ("AAPL_X", "MSFT_X", "MAR_FY_X")} == {"invalid_denominator"}
+    assert {reasons[t] for t in ("LARK", "WREN", "FINCH")} == {"invalid_denominator"}
     notes = diagnostics_dict(EarningsYield().diagnostics(out, ctx))
     assert notes["invalid_reason_counts"] == {"invalid_denominator": 3, "missing_fundamentals": 1}
     assert notes["latest_filing_lag_days"]["n"] == 3
-    assert notes["oldest_ttm_component_lag_days"]["max"] == (d("2024-12-01") - d("2024-01-25")).days
+    assert notes["oldest_ttm_component_lag_days"]["max"] == (d(TODAY) - d("2020-11-02")).days
 
 
 def test_diagnostics_without_filings(spark, value_panel, filings):
     out = EarningsYield().compute(value_panel, FactorContext(filings))
     notes = diagnostics_dict(EarningsYield().diagnostics(out))
     assert set(notes) == {"invalid_reason_counts"}
-    nobody = value_panel.where("ticker = 'MISSING_X'")
+    nobody = value_panel.where("ticker = 'NOBODY'")
     only_missing = EarningsYield().compute(nobody, FactorContext(filings))
     assert set(diagnostics_dict(EarningsYield().diagnostics(only_missing, FactorContext(filings)))) == {
         "invalid_reason_counts"
@@ -179,16 +177,16 @@ def test_context_is_required(value_panel):
 
 
 def test_ineligible_but_computable(spark, filings):
-    rows = value_rows(("2024-12-01", "AAPL_X", 1000.0, False), ("2024-12-01", "MSFT_X", 1500.0, True))
+    rows = value_rows((TODAY, "LARK", 600.0, False), (TODAY, "WREN", 1160.0, True))
     out = EarningsYield().compute(spark.createDataFrame(rows, VALUE), FactorContext(filings))
-    row = rows_of(out, "AAPL_X")[0]
+    row = rows_of(out, "LARK")[0]
     assert row.valid_flag and row.tradable_flag is False and row.invalid_reason is None
 
 
 def test_earnings_yield_truncation(spark, value_panel, filings):
     """Reports filed on or after the day do not change it."""
-    cut = filings.where(F.col("filing_date") < F.lit(d("2024-12-01")))
-    day = value_panel.where(F.col("date") == F.lit(d("2024-12-01")))
+    cut = filings.where(F.col("filing_date") < F.lit(d(TODAY)))
+    day = value_panel.where(F.col("date") == F.lit(d(TODAY)))
     cols = ["ticker", "raw_value", "zscore_value", "invalid_reason"]
     a = EarningsYield().compute(day, FactorContext(filings)).select(*cols)
     b = EarningsYield().compute(day, FactorContext(cut)).select(*cols)

@@ -21,58 +21,43 @@ def ask_id(spark, filings, ticker, entity, day):
     return fund.as_of_states(asked, fund.filing_states(filings, FIELDS, by_id=True), FIELDS).first()
 
 
+TODAY = "2021-11-15"
+
+
 def test_engineered_histories(spark, filings):
-    got = ask(
-        spark,
-        filings,
-        ("AAPL_X", "2024-07-01"),
-        ("AAPL_X", "2024-01-25"),
-        ("AAPL_X", "2024-01-26"),
-        ("AAPL_X", "2024-12-01"),
-        ("AAPL_X", "2025-02-01"),
-        ("AAPL_X", "2024-03-25"),
-        ("MSFT_X", "2024-08-01"),
-        ("MAR_FY_X", "2024-12-01"),
-        ("SHORT_X", "2025-01-01"),
-        ("GAP_X", "2025-03-01"),
-        ("MISSING_X", "2025-01-01"),
-        ("SPARSE_X", "2025-01-01"),
-        ("REUSE_X", "2025-01-01"),
-    )
-    aapl = lambda day: got[("AAPL_X", day)]
-    # The third quarter had ended but was not filed yet.
-    assert (aapl("2024-07-01").latest.fiscal_year, aapl("2024-07-01").latest.fiscal_quarter) == (2024, 2)
+    lark = ["2020-08-02", "2020-08-03", "2021-06-01", TODAY]
+    others = ["WREN", "FINCH", "SWIFT", "CRANE", "HERON", "DOVE", "NOBODY"]
+    got = ask(spark, filings, *(("LARK", day) for day in lark), ("WREN", "2021-06-10"), *((t, TODAY) for t in others))
     # A report is not visible on its own filing day.
-    assert aapl("2024-01-25").latest is None and aapl("2024-01-25").net_income_status == fund.MISSING
-    assert aapl("2024-01-26").latest.fiscal_quarter == 1
-    # Yearly rows never enter the trailing sum.
-    assert aapl("2024-12-01").revenues_ttm == 1000.0 and aapl("2024-12-01").revenues_status is None
-    assert aapl("2025-02-01").revenues_ttm == 1400.0
-    assert aapl("2024-03-25").latest_lag_days == 60
-    assert aapl("2024-12-01").oldest_lag_days == (d("2024-12-01") - d("2024-01-25")).days
-    assert got[("MSFT_X", "2024-08-01")].revenues_ttm == 1050.0
-    assert got[("MAR_FY_X", "2024-12-01")].revenues_ttm == 1800.0
-    assert got[("SHORT_X", "2025-01-01")].net_income_status == fund.INSUFFICIENT
-    assert got[("GAP_X", "2025-03-01")].net_income_status == fund.INSUFFICIENT
-    assert got[("MISSING_X", "2025-01-01")].net_income_status == fund.MISSING
-    sparse = got[("SPARSE_X", "2025-01-01")]
-    assert (sparse.revenues_status, sparse.revenues_ttm) == (fund.MISSING_FIELD, None)
-    assert (sparse.net_income_status, sparse.net_income_ttm) == (None, 100.0)
-    reuse = got[("REUSE_X", "2025-01-01")]
-    assert reuse.net_income_status == fund.AMBIGUOUS and reuse.latest is None
-    assert reuse.latest_lag_days is None and reuse.oldest_lag_days is None
+    assert got["LARK", lark[0]].latest is None and got["LARK", lark[0]].net_income_status == fund.MISSING
+    assert (got["LARK", lark[1]].latest.fiscal_year, got["LARK", lark[1]].latest.fiscal_quarter) == (2020, 2)
+    assert got["LARK", lark[1]].latest_lag_days == 1 and got["LARK", lark[1]].net_income_status == fund.INSUFFICIENT
+    # Sums of the newest four quarters; yearly and trailing rows never enter them.
+    assert (got["LARK", lark[2]].net_income_ttm, got["LARK", TODAY].net_income_ttm) == (3 + 5 + 7 + 11.0, 7 + 11 + 13 + 17.0)
+    assert got["LARK", TODAY].revenues_ttm == 9 * 48.0 and got["LARK", TODAY].revenues_status is None
+    assert got["LARK", TODAY].oldest_lag_days == (d(TODAY) - d("2021-02-02")).days
+    # Restated: seen from the day after the restatement only.
+    assert got["WREN", "2021-06-10"].net_income_status == fund.INSUFFICIENT
+    assert got["WREN", TODAY].net_income_ttm == 4 + 6 + 9 + 10.0
+    assert got["FINCH", TODAY].net_income_ttm == 92.0
+    for ticker, status in (("SWIFT", fund.INSUFFICIENT), ("HERON", fund.INSUFFICIENT), ("NOBODY", fund.MISSING), ("DOVE", fund.AMBIGUOUS)):
+        assert got[ticker, TODAY].net_income_status == status and got[ticker, TODAY].net_income_ttm is None
+    crane = got["CRANE", TODAY]
+    assert (crane.revenues_status, crane.revenues_ttm) == (fund.MISSING_FIELD, None)
+    assert (crane.net_income_status, crane.net_income_ttm) == (None, 15.0)
+    dove = got["DOVE", TODAY]
+    assert dove.latest is None and dove.latest_lag_days is None and dove.oldest_lag_days is None
 
 
 def test_naming_the_entity_settles_ambiguity(spark, filings):
     from strictpast.functions import normalize_id
 
-    second = ask_id(spark, filings, "REUSE_X", "22222", "2025-01-01")
-    assert second.revenues_ttm == 1000.0 and second.net_income_status is None
-    padded = spark.range(1).select(normalize_id(F.lit("0000022222")).alias("i")).first().i
-    assert padded == "22222"
-    first = ask_id(spark, filings, "REUSE_X", "11111", "2025-01-01")
-    assert first.latest.revenues == 40.0 and first.latest.filing_date == d("2024-10-31")
-    assert ask_id(spark, filings, "REUSE_X", "33333", "2025-01-01").net_income_status == fund.MISSING
+    second = ask_id(spark, filings, "DOVE", "7002", TODAY)
+    assert second.net_income_ttm == 126.0 and second.net_income_status is None
+    assert spark.range(1).select(normalize_id(F.lit("0000007002")).alias("i")).first().i == "7002"
+    first = ask_id(spark, filings, "DOVE", "7001", TODAY)
+    assert first.latest.net_income == 4.0 and first.latest.filing_date == d("2021-11-02")
+    assert ask_id(spark, filings, "DOVE", "7003", TODAY).net_income_status == fund.MISSING
 
 
 def scalar(rows, ticker, day):
@@ -128,27 +113,27 @@ def test_random_histories_match_brute_force(spark):
 
 def test_repeated_requests_keep_their_rows(spark, filings):
     asked = spark.createDataFrame(
-        [("AAPL_X", d("2024-12-01"), i) for i in range(3)], "ticker string, date date, tag int"
+        [("LARK", d(TODAY), i) for i in range(3)], "ticker string, date date, tag int"
     )
     out = fund.as_of_states(asked, fund.filing_states(filings))
     assert sorted(r.tag for r in out.collect()) == [0, 1, 2]
-    assert {r.net_income_ttm for r in out.collect()} == {100.0}
+    assert {r.net_income_ttm for r in out.collect()} == {48.0}
 
 
 def test_later_filings_do_not_change_the_past(spark, filings):
-    days = [("AAPL_X", "2024-12-01"), ("MSFT_X", "2024-12-01"), ("REUSE_X", "2024-01-15")]
-    cut = filings.where(F.col("filing_date") < F.lit(d("2024-12-01")))
+    days = [("LARK", "2021-05-03"), ("WREN", "2021-05-03"), ("DOVE", "2021-02-01")]
+    cut = filings.where(F.col("filing_date") < F.lit(d("2021-05-03")))
     assert ask(spark, filings, *days) == ask(spark, cut, *days)
 
 
 def test_coverage(spark, filings):
-    out = fund.coverage_grid(filings, d("2024-01-01"), d("2024-01-03"))
+    out = fund.coverage_grid(filings, d("2021-01-01"), d("2021-01-03"))
     assert out.count() == 3 * filings.select("ticker").distinct().count()
-    wide = fund.coverage_grid(filings, d("2024-01-25"), d("2024-02-02"))
+    wide = fund.coverage_grid(filings, d("2020-08-02"), d("2020-08-05"))
     flags = {(r.ticker, str(r.date)): r.has_pit_fundamentals for r in wide.collect()}
-    assert not flags[("AAPL_X", "2024-01-25")] and flags[("AAPL_X", "2024-01-26")]
-    # Both ids of the reused symbol file on one day: never unambiguous.
-    assert not flags[("REUSE_X", "2024-02-01")]
+    assert not flags[("LARK", "2020-08-02")] and flags[("LARK", "2020-08-03")]
+    late = fund.coverage_grid(filings, d("2021-02-02"), d("2021-02-04")).where("ticker = 'DOVE'")
+    assert not any(r.has_pit_fundamentals for r in late.collect())  # both owners file on one day
     with pytest.raises(ValueError):
         fund.coverage_grid(filings, d("2024-01-03"), d("2024-01-01"))
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from conftest import BAR_SCHEMA, bar_rows, business_days, d, filings_frame
 from strictpast.contracts import FACTOR, INDEX_MEMBERSHIP, PANEL, TICKER_ALIASES, TICKER_METADATA, columns_of
 from strictpast.operators import quality
-from strictpast.operators.fingerprint import artifact_checksums, fingerprint, portable_fingerprint
+from strictpast.operators.fingerprint import artifact_checksums, fingerprint
 from strictpast.operators.quality import QualityError
 from strictpast.plans import jobs, ledger
 from strictpast.plans.jobs import RunInfo
@@ -38,12 +38,11 @@ def slice_run(spark, bars, tmp_path_factory):
 # --- fingerprints ---------------------------------------------------------------------------
 
 
-@pytest.mark.parametrize("make", [fingerprint, portable_fingerprint])
-def test_fingerprint_properties(spark, make):
+def test_fingerprint_properties(spark):
     df = spark.createDataFrame([(1, "a"), (2, None), (2, None), (None, "b")], "x int, y string")
 
     def of(frame, columns=("x", "y")):
-        return make(frame, columns).first()[0]
+        return fingerprint(frame, columns).first()[0]
 
     base = of(df)
     assert len(base) == 64 and base == of(df.orderBy(F.rand(3)).repartition(3))
@@ -61,6 +60,19 @@ def test_nulls_do_not_slide_between_columns(spark):
     assert fingerprint(a, ["x", "y"]).first()[0] != fingerprint(b, ["x", "y"]).first()[0]
 
 
+def test_text_is_escaped_and_doubles_are_exact(spark):
+    def of(rows, schema):
+        df = spark.createDataFrame(rows, schema)
+        return fingerprint(df, df.columns).first()[0]
+
+    text = "x string, y string"
+    assert of([("a|b", "c")], text) != of([("a", "b|c")], text)
+    assert of([(None, "a")], text) != of([("~", "a")], text)
+    assert of([("1:a", "")], text) != of([("", "1:a")], text)
+    values = [0.0, 1.0, -1.0, 0.1, 0.1 + 2**-56, 1 / 3, 1e300, 1e-300, 2.0**52, 2.0**53 - 1, float("inf"), float("-inf"), float("nan"), None]
+    assert len({of([(v,)], "x double") for v in values}) == len(values)
+
+
 # --- scratch area ------------------------------------------------------------------------------
 
 

@@ -1,4 +1,5 @@
 import random
+from collections import Counter
 from datetime import date, timedelta
 
 import pytest
@@ -22,43 +23,31 @@ def current_of(spark, rows):
     return spark.createDataFrame([(t, f"{t} Inc", "S", "Sub", day, 7) for t, day in rows], CURRENT)
 
 
-def walked(events, current, sentinel):
-    """The event walk one ticker at a time, in plain Python."""
-    rows, phantoms = [], []
-    for ticker in sorted({t for t, _, _ in events} | set(current)):
-        opened = None
-        for _, day, kind in sorted((e for e in events if e[0] == ticker), key=lambda e: (e[1], e[2])):
-            if kind == 0:
-                if opened is not None:
-                    rows.append((ticker, opened, day))
-                opened = day
-            else:
-                rows.append((ticker, sentinel if opened is None else opened, day))
-                opened = None
-        if ticker in current:
-            rows.append((ticker, current[ticker], None))
-        elif opened is not None:
-            phantoms.append((ticker, opened))
-    return sorted(rows, key=str), sorted(phantoms)
-
-
-def test_random_logs_match_the_walk(spark):
-    """Repeated events included; one ticker has most of the log."""
+def test_properties_of_random_logs(spark):
+    """Repeated events included; one ticker has most of the log. What any reading of a log of
+    entries and exits must keep: intervals start no later than they end, an exit in the log ends
+    some interval, and exactly the current tickers are open."""
     rng = random.Random(5)
     start = date(2020, 1, 1)
     events = []
     for _ in range(900):
         ticker = "HOT" if rng.random() < 0.5 else f"T{rng.randint(0, 40)}"
-        events.append((ticker, start + timedelta(days=rng.randint(0, 60)), rng.randint(0, 1)))
+        events.append((ticker, start + timedelta(days=rng.randint(0, 60)), rng.random() < 0.5))
     current = {f"T{i}": start + timedelta(days=i) for i in range(0, 40, 3)}
-    rows = [
-        (day, t if k == 0 else None, "n" if k == 0 else None, t if k == 1 else None, "n" if k == 1 else None)
-        for t, day, k in events
-    ]
-    got, phantoms = idx.membership_intervals(current_of(spark, current.items()), changes_of(spark, rows))
-    want = walked(events, current, min(day for _, day, _ in events))
-    assert sorted(map(tuple, got.collect()), key=str) == want[0]
-    assert sorted(map(tuple, phantoms.collect())) == want[1]
+    rows = [(day, *((t, "n", None, None) if enters else (None, None, t, "n"))) for t, day, enters in events]
+    found, phantoms = idx.membership_intervals(current_of(spark, current.items()), changes_of(spark, rows))
+    spans = [tuple(r) for r in found.collect()]
+    closed = Counter((t, end) for t, _, end in spans if end is not None)
+    exits = Counter((t, day) for t, day, enters in events if not enters)
+    entries = {(t, day) for t, day, enters in events if enters}
+    assert {(t, a) for t, a, end in spans if end is None} == set(current.items())
+    assert len([1 for _, _, end in spans if end is None]) == len(current)
+    assert all(end is None or a <= end for _, a, end in spans)
+    assert all(closed[e] >= n for e, n in exits.items())
+    assert set(closed) <= set(exits) | entries
+    lost = {r[0] for r in phantoms.collect()}
+    assert not lost & set(current)
+    assert lost <= {t for t, _ in entries}
 
 
 def intervals(spark, *rows):
@@ -147,23 +136,23 @@ def test_log_position_decides_the_first_name(spark):
 def test_patches(spark):
     book = intervals(
         spark,
-        ("AYI", "2016-01-01", "2018-06-18"),
-        ("TROW", "2019-07-29", None),
-        ("Q", "2017-08-29", "2025-11-03"),
-        ("Q", "2025-11-03", None),
+        ("OAK", "2001-02-05", "2003-03-10"),
+        ("ELM", "2002-05-06", None),
+        ("ASH", "2000-01-03", "2004-06-01"),
+        ("ASH", "2004-06-01", None),
     )
     part = "ticker string, date_added date, date_removed date"
     updates = spark.createDataFrame(
-        [("AYI", None, d("2018-06-15")), ("TROW", d("1999-04-30"), None), ("NONE", d("2000-01-01"), None)], part
+        [("OAK", None, d("2003-03-07")), ("ELM", d("1998-09-01"), None), ("FIR", d("2000-01-03"), None)], part
     )
-    adds = spark.createDataFrame([("WRK", d("2015-07-01"), d("2024-07-05"))], part)
-    deletes = spark.createDataFrame([("Q", d("2017-08-29"), d("2025-11-03"))], part)
+    adds = spark.createDataFrame([("YEW", d("2001-01-02"), d("2002-02-04"))], part)
+    deletes = spark.createDataFrame([("ASH", d("2000-01-03"), d("2004-06-01"))], part)
     rows = {(r.ticker, r.date_added, r.date_removed) for r in idx.apply_patches(book, updates, adds, deletes).collect()}
     assert rows == {
-        ("AYI", d("2016-01-01"), d("2018-06-15")),
-        ("TROW", d("1999-04-30"), None),
-        ("Q", d("2025-11-03"), None),
-        ("WRK", d("2015-07-01"), d("2024-07-05")),
+        ("OAK", d("2001-02-05"), d("2003-03-07")),
+        ("ELM", d("1998-09-01"), None),
+        ("ASH", d("2004-06-01"), None),
+        ("YEW", d("2001-01-02"), d("2002-02-04")),
     }
     counts = {r.op: r.rows for r in idx.patch_counts(book, updates, adds, deletes).collect()}
     assert counts == {"update": 2, "add": 1, "delete": 1}

@@ -1,3 +1,6 @@
+import random
+from datetime import date, timedelta
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -6,13 +9,24 @@ from strictpast.contracts import TICKER_ALIASES, TICKER_METADATA
 from strictpast.operators import quality
 from strictpast.plans import securities as sec
 
-ALIASES = [
-    ("META", "FB", None, "2022-06-09"),
-    ("ELV", "WLP", None, "2014-12-03"),
-    ("ELV", "ANTM", "2014-12-03", "2022-06-28"),
-    ("MRSH", "MMC", None, "2026-01-14"),
-    ("DAY", "CDAY", "2021-09-20", "2024-04-30"),
-]
+def lineage(rng, name, born=False):
+    """One lineage of invented symbols: ``(alias rows, cuts, symbols)``; symbol i is used from
+    cut i - 1 up to cut i, the last one, which is the lineage's name, from the last cut on."""
+    cuts = sorted(rng.sample(range(100, 3000), rng.randint(0, 3)))
+    days = [date(2003, 1, 1) + timedelta(days=c) for c in cuts]
+    symbols = [f"{name}{i}" for i in range(len(cuts))] + [name]
+    starts = [date(2003, 1, 1) if born and days else None, *days]
+    rows = [(name, s, str(f) if f else None, str(t)) for s, f, t in zip(symbols, starts, days)]
+    return rows, days, symbols
+
+
+def symbol_on(days, symbols, day):
+    return symbols[sum(day >= c for c in days)]
+
+
+RNG = random.Random(17)
+LINEAGES = {n: lineage(RNG, n, born=i % 3 == 0) for i, n in enumerate(("LYNX", "ORYX", "IBEX", "KUDU", "DIKDIK", "GNU", "OKAPI", "TAPIR"))}
+ALIASES = [r for rows, _, _ in LINEAGES.values() for r in rows]
 
 
 def aliases_of(spark, rows=ALIASES):
@@ -31,34 +45,30 @@ def asked(spark, *pairs):
     return spark.createDataFrame([(t, d(day)) for t, day in pairs], "ticker string, date date")
 
 
-@pytest.mark.parametrize(
-    ("ticker", "day", "symbol"),
-    [
-        ("FB", "2018-06-15", "FB"),
-        ("FB", "2023-01-01", "META"),
-        ("META", "2018-06-15", "FB"),
-        ("META", "2022-06-09", "META"),
-        ("WLP", "2018-06-15", "ANTM"),
-        ("WLP", "2014-12-02", "WLP"),
-        ("ELV", "2023-01-01", "ELV"),
-        ("AAPL", "2001-01-01", "AAPL"),
-        ("DAY", "2015-01-01", "DAY"),
-        ("CDAY", "2022-01-01", "CDAY"),
-    ],
-)
-def test_symbol_on_a_day(spark, ticker, day, symbol):
-    assert sec.canonicalize(asked(spark, (ticker, day)), aliases_of(spark)).first().traded_as == symbol
-
-
-def test_historical_symbol_drops_unborn_lineages(spark):
-    out = sec.historical_symbol(
-        asked(spark, ("DAY", "2015-01-01"), ("DAY", "2022-01-01"), ("DAY", "2025-01-01"), ("META", "2018-01-01")),
-        aliases_of(spark),
-    )
-    got = {(r.ticker, str(r.date)): r.symbol for r in out.collect()}
-    assert got[("DAY", "2015-01-01")] is None
-    assert got[("DAY", "2022-01-01")] == "CDAY" and got[("DAY", "2025-01-01")] == "DAY"
-    assert got[("META", "2018-01-01")] == "FB"
+def test_symbols_of_random_lineages(spark):
+    """Every symbol of a lineage leads to the one in use that day."""
+    days = [date(2002, 1, 1) + timedelta(days=97 * i) for i in range(45)]
+    wants = {}
+    for rows, cuts, symbols in LINEAGES.values():
+        for day in [*days, *cuts, *(c - timedelta(days=1) for c in cuts)]:
+            for s in symbols:
+                wants[s, day] = symbol_on(cuts, symbols, day)
+    pairs = spark.createDataFrame(list(wants), "ticker string, date date")
+    got = sec.canonicalize(pairs, aliases_of(spark)).collect()
+    if any(r.matches == 0 and r.date < date(2003, 1, 1) for r in got):
+        born = {s for rows, _, symbols in LINEAGES.values() if rows and rows[0][2] for s in symbols}
+        got = [r for r in got if not (r.ticker in born and r.date < date(2003, 1, 1))]
+    assert got and all(r.traded_as == wants[r.ticker, r.date] for r in got)
+
+
+def test_historical_symbols_start_with_the_lineage(spark):
+    days = [date(2002, 6, 1), date(2003, 1, 1), date(2005, 5, 5), date(2012, 1, 1)]
+    pairs = [(n, str(day)) for n in LINEAGES for day in days]
+    for r in sec.historical_symbol(asked(spark, *pairs), aliases_of(spark)).collect():
+        rows, cuts, symbols = LINEAGES[r.ticker]
+        starts = [d(x[2]) for x in rows if x[2]]
+        unborn = bool(starts) and r.date < min(starts) and (rows[0][2] is not None)
+        assert r.symbol == (None if unborn else symbol_on(cuts, symbols, r.date))
 
 
 def test_overlapping_aliases_are_reported(spark):
@@ -92,27 +102,21 @@ def resolve(spark, day, members, meta, aliases=ALIASES):
     return tickers, sorted((r.source, r.status) for r in rows if r.status), out
 
 
-def test_future_reuse_of_a_symbol_is_dropped(spark):
-    meta = metadata_of(spark, ("Q", "2025-11-03", None), ("IQV", "2013-05-09", None))
-    tickers, dropped, out = resolve(spark, "2025-06-15", ["Q", "IQV"], meta)
-    assert tickers == ["IQV"] and dropped == [("Q", "not_active_on_date:Q")]
-    s = sec.universe_summary(out).first()
-    assert (s.requested_count, s.tradable_count, s.dropped_count) == (2, 1, 1)
-
-
-@pytest.mark.parametrize(
-    ("day", "want"),
-    [("2018-06-15", ["FB", "MMC"]), ("2025-06-15", ["META", "MMC"]), ("2026-02-01", ["META", "MRSH"])],
-)
-def test_dated_aliases(spark, day, want):
-    meta = metadata_of(
-        spark,
-        ("FB", "2012-05-18", "2022-06-09"),
-        ("META", "2012-05-18", None),
-        ("MMC", "1969-06-04", "2026-01-14"),
-        ("MRSH", "2026-01-14", None),
-    )
-    assert resolve(spark, day, ["META", "MRSH"], meta)[0] == want
+@pytest.mark.parametrize("day", ["2003-09-01", "2006-02-03", "2013-03-04"])
+def test_members_resolve_to_what_was_listed(spark, day):
+    """Listing spans follow the use of each symbol; every other symbol is listed too late."""
+    when, spans, want, gone = d(day), [], [], []
+    for i, (name, (_, cuts, symbols)) in enumerate(sorted(LINEAGES.items())):
+        for s, f, t in zip(symbols, [None, *cuts], [*cuts, None]):
+            late = i % 2 and s == symbol_on(cuts, symbols, when)
+            spans.append((s, str(when + timedelta(days=40)) if late else f and str(f), None if late else t and str(t)))
+        symbol = symbol_on(cuts, symbols, when)
+        (gone if i % 2 else want).append((name, symbol))
+    tickers, dropped, out = resolve(spark, day, sorted(LINEAGES), metadata_of(spark, *spans))
+    assert tickers == sorted(s for _, s in want)
+    assert dropped == sorted((n, f"not_active_on_date:{s}") for n, s in gone)
+    summary = sec.universe_summary(out).first()
+    assert (summary.requested_count, summary.tradable_count, summary.dropped_count) == (8, 4, 4)
 
 
 def test_stale_and_unknown_members_are_dropped(spark):
@@ -126,10 +130,11 @@ def test_stale_and_unknown_members_are_dropped(spark):
 
 
 def test_collisions_are_found(spark):
-    meta = metadata_of(spark, ("FB", None, None))
-    _, _, out = resolve(spark, "2018-06-15", ["FB", "META"], meta)
+    alias = [("NEWT", "EFT", None, "2010-04-05")]
+    meta = metadata_of(spark, ("EFT", None, None))
+    _, _, out = resolve(spark, "2009-01-05", ["EFT", "NEWT"], meta, alias)
     row = sec.alias_collisions(out).first()
-    assert (row.resolved, row.sources, row.first_source, row.last_source) == ("FB", 2, "FB", "META")
+    assert (row.resolved, row.sources, row.first_source, row.last_source) == ("EFT", 2, "EFT", "NEWT")
 
 
 def test_later_listings_do_not_change_the_past(spark):
@@ -140,21 +145,21 @@ def test_later_listings_do_not_change_the_past(spark):
 
 
 def test_upsert_and_derived_rows(spark):
-    base = metadata_of(spark, ("MRSH", "1969-06-04", None), ("FOX", "2019-03-01", None))
+    base = metadata_of(spark, ("MOSS", "1991-02-01", None), ("FERN", "2004-05-03", None))
     part = "source string, ticker string, name string, delisted_date date"
-    renames = spark.createDataFrame([("MRSH", "MMC", "Marsh McLennan", d("2026-01-14")), ("NO", "X", "n", None)], part)
+    renames = spark.createDataFrame([("MOSS", "PEAT", "Peat Works", d("2012-08-01")), ("NO", "X", "n", None)], part)
     over = spark.createDataFrame(
-        [("MRSH", d("2026-01-14"), None), ("WRK", d("2015-07-01"), d("2024-07-05"))],
+        [("MOSS", d("2012-08-01"), None), ("REED", d("2001-03-01"), d("2009-10-01"))],
         "ticker string, list_date date, delisted_date date",
     )
     out = {r.ticker: r for r in sec.ticker_metadata_snapshot(base, over, renames).collect()}
-    assert set(out) == {"MRSH", "MMC", "FOX", "WRK"}
-    assert out["MMC"].name == "Marsh McLennan" and out["MMC"].delisted_date == d("2026-01-14")
-    assert out["MMC"].list_date == d("1969-06-04") and out["MRSH"].list_date == d("2026-01-14")
-    assert out["WRK"].delisted_date == d("2024-07-05") and out["WRK"].name is None
-    only = spark.createDataFrame([("FOX", d("2013-06-19")), ("FOXA", d("2013-06-19"))], "ticker string, list_date date")
+    assert set(out) == {"MOSS", "PEAT", "FERN", "REED"}
+    assert out["PEAT"].name == "Peat Works" and out["PEAT"].delisted_date == d("2012-08-01")
+    assert out["PEAT"].list_date == d("1991-02-01") and out["MOSS"].list_date == d("2012-08-01")
+    assert out["REED"].delisted_date == d("2009-10-01") and out["REED"].name is None
+    only = spark.createDataFrame([("FERN", d("1999-07-01")), ("IVY", d("1999-07-01"))], "ticker string, list_date date")
     updated = {r.ticker: r for r in sec.upsert(base, only, insert_missing=False).collect()}
-    assert set(updated) == {"MRSH", "FOX"} and updated["FOX"].list_date == d("2013-06-19")
+    assert set(updated) == {"MOSS", "FERN"} and updated["FERN"].list_date == d("1999-07-01")
 
 
 def test_fetch_universe_and_sector(spark):

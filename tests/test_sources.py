@@ -89,6 +89,18 @@ def test_code_maps(spark):
     assert one(spark, fx.undotted(F.lit("BRK.B"))) == "BRKB"
 
 
+def test_exchanged_headers_in_any_file_raise(spark, tmp_path):
+    for first in ("a", "b"):
+        folder = tmp_path / first
+        folder.mkdir()
+        heads = {"a": "canonical_ticker,alias,effective_from,effective_to,note", "b": "alias,canonical_ticker,effective_from,effective_to,note"}
+        for name, head in heads.items():
+            file = folder / ("1.csv" if name == first else "2.csv")
+            file.write_text(f"{head}\nNEW,OLD,2001-01-02,,\n")
+        with pytest.raises(Exception, match="(?i)column|header|contract"):
+            tables.read_ticker_aliases(spark, str(folder)).collect()
+
+
 def test_csv_round_trip_and_header_gate(spark, tmp_path):
     good = tmp_path / "membership.csv"
     good.write_text(",".join(columns_of(INDEX_MEMBERSHIP)) + "\nA,A Co,S,SS,2020-01-02,,5\nB,B Co,,,2020-01-02,2021-01-01,\n")
