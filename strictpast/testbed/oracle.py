@@ -371,6 +371,23 @@ def fingerprint_of(kinds: dict[str, str]) -> str:
     return f"sha256('{','.join(kinds)}' || '|' || count(*) || '|' || {sums})"
 
 
+MEMBERSHIP_KINDS = dict.fromkeys(
+    ("ticker", "name", "wiki_sector", "wiki_sub_industry", "date_added", "date_removed", "cik_code"), "text"
+)
+METADATA_KINDS = dict.fromkeys(
+    ("ticker", "name", "primary_exchange", "ticker_type", "list_date", "delisted_date", "sic_code", "sic_description", "cik"),
+    "text",
+)
+
+oracle("read_membership", MEMBERS, f"SELECT {', '.join(MEMBERSHIP_KINDS)} FROM membership")
+oracle("read_metadata", "metadata", f"SELECT {', '.join(METADATA_KINDS)} FROM metadata")
+oracle("read_aliases", "aliases", "SELECT canonical AS canonical_ticker, alias, effective_from, effective_to FROM aliases")
+oracle("read_symbol_list", PRICES, "SELECT DISTINCT ticker FROM bars")
+oracle(
+    "bar_duplicates",
+    PRICES,
+    "SELECT date, ticker, CAST(2 AS BIGINT) AS rows FROM bars WHERE CAST(ticker[2:] AS BIGINT) % 50 = 0",
+)
 oracle("bars_from_feed", "kept_days raw_feed", "SELECT ticker, date, close, volume FROM raw_feed")
 oracle(
     "adj_raw_join",
@@ -702,13 +719,13 @@ oracle(
 oracle(
     "membership_manifest",
     MEMBERS,
-    """SELECT 'index_membership' AS snapshot, count(*) AS rows, count(*) - count(date_removed) AS current_members,
+    f"""SELECT {fingerprint_of(MEMBERSHIP_KINDS)} AS content_sha, 'index_membership' AS snapshot, count(*) AS rows, count(*) - count(date_removed) AS current_members,
        count(date_removed) AS historical_removals, (SELECT min(date) FROM changes) AS earliest_change FROM membership""",
 )
 oracle(
     "metadata_manifest",
     "metadata",
-    """SELECT 'ticker_metadata' AS snapshot, count(*) AS rows, count(*) - count(delisted_date) AS current,
+    f"""SELECT {fingerprint_of(METADATA_KINDS)} AS content_sha, 'ticker_metadata' AS snapshot, count(*) AS rows, count(*) - count(delisted_date) AS current,
        count(delisted_date) AS delisted FROM metadata""",
 )
 oracle(

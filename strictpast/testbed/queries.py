@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-from strictpast.contracts import DAILY_BARS, columns_of
+from strictpast.contracts import DAILY_BARS, TICKER_ALIASES, columns_of
 from strictpast.functions import normalize_id, padded_id, undotted
 from strictpast.operators import quality
 from strictpast.operators.cross_section import winsorize, zscore
@@ -35,6 +35,7 @@ from strictpast.plans.jobs import (
 from strictpast.session import scratch_root
 from strictpast.sinks import writers
 from strictpast.sources import feeds, index_pages
+from strictpast.sources import tables
 from strictpast.sources.tables import equity_holdings
 from strictpast.testbed.tables import RULES, Tables
 
@@ -465,12 +466,58 @@ def fundamentals_manifest(t: Tables) -> DataFrame:
 
 @query
 def membership_manifest(t: Tables) -> DataFrame:
-    return writers.membership_manifest(t.membership(), t.changes()).drop("content_sha")
+    return writers.membership_manifest(t.membership(), t.changes())
 
 
 @query
 def metadata_manifest(t: Tables) -> DataFrame:
-    return writers.metadata_manifest(t.metadata()).drop("content_sha")
+    return writers.metadata_manifest(t.metadata())
+
+
+def scratch(t: Tables, label: str) -> str:
+    """A new path for files that a query writes and reads back."""
+    return f"{scratch_root(t.spark)}/{label}-{uuid.uuid4().hex}"
+
+
+@query
+def read_membership(t: Tables) -> DataFrame:
+    """The membership sink and its reader."""
+    path = scratch(t, "membership-csv")
+    writers.write_membership(t.stored_membership(), path)
+    return tables.read_membership(t.spark, path)
+
+
+@query
+def read_metadata(t: Tables) -> DataFrame:
+    """The ticker-metadata sink and its reader."""
+    path = scratch(t, "metadata")
+    writers.write_ticker_metadata(t.metadata(), path)
+    return tables.read_ticker_metadata(t.spark, path)
+
+
+@query
+def read_aliases(t: Tables) -> DataFrame:
+    """Aliases as headed CSV files and their reader."""
+    path = scratch(t, "aliases-csv")
+    columns = columns_of(TICKER_ALIASES)
+    t.aliases().select(*(F.col(c) for c in columns)).write.option("header", True).csv(path)
+    return tables.read_ticker_aliases(t.spark, path).drop("note")
+
+
+@query
+def read_symbol_list(t: Tables) -> DataFrame:
+    """The constituent sink, with its comment lines, and the symbol-list reader."""
+    path = scratch(t, "constituents")
+    writers.write_constituents(t.bars().select("ticker"), path, "suppliers with bars")
+    return tables.read_symbol_list(t.spark, path)
+
+
+@query
+def bar_duplicates(t: Tables) -> DataFrame:
+    """Bars of which every fiftieth supplier's were landed twice."""
+    bars = t.bars()
+    twice = bars.where(F.substring("ticker", 2, 20).cast("bigint") % 50 == 0)
+    return quality.duplicate_keys(bars.unionByName(twice), ["date", "ticker"])
 
 
 def answers(t: Tables, fields: tuple[str, ...] = ("net_income",)) -> DataFrame:
