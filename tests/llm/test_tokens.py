@@ -77,7 +77,7 @@ def test_a_full_cache_starts_anew():
 def test_files_round_trip(spark, docs):
     library = Tokenizer.from_file(BYTE_BPE)
     folder = token_files.new_folder(spark)
-    index = token_files.write_token_files(docs, BYTE_BPE, folder, end_id=2, frame=4096, file=20_000)
+    index = token_files.write_token_files(docs, BYTE_BPE, folder, end_id=2, frame=1024, file=1000)
     index = token_files.with_starts(index)
     read = token_files.read_token_files(index, folder).collect()
     assert index.select("file").distinct().count() > 1
