@@ -130,8 +130,3 @@ def inside(first: np.ndarray, size: int) -> np.ndarray:
         return np.empty(0, np.int64)
     at = np.arange(n)
     return at[at + size <= np.repeat(first[1:], np.diff(first))[:n]]
-
-
-def signed(x: np.ndarray) -> pa.Array:
-    """Unsigned 64-bit hashes as Arrow longs."""
-    return pa.array(x.view(np.int64))
