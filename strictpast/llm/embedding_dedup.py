@@ -3,9 +3,9 @@
 Unit vectors are turned by one random rotation; the signs of the coordinates are the code of a
 vector, and the inner product of the code (as a unit vector) with the vector itself is stored
 as its correction factor. The inner product of a code with another turned vector, divided by
-the factor, estimates the cosine of the two without bias, with an error of at most
-``DEVIATIONS * sqrt((1 - f * f) / f / f / (d - 1))`` but for a chance of about 1e-6. A pair whose
-upper bound lies below the threshold is dropped; all others are computed exactly.
+the factor, estimates their cosine ``c`` without bias, with an error of at most ``DEVIATIONS *
+sqrt((1 - f * f) / f / f / (d - 1)) * sqrt(1 - c * c)`` but for a chance of about 1e-6. A pair
+whose estimate no cosine at the threshold or above allows is dropped; all others are computed exactly.
 
 Vectors go to the cell of their nearest pivot (a bounded sample), cells are split into blocks of
 some BLOCK vectors, so a crowded cell is many blocks, and a block of vectors meets the codes
@@ -121,7 +121,10 @@ def estimated(coded: DataFrame, lists: list[tuple], threshold: float) -> DataFra
             bits = np.frombuffer(b"".join(two["code"].to_pylist()), np.uint8).reshape(two.num_rows, -1)
             signs = (np.unpackbits(bits, axis=1)[:, :d].astype(np.float32) * 2 - 1) / np.float32(np.sqrt(d))
             factor = two["factor"].to_numpy()
-            slack = DEVIATIONS * np.sqrt(np.maximum(0, 1 - factor**2) / max(1, d - 1)) / factor
+            # Only the part of a vector that is orthogonal to the other one errs; at a cosine of
+            # the threshold or more it is at most sqrt(1 - threshold ** 2) long.
+            error = np.sqrt(np.maximum(0, 1 - factor**2) / max(1, d - 1)) / factor
+            slack = DEVIATIONS * error * np.sqrt(1 - threshold**2)
             least = ((threshold - slack) * factor - 1e-5).astype(np.float32)
             ids = [x["node"].combine_chunks() for x in (one, two)]
             ids = [x.chunk(0) if isinstance(x, pa.ChunkedArray) else x for x in ids]
