@@ -8,13 +8,13 @@
    with their neighbours in that order; an equal neighbour is a match of PREFIX words.
 3. Matches are extended to the left and to the right: the suffixes that matched are sorted
    once more, by prefix and then by the words before it, backwards, and by prefix and then by
-   the words after it, and the longest common run with a neighbour of another document is the
-   extension. SPAN - 1 words to either side suffice, as a longer match holds another minimiser
+   the words after it, and the longest common run with the nearest suffix of another document
+   before and after, whatever copies of the own document lie between, is the extension. SPAN - 1 words to either side suffice, as a longer match holds another minimiser
    there. Extended matches that overlap or touch unite; those of LENGTH words or more are told.
 
-Sorting is by range partitions over (fingerprint, context, document), so the suffixes of a very
-frequent passage are spread over partitions like any others; the few rows at their borders are
-compared in a small second step.
+Sorting is by range partitions over (fingerprint, context, document, place), so the suffixes of a
+very frequent passage are spread over partitions like any others; the runs at their borders are
+compared in a second step.
 """
 
 from __future__ import annotations
@@ -24,9 +24,11 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from strictpast.llm.arrays import WHITE, blocks, pieces, range_hashes, windows
 from strictpast.llm.workers import importable, typed
@@ -34,8 +36,6 @@ from strictpast.session import stage
 
 #: Words of a passage, words of the hash that selects positions, positions of its windows.
 LENGTH, KMER, SPAN = 50, 6, 13
-#: Rows on either side that a row is compared with.
-REACH = 2
 
 
 def minimisers(hashes: np.ndarray, span: int) -> np.ndarray:
@@ -77,74 +77,149 @@ class Suffixes:
         return short[before], short[after]
 
 
-Tell = Callable[[pa.RecordBatch], tuple[list[pa.Array], np.ndarray]]
+Scorer = Callable[[pa.RecordBatch], Callable[[np.ndarray, np.ndarray], np.ndarray]]
+Finish = Callable[[pa.RecordBatch, np.ndarray, np.ndarray, pa.Array], tuple[list[pa.Array], np.ndarray]]
 
 
-def compared(rows: DataFrame, order: list[str], bulky: list[str], told: list[T.StructField], tell: Tell, label: str) -> DataFrame:
-    """``rows`` with the columns ``tell`` adds to each from its REACH neighbours in ``order``.
+def runs(rows: pa.RecordBatch, names: list[str]) -> np.ndarray:
+    """Where runs of consecutive rows begin that are equal in the columns ``names``."""
+    n = rows.num_rows
+    fresh = np.zeros(n, bool)
+    fresh[:1] = True
+    for name in names:
+        column = rows.column(name)
+        fresh[1:] |= pc.not_equal(column.slice(1), column.slice(0, max(n - 1, 0))).to_numpy(zero_copy_only=False)
+    return np.flatnonzero(fresh)
 
-    ``tell`` gets consecutive rows and returns the added columns and a mask of the rows to keep;
-    rows with fewer than REACH rows on a side at hand are told again. The rows at partition
-    borders, at most eight of a partition, are gathered and told together. The columns in
+
+def compared(
+    rows: DataFrame, order: list[str], same: list[str], key: str, bulky: list[str], wanted: str, told: list[T.StructField],
+    scorer: Scorer, finish: Finish, label: str,
+) -> DataFrame:
+    """The ``wanted`` rows with what ``finish`` adds to each from its neighbours in ``order``.
+
+    Neighbours are the nearest row before and the nearest after that differ in a column of
+    ``same``, whatever lies between: the rows next to the run of equal ones. ``scorer`` gets rows
+    with the columns ``order`` and gives a function of two arrays of places in them: the scores
+    of these pairs, negative if they do not match. ``finish`` gets rows, their scores before and
+    after and the key of the row before if it matches, and gives the added columns and a mask of
+    the rows to keep. Rows in which the column ``wanted`` is null are neighbours only. Those in
     ``bulky`` are null in the result.
+
+    Rows of the first and last run of a partition may have neighbours in other partitions: they
+    are told once more beside these. To find them four rows of a partition are gathered, its ends
+    and the rows next to its first and last run.
     """
-    state = T.StructField("_state", T.IntegerType())
-    schema = T.StructType([*rows.schema.fields, *told, state])
-    decided, context, open_ = 0, 1, 2
-    given = rows.columns
+    given, before_open, after_open, first_row, inner_row, last_row = rows.columns, 1, 2, 4, 5, 6
+    key_type = rows.schema[key].dataType
+    half = [T.StructField("_before", T.LongType()), T.StructField("_after", T.LongType()), T.StructField("_previous", key_type, True)]
+    schema = T.StructType([*(T.StructField(f.name, f.dataType, True) for f in rows.schema.fields), *told, *half,
+                           *T.StructType.fromDDL("_state int, _part int").fields])
+    ends = [T.StructField(p + n, rows.schema[n].dataType, True) for p in ("_b_", "_a_") for n in order]
+
+    def nulls(fields: list[T.StructField], n: int) -> list[pa.Array]:
+        return [pa.nulls(n, f) for f in to_arrow_schema(T.StructType(fields)).types]
+
+    def finished(part: pa.RecordBatch, before: np.ndarray, after: np.ndarray, previous: pa.Array) -> pa.RecordBatch:
+        added, keep = finish(part, before, after, previous)
+        n = part.num_rows
+        columns = [pa.nulls(n, c.type) if name in bulky else c for name, c in zip(given, part.columns)]
+        state = [pa.array(np.zeros(n, np.int32)), pa.nulls(n, pa.int32())]
+        return pa.RecordBatch.from_arrays([*columns, *added, *nulls(half, n), *state], names=schema.names).filter(pa.array(keep))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out(part: pa.RecordBatch, states: np.ndarray) -> Iterator[pa.RecordBatch]:
-            added, keep = tell(part)
-            whole = pa.RecordBatch.from_arrays([*part.columns, *added, pa.array(states, pa.int32())], names=schema.names)
-            done = whole.filter(pa.array((states == decided) & keep))
-            columns = [pa.nulls(done.num_rows, c.type) if n in bulky else c for n, c in zip(schema.names, done.columns)]
-            yield pa.RecordBatch.from_arrays(columns, names=schema.names)
-            yield whole.filter(pa.array(states > decided))
-
-        held, begun = None, False
+        number = TaskContext.get().partitionId()
+
+        def end(row: pa.RecordBatch, state: int) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays(
+                [*row.columns, *nulls([*told, *half], 1), pa.array([state], pa.int32()), pa.array([number], pa.int32())], names=schema.names)
+
+        def tell(part: pa.RecordBatch, starts: np.ndarray, skip: int, stop: int, begun: bool, over: bool) -> Iterator[pa.RecordBatch]:
+            at = skip + np.flatnonzero(part.column(wanted).slice(skip, stop - skip).is_valid().to_numpy(zero_copy_only=False))
+            mine = np.searchsorted(starts, at, "right") - 1
+            others = (starts[mine] - 1, np.append(starts[1:], -1)[mine])
+            score = scorer(part.select(order))
+            scores = []
+            for other in others:
+                known = np.flatnonzero(other >= 0)
+                scores.append(np.full(len(at), -1))
+                scores[-1][known] = score(at[known], other[known])
+            previous = part.column(key).take(pa.array(others[0], mask=scores[0] < 0))
+            state = np.where((mine == 0) & (not begun), before_open, 0) | np.where((mine == len(starts) - 1) & over, after_open, 0)
+            done = pa.array(state == 0)
+            own = part.take(pa.array(at))
+            yield finished(own.filter(done), *(x[state == 0] for x in scores), previous.filter(done))
+            if state.any():
+                yield pa.RecordBatch.from_arrays(
+                    [*own.columns, *nulls(told, len(at)), pa.array(scores[0]), pa.array(scores[1]), previous,
+                     pa.array(state.astype(np.int32)), pa.array(np.full(len(at), number, np.int32))],
+                    names=schema.names).filter(pa.array(state > 0))
+
+        # Held are the row before the last run, if any, and that run.
+        held: list[pa.RecordBatch] = []
+        begun = False
         for batch in batches:
             if not batch.num_rows:
                 continue
-            part = pa.concat_batches([held, batch]) if held is not None else batch
-            n = part.num_rows
-            # Once begun, 2 * REACH rows are held: told or context ones, then those still to tell.
-            if n > 4 * REACH:
-                states = np.full(n, decided)
-                states[n - REACH :] = -1
-                states[:REACH] = -1 if begun else open_
-                yield from out(part, states)
+            if not held:
+                yield end(batch.slice(0, 1), first_row)
+            elif len(runs(pa.concat_batches([held[-1].slice(held[-1].num_rows - 1), batch]), same)) == 1:
+                held.append(batch)
+                continue
+            part = pa.concat_batches([*held, batch])
+            starts = runs(part, same)
+            if len(starts) > 1 + begun:
                 if not begun:
-                    yield from out(part.slice(0, 2 * REACH), np.array([-1] * REACH + [context] * REACH))
-                begun, part = True, part.slice(n - 2 * REACH)
-            held = part
-        if held is not None:
-            n = held.num_rows
-            states = np.full(n, open_)
-            if begun:  # the held rows begin with REACH rows of context
-                states[:REACH] = -1
-                states[REACH : n - REACH] = decided
-                yield from out(held, states)
-                states = np.full(n, -1)
-                states[max(0, n - 2 * REACH) : n - REACH] = context
-                yield from out(held, states)
-            else:
-                yield from out(held, states)
-
-    def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                    yield end(part.slice(starts[1], 1), inner_row)
+                yield from tell(part, starts, int(begun), int(starts[-1]), begun, False)
+                begun, part = True, part.slice(starts[-1] - 1)
+            held = [part]
+        if held:
+            part = pa.concat_batches(held)
+            starts = runs(part, same)
+            if begun:
+                yield end(part.slice(0, 1), inner_row)
+            yield from tell(part, starts, int(begun), part.num_rows, begun, True)
+            yield end(part.slice(part.num_rows - 1), last_row)
+
+    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gathered = [b for b in batches if b.num_rows]
         if gathered:
             part = pa.concat_batches(gathered)
-            plain = part.select(given)
-            added, keep = tell(plain)
-            full = pa.RecordBatch.from_arrays([*plain.columns, *added, part.column("_state")], names=schema.names)
-            yield full.filter(pc.and_(pc.equal(full.column("_state"), open_), pa.array(keep)))
+            starts, state, number = runs(part, same), part.column("_state").to_numpy(), part.column("_part").to_numpy()
+            mine = np.searchsorted(starts, np.arange(part.num_rows), "right") - 1
+            columns = []
+            for kind, other in ((first_row, starts[mine] - 1), (last_row, np.append(starts[1:], -1)[mine])):
+                at = np.flatnonzero(state == kind)
+                at = at[np.argsort(number[at])]
+                near = pa.array(other[at], mask=other[at] < 0)
+                columns += [part.column(n).take(near) for n in order]
+            yield pa.RecordBatch.from_arrays([part.column("_part").take(pa.array(at)), *columns], names=["_part", *(f.name for f in ends)])
+
+    def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            part, state = batch.select(given), batch.column("_state").to_numpy()
+            scores, previous = [], batch.column("_previous")
+            for prefix, bit, name in (("_b_", before_open, "_before"), ("_a_", after_open, "_after")):
+                there = batch.column(prefix + key).is_valid().to_numpy(zero_copy_only=False)
+                at = np.flatnonzero((state & bit > 0) & there)
+                near = batch.select([prefix + n for n in order]).take(pa.array(at))
+                both = [pa.concat_arrays([part.column(n).take(pa.array(at)), c]) for n, c in zip(order, near.columns)]
+                values = np.array(batch.column(name).to_numpy())
+                values[at] = scorer(pa.RecordBatch.from_arrays(both, names=order))(np.arange(len(at)), np.arange(len(at)) + len(at))
+                scores.append(values)
+                if bit == before_open:
+                    met = np.zeros(len(values), bool)
+                    met[at] = values[at] >= 0
+                    previous = pc.if_else(pa.array(met), batch.column(prefix + key), previous)
+            yield finished(part, *scores, previous)
 
     dealt = rows.repartitionByRange(*order).sortWithinPartitions(*order)
     first = stage(dealt.mapInArrow(run, schema), label)
-    edges = first.where(F.col("_state") != decided).select(*given, "_state")
-    border = edges.repartition(1).sortWithinPartitions(*order).mapInArrow(again, schema)
-    return first.where(F.col("_state") == decided).unionByName(border).drop("_state", *bulky)
+    edges = first.where(F.col("_state") >= first_row).select(*order, "_part", "_state")
+    links = edges.repartition(1).sortWithinPartitions(*order, "_part", "_state").mapInArrow(link, T.StructType([schema["_part"], *ends]))
+    border = first.where(F.col("_state").between(1, 3)).join(links, "_part").mapInArrow(again, schema)
+    return first.where(F.col("_state") == 0).unionByName(border).drop("_before", "_after", "_previous", "_state", "_part", *bulky)
 
 
 def suffix_rows(docs: DataFrame, key: str, text: str, length: int, kmer: int, span: int) -> DataFrame:
@@ -170,16 +245,15 @@ def matched(suffixes: DataFrame, key: str) -> DataFrame:
     ``earlier`` is the key of the row before in order of prefix and document, if it matches.
     """
 
-    def tell(rows: pa.RecordBatch) -> tuple[list[pa.Array], np.ndarray]:
-        prefix, ids = rows.column(0).to_numpy(), rows.column(1)
-        equal = prefix[1:] == prefix[:-1]
-        equal &= pc.not_equal(ids.slice(1), ids.slice(0, len(ids) - 1)).to_numpy(zero_copy_only=False)
-        before, after = np.append(False, equal), np.append(equal, False)
-        previous = pa.array(np.maximum(np.arange(len(ids)) - 1, 0), mask=~before)
-        return [ids.take(previous)], before | after
+    def scorer(cells: pa.RecordBatch) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+        prefix = cells.column(0).to_numpy()
+        return lambda a, b: np.where(prefix[a] == prefix[b], 0, -1)
+
+    def finish(rows: pa.RecordBatch, before: np.ndarray, after: np.ndarray, previous: pa.Array) -> tuple[list[pa.Array], np.ndarray]:
+        return [previous], (before >= 0) | (after >= 0)
 
-    distinct = suffixes.select("prefix", key)
-    return compared(distinct, ["prefix", key], [], [typed(suffixes, key, "earlier")], tell, "suffix-order")
+    told = [typed(suffixes, key, "earlier")]
+    return compared(suffixes.select("prefix", key), ["prefix", key], ["prefix", key], key, [], "prefix", told, scorer, finish, "suffix-order")
 
 
 def extended(sides: DataFrame, key: str) -> DataFrame:
@@ -189,29 +263,25 @@ def extended(sides: DataFrame, key: str) -> DataFrame:
     and side has as well, ``byte`` is the entry of ``reach`` at it.
     """
 
-    def tell(rows: pa.RecordBatch) -> tuple[list[pa.Array], np.ndarray]:
-        n = rows.num_rows
-        prefix, side = (rows.column(i).to_numpy() for i in (0, 1))
-        context = np.frombuffer(b"".join(rows.column(2).to_pylist()), np.uint32).reshape(n, -1)
-        ids, best = rows.column(3), np.zeros(n, np.int64)
-        for step in range(1, REACH + 1):
-            if n <= step:
-                break
-            a, b = slice(0, n - step), slice(step, n)
-            other = pc.not_equal(ids.slice(step), ids.slice(0, n - step)).to_numpy(zero_copy_only=False)
-            same = (prefix[a] == prefix[b]) & (side[a] == side[b]) & other
+    def scorer(cells: pa.RecordBatch) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+        n = cells.num_rows
+        prefix, side = (cells.column(i).to_numpy() for i in (0, 1))
+        context = np.frombuffer(b"".join(cells.column(2).to_pylist()), np.uint32).reshape(n, -1) if n else np.empty((0, 1), np.uint32)
+
+        def score(a: np.ndarray, b: np.ndarray) -> np.ndarray:
             equal = (context[a] == context[b]) & (context[a] != 0)
-            common = np.where(same, np.cumprod(equal, axis=1).sum(axis=1), 0)
-            np.maximum(best[a], common, out=best[a])
-            np.maximum(best[b], common, out=best[b])
-        keep = rows.column("chain").is_valid().to_numpy(zero_copy_only=False)
-        at = np.flatnonzero(keep)
-        byte = np.zeros(n, np.int64)
-        byte[at] = rows.column("reach").flatten().to_numpy().reshape(len(at), context.shape[1] + 1)[np.arange(len(at)), best[at]]
-        return [pa.array(best), pa.array(byte)], keep
+            return np.where((prefix[a] == prefix[b]) & (side[a] == side[b]), np.cumprod(equal, axis=1).sum(axis=1), -1)
+
+        return score
+
+    def finish(rows: pa.RecordBatch, before: np.ndarray, after: np.ndarray, previous: pa.Array) -> tuple[list[pa.Array], np.ndarray]:
+        n, best = rows.num_rows, np.maximum(np.maximum(before, after), 0)
+        reach = rows.column("reach").flatten().to_numpy().reshape(n, -1) if n else np.empty((0, 1), np.int32)
+        return [pa.array(best), pa.array(reach[np.arange(n), best].astype(np.int64))], np.ones(n, bool)
 
+    order, same = ["prefix", "side", "context", key, "w"], ["prefix", "side", key]
     told = [T.StructField("more", T.LongType()), T.StructField("byte", T.LongType())]
-    return compared(sides, ["prefix", "side", "context", key], ["prefix", "context", "reach"], told, tell, "suffix-sides")
+    return compared(sides, order, same, key, ["prefix", "context", "reach"], "chain", told, scorer, finish, "suffix-sides")
 
 
 def repeated_passages(

@@ -200,6 +200,33 @@ def test_passages_are_sound_and_complete(spark):
     assert suffix_dedup.repeated_passages(once).count() == 0
 
 
+@pytest.mark.parametrize("partitions", [1, 40])
+def test_passages_between_copies_of_one_document(spark, partitions):
+    """A document's own copies of a passage may lie between those of two documents in any number."""
+    r = np.random.default_rng(16)
+    texts = []
+    for n in (50, 53, 60, 74, 90):
+        passage = random_text(r, n)
+        for copies in (10, 1, 45):
+            texts.append(" ".join(w for _ in range(copies) for w in [*random_text(r, 15), *passage]) + " " + " ".join(random_text(r, 15)))
+    texts += [" ".join(random_text(r, 30)), None]
+    conf = {"spark.sql.shuffle.partitions": str(partitions), "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    old = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        got = suffix_dedup.repeated_passages(frame(spark, texts)).collect()
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    found = defaultdict(set)
+    for s in got:
+        assert s.earlier is None or s.earlier < s.doc_id
+        found[s.doc_id].update(range(s.first_word, s.first_word + s.n_words))
+    for i, (must, may) in enumerate(zip(covered(texts, 50), covered(texts, suffix_dedup.LENGTH - suffix_dedup.SPAN + 1))):
+        assert must <= found[i] <= may
+
+
 def test_leaks_equal_brute_force(spark):
     r = np.random.default_rng(7)
     items = [random_text(r, n) for n in (5, 6, 9, 14, 20, 33, 59, 120, 3)]
