@@ -30,8 +30,8 @@ NEWLINE = np.zeros(256, bool)
 NEWLINE[0x0A] = True
 
 
-def line_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """``(hashes, first)`` of the stripped non-blank lines of each text."""
+def line_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``(hashes, first, words)`` of the stripped non-blank lines of each text."""
     first, starts, ends = pieces(data, offsets, NEWLINE)
     text = owners(first)
     _, word_starts, word_ends = pieces(data, offsets, WHITE)
@@ -40,7 +40,7 @@ def line_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     b = np.searchsorted(word_starts, ends)
     full = b > a
     hashes = range_hashes(data, word_starts[a[full]], word_ends[b[full] - 1])
-    return hashes, np.searchsorted(text[full], np.arange(len(offsets)))
+    return hashes, np.searchsorted(text[full], np.arange(len(offsets))), (b - a)[full]
 
 
 def selected(hashes: np.ndarray, run: int) -> np.ndarray:
@@ -49,19 +49,20 @@ def selected(hashes: np.ndarray, run: int) -> np.ndarray:
     return run - 1 - np.argmin(view[:, ::-1], axis=1)
 
 
-def fingerprints(docs: DataFrame, run: int, key: str, text: str) -> DataFrame:
-    """``(key, at, line, start, h1, h2)``: for each run its selected line and its hash.
+def fingerprints(docs: DataFrame, run: int, key: str, text: str, alone: int | None = None) -> DataFrame:
+    """``(key, at, line, start, h1, h2, lone)``: for each run its selected line and its hash.
 
     ``line`` is the hash of the selected line and ``at`` its place; the runs that share a line
-    are its extensions to both sides.
+    are its extensions to both sides. ``lone`` marks the lines of ``alone`` words or more, which
+    are runs by themselves.
     """
     importable(docs.sparkSession)
-    schema = T.StructType([typed(docs, key), *T.StructType.fromDDL("at int, line bigint, start int, h1 bigint, h2 bigint").fields])
+    schema = T.StructType([typed(docs, key), *T.StructType.fromDDL("at int, line bigint, start int, h1 bigint, h2 bigint, lone boolean").fields])
 
     def run_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row, data, offsets in blocks(batch.column(1)):
-                hashes, first = line_hashes(data, offsets)
+                hashes, first, words = line_hashes(data, offsets)
                 rows, starts, ats = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)]
                 for t in np.flatnonzero(np.diff(first) >= run):
                     own = hashes[first[t] : first[t + 1]]
@@ -72,34 +73,43 @@ def fingerprints(docs: DataFrame, run: int, key: str, text: str) -> DataFrame:
                     ats.append(start + offset)
                 which, start, at = (np.concatenate(x) for x in (rows, starts, ats))
                 h1, h2 = (windows(hashes, run, seed)[start] if len(start) else np.empty(0, np.uint64) for seed in (1, 2))
+                lone = np.zeros(len(start), bool)
+                if alone is not None:
+                    single = np.flatnonzero(words >= alone)
+                    of = owners(first)[single]
+                    which, start, at = (np.append(x, y) for x, y in ((which, of), (start, single), (at, single - first[of])))
+                    h1, h2 = (np.append(h, windows(hashes, 1, seed)[single] if len(single) else single.view(np.uint64)) for h, seed in ((h1, 5), (h2, 6)))
+                    lone = np.append(lone, np.ones(len(single), bool))
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(row, len(offsets) - 1).take(pa.array(which)), pa.array(at.astype(np.int32)),
                      pa.array(hashes[first[which] + at].view(np.int64)), pa.array((start - first[which]).astype(np.int32)),
-                     pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64))],
+                     pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), pa.array(lone)],
                     names=schema.names)
 
     return docs.select(key, text).where(F.col(key).isNotNull()).mapInArrow(run_task, schema)
 
 
-def repeated_runs(docs: DataFrame, run: int = RUN, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``(key, starts)``: for each document with later repeats, where they start, ascending.
+def repeated_runs(docs: DataFrame, run: int = RUN, key: str = "doc_id", text: str = "text", alone: int | None = None) -> DataFrame:
+    """``(key, starts, lines)``: for each document with later repeats, where they start, ascending.
 
-    Positions count non-blank lines from 0; every start stands for ``run`` lines.
+    Positions count non-blank lines from 0; every start stands for ``run`` lines, and ``lines``
+    are those of ``alone`` words or more that stood earlier.
     """
-    prints = stage(fingerprints(docs, run, key, text), "line-fingerprints")
+    prints = stage(fingerprints(docs, run, key, text, alone), "line-fingerprints")
     # Seeds: selected lines at two places or more. Hot lines are counted before the shuffle.
     seeds = prints.groupBy("line").agg(F.min(F.struct(key, "at")).alias("a"), F.max(F.struct(key, "at")).alias("b"))
     seeds = stage(seeds.where("a != b").select("line"), "line-seeds")
-    extended = stage(prints.join(seeds, "line").select(key, "start", "h1", "h2"), "line-runs")
+    extended = stage(prints.join(seeds, "line").select(key, "start", "h1", "h2", "lone"), "line-runs")
     firsts = extended.groupBy("h1", "h2").agg(F.min(F.struct(key, "start")).alias("head"), F.count("*").alias("n"))
     firsts = stage(firsts.where("n > 1").select("h1", "h2", "head"), "line-firsts")
     later = extended.join(firsts, ["h1", "h2"]).where(F.struct(key, "start") > F.col("head"))
-    return later.groupBy(key).agg(F.array_sort(F.collect_set("start")).alias("starts"))
+    starts, lines = (F.array_sort(F.collect_set(F.when(c, F.col("start")))) for c in (~F.col("lone"), F.col("lone")))
+    return later.groupBy(key).agg(starts.alias("starts"), lines.alias("lines"))
 
 
-def without_lines(text: str, starts: list[int], run: int) -> tuple[str, int]:
-    """A text without the non-blank lines in the runs at ``starts``, and how many went."""
-    gone = {s + i for s in starts for i in range(run)}
+def without_lines(text: str, starts: list[int], run: int, lines: list[int]) -> tuple[str, int]:
+    """A text without the non-blank lines in the runs at ``starts`` and at ``lines``, and how many went."""
+    gone = {s + i for s in starts for i in range(run)}.union(lines)
     kept, place, white = [], 0, " \t\n\r\x0b\x0c"
     for line in text.split("\n"):
         if line.strip(white):
@@ -111,18 +121,22 @@ def without_lines(text: str, starts: list[int], run: int) -> tuple[str, int]:
     return "\n".join(kept), len(gone)
 
 
-def drop_repeated_lines(docs: DataFrame, run: int = RUN, key: str = "doc_id", text: str = "text") -> DataFrame:
+def drop_repeated_lines(
+    docs: DataFrame, run: int = RUN, key: str = "doc_id", text: str = "text", alone: int | None = None
+) -> DataFrame:
     """``docs`` with repeated runs deleted from ``text``, and ``n_lines`` and ``n_removed`` added.
 
     Both count non-blank lines, which alone are compared and deleted. A run goes where an
     equal run of ``run`` lines stands earlier, in order of ``key`` and line, in any document.
+    With ``alone``, a single line of that many words goes too where an equal line stands
+    earlier, whatever its neighbours; without it, single lines stay.
     Rows that repeat a key are one document whose repeats count from each row's own start, and
     are treated alike. Null texts stay null with zero lines; rows without a key take no part. Columns
     named like the added ones are replaced; an empty table gives an empty result.
     """
     importable(docs.sparkSession)
     docs = docs.drop("n_lines", "n_removed")
-    found = repeated_runs(docs, run, key, text).withColumnRenamed(key, "_key")
+    found = repeated_runs(docs, run, key, text, alone).withColumnRenamed(key, "_key")
     schema = T.StructType([*docs.schema.fields, *T.StructType.fromDDL("n_lines bigint, n_removed bigint").fields])
     at = docs.columns.index(text)
 
@@ -131,27 +145,28 @@ def drop_repeated_lines(docs: DataFrame, run: int = RUN, key: str = "doc_id", te
             column = batch.column(at)
             lines = [np.diff(line_hashes(data, offsets)[1]) for _, data, offsets in blocks(column)]
             values, removed = column.to_pylist(), []
-            for i, starts in enumerate(batch.column(batch.num_columns - 1).to_pylist()):
-                if starts and values[i] is not None:
-                    values[i], n = without_lines(values[i], starts, run)
+            found = (batch.column(batch.num_columns - k).to_pylist() for k in (2, 1))
+            for i, (starts, lines_) in enumerate(zip(*found)):
+                if (starts or lines_) and values[i] is not None:
+                    values[i], n = without_lines(values[i], starts, run, lines_)
                     removed.append(n)
                 else:
                     removed.append(0)
-            columns = list(batch.columns[:-1])
+            columns = list(batch.columns[:-2])
             columns[at] = pa.array(values, pa.string())
             counts = np.concatenate(lines) if lines else np.empty(0, np.int64)
             yield pa.RecordBatch.from_arrays([*columns, pa.array(counts), pa.array(removed, pa.int64())], names=schema.names)
 
-    met = docs.join(found, F.col(key) == F.col("_key"), "left").select(*(docs[c] for c in docs.columns), "starts")
+    met = docs.join(found, F.col(key) == F.col("_key"), "left").select(*(docs[c] for c in docs.columns), "starts", "lines")
     return met.mapInArrow(clean, schema)
 
 
-def deduplicated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def deduplicated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", alone: int | None = None) -> DataFrame:
     """Pipeline stage: texts without repeated runs; documents that lose every line go.
 
-    ``n_chars``, where there is one, follows the text.
+    ``n_chars``, where there is one, follows the text; ``alone`` is as above.
     """
-    done = drop_repeated_lines(docs, RUN, key, text).where("n_removed = 0 or n_removed < n_lines")
+    done = drop_repeated_lines(docs, RUN, key, text, alone).where("n_removed = 0 or n_removed < n_lines")
     if "n_chars" in docs.columns:
         length = F.length(text).cast(docs.schema["n_chars"].dataType)
         done = done.withColumn("n_chars", F.when(F.col("n_removed") > 0, length).otherwise(F.col("n_chars")))

@@ -157,6 +157,32 @@ def test_lines_equal_brute_force(spark, run):
     assert line_dedup.drop_repeated_lines(docs.limit(0), run).count() == 0
 
 
+def test_long_single_lines_equal_brute_force(spark):
+    """Lines of some words go where they stood earlier, also alone between other neighbours."""
+    r = np.random.default_rng(14)
+    long = [" ".join(random_text(r, n)) for n in (4, 5, 6, 50, 432)]
+    texts = [None, "", *long, *long]
+    for i in range(80):
+        lines = [long[r.integers(0, len(long))] if r.random() < 0.2 else f"own {i} {k}" if r.random() < 0.6 else "all share" for k in range(r.integers(1, 9))]
+        texts.append("\n".join(lines))
+    seen, want = set(), []
+    for text, (_, n, _) in zip(texts, brute_lines(texts, 2)):
+        lines = [] if text is None else text.split("\n")
+        gone = set()
+        for k, line in enumerate(lines):
+            if k + 1 < len(lines):
+                gone |= {k, k + 1} if (line, lines[k + 1]) in seen else set()
+                seen.add((line, lines[k + 1]))
+            if len(words(line)) >= 5:
+                gone |= {k} if line in seen else set()
+                seen.add(line)
+        want.append((None if text is None else "\n".join(x for k, x in enumerate(lines) if k not in gone), n, len(gone)))
+    got = {x.doc_id: (x.text, x.n_lines, x.n_removed) for x in line_dedup.drop_repeated_lines(frame(spark, texts), alone=5).collect()}
+    assert [got[i] for i in range(len(texts))] == want
+    stage = {x.doc_id: x.text for x in line_dedup.deduplicated_lines(frame(spark, texts), alone=5).collect()}
+    assert stage == {i: t for i, (t, n, gone) in enumerate(want) if not gone or gone < n}
+
+
 def test_line_stage_keeps_the_columns(spark):
     docs = spark.createDataFrame([(1, "a\nb\nc", 5), (2, "x\na\nb", 5), (3, "a\nb", 3), (4, None, None), (None, "a\nb", 3)], "doc_id long, text string, n_chars int")
     got = line_dedup.deduplicated_lines(docs)
