@@ -293,8 +293,10 @@ def repeated_passages(
     span, and every word of a span lies in a run of at least ``length - span + 1`` words that
     another document holds. Words are separated by ASCII white space and compared byte by byte;
     ``end_byte`` is exclusive. ``earlier`` is a smaller key whose document holds part of the
-    span, null if it occurs here first: deleting the spans with ``earlier`` keeps one copy of
-    everything. Null, empty and shorter texts have no spans; rows without a key take no part;
+    span, null if it occurs here first: deleting the spans with ``earlier`` keeps every passage
+    in the document of the smallest key. Repeats inside one document are no matches: a passage
+    that only one document holds, however often, is not reported, and the document of the
+    smallest key keeps all of its own copies. Null, empty and shorter texts have no spans; rows without a key take no part;
     rows that repeat a key are one document, searched row by row; other columns are not read;
     an empty table gives an empty result.
     """
