@@ -3,10 +3,10 @@
 A document is the sequence of its non-blank lines, each hashed without white space at its ends.
 Winnowing selects, in every window of ``run`` lines, the line with the least hash (the rightmost
 of equal ones): any run of that many lines is guaranteed to hold the same selected line wherever
-it occurs. Selected lines that occur once are dropped by a count; the positions of the others are
-extended line by line to both sides into all runs for which they stand, runs with equal hashes
-meet, and all but the first in order of document and line are deleted. Overlapping deleted runs
-unite, so longer repeats go as a whole.
+it occurs. Every run is hashed and written with its selected line, as a window of two lines leaves
+nothing sparse; selection only drops the runs whose selected line occurs once, by a count. The
+other runs meet by equal hashes, and all but the first in order of document and line are deleted.
+Overlapping deleted runs unite, so longer repeats go as a whole. No match is walked to its ends.
 """
 
 from __future__ import annotations
@@ -52,8 +52,8 @@ def selected(hashes: np.ndarray, run: int) -> np.ndarray:
 def fingerprints(docs: DataFrame, run: int, key: str, text: str, alone: int | None = None) -> DataFrame:
     """``(key, at, line, start, h1, h2, lone)``: for each run its selected line and its hash.
 
-    ``line`` is the hash of the selected line and ``at`` its place; the runs that share a line
-    are its extensions to both sides. ``lone`` marks the lines of ``alone`` words or more, which
+    ``line`` is the hash of the selected line and ``at`` its place; a row stands for each run, not
+    for each selected line. ``lone`` marks the lines of ``alone`` words or more, which
     are runs by themselves.
     """
     importable(docs.sparkSession)
