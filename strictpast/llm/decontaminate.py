@@ -6,7 +6,9 @@ are read in windows of fitting size: twice the largest item of the partition, ov
 half, so that any passage as long as an item lies in one of them. There, a contained item is
 at a similarity of at least 0.8 / 4.2, and a MinHash index of single rows misses it with
 probability 0.81 ** HASHES, some 1e-12. Every candidate is verified: the share of the item's
-shingles that the whole document holds is counted exactly.
+shingles that the whole document holds is counted exactly. An item of fewer words than a shingle
+has, if asked for, its whole word sequence as its only shingle, which is looked up among the
+document's runs of that many words.
 
 Items are broadcast in blocks of bounded size; a larger benchmark takes several passes.
 """
@@ -44,13 +46,24 @@ def shingles(data: np.ndarray, offsets: np.ndarray, words: int) -> tuple[np.ndar
 class Index:
     """MinHash index of a block of items."""
 
-    def __init__(self, texts: list[str | None], words: int, hashes: int = HASHES):
+    def __init__(self, texts: list[str | None], words: int, hashes: int = HASHES, short: bool = False):
         self.words, self.odd = words, odd_numbers(hashes, 8)
         self.salts = odd_numbers(hashes, 9)
         self.sets: list[np.ndarray] = []
-        for _, data, offsets in blocks(pa.array(texts, pa.string())):
+        brief: dict[int, list[tuple[int, int]]] = {}
+        for row, data, offsets in blocks(pa.array(texts, pa.string())):
             found, first = shingles(data, offsets, words)
             self.sets += [np.unique(found[a:b]) for a, b in zip(first[:-1], first[1:])]
+            counts = np.diff(pieces(data, offsets, WHITE)[0])
+            for n in np.unique(counts[(counts > 0) & (counts < words)]).tolist() if short else []:
+                found, first = shingles(data, offsets, n)
+                items = np.flatnonzero(counts == n)
+                brief.setdefault(n, []).extend(zip(found[first[items]].tolist(), (row + items).tolist()))
+        #: Items of fewer words than a shingle by their number of words: sorted hashes, items.
+        self.brief = {}
+        for n, pairs in brief.items():
+            pairs.sort()
+            self.brief[n] = (np.array([h for h, _ in pairs], np.uint64), np.array([i for _, i in pairs], np.int64))
         self.sizes = np.array([len(s) for s in self.sets], np.int64)
         there = np.flatnonzero(self.sizes)
         self.vocabulary = np.unique(np.concatenate([np.empty(0, np.uint64), *self.sets]))
@@ -62,6 +75,8 @@ class Index:
             owner = np.repeat(items, len(self.odd))
             order = np.argsort(keys, kind="stable")
             self.partitions[c] = (keys[order], owner[order])
+        for _, items in self.brief.values():
+            self.sizes[items] = 1
 
     def _signature(self, members: np.ndarray) -> np.ndarray:
         return mix((members[:, None] * self.odd).min(axis=0) + self.salts)
@@ -99,6 +114,14 @@ class Index:
                 shared = len(np.intersect1d(held, self.sets[i], assume_unique=True))
                 if 100 * shared >= percent * self.sizes[i]:
                     yield t, i, shared
+        for n, (keys, items) in self.brief.items():
+            found, first = shingles(data, offsets, n)
+            place = np.minimum(np.searchsorted(keys, found), len(keys) - 1)
+            hits = np.flatnonzero(keys[place] == found)
+            text = np.searchsorted(first, hits, "right") - 1
+            for t, a in np.unique(np.stack([text, place[hits]]), axis=1).T.tolist():
+                for i in items[a : np.searchsorted(keys, keys[a], "right")].tolist():
+                    yield t, i, 1
 
 
 def item_blocks(items: DataFrame, key: str, text: str, limit: int) -> Iterator[list]:
@@ -113,14 +136,14 @@ def item_blocks(items: DataFrame, key: str, text: str, limit: int) -> Iterator[l
 
 def with_leaks(
     docs: DataFrame, items: DataFrame, text: str = "text", item_key: str = "item_id", item_text: str = "text",
-    words: int = WORDS, percent: int = PERCENT, limit: int = ITEM_BYTES,
+    words: int = WORDS, percent: int = PERCENT, limit: int = ITEM_BYTES, short: bool = False,
 ) -> DataFrame:
     """``docs`` with ``leaks``: the items that each text contains, in order of items.
 
     An entry has ``item_key``, ``n_item`` (distinct shingles of the item) and ``n_shared`` (how
     many of them the text holds, at least ``percent`` in a hundred). Shingles are ``words``
-    lower-cased (A-Z) words. Null and short texts contain nothing and items of fewer words are
-    in no text; items of one key are told each. A column ``leaks`` in ``docs`` is replaced; empty tables
+    lower-cased (A-Z) words. Items of fewer words are in no text, or with ``short`` in each that
+    holds their words in a row: these are their only shingle. Null texts contain nothing; items of one key are told each. A column ``leaks`` in ``docs`` is replaced; empty tables
     give empty results. No shuffle: one pass over ``docs`` for each block of items.
     """
     spark = docs.sparkSession
@@ -130,7 +153,7 @@ def with_leaks(
     out = kept.withColumn(LEAKS, F.array().cast(T.ArrayType(entry)))
     for rows in item_blocks(items, item_key, item_text, limit):
         if rows:
-            index = spark.sparkContext.broadcast((Index([r[1] for r in rows], words), [r[0] for r in rows]))
+            index = spark.sparkContext.broadcast((Index([r[1] for r in rows], words, short=short), [r[0] for r in rows]))
             out = _one_pass(out, index, text, item_key, percent, out.schema)
     return out.withColumn(LEAKS, F.array_sort(LEAKS))
 
@@ -156,6 +179,6 @@ def contaminations(docs: DataFrame, items: DataFrame, key: str = "doc_id", item_
     return found.select(key, F.explode(LEAKS).alias("_leak")).select(key, "_leak.*")
 
 
-def clean_documents(docs: DataFrame, items: DataFrame) -> DataFrame:
+def clean_documents(docs: DataFrame, items: DataFrame, short: bool = False) -> DataFrame:
     """Pipeline stage: the documents that contain no item."""
-    return with_leaks(docs, items).where(F.size(LEAKS) == 0).select(*docs.columns)
+    return with_leaks(docs, items, short=short).where(F.size(LEAKS) == 0).select(*docs.columns)

@@ -286,6 +286,27 @@ def test_leaks_equal_brute_force(spark):
     assert decontaminate.contaminations(docs.limit(0), bench).count() == 0
 
 
+def test_short_items_are_found_whole(spark):
+    r = np.random.default_rng(17)
+    items = [["Ab"], ["ab"], ["b", "c"], ["c", "b"], ["w1", "w2", "w3"], ["w1", "w1", "w1", "w1"], random_text(r, 5), [], random_text(r, 20)]
+    texts = [None, "", "ab", "AB b\nC", "c", "w1 w2", "w1 w2 w3 w1 w2 w3", "w1 " * 5, "abc", "b", "c b", " ".join(items[8]) + " w1 w2  w3"]
+    texts += [" ".join(r.choice(["ab", "b", "c", "w1", "w2", "w3"], r.integers(0, 12))) for _ in range(60)]
+    bench = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(items)] + [(90, None)], "item_id long, text string")
+    want = Counter()
+    for i, t in enumerate(texts):
+        for k, item in enumerate(items):
+            n = min(len(item), 5)
+            q, mine = shingles(" ".join(item), 5), shingles(t, n, short=False) if n else set()
+            if q and 100 * len(q & mine) >= 80 * len(q):
+                want[i, k, len(q), len(q & mine)] += 1
+    for limit in (decontaminate.ITEM_BYTES, 20):
+        got = decontaminate.contaminations(frame(spark, texts), bench, limit=limit, short=True)
+        assert Counter(tuple(x) for x in got.collect()) == want
+    clean = decontaminate.clean_documents(frame(spark, texts), bench, short=True)
+    assert {x.doc_id for x in clean.collect()} == set(range(len(texts))) - {k[0] for k in want}
+    assert {k[1] for k in want} == {0, 1, 2, 3, 4, 5, 8}
+
+
 def test_vectors_equal_brute_force(spark, monkeypatch):
     monkeypatch.setattr(embedding_dedup, "BLOCK", 60)
     r = np.random.default_rng(8)
