@@ -6,18 +6,22 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from strictpast.llm import (
+    centroids,
     chat_snapshots,
     decontaminate,
     embedding_dedup,
     language_mixture,
     line_dedup,
     minhash_dedup,
+    mixing,
     sentencepiece_codec,
     suffix_dedup,
     token_counts,
     token_files,
+    whitening,
 )
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -105,3 +109,24 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links and components of all embeddings at a cosine of 0.9."""
     return embedding_dedup.near_vectors(table(spark, sf_dir, "embeddings"), 0.9)
+
+
+@query
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All embeddings on the four leading components of their grid vectors."""
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op12_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents mixed by source; those labelled good come first, those labelled bad last."""
+    labels = table(spark, sf_dir, "labels")
+    quality = labels.select("doc_id", F.when(F.col("quality") > 0, 2.0).when(F.col("quality") == 0, 0.5).otherwise(1.0).alias("weight"))
+    return mixing.mix_sources(table(spark, sf_dir, "documents"), quality=quality)
+
+
+@query
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All embeddings in eight clusters after ten rounds."""
+    clusters, centres = centroids.fit_clusters(table(spark, sf_dir, "embeddings"))
+    return centroids.with_inertia(clusters, centres)
