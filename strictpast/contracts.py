@@ -108,6 +108,14 @@ METRICS = table(
 )
 
 
+LABELS = table(
+    "date date, ticker string, horizon int, label_end date, forward_return double, winsorized_return double"
+)
+
+#: Metadata of columns that know the future; it stays with a column through joins, filters and files.
+LABEL_MARK = {"label": True}
+
+
 def columns_of(contract: T.StructType) -> list[str]:
     return contract.fieldNames()
 
@@ -119,6 +127,14 @@ def require_columns(df: DataFrame, needed: Iterable[str], what: str) -> None:
         raise ContractError(f"{what} missing required columns: {missing}")
 
 
+def refuse_labels(df: DataFrame, what: str) -> None:
+    """Fail while the plan is being built when a column is marked as a label or named like one."""
+    named = {"label_end", "forward_return", "winsorized_return"}
+    labels = sorted(f.name for f in df.schema.fields if f.metadata.get("label") or f.name in named)
+    if labels:
+        raise ContractError(f"{what} may not read labels: {labels}")
+
+
 def require_exact(df: DataFrame, contract: T.StructType, what: str) -> None:
     """Fail unless ``df`` has exactly the contract's columns in the contract's order."""
     expected = columns_of(contract)

@@ -9,7 +9,7 @@ from typing import ClassVar
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strictpast.contracts import FACTOR, conform, require_columns
+from strictpast.contracts import FACTOR, conform, refuse_labels, require_columns
 from strictpast.functions import is_finite
 from strictpast.operators.cross_section import winsorize, zscore
 from strictpast.operators.fingerprint import fingerprint
@@ -71,6 +71,7 @@ class Factor(ABC):
         instead of repeating the per-ticker windows.
         """
         require_columns(panel, self.required, f"panel for {self.name}")
+        refuse_labels(panel, f"factor {self.name}")
         context = context or FactorContext()
         values = stage(self.raw(panel, context), f"raw-{self.name}")
         scored = zscore(winsorize(values, "raw_value", "winsorized_value"), "winsorized_value", "zscore_value")

@@ -955,3 +955,6 @@ oracle(
     """SELECT artifact_id, candidate_id, artifact_type, path, checksum FROM artifacts
 ORDER BY o_orderdate DESC, artifact_id DESC LIMIT 4""",
 )
+
+# Registers its SQL in PARTS and ORACLE.
+from strictpast.testbed import evaluation_oracle  # noqa: E402, F401

@@ -686,4 +686,7 @@ def recent_ledger_rows(t: Tables) -> DataFrame:
     return rows.select("artifact_id", "candidate_id", "artifact_type", "path", "checksum")
 
 
+# Registers its queries in QUERIES and uses the helpers above.
+from strictpast.testbed import evaluation_queries  # noqa: E402, F401
+
 __all__ = ["QUERIES"]
