@@ -116,6 +116,9 @@ LABELS = table(
 LABEL_MARK = {"label": True}
 
 
+RUN_MARKS = table("experiment_id string, created_at timestamp")
+
+
 def columns_of(contract: T.StructType) -> list[str]:
     return contract.fieldNames()
 

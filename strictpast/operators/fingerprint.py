@@ -68,13 +68,20 @@ def _present(spark: SparkSession, paths: Sequence[str]) -> list[str]:
     return [p for p, at in found if at.getFileSystem(conf).exists(at)]
 
 
-def artifact_checksums(spark: SparkSession, *roots: str) -> DataFrame:
+#: Bytes above which a part file does not fit into one value, and how its dataset's checksum begins.
+PART_LIMIT = 2_000_000_000
+TOO_LARGE = "<part too large: "
+
+
+def artifact_checksums(spark: SparkSession, *roots: str, part_limit: int = PART_LIMIT) -> DataFrame:
     """Dataset checksum of every written artifact under ``roots``: ``(path, checksum)``.
 
     Roots that are gone are left out. One scan hashes all part files where they lie. They are folded per dataset directory by
     a commutative sum, so the result does not depend on part file names and no list of parts
     is gathered. Artifacts that are gone give no row. Part files the file system itself
-    finds damaged count as changed, they do not stop the job. A part file must stay below 2 GB.
+    finds damaged count as changed, they do not stop the job. A part file above ``part_limit``
+    bytes is not read: its dataset's checksum names it instead, and never verifies. Sinks bound
+    the rows of a part, so that only foreign files are that large.
     """
     there = _present(spark, roots)
     if not there:
@@ -94,10 +101,14 @@ def artifact_checksums(spark: SparkSession, *roots: str) -> DataFrame:
     ]
     digest = F.sha2(F.concat_ws("|", F.count("*").cast("string"), *pieces), 256)
     hashed = (
-        parts.select(dataset, F.sha2("content", 256).alias("h"))
+        # Lengths are known from listing, so the content of a larger part is never loaded.
+        parts.where(F.col("length") <= part_limit)
+        .select(dataset, F.sha2("content", 256).alias("h"))
         .groupBy("path")
         .agg(digest.alias("checksum"))
     )
     # Listing reads no contents, so it also names datasets without a single readable part.
-    listed = parts.select(dataset).distinct()
-    return listed.join(hashed, "path", "left").fillna(UNREADABLE, ["checksum"])
+    name = F.when(F.col("length") > part_limit, F.element_at(F.split("path", "/"), -1))
+    listed = parts.select(dataset, name.alias("name")).groupBy("path").agg(F.min("name").alias("large"))
+    told = F.coalesce(F.concat(F.lit(TOO_LARGE), "large", F.lit(">")), "checksum", F.lit(UNREADABLE))
+    return listed.join(hashed, "path", "left").select("path", told.alias("checksum"))

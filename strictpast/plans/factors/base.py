@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from abc import ABC, abstractmethod
+from collections.abc import Sequence
 from dataclasses import dataclass
 from typing import ClassVar
 
@@ -83,6 +84,7 @@ class Factor(ABC):
         )
 
     def _flag(self, scored: DataFrame) -> DataFrame:
+        """Validity and tradability of scored rows."""
         measured = ("raw_value", "winsorized_value", "zscore_value")
         finite = is_finite(F.col(measured[0])) & is_finite(F.col(measured[1])) & is_finite(F.col(measured[2]))
         valid = finite & F.col("invalid_reason").isNull()
@@ -95,8 +97,14 @@ class Factor(ABC):
             }
         ).drop("eligible")
 
-    def diagnostics(self, factor_out: DataFrame, context: FactorContext | None = None) -> DataFrame:
-        """(section, item, value) rows; a handful, whatever the factor's size."""
+    def diagnostics(
+        self, factor_out: DataFrame, context: FactorContext | None = None, values: DataFrame | None = None
+    ) -> DataFrame:
+        """(section, item, value) rows; a handful, whatever the factor's size.
+
+        ``values`` are the staged raw values if the caller has them: what :meth:`raw` found on
+        the way need not be found again.
+        """
         return invalid_reason_counts(factor_out).select(
             F.lit("invalid_reason_counts").alias("section"),
             F.col("invalid_reason").alias("item"),
@@ -104,6 +112,44 @@ class Factor(ABC):
         )
 
 
+@dataclass(frozen=True)
+class Computed:
+    """A factor's table and the staged raw values it was made of."""
+
+    table: DataFrame
+    values: DataFrame
+
+
+def compute_all(factors: Sequence[Factor], panel: DataFrame, context: FactorContext | None = None) -> dict[str, Computed]:
+    """Several factors over one stored panel, standardized together.
+
+    Raw values are staged once for each factor and stacked; winsorizing and z-scores then run once over
+    (date, factor) groups, whatever the number of factors. Each table equals that of :meth:`Factor.compute`.
+    """
+    context = context or FactorContext()
+    raws: dict[str, DataFrame] = {}
+    stacked: DataFrame | None = None
+    for factor in factors:
+        if factor.name in raws:
+            raise ValueError(f"factor {factor.name} is asked for twice")
+        require_columns(panel, factor.required, f"panel for {factor.name}")
+        refuse_labels(panel, f"factor {factor.name}")
+        raws[factor.name] = stage(factor.raw(panel, context), f"raw-{factor.name}")
+        one = raws[factor.name].select("date", "ticker", "raw_value", "invalid_reason", "eligible", F.lit(factor.name).alias("factor_name"))
+        stacked = one if stacked is None else stacked.unionByName(one)
+    if stacked is None:
+        raise ValueError("no factor is asked for")
+    group = ["date", "factor_name"]
+    scored = zscore(winsorize(stacked, "raw_value", "winsorized_value", by=group), "winsorized_value", "zscore_value", by=group)
+    scored = stage(scored, "scored-factors")
+    out = {}
+    for factor in factors:
+        flagged = factor._flag(scored.where(F.col("factor_name") == factor.name))
+        snapshot = fingerprint(flagged, SNAPSHOT_COLUMNS).scalar()
+        out[factor.name] = Computed(conform(flagged.withColumn("feature_snapshot_id", snapshot), FACTOR), raws[factor.name])
+    return out
+
+
 def eligibility(panel: DataFrame) -> Column:
     """The panel's eligibility; everything is eligible when it has no such column."""
     if "eligible_flag" not in panel.columns:

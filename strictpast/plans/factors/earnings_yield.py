@@ -41,6 +41,8 @@ class EarningsYield(Factor):
             F.when(reason.isNull(), ratio).alias("raw_value"),
             reason.alias("invalid_reason"),
             "eligible",
+            "latest_lag_days",
+            "oldest_lag_days",
         )
 
     def lags(self, factor_out: DataFrame, context: FactorContext) -> DataFrame:
@@ -50,8 +52,12 @@ class EarningsYield(Factor):
             "date", "ticker", "latest_lag_days", "oldest_lag_days"
         )
 
-    def diagnostics(self, factor_out: DataFrame, context: FactorContext | None = None) -> DataFrame:
+    def diagnostics(
+        self, factor_out: DataFrame, context: FactorContext | None = None, values: DataFrame | None = None
+    ) -> DataFrame:
         rows = super().diagnostics(factor_out, context)
+        if values is not None:
+            return rows.unionByName(lag_distribution(values))
         if context is None or context.fundamentals is None:
             return rows
         return rows.unionByName(lag_distribution(self.lags(factor_out, context)))

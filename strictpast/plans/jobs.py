@@ -12,7 +12,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strictpast.contracts import DAILY_BARS, INDEX_MEMBERSHIP, columns_of, require_columns
+from strictpast.contracts import CANDIDATES, DAILY_BARS, EXPERIMENTS, INDEX_MEMBERSHIP, columns_of, require_columns
 from strictpast.operators import quality
 from strictpast.operators.fingerprint import artifact_checksums
 from strictpast.plans import fundamentals as fund
@@ -20,8 +20,8 @@ from strictpast.plans import membership as idx
 from strictpast.plans import reports, securities
 from strictpast.plans.bars import daily_bars
 from strictpast.plans.factors import REGISTRY, FactorContext
-from strictpast.plans.factors.base import diagnostics_dict
-from strictpast.plans.ledger import Ledger, append_ledger, open_ledger, verify
+from strictpast.plans.factors.base import compute_all, diagnostics_dict
+from strictpast.plans.ledger import Ledger, append_ledger, begin_run, commit_run, open_ledger, verify
 from strictpast.plans.panel import REPEATED_KEY, UniverseRules, build_panel, for_members
 from strictpast.session import stage
 from strictpast.sinks import writers
@@ -73,86 +73,74 @@ def land_bars(
     return bars
 
 
-def run_slice(
-    spark: SparkSession,
-    bars: DataFrame,
-    out: str,
-    ledger_root: str,
-    run: RunInfo,
-    factor: str = "mom_12_1",
-    context: FactorContext | None = None,
-    rules: UniverseRules = UniverseRules(),
-    label: str = "slice",
-    stored: bool = False,
-) -> SliceResult:
-    """Panel -> factor -> checksums -> one experiment, one candidate, two artifacts.
-
-    The factor reads the written panel, so the artifact is what was computed on. Pass
-    ``stored`` when ``bars`` is already a plain table on storage.
-    """
+def _stored_panel(spark: SparkSession, bars: DataFrame, path: str, rules: UniverseRules, stored: bool) -> tuple[DataFrame, str]:
+    """Build, write and reread the panel; with it its one snapshot id."""
     require_columns(bars, columns_of(DAILY_BARS), "bars")
     if not stored:
         # Fingerprinted and swept: derived bars would be computed once per pass.
         bars = stage(bars, "bars")
     if bars.isEmpty():
         raise ValueError("no bars for the requested universe")
-    spec = REGISTRY[factor]
-    panel_path = f"{out}/daily_panel_{label}"
-    factor_path = f"{out}/factor_{factor}_{label}"
     try:
-        writers.write_slice(build_panel(bars, rules, check_keys=True), panel_path)
+        writers.write_slice(build_panel(bars, rules, check_keys=True), path)
     except (PySparkException, Py4JJavaError) as error:
         if REPEATED_KEY in str(error):
             raise quality.QualityError(REPEATED_KEY) from error
         raise
-    panel = read_panel(spark, panel_path)
-
-    # Computed once: its diagnostics and its file read the same stored rows.
-    computed = stage(spec.compute(panel, context), "factor")
-    notes = diagnostics_dict(spec.diagnostics(computed, context))
-    writers.write_factor(computed, factor_path, notes)
-    counters = reports.slice_counters(spark.read.parquet(factor_path)).first()
+    panel = read_panel(spark, path)
     stamps = [r.data_snapshot_id for r in snapshot_of(panel).limit(2).collect()]
     if len(stamps) != 1:
         raise quality.QualityError(f"a panel has one snapshot id, this one {stamps}")
-    snapshot = stamps[0]
+    return panel, stamps[0]
+
+
+def run_slices(
+    spark: SparkSession,
+    bars: DataFrame,
+    out: str,
+    ledger_root: str,
+    run: RunInfo,
+    factors: Sequence[str] = ("mom_12_1",),
+    context: FactorContext | None = None,
+    rules: UniverseRules = UniverseRules(),
+    label: str = "slice",
+    stored: bool = False,
+) -> tuple[SliceResult, ...]:
+    """Panel -> factors -> checksums -> one experiment, a candidate for each factor, two artifacts each.
+
+    The factors read one written panel, so the artifact is what was computed on, and are
+    standardized together. All candidates record the same panel. The rows of the run become
+    visible together, after the last append. Pass ``stored`` when ``bars`` is already a plain
+    table on storage.
+    """
+    specs = [REGISTRY[f] for f in factors]
+    panel_path = f"{out}/daily_panel_{label}"
+    factor_paths = {f: f"{out}/factor_{f}_{label}" for f in factors}
+    panel, snapshot = _stored_panel(spark, bars, panel_path, rules, stored)
+    counters = {}
+    for name, computed in compute_all(specs, panel, context).items():
+        # Computed once: its diagnostics and its file read the same stored rows.
+        table = stage(computed.table, "factor")
+        notes = diagnostics_dict(REGISTRY[name].diagnostics(table, context, computed.values))
+        writers.write_factor(table, factor_paths[name], notes)
+        counters[name] = reports.slice_counters(spark.read.parquet(factor_paths[name])).first()
 
     now = datetime.now(timezone.utc)
-    experiment_id, candidate_id = str(uuid.uuid4()), str(uuid.uuid4())
-    append_ledger(
-        spark,
-        ledger_root,
-        "experiments",
-        spark.createDataFrame(
-            [(experiment_id, run.experiment, run.config_hash, run.code_id, now)],
-            "experiment_id string, name string, config_hash string, git_sha string,"
-            " created_at timestamp",
-        ),
-    )
-    append_ledger(
-        spark,
-        ledger_root,
-        "candidates",
-        spark.createDataFrame(
-            [
-                (candidate_id, experiment_id, factor, "deterministic_factor", spec.formula)
-                + (snapshot, "computed", now, now)
-            ],
-            "candidate_id string, experiment_id string, candidate_name string,"
-            " candidate_type string, formula_string string, data_snapshot_id string,"
-            " status string, created_at timestamp, updated_at timestamp",
-        ),
-    )
-    kinds = F.when(F.col("path").endswith(f"/daily_panel_{label}"), "panel").when(
-        F.col("path").endswith(f"/factor_{factor}_{label}"), "factor"
-    )
-    checksums = stage(artifact_checksums(spark, panel_path, factor_path), "checksums")
-    artifacts = checksums.select(
-        F.lit(candidate_id).alias("candidate_id"),
-        kinds.alias("artifact_type"),
-        "path",
-        "checksum",
-        F.lit(now).alias("created_at"),
+    experiment_id, candidate_ids = str(uuid.uuid4()), {f: str(uuid.uuid4()) for f in factors}
+    begin_run(spark, ledger_root, experiment_id)
+    experiment = (experiment_id, run.experiment, run.config_hash, run.code_id, now)
+    append_ledger(spark, ledger_root, "experiments", spark.createDataFrame([experiment], EXPERIMENTS))
+    candidates = [
+        (candidate_ids[f.name], experiment_id, f.name, "deterministic_factor", f.formula, snapshot, "computed", now, now)
+        for f in specs
+    ]
+    append_ledger(spark, ledger_root, "candidates", spark.createDataFrame(candidates, CANDIDATES))
+    checksums = stage(artifact_checksums(spark, panel_path, *factor_paths.values()), "checksums")
+    owned = [(candidate_ids[f], kind, path.rsplit("/", 1)[1]) for f in factors for kind, path in (("panel", panel_path), ("factor", factor_paths[f]))]
+    owners = spark.createDataFrame(owned, "candidate_id string, artifact_type string, folder string")
+    named = checksums.withColumn("folder", F.element_at(F.split("path", "/"), -1))
+    artifacts = named.join(owners, "folder").select(
+        "candidate_id", "artifact_type", "path", "checksum", F.lit(now).alias("created_at")
     )
     # A stable id per artifact: a recomputed task must not make a different one.
     artifact_id = F.sha2(F.concat_ws("|", "candidate_id", "artifact_type", "path"), 256)
@@ -160,18 +148,28 @@ def run_slice(
         "-", *(F.substring(artifact_id, p, n) for p, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12)))
     )
     append_ledger(spark, ledger_root, "artifacts", artifacts.withColumn("artifact_id", as_uuid))
-    return SliceResult(
-        experiment_id,
-        candidate_id,
-        panel_path,
-        factor_path,
-        counters["panel_rows"],
-        counters["valid_rows"],
-        counters["tradable_rows"],
-        snapshot,
+    commit_run(spark, ledger_root, experiment_id)
+    return tuple(
+        SliceResult(experiment_id, candidate_ids[f], panel_path, factor_paths[f], *counters[f][:3], snapshot) for f in factors
     )
 
 
+def run_slice(
+    spark: SparkSession,
+    bars: DataFrame,
+    out: str,
+    ledger_root: str,
+    run: RunInfo,
+    factor: str = "mom_12_1",
+    context: FactorContext | None = None,
+    rules: UniverseRules = UniverseRules(),
+    label: str = "slice",
+    stored: bool = False,
+) -> SliceResult:
+    """:func:`run_slices` of one factor."""
+    return run_slices(spark, bars, out, ledger_root, run, (factor,), context, rules, label, stored)[0]
+
+
 def verify_candidate(
     spark: SparkSession,
     ledger_root: str,
@@ -246,16 +244,20 @@ def reconstruct_membership(
     updates: DataFrame | None = None,
     adds: DataFrame | None = None,
     deletes: DataFrame | None = None,
+    ordered: DataFrame | None = None,
 ) -> DataFrame:
-    """Published tables -> patched membership intervals."""
+    """Published tables -> patched membership intervals; ``ordered`` patches come last."""
     current = index_pages.normalize_current(current_page)
     changes = index_pages.normalize_changes(changes_page)
     intervals, _ = idx.membership_intervals(current, changes)
     enriched = idx.enrich_intervals(intervals, current, changes)
-    return idx.apply_patches(enriched, updates, adds, deletes)
+    patched = idx.apply_patches(enriched, updates, adds, deletes)
+    return patched if ordered is None else idx.fold_patches(patched, ordered)
 
 
-def publish_membership(membership: DataFrame, changes: DataFrame, out: str, min_rows: int = 640) -> None:
+def publish_membership(
+    membership: DataFrame, changes: DataFrame, out: str, min_rows: int = 640, code_id: str | None = None
+) -> None:
     """Check, write, and record a membership snapshot."""
     require_columns(membership, columns_of(INDEX_MEMBERSHIP), "membership")
     membership = stage(membership, "membership")
@@ -264,7 +266,8 @@ def publish_membership(membership: DataFrame, changes: DataFrame, out: str, min_
     quality.enforce_empty(floors, "membership below its floors")
     writers.write_membership(membership, f"{out}/index_membership")
     membership = read_membership(membership.sparkSession, f"{out}/index_membership")
-    writers.append_manifest(writers.membership_manifest(membership, changes), f"{out}/snapshot_manifest")
+    manifest = writers.membership_manifest(membership, changes)
+    writers.append_manifest(manifest, f"{out}/snapshot_manifest", f"{out}/index_membership", code_id)
 
 
 def fundamentals_snapshot(
@@ -286,20 +289,28 @@ def fundamentals_snapshot(
 
 
 def publish_fundamentals(
-    filings: DataFrame, out: str, min_rows: int = 10_000, min_tickers: int = 500
+    filings: DataFrame,
+    out: str,
+    min_rows: int = 10_000,
+    min_tickers: int = 500,
+    code_id: str | None = None,
+    universe: DataFrame | None = None,
 ) -> None:
+    """Check, write, and record a filings snapshot; with ``universe`` also whom it does not cover."""
     filings = stage(filings, "filings")
     quality.enforce(filings, quality.filing_rules(), "fundamentals")
     floors = quality.snapshot_floors(filings, min_rows, min_tickers).where(~F.col("ok"))
     quality.enforce_empty(floors, "fundamentals below their floors")
     writers.write_fundamentals(filings, f"{out}/fundamentals")
     filings = read_fundamentals(filings.sparkSession, f"{out}/fundamentals")
-    writers.append_manifest(writers.fundamentals_manifest(filings), f"{out}/snapshot_manifest")
+    manifest = writers.fundamentals_manifest(filings, universe)
+    writers.append_manifest(manifest, f"{out}/snapshot_manifest", f"{out}/fundamentals", code_id)
 
 
 def publish_ticker_metadata(
-    metadata: DataFrame, out: str, min_rows: int = 500, min_delisted: int = 50
+    metadata: DataFrame, out: str, min_rows: int = 500, min_delisted: int = 50, code_id: str | None = None
 ) -> None:
+    """Check, write, and record a snapshot of ticker metadata."""
     metadata = stage(metadata, "metadata")
     quality.enforce_empty(quality.duplicate_keys(metadata, ["ticker"]), "duplicate tickers")
     quality.enforce(metadata, quality.metadata_rules(), "ticker metadata")
@@ -307,4 +318,5 @@ def publish_ticker_metadata(
     quality.enforce_empty(floors, "ticker metadata below its floors")
     writers.write_ticker_metadata(metadata, f"{out}/ticker_metadata")
     metadata = read_ticker_metadata(metadata.sparkSession, f"{out}/ticker_metadata")
-    writers.append_manifest(writers.metadata_manifest(metadata), f"{out}/snapshot_manifest")
+    manifest = writers.metadata_manifest(metadata)
+    writers.append_manifest(manifest, f"{out}/snapshot_manifest", f"{out}/ticker_metadata", code_id)

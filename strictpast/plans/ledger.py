@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strictpast.contracts import ARTIFACTS, CANDIDATES, EXPERIMENTS, METRICS, conform
+from strictpast.contracts import ARTIFACTS, CANDIDATES, EXPERIMENTS, METRICS, RUN_MARKS, conform
 from strictpast.operators import quality
 from strictpast.session import stage
 
@@ -18,6 +18,8 @@ TABLES: dict[str, T.StructType] = {
     "candidates": CANDIDATES,
     "artifacts": ARTIFACTS,
     "metrics": METRICS,
+    "begun": RUN_MARKS,
+    "commits": RUN_MARKS,
 }
 PARENTS = {
     "candidates": ("experiments", "experiment_id"),
@@ -61,7 +63,30 @@ def read_table(spark: SparkSession, root: str, table: str) -> DataFrame:
 
 
 def open_ledger(spark: SparkSession, root: str) -> Ledger:
-    return Ledger(*(read_table(spark, root, t) for t in ("experiments", "candidates", "artifacts")))
+    """The ledger without runs that were begun and not committed, so no half run is ever seen."""
+    experiments, candidates, artifacts = (read_table(spark, root, t) for t in ("experiments", "candidates", "artifacts"))
+    half = read_table(spark, root, "begun").join(read_table(spark, root, "commits"), "experiment_id", "left_anti")
+    hidden = candidates.join(half, "experiment_id", "left_semi").select("candidate_id")
+    return Ledger(
+        experiments.join(half, "experiment_id", "left_anti"),
+        candidates.join(half, "experiment_id", "left_anti").select(*candidates.columns),
+        artifacts.join(hidden, "candidate_id", "left_anti").select(*artifacts.columns),
+    )
+
+
+def _mark(spark: SparkSession, root: str, table: str, experiment_id: str) -> None:
+    row = spark.range(1).select(F.lit(experiment_id).alias("experiment_id"), F.current_timestamp().alias("created_at"))
+    conform(row, RUN_MARKS).coalesce(1).write.mode("append").parquet(f"{root}/{table}")
+
+
+def begin_run(spark: SparkSession, root: str, experiment_id: str) -> None:
+    """Announce a run: what is appended under its experiment stays hidden until it is committed."""
+    _mark(spark, root, "begun", experiment_id)
+
+
+def commit_run(spark: SparkSession, root: str, experiment_id: str) -> None:
+    """Make all rows of an announced run visible at once; the last write of a run."""
+    _mark(spark, root, "commits", experiment_id)
 
 
 def append_ledger(spark: SparkSession, root: str, table: str, rows: DataFrame) -> None:

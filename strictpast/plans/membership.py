@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from datetime import date
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from strictpast.contracts import INDEX_MEMBERSHIP, columns_of, conform
+from strictpast.contracts import INDEX_MEMBERSHIP, columns_of, conform, table
 from strictpast.functions import covers, is_weekday
 
 _ADD, _REMOVE = 0, 1
@@ -138,6 +139,71 @@ def apply_patches(
     return out.select(*columns_of(INDEX_MEMBERSHIP))
 
 
+#: Ordered patches: what to do, to which rows of a ticker, and the new value of a field as text.
+PATCHES = table("position int, op string, ticker string, date_added date, date_removed date, field string, value string")
+UPDATE, ADD, DELETE = "update", "add", "delete"
+
+
+def _folded(df: DataFrame, patches: DataFrame) -> DataFrame:
+    """``(ticker, rows, hit, asked)``: a patched ticker's rows after its patches, in order of position."""
+    fields = INDEX_MEMBERSHIP.fields
+    whole = F.struct(*(F.col(f.name) for f in fields))
+    rows = conform(df, INDEX_MEMBERSHIP).groupBy("ticker").agg(F.collect_list(whole).alias("rows"))
+    lists = conform(patches, PATCHES).groupBy("ticker").agg(F.sort_array(F.collect_list(F.struct(*(F.col(n) for n in columns_of(PATCHES))))).alias("patches"))
+    kind = T.ArrayType(INDEX_MEMBERSHIP)
+
+    def step(state: Column, p: Column) -> Column:
+        def meant(row: Column) -> Column:
+            same = F.lit(True)
+            for name in ("date_added", "date_removed"):
+                same &= p[name].isNull() | F.coalesce(row[name] == p[name], F.lit(False))
+            return same
+
+        def renewed(row: Column) -> Column:
+            new = [F.when(p["field"] == f.name, p["value"].try_cast(f.dataType)).otherwise(row[f.name]).alias(f.name) for f in fields]
+            return F.when(meant(row), F.struct(*new)).otherwise(row)
+
+        given = ("ticker", "date_added", "date_removed")
+        fresh = F.struct(*((p[f.name] if f.name in given else F.lit(None)).cast(f.dataType).alias(f.name) for f in fields))
+        known = F.exists(state["rows"], meant)
+        rows = (
+            F.when(p["op"] == ADD, F.concat(state["rows"], F.array(fresh)))
+            .when(p["op"] == DELETE, F.filter(state["rows"], lambda r: ~meant(r)))
+            .when(p["op"] == UPDATE, F.transform(state["rows"], renewed))
+            .otherwise(state["rows"])
+        )
+        # A field that the table lacks changes nothing.
+        usable = (p["op"] != UPDATE) | F.coalesce(p["field"].isin(*INDEX_MEMBERSHIP.fieldNames()), F.lit(False))
+        done = (p["op"] == ADD) | (p["op"].isin(UPDATE, DELETE) & known & usable)
+        hit = F.when(F.coalesce(done, F.lit(False)), F.concat(state["hit"], F.array(p["position"]))).otherwise(state["hit"])
+        return F.struct(rows.cast(kind).alias("rows"), hit.alias("hit"))
+
+    start = F.struct(F.coalesce(F.col("rows"), F.array()).cast(kind).alias("rows"), F.array().cast("array<int>").alias("hit"))
+    met = lists.join(rows, "ticker", "left")
+    return met.select("ticker", F.aggregate("patches", start, step).alias("s"), F.col("patches.position").alias("asked")).select("ticker", "s.*", "asked")
+
+
+def fold_patches(df: DataFrame, patches: DataFrame) -> DataFrame:
+    """An ordered list of corrections, applied one after the other.
+
+    ``patches`` has ``PATCHES`` columns. ``update`` sets one field, ``delete`` drops, on those rows of the ticker
+    that have the patch's days where it names some (as rows are at that point of the list); ``add`` puts
+    a new row with ticker and days, whose other fields later updates set. Values are text, read in the field's type;
+    null empties a field. Only tickers with a patch are gathered, and a ticker has few intervals
+    and few patches; all other rows pass by.
+    """
+    touched = patches.select("ticker").distinct()
+    rest = conform(df, INDEX_MEMBERSHIP).join(touched, "ticker", "left_anti").select(*columns_of(INDEX_MEMBERSHIP))
+    return rest.unionByName(_folded(df, patches).select(F.inline("rows")))
+
+
+def unmatched_patches(df: DataFrame, patches: DataFrame) -> DataFrame:
+    """The patches that met no row, or name a field or an operation that is none, in ``PATCHES`` columns."""
+    found = _folded(df, patches)
+    idle = found.select("ticker", F.explode(F.array_except("asked", "hit")).alias("position"))
+    return conform(patches, PATCHES).join(idle, ["ticker", "position"], "left_semi").select(*columns_of(PATCHES))
+
+
 def patch_counts(df: DataFrame, updates: DataFrame, adds: DataFrame, deletes: DataFrame) -> DataFrame:
     """Rows touched per kind of patch: (op, rows)."""
     touched = df.join(updates.select("ticker").distinct(), "ticker", "left_semi")

@@ -18,6 +18,8 @@ from strictpast.contracts import (
 from strictpast.operators.fingerprint import fingerprint
 
 DIAGNOSTICS_KEY = "factor_diagnostics"
+#: Rows of one part file, so that it stays far below what a checksum can read at once.
+PART_ROWS = 5_000_000
 # The column whose metadata carries the diagnostics through the Parquet footer.
 DIAGNOSTICS_COLUMN = "raw_value"
 
@@ -28,9 +30,9 @@ def write_slice(panel: DataFrame, path: str, by_year: bool = False) -> None:
     if by_year:
         # Ranges keep a task within a year or two and spread each year over many tasks.
         year = panel.withColumn("year", F.year("date")).repartitionByRange("year", "ticker")
-        year.write.mode("errorifexists").partitionBy("year").parquet(path)
+        year.write.mode("errorifexists").option("maxRecordsPerFile", PART_ROWS).partitionBy("year").parquet(path)
     else:
-        panel.write.mode("errorifexists").parquet(path)
+        panel.write.mode("errorifexists").option("maxRecordsPerFile", PART_ROWS).parquet(path)
 
 
 def write_factor(factor: DataFrame, path: str, diagnostics: dict | None = None) -> None:
@@ -39,7 +41,8 @@ def write_factor(factor: DataFrame, path: str, diagnostics: dict | None = None)
     if diagnostics is not None:
         note = {DIAGNOSTICS_KEY: json.dumps(diagnostics, sort_keys=True)}
         factor = factor.withMetadata(DIAGNOSTICS_COLUMN, note)
-    factor.write.mode("errorifexists").option("compression", "snappy").parquet(path)
+    writer = factor.write.mode("errorifexists").option("compression", "snappy").option("maxRecordsPerFile", PART_ROWS)
+    writer.parquet(path)
 
 
 def read_diagnostics(spark: SparkSession, path: str) -> dict:
@@ -55,8 +58,13 @@ def _manifest(df: DataFrame, name: str, facts: list) -> DataFrame:
     return stats.withColumn("content_sha", fingerprint(df, df.columns).scalar())
 
 
-def fundamentals_manifest(df: DataFrame) -> DataFrame:
-    return _manifest(
+#: Uncovered entities that a manifest names; the count is of all.
+SAMPLE = 10
+
+
+def fundamentals_manifest(df: DataFrame, universe: DataFrame | None = None) -> DataFrame:
+    """One row of facts; with ``universe`` (ticker) also its size and who of it has no filing."""
+    manifest = _manifest(
         df,
         "fundamentals",
         [
@@ -65,6 +73,16 @@ def fundamentals_manifest(df: DataFrame) -> DataFrame:
             F.max("filing_date").alias("last_filing"),
         ],
     )
+    if universe is None:
+        return manifest
+    asked = universe.select("ticker").distinct()
+    bare = asked.join(df.select("ticker").distinct(), "ticker", "left_anti")
+    few = bare.orderBy("ticker").limit(SAMPLE).agg(F.array_join(F.sort_array(F.collect_list("ticker")), ","))
+    return manifest.withColumns({
+        "universe_size": asked.agg(F.count("*")).scalar(),
+        "coverage_failed": bare.agg(F.count("*")).scalar(),
+        "coverage_failed_sample": few.scalar(),
+    })
 
 
 def membership_manifest(df: DataFrame, changes: DataFrame) -> DataFrame:
@@ -87,9 +105,15 @@ def metadata_manifest(df: DataFrame) -> DataFrame:
     )
 
 
-def append_manifest(manifest: DataFrame, path: str) -> None:
-    """Add one snapshot's provenance row, with the time and the code that made it."""
-    manifest.withColumn("written_at", F.current_timestamp()).write.mode("append").json(path)
+def with_provenance(manifest: DataFrame, artifact: str | None, code_id: str | None) -> DataFrame:
+    """A manifest row plus where its data lie and which code made them."""
+    return manifest.withColumns({"artifact_path": F.lit(artifact), "code_id": F.lit(code_id)})
+
+
+def append_manifest(manifest: DataFrame, path: str, artifact: str | None = None, code_id: str | None = None) -> None:
+    """Add one snapshot's provenance row, with the time, the data's path and the code that made it."""
+    row = with_provenance(manifest, artifact, code_id).withColumn("written_at", F.current_timestamp())
+    row.write.mode("append").json(path)
 
 
 def write_fundamentals(df: DataFrame, path: str) -> None:

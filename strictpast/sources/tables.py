@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from strictpast.contracts import (
+    ContractError,
     FUNDAMENTALS,
     INDEX_MEMBERSHIP,
     PANEL,
@@ -114,5 +115,20 @@ def equity_holdings(rows: DataFrame) -> DataFrame:
 def read_holdings(
     spark: SparkSession, path: str, columns: tuple[str, ...] = HOLDINGS_COLUMNS
 ) -> DataFrame:
+    """Equity rows of published holdings files, whose header line lies below a preamble.
+
+    Every file must hold the header line, and it must name ``columns`` in this order: columns that were
+    exchanged would otherwise be read as each other.
+    """
     schema = T.StructType([T.StructField(c, T.StringType()) for c in columns])
-    return equity_holdings(spark.read.schema(schema).option("header", False).csv(path))
+    rows = spark.read.schema(schema).option("header", False).csv(path)
+    cells = F.transform(F.array(*columns), F.trim)
+    right = F.coalesce(cells == F.array(*(F.lit(c) for c in columns)), F.lit(False))
+    # A header line names a column in any of the leading cells.
+    header = F.exists(cells, lambda c: c.isin("Ticker", "Asset Class"))
+    heads = rows.select(F.input_file_name().alias("file"), right.alias("right"), F.coalesce(header, F.lit(False)).alias("header"))
+    files = heads.groupBy("file").agg(F.bool_or("right").alias("ok"), F.bool_or(F.col("header") & ~F.col("right")).alias("other"))
+    wrong = files.where(~F.col("ok") | F.col("other")).select("file").limit(1).collect()
+    if wrong:
+        raise ContractError(f"holdings file without the header {columns}: {wrong[0].file}")
+    return equity_holdings(rows)

@@ -378,6 +378,14 @@ METADATA_KINDS = dict.fromkeys(
     ("ticker", "name", "primary_exchange", "ticker_type", "list_date", "delisted_date", "sic_code", "sic_description", "cik"),
     "text",
 )
+_ABSENT = ("eps_basic", "eps_diluted", "weighted_avg_shares_basic", "weighted_avg_shares_diluted", "common_equity", "total_assets", "operating_cash_flow")
+FILING_KINDS = {
+    **dict.fromkeys(("ticker", "cik", "filing_date", "period_end_date", "fiscal_year", "fiscal_quarter", "period_kind"), "text"),
+    **dict.fromkeys(("revenues", "net_income", *_ABSENT), "double"),
+    "source_endpoints": "text",
+}
+PARTS["whole_filings"] = f"""
+SELECT *, {", ".join(f"CAST(NULL AS DOUBLE) AS {c}" for c in _ABSENT)}, '[income_statements]' AS source_endpoints FROM filings"""
 
 oracle("read_membership", MEMBERS, f"SELECT {', '.join(MEMBERSHIP_KINDS)} FROM membership")
 oracle("read_metadata", "metadata", f"SELECT {', '.join(METADATA_KINDS)} FROM metadata")
@@ -409,7 +417,8 @@ oracle(
     """SELECT 'S' || c_custkey AS ticker,
        CASE WHEN s_suppkey IS NULL THEN 'meta: not found' ELSE 'aggs: no rows returned' END AS reason
 FROM customer LEFT JOIN supplier ON s_suppkey = c_custkey
-WHERE s_suppkey IS NULL OR s_suppkey NOT IN (SELECT k FROM kept_days WHERE k % 3 <> 0)""",
+WHERE s_suppkey IS NULL OR s_suppkey NOT IN (SELECT k FROM kept_days)
+UNION ALL SELECT 'N' || c_custkey, 'aggs: no rows returned' FROM customer""",
 )
 oracle("ret_1d", FLAGS, "SELECT date, ticker, round(ret_1d, 9) AS ret_1d FROM flags")
 oracle(
@@ -540,7 +549,34 @@ oracle(
 WHERE next_date IS NULL AND kind = 0 AND ticker NOT IN (SELECT ticker FROM current_members)""",
 )
 oracle("interval_enrichment", INDEX, "SELECT * FROM enriched")
-oracle("curated_patches", MEMBERS, "SELECT * FROM membership")
+oracle(
+    "curated_patches",
+    MEMBERS,
+    """SELECT ticker, CASE WHEN u % 10 = 8 THEN 'Second ' || u ELSE name END AS name,
+       CASE WHEN u % 10 = 8 THEN 'Moved again' ELSE wiki_sector END AS wiki_sector, wiki_sub_industry, date_added,
+       CASE WHEN u % 10 = 8 THEN DATE '2024-02-21' ELSE date_removed END AS date_removed, cik_code
+FROM (SELECT *, CASE WHEN ticker LIKE 'U%' THEN CAST(ticker[2:] AS BIGINT) ELSE 0 END AS u FROM membership)
+WHERE u % 10 NOT IN (5, 9)
+UNION ALL
+SELECT ticker, CASE WHEN date_added = DATE '2024-01-05' THEN 'New ' || u ELSE name END, wiki_sector, wiki_sub_industry, date_added, date_removed,
+       CASE WHEN date_added = DATE '2024-01-05' THEN u ELSE cik_code END
+FROM (SELECT *, CAST(ticker[2:] AS BIGINT) AS u FROM membership WHERE ticker LIKE 'U%'
+      UNION ALL SELECT 'U' || u, NULL, NULL, NULL, DATE '2024-01-05', NULL, NULL, u FROM users) WHERE u % 10 = 9""",
+)
+oracle(
+    "unmatched_patches",
+    MEMBERS,
+    """SELECT position, op, ticker, CAST(NULL AS DATE) AS date_added, CAST(NULL AS DATE) AS date_removed, field, value FROM (
+  SELECT CAST(p.position AS INTEGER) AS position, p.op, p.prefix || u AS ticker, p.field,
+         CASE p.position WHEN 11 THEN 'First ' || u WHEN 12 THEN 'Second ' || u ELSE p.value END AS value,
+         p.always OR NOT EXISTS (SELECT 1 FROM membership m WHERE m.ticker = p.prefix || u) AS idle
+  FROM users JOIN (VALUES (8, 11, 'update', 'U', 'name', NULL, false), (8, 12, 'update', 'U', 'name', NULL, false),
+    (8, 13, 'update', 'U', 'wiki_sector', 'Moved', false), (8, 14, 'update', 'U', 'wiki_sector', 'Moved again', false),
+    (8, 15, 'update', 'U', 'date_removed', '2024-02-20', false), (8, 16, 'update', 'U', 'date_removed', '2024-02-21', false),
+    (8, 42, 'update', 'U', 'no_field', 'x', true), (5, 31, 'delete', 'U', NULL, NULL, false),
+    (5, 32, 'update', 'U', 'name', 'too late', true), (7, 41, 'update', 'Q', 'name', 'nobody', true))
+    p(rest, position, op, prefix, field, value, always) ON u % 10 = rest) WHERE idle""",
+)
 oracle(
     "patch_counts",
     MEMBERS,
@@ -710,23 +746,44 @@ oracle(
     """SELECT count(*) AS rows, count(DISTINCT ticker) AS tickers, min(filing_date) AS first_filing,
        max(filing_date) AS last_filing FROM filings""",
 )
+_BARE = "FROM customer WHERE 'S' || c_custkey NOT IN (SELECT ticker FROM filings)"
+_COVERAGE = f"""(SELECT count(*) FROM customer) AS universe_size, (SELECT count(*) {_BARE}) AS coverage_failed,
+       (SELECT string_agg(t, ',' ORDER BY t) FROM (SELECT 'S' || c_custkey AS t {_BARE} ORDER BY t LIMIT 10)) AS coverage_failed_sample"""
 oracle(
     "fundamentals_manifest",
-    "quarters filings",
-    """SELECT 'fundamentals' AS snapshot, count(*) AS rows, count(DISTINCT ticker) AS tickers,
-       min(filing_date) AS first_filing, max(filing_date) AS last_filing FROM filings""",
+    "quarters filings whole_filings",
+    f"""SELECT {fingerprint_of(FILING_KINDS)} AS content_sha, 'fundamentals' AS snapshot, count(*) AS rows, count(DISTINCT ticker) AS tickers,
+       min(filing_date) AS first_filing, max(filing_date) AS last_filing, '/snapshots/fundamentals' AS artifact_path, 'c0ffee1' AS code_id,
+       {_COVERAGE} FROM whole_filings""",
 )
 oracle(
     "membership_manifest",
     MEMBERS,
     f"""SELECT {fingerprint_of(MEMBERSHIP_KINDS)} AS content_sha, 'index_membership' AS snapshot, count(*) AS rows, count(*) - count(date_removed) AS current_members,
-       count(date_removed) AS historical_removals, (SELECT min(date) FROM changes) AS earliest_change FROM membership""",
+       count(date_removed) AS historical_removals, (SELECT min(date) FROM changes) AS earliest_change,
+       '/snapshots/index_membership' AS artifact_path, 'c0ffee1' AS code_id FROM membership""",
 )
 oracle(
     "metadata_manifest",
     "metadata",
     f"""SELECT {fingerprint_of(METADATA_KINDS)} AS content_sha, 'ticker_metadata' AS snapshot, count(*) AS rows, count(*) - count(delisted_date) AS current,
-       count(delisted_date) AS delisted FROM metadata""",
+       count(delisted_date) AS delisted, '/snapshots/ticker_metadata' AS artifact_path, 'c0ffee1' AS code_id FROM metadata""",
+)
+oracle(
+    "read_fundamentals",
+    "quarters filings",
+    """SELECT ticker, cik, filing_date, period_end_date, fiscal_year, fiscal_quarter, period_kind, revenues, net_income,
+       'income_statements' AS source_endpoints FROM filings""",
+)
+oracle(
+    "published_snapshots",
+    f"quarters filings {MEMBERS} metadata",
+    f"""SELECT 'index_membership' AS snapshot, count(*) AS rows, count(*) AS stored_rows, 'c0ffee1' AS code_id, 'index_membership' AS folder,
+       CAST(NULL AS BIGINT) AS universe_size, CAST(NULL AS BIGINT) AS coverage_failed, CAST(NULL AS VARCHAR) AS coverage_failed_sample
+FROM membership WHERE date_removed IS NULL OR date_removed >= date_added
+UNION ALL SELECT 'ticker_metadata', count(*), count(*), 'c0ffee1', 'ticker_metadata', NULL, NULL, NULL FROM metadata
+WHERE delisted_date IS NULL OR list_date IS NULL OR delisted_date >= list_date
+UNION ALL SELECT 'fundamentals', count(*), count(*), 'c0ffee1', 'fundamentals', {_COVERAGE} FROM filings""",
 )
 oracle(
     "fundamentals_as_of",
@@ -878,6 +935,12 @@ oracle(
                     "type_known": "artifact_type IN ('panel', 'factor')",
                 },
             ),
+            _rules("experiments", "nation", {"name_present": "length(n_name) >= 1", "config_hash_hex": "true", "code_id_length": "true"}),
+            _rules(
+                "metrics",
+                "customer",
+                {"name_present": "c_custkey % 30 <> 1", "horizon_positive": "c_custkey % 4 = 0 OR c_custkey % 25 >= 1"},
+            ),
         ]
     ),
 )
@@ -912,8 +975,16 @@ GROUP BY 1, 2 HAVING count(*) > 1""",
 oracle(
     "fk_violations",
     "",
-    """SELECT 'art-' || o_orderkey AS artifact_id, 'cand-' || o_custkey AS candidate_id FROM orders
-WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 40 <> 7)""",
+    """SELECT 'artifacts' AS table_name, 'art-' || o_orderkey AS row_id, 'cand-' || o_custkey AS parent_id FROM orders
+WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 40 <> 7)
+UNION ALL SELECT 'metrics', 'metric-' || c_custkey, 'cand-' || c_custkey FROM customer WHERE c_custkey % 40 = 7
+UNION ALL SELECT 'candidates', 'cand-' || c_custkey, 'exp-' || c_nationkey FROM customer WHERE c_nationkey % 6 = 5""",
+)
+oracle(
+    "key_violations",
+    "metadata",
+    """SELECT ticker, count(*) AS rows FROM (SELECT ticker FROM metadata UNION ALL SELECT ticker FROM metadata WHERE cik % 3 = 0)
+GROUP BY ticker HAVING count(*) > 1""",
 )
 oracle(
     "snapshot_floors",
@@ -955,6 +1026,48 @@ oracle(
     """SELECT artifact_id, candidate_id, artifact_type, path, checksum FROM artifacts
 ORDER BY o_orderdate DESC, artifact_id DESC LIMIT 4""",
 )
+_DATED = "ticker IN (SELECT 'S' || ticker[2:] FROM anchor_members)"
+oracle(
+    "dated_slice",
+    f"{MOM} {MEMBERS} anchor_members",
+    f"""SELECT ticker, count(*) AS rows, count(*) FILTER (WHERE valid) AS valid_rows FROM (
+  SELECT ticker, mom IS NOT NULL AND stddev_pop(w) OVER (PARTITION BY date) > 0 AS valid FROM (
+    SELECT f.date, f.ticker, mom, CASE WHEN mom IS NOT NULL THEN least(greatest(mom, lo), hi) END AS w FROM flags f LEFT JOIN (
+      SELECT date, quantile_cont(mom, 0.01) AS lo, quantile_cont(mom, 0.99) AS hi FROM flags WHERE {_DATED} AND mom IS NOT NULL GROUP BY date) q
+    ON q.date = f.date WHERE {_DATED})) GROUP BY ticker""",
+)
+_FIXED = " ".join(f"WHEN 'S{i + 1}' THEN '{n}'" for i, n in enumerate(("AAPL", "MSFT", "GOOGL", "AMZN", "NVDA", "META", "JPM", "JNJ")))
+oracle(
+    "fixed_slice",
+    FLAGS,
+    f"""SELECT CASE ticker {_FIXED} END AS ticker, count(*) AS rows, count(*) FILTER (WHERE valid) AS valid_rows FROM (
+  SELECT ticker, mom IS NOT NULL AND stddev_pop(w) OVER (PARTITION BY date) > 0 AS valid FROM (
+    SELECT f.date, f.ticker, mom, CASE WHEN mom IS NOT NULL THEN least(greatest(mom, lo), hi) END AS w FROM flags f LEFT JOIN (
+      SELECT date, quantile_cont(mom, 0.01) AS lo, quantile_cont(mom, 0.99) AS hi FROM flags
+      WHERE mom IS NOT NULL AND ticker IN ('S1', 'S2', 'S3', 'S4', 'S5', 'S6', 'S7', 'S8') GROUP BY date) q
+    ON q.date = f.date WHERE ticker IN ('S1', 'S2', 'S3', 'S4', 'S5', 'S6', 'S7', 'S8'))) GROUP BY ticker""",
+)
+_BOTH = f"{EY} mom_clipped mom_12_1"
+oracle(
+    "multi_slice",
+    _BOTH,
+    f"""SELECT *, CAST(2 AS BIGINT) AS artifacts, CAST(2 AS BIGINT) AS paths, CAST(1 AS BIGINT) AS candidates, CAST(1 AS BIGINT) AS experiments
+FROM ({_VIEW.format("mom_12_1")} UNION ALL {_VIEW.format("earnings_yield")})""",
+)
+oracle(
+    "factor_notes",
+    _BOTH,
+    f"""SELECT 'mom_12_1' AS factor_name, 'invalid_reason_counts' AS section, invalid_reason AS item, rows AS value FROM ({_REASONS.format("mom_12_1")})
+UNION ALL SELECT 'earnings_yield', 'invalid_reason_counts', invalid_reason, rows FROM ({_REASONS.format("earnings_yield")})
+UNION ALL SELECT 'earnings_yield', * FROM ({_lags("latest_filing_lag_days", "latest_lag_days")} UNION ALL {_lags("oldest_ttm_component_lag_days", "oldest_lag_days")})""",
+)
+oracle(
+    "verify_changed_files",
+    "",
+    """SELECT candidate_name, artifacts_verified, artifacts_failed, file_missing, checksum_mismatch, false AS all_ok
+FROM (VALUES ('mom_12_1', 1::BIGINT, 1::BIGINT, 0::BIGINT, 1::BIGINT), ('earnings_yield', 0, 2, 1, 1))
+  v(candidate_name, artifacts_verified, artifacts_failed, file_missing, checksum_mismatch)""",
+)
 
 # Registers its SQL in PARTS and ORACLE.
 from strictpast.testbed import evaluation_oracle  # noqa: E402, F401

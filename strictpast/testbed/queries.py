@@ -10,11 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-from strictpast.contracts import DAILY_BARS, TICKER_ALIASES, columns_of
+from strictpast.contracts import DAILY_BARS, TICKER_ALIASES, TICKER_METADATA, columns_of, conform
 from strictpast.functions import normalize_id, padded_id, undotted
 from strictpast.operators import quality
 from strictpast.operators.cross_section import winsorize, zscore
-from strictpast.operators.fingerprint import fingerprint
+from strictpast.operators.fingerprint import artifact_checksums, fingerprint
 from strictpast.plans import bars as bar_plans
 from strictpast.plans import fundamentals as fund
 from strictpast.plans import ledger as books
@@ -27,11 +27,17 @@ from strictpast.plans.factors.earnings_yield import lag_distribution
 from strictpast.plans.jobs import (
     RunInfo,
     fundamentals_snapshot,
+    FIXED_UNIVERSE,
     panel_for_date,
+    publish_fundamentals,
+    publish_membership,
+    publish_ticker_metadata,
     reconstruct_membership,
-    run_slice,
+    run_slices,
+    universe_slice,
     verify_candidate,
 )
+from strictpast.plans.jobs import fixed_slice as fixed_slice_job
 from strictpast.session import scratch_root
 from strictpast.sinks import writers
 from strictpast.sources import feeds, index_pages
@@ -91,10 +97,15 @@ def daily_bars(t: Tables) -> DataFrame:
 
 @query
 def skip_audit(t: Tables) -> DataFrame:
-    """Customers ask for tickers that only suppliers have; every third supplier has no bars."""
-    requested = t.read("customer").select(F.concat(F.lit("S"), "c_custkey").alias("ticker"))
-    priced = t.raw_feed().where(F.substring("ticker", 2, 20).cast("bigint") % 3 != 0)
-    return bar_plans.skipped_tickers(requested, t.details(), priced)
+    """Customers and parts ask for tickers: many are no suppliers, and some have details but no bars."""
+    k = F.col("c_custkey")
+    requested = t.read("customer").select(F.concat(F.lit("S"), k).alias("ticker"))
+    odd = t.read("customer").select(
+        F.concat(F.lit("N"), k).alias("ticker"), F.lit("XNYS").alias("primary_exchange"), F.lit("CS").alias("type"),
+        F.lit(1.0).alias("weighted_shares_outstanding"),
+    )
+    asked = requested.unionByName(odd.select("ticker"))
+    return bar_plans.skipped_tickers(asked, t.details().unionByName(odd), t.raw_feed())
 
 
 @query
@@ -213,12 +224,18 @@ def ticker_series(t: Tables) -> DataFrame:
     return rounded(reports.ticker_series(momentum(t), "S7"), 8, "raw_value")
 
 
+def _run(t: Tables, factors: tuple[str, ...] = ("mom_12_1",), label: str = "slice"):
+    """A slice over all bars in a folder of its own: ``(folder, run, results)``."""
+    out = f"{scratch_root(t.spark)}/slices/{uuid.uuid4().hex}"
+    run = RunInfo("testbed", "ab" * 32, "c0ffee1")
+    context = FactorContext(t.stored_filings()) if "earnings_yield" in factors else None
+    return out, run, run_slices(t.spark, t.bars(), out, f"{out}/ledger", run, factors, context, RULES, label)
+
+
 @query
 def slice_job(t: Tables) -> DataFrame:
     """The whole pipeline: both artifacts and the ledger written, then verified from storage."""
-    out = f"{scratch_root(t.spark)}/slices/{uuid.uuid4().hex}"
-    run = RunInfo("testbed", "ab" * 32, "c0ffee1")
-    done = run_slice(t.spark, t.bars(), out, f"{out}/ledger", run, rules=RULES)
+    out, run, (done,) = _run(t)
     codes = t.spark.createDataFrame([(run.code_id,)], "git_sha string")
     verdict = verify_candidate(t.spark, f"{out}/ledger", out, done.candidate_id, run.config_hash, codes)
     factor = t.spark.read.parquet(done.factor_path)
@@ -228,6 +245,70 @@ def slice_job(t: Tables) -> DataFrame:
     )
 
 
+@query
+def multi_slice(t: Tables) -> DataFrame:
+    """Two factors over one panel: values of both, as written, with what the ledger holds of the run."""
+    out, _, done = _run(t, ("mom_12_1", "earnings_yield"), "multi")
+    both = t.spark.read.parquet(*(d.factor_path for d in done))
+    book = books.open_ledger(t.spark, f"{out}/ledger")
+    facts = books.provenance(book).groupBy("candidate_name").agg(
+        F.count("artifact_id").alias("artifacts"), F.count_distinct("path").alias("paths"), F.count_distinct("candidate_id").alias("candidates")
+    )
+    met = factor_view(both).join(facts, F.col("factor_name") == F.col("candidate_name")).drop("candidate_name")
+    return met.withColumn("experiments", book.experiments.agg(F.count("*")).scalar())
+
+
+@query
+def factor_notes(t: Tables) -> DataFrame:
+    """Diagnostics of both factors as read back from the footers of their files."""
+    _, _, done = _run(t, ("mom_12_1", "earnings_yield"), "notes")
+    rows = []
+    for one, name in zip(done, ("mom_12_1", "earnings_yield")):
+        notes = writers.read_diagnostics(t.spark, one.factor_path)
+        rows += [(name, section, item, value) for section, items in notes.items() for item, value in items.items()]
+    return t.spark.createDataFrame(rows, "factor_name string, section string, item string, value long")
+
+
+@query
+def verify_changed_files(t: Tables) -> DataFrame:
+    """A run's files verified after one dataset gained a part and another one lost all of its files."""
+    out, run, done = _run(t, ("mom_12_1", "earnings_yield"), "verify")
+    # The panel gains rows; the second factor is checked where it never was.
+    t.spark.read.parquet(done[0].panel_path).write.mode("append").parquet(done[0].panel_path)
+    book = books.open_ledger(t.spark, f"{out}/ledger")
+    gone = F.when(F.col("path").contains("earnings_yield"), F.concat("path", F.lit("-gone"))).otherwise(F.col("path"))
+    moved = books.Ledger(book.experiments, book.candidates, book.artifacts.withColumn("path", gone))
+    paths = [r.path for r in moved.artifacts.select("path").distinct().collect()]
+    codes = t.spark.createDataFrame([(run.code_id,)], "git_sha string")
+    verdict = books.verify(moved, artifact_checksums(t.spark, *paths), run.config_hash, codes)
+    names = book.candidates.select("candidate_id", "candidate_name")
+    return verdict.join(names, "candidate_id").select(
+        "candidate_name", "artifacts_verified", "artifacts_failed", "file_missing", "checksum_mismatch", "all_ok"
+    )
+
+
+@query
+def dated_slice(t: Tables) -> DataFrame:
+    """The date-anchored job over the suppliers that play the index members of one day."""
+    out = f"{scratch_root(t.spark)}/slices/{uuid.uuid4().hex}"
+    members = t.membership().withColumn("ticker", F.translate("ticker", "UX", "SS"))
+    listed = t.details().select("ticker", F.lit(None).cast("date").alias("list_date"), F.lit(None).cast("date").alias("delisted_date"))
+    none = t.spark.createDataFrame([], TICKER_ALIASES)
+    run = RunInfo("dated", "cd" * 32, "c0ffee1")
+    done = universe_slice(t.spark, t.bars(), members, conform(listed, TICKER_METADATA), none, ANCHOR, out, f"{out}/ledger", run, rules=RULES)
+    return t.spark.read.parquet(done.factor_path).groupBy("ticker").agg(F.count("*").alias("rows"), F.count_if("valid_flag").alias("valid_rows"))
+
+
+@query
+def fixed_slice(t: Tables) -> DataFrame:
+    """The fixed-universe job: eight suppliers play its eight names."""
+    out = f"{scratch_root(t.spark)}/slices/{uuid.uuid4().hex}"
+    names = F.create_map(*(F.lit(x) for i, n in enumerate(FIXED_UNIVERSE) for x in (f"S{i + 1}", n)))
+    bars = t.bars().withColumn("ticker", F.coalesce(F.element_at(names, F.col("ticker")), F.col("ticker")))
+    done = fixed_slice_job(t.spark, bars, out, f"{out}/ledger", RunInfo("fixed", "ef" * 32, "c0ffee1"), rules=RULES)
+    return t.spark.read.parquet(done.factor_path).groupBy("ticker").agg(F.count("*").alias("rows"), F.count_if("valid_flag").alias("valid_rows"))
+
+
 # --- membership -------------------------------------------------------------------------------
 
 
@@ -263,7 +344,13 @@ def interval_enrichment(t: Tables) -> DataFrame:
 
 @query
 def curated_patches(t: Tables) -> DataFrame:
-    return reconstruct_membership(t.current_page(), t.changes_page(), *t.patches())
+    """Reconstructed membership after the three patch tables and then an ordered list."""
+    return reconstruct_membership(t.current_page(), t.changes_page(), *t.patches(), t.ordered_patches())
+
+
+@query
+def unmatched_patches(t: Tables) -> DataFrame:
+    return idx.unmatched_patches(t.membership(), t.ordered_patches())
 
 
 @query
@@ -461,17 +548,21 @@ def snapshot_facts(t: Tables) -> DataFrame:
 
 @query
 def fundamentals_manifest(t: Tables) -> DataFrame:
-    return writers.fundamentals_manifest(t.filings()).drop("content_sha")
+    """Facts of the filings, their fingerprint, and how much of the customers' universe they cover."""
+    universe = t.read("customer").select(F.concat(F.lit("S"), "c_custkey").alias("ticker"))
+    manifest = writers.fundamentals_manifest(t.stored_filings(), universe)
+    return writers.with_provenance(manifest, "/snapshots/fundamentals", "c0ffee1")
 
 
 @query
 def membership_manifest(t: Tables) -> DataFrame:
-    return writers.membership_manifest(t.membership(), t.changes())
+    manifest = writers.membership_manifest(t.membership(), t.changes())
+    return writers.with_provenance(manifest, "/snapshots/index_membership", "c0ffee1")
 
 
 @query
 def metadata_manifest(t: Tables) -> DataFrame:
-    return writers.metadata_manifest(t.metadata())
+    return writers.with_provenance(writers.metadata_manifest(t.metadata()), "/snapshots/ticker_metadata", "c0ffee1")
 
 
 def scratch(t: Tables, label: str) -> str:
@@ -479,6 +570,44 @@ def scratch(t: Tables, label: str) -> str:
     return f"{scratch_root(t.spark)}/{label}-{uuid.uuid4().hex}"
 
 
+@query
+def read_fundamentals(t: Tables) -> DataFrame:
+    """The filings sink and its reader."""
+    path = scratch(t, "fundamentals")
+    writers.write_fundamentals(t.filings(), path)
+    out = tables.read_fundamentals(t.spark, path)
+    return out.withColumn("source_endpoints", F.concat_ws(",", "source_endpoints")).select(
+        "ticker", "cik", "filing_date", "period_end_date", "fiscal_year", "fiscal_quarter", "period_kind", "revenues", "net_income", "source_endpoints"
+    )
+
+
+@query
+def published_snapshots(t: Tables) -> DataFrame:
+    """The three publish jobs: what their manifest holds and how many rows lie at the paths it names."""
+    out = scratch(t, "published")
+    changes = t.changes()
+    universe = t.read("customer").select(F.concat(F.lit("S"), "c_custkey").alias("ticker"))
+    current = t.membership().where("date_removed is null or date_removed >= date_added")
+    publish_membership(current, changes, out, 1, "c0ffee1")
+    publish_fundamentals(t.filings(), out, 1, 1, "c0ffee1", universe)
+    dated = t.metadata().where("delisted_date is null or list_date is null or delisted_date >= list_date")
+    publish_ticker_metadata(dated, out, 1, 1, "c0ffee1")
+    held = {
+        "index_membership": tables.read_membership(t.spark, f"{out}/index_membership"),
+        "fundamentals": tables.read_fundamentals(t.spark, f"{out}/fundamentals"),
+        "ticker_metadata": tables.read_ticker_metadata(t.spark, f"{out}/ticker_metadata"),
+    }
+    counts: DataFrame | None = None
+    for name, df in held.items():
+        one = df.agg(F.lit(name).alias("snapshot"), F.count("*").alias("stored_rows"))
+        counts = one if counts is None else counts.unionByName(one)
+    manifest = t.spark.read.schema(
+        "snapshot string, rows long, code_id string, artifact_path string, universe_size long, coverage_failed long, coverage_failed_sample string"
+    ).json(f"{out}/snapshot_manifest")
+    folder = F.element_at(F.split("artifact_path", "/"), -1).alias("folder")
+    return manifest.join(counts, "snapshot").select("snapshot", "rows", "stored_rows", "code_id", folder, "universe_size", "coverage_failed", "coverage_failed_sample")
+
+
 @query
 def read_membership(t: Tables) -> DataFrame:
     """The membership sink and its reader."""
@@ -611,6 +740,8 @@ def dq_summary(t: Tables) -> DataFrame:
         ("filings", t.filings(), quality.filing_rules()),
         ("candidates", t.ledger().candidates, quality.candidate_rules()),
         ("artifacts", t.ledger().artifacts, quality.artifact_rules()),
+        ("experiments", t.ledger().experiments, quality.experiment_rules()),
+        ("metrics", t.metrics(), quality.metric_rules()),
     ]
     out: DataFrame | None = None
     for name, df, rules in checks:
@@ -639,10 +770,27 @@ def key_duplicates(t: Tables) -> DataFrame:
 
 @query
 def fk_violations(t: Tables) -> DataFrame:
-    """Artifacts whose candidate was marked lost, and candidates of unreachable code."""
+    """Artifacts and metrics whose candidate was marked lost, and candidates of unreachable code."""
     book = t.ledger()
     kept = book.candidates.where(F.col("status") != "lost")
-    return quality.dangling(book.artifacts, kept, "candidate_id").select("artifact_id", "candidate_id")
+    reachable = book.experiments.join(t.known_code(), "git_sha", "left_semi")
+    found = [
+        ("artifacts", "artifact_id", "candidate_id", quality.dangling(book.artifacts, kept, "candidate_id")),
+        ("metrics", "metric_id", "candidate_id", quality.dangling(t.metrics(), kept, "candidate_id")),
+        ("candidates", "candidate_id", "experiment_id", quality.dangling(book.candidates, reachable, "experiment_id")),
+    ]
+    out: DataFrame | None = None
+    for name, own, parent, rows in found:
+        one = rows.select(F.lit(name).alias("table_name"), F.col(own).alias("row_id"), F.col(parent).alias("parent_id"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query
+def key_violations(t: Tables) -> DataFrame:
+    """Ticker keys that occur twice in metadata of which every third customer's was landed twice."""
+    again = t.metadata().where(F.col("cik") % 3 == 0)
+    return quality.duplicate_keys(t.metadata().unionByName(again), ["ticker"])
 
 
 @query

@@ -12,7 +12,7 @@ from datetime import date
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strictpast.contracts import CANDIDATES, EXPERIMENTS, FUNDAMENTALS, conform
+from strictpast.contracts import CANDIDATES, EXPERIMENTS, FUNDAMENTALS, METRICS, conform
 from strictpast.plans import membership as idx
 from strictpast.plans.bars import stamp_details
 from strictpast.plans.ledger import Ledger
@@ -289,6 +289,41 @@ class Tables:
         )
         return updates, adds, deletes
 
+    def ordered_patches(self) -> DataFrame:
+        """Fields set twice in order, rows added and then completed, dropped rows, and patches that meet nothing."""
+        u = F.col("u")
+        jan = lambda d: F.lit(date(2024, 1, d))
+
+        def patch(test, position, op, ticker, field=None, value=None, added=None):
+            return F.when(
+                test,
+                F.struct(
+                    F.lit(position).alias("position"), F.lit(op).alias("op"), ticker.alias("ticker"),
+                    (added if added is not None else F.lit(None)).cast("date").alias("date_added"),
+                    F.lit(None).cast("date").alias("date_removed"),
+                    F.lit(field).cast("string").alias("field"),
+                    (value if value is not None else F.lit(None)).cast("string").alias("value"),
+                ),
+            )
+
+        own, eight, nine = sym("U", u), u % 10 == 8, u % 10 == 9
+        rows = F.array(
+            patch(eight, 12, "update", own, "name", sym("Second ", u)),
+            patch(eight, 11, "update", own, "name", sym("First ", u)),
+            patch(eight, 13, "update", own, "wiki_sector", F.lit("Moved")),
+            patch(eight, 14, "update", own, "wiki_sector", F.lit("Moved again")),
+            patch(eight, 15, "update", own, "date_removed", F.lit("2024-02-20")),
+            patch(eight, 16, "update", own, "date_removed", F.lit("2024-02-21")),
+            patch(nine, 21, "add", own, added=jan(5)),
+            patch(nine, 22, "update", own, "name", sym("New ", u), jan(5)),
+            patch(nine, 23, "update", own, "cik_code", u, jan(5)),
+            patch(u % 10 == 5, 31, "delete", own),
+            patch(u % 10 == 5, 32, "update", own, "name", F.lit("too late")),
+            patch(u % 10 == 7, 41, "update", sym("Q", u), "name", F.lit("nobody")),
+            patch(eight, 42, "update", own, "no_field", F.lit("x")),
+        )
+        return self.users().select(F.inline(F.array_compact(rows)))
+
     def intervals(self) -> DataFrame:
         return idx.membership_intervals(self.current(), self.changes())[0]
 
@@ -415,6 +450,17 @@ class Tables:
             F.when(k % 89 == 0, self._checksum("x")).otherwise(self._checksum("")).alias("checksum"),
         )
 
+    def metrics(self) -> DataFrame:
+        """A metric for each customer's candidate; some names are empty and some horizons are not positive."""
+        ck = F.col("c_custkey")
+        rows = self.read("customer").select(
+            sym("metric-", ck).alias("metric_id"), sym("cand-", ck).alias("candidate_id"),
+            F.when(ck % 30 == 1, F.lit("")).otherwise(F.lit("ic")).alias("metric_name"), F.col("c_acctbal").alias("value"),
+            F.lit("all").alias("fold"), F.when(ck % 4 != 0, (ck % 25).cast("int")).alias("horizon"),
+            F.lit(None).cast("timestamp").alias("created_at"),
+        )
+        return conform(rows, METRICS)
+
     def known_code(self) -> DataFrame:
         nk = F.col("n_nationkey")
         return self.read("nation").where(nk % 6 != 5).select(
