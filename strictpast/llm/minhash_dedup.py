@@ -5,14 +5,20 @@
 2. Documents with equal sets fold into a class; one representative goes on.
 3. In a band bucket every member meets a few centres, the least members under several hash
    orders, which are found by aggregation. The pairs are verified and contracted to components.
-4. What is left apart is compared in full: documents tied by buckets form a family, and in it
-   members outside the largest component meet all members of other components, inside tasks
-   that get two chunks of the family. So every pair that shares a bucket is either connected
-   already or compared, and the pairs of a group of copies are never listed.
+4. Only buckets whose members lie in more than one component stay open. In rounds, each member
+   outside a bucket's largest component meets the sketches of all members of others, and its
+   best partner is verified; components are contracted between rounds, which closes most buckets.
+5. What is left apart is compared in full. All sketches of an open bucket meet once more; pairs
+   that the posterior does not prune tie their documents, of which a spanning forest is returned.
+   Tied documents form a family, and in it members outside the largest component meet all
+   members of other components on full sets, inside tasks that get two chunks of the family. So
+   every pair that shares a bucket is connected already, pruned or compared, and the pairs of a
+   group of copies are never listed.
 
 Verification reads the sketches batch by batch. After n hashes with m matches the similarity
 has the posterior Beta(m + 1, n - m + 1) under a flat prior; a pair is pruned as soon as the
-posterior gives the threshold a probability below the chosen miss probability. Survivors are
+posterior gives the threshold a probability below the chosen miss probability, and such that all
+batches together prune a pair at the threshold with at most that probability. Survivors are
 compared exactly on full shingle sets.
 """
 
@@ -29,7 +35,7 @@ from pyspark.sql import types as T
 
 from strictpast.llm.arrays import LOWER, WHITE, blocks, mix, odd_numbers, pieces, range_hashes, windows
 from strictpast.llm.graph import components
-from strictpast.llm.workers import importable, typed
+from strictpast.llm.workers import fresh, importable, typed
 from strictpast.session import stage
 
 #: Bands, rows of a band, hashes of the sketch and of one batch of it.
@@ -38,8 +44,10 @@ BANDS, ROWS, SKETCH, BATCH = 32, 5, 96, 16
 MISS = 1e-6
 #: Centres that every member of a bucket meets first.
 CENTRES = 4
-#: Documents and bytes of text of a chunk of a family.
-CHUNK, CHUNK_BYTES = 512, 8 << 20
+#: Documents and bytes of text of a chunk of a family, sketches of a task of small buckets.
+CHUNK, CHUNK_BYTES, CELL = 512, 8 << 20, 8192
+#: Rounds in which members of open buckets try their best partners.
+ROUNDS = 2
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -69,14 +77,17 @@ def least_matches(threshold: float, miss: float = MISS) -> list[int]:
     """Matches that each batch must have reached for the pair to live on.
 
     For whole numbers the Beta tail is a binomial one: with m matches of n,
-    P(similarity >= t) = P(Binomial(n + 1, t) <= m).
+    P(similarity >= t) = P(Binomial(n + 1, t) <= m). A pair at the threshold itself is pruned by a batch
+    with P(Binomial(n, t) < bound), which is the larger number: each batch gets an equal part of
+    ``miss``, so all of them together stay below it, and the posterior's bound holds as well.
     """
+    steps = SKETCH // BATCH
     out = []
     for n in range(BATCH, SKETCH + 1, BATCH):
-        tail, m = 0.0, -1
-        while tail < miss:
+        tail, m = 0.0, 0
+        while tail + comb(n, m) * threshold**m * (1 - threshold) ** (n - m) <= miss / steps:
+            tail += comb(n, m) * threshold**m * (1 - threshold) ** (n - m)
             m += 1
-            tail += comb(n + 1, m) * threshold**m * (1 - threshold) ** (n + 1 - m)
         out.append(m)
     return out
 
@@ -216,21 +227,120 @@ def _links(docs: DataFrame, signed: DataFrame, classes: DataFrame, words: int, p
     first = stage(first.select("a", "b"), "centre-pairs")
     survivors = stage(_sequential(first, sketches, percent / 100), "survivors")
     links = stage(_exact(survivors, bodies, words, percent), "links")
-    return links.unionByName(_rest(first, links, reps, bodies, words, percent))
+    for _ in range(ROUNDS):
+        best = _met_in_buckets(crowded, links, sketches, _best_partners(percent / 100))
+        links = stage(links.unionByName(_exact(stage(best.distinct(), "best-pairs"), bodies, words, percent)).distinct(), "links")
+    ties = stage(_met_in_buckets(crowded, links, sketches, _ties(percent / 100)).distinct(), "ties")
+    return links.unionByName(_rest(ties, links, reps, bodies, words, percent))
 
 
-def _rest(first: DataFrame, links: DataFrame, reps: DataFrame, bodies: DataFrame, words: int, percent: int) -> DataFrame:
-    """Links between what the centres left apart.
+def _placed(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """``nodes`` with their verified ``component``."""
+    return nodes.join(components(links), "node", "left").withColumn("component", F.coalesce("component", "node"))
 
-    A family holds all documents that are tied by shared buckets. In each, the members outside
+
+def _met_in_buckets(crowded: DataFrame, links: DataFrame, sketches: DataFrame, work) -> DataFrame:
+    """``(a, b)`` that ``work`` finds between outsiders and members of buckets that are still open.
+
+    An outsider is a member that is not in its bucket's largest component. Small buckets share a
+    task, some CELL rows together; a large one is dealt to tasks by chunks of both sides. Rows
+    carry a sketch, no text.
+    """
+    state = stage(_placed(crowded.select("node").distinct(), links), "states")
+    entries = crowded.select("bucket", "node").join(state, "node")
+    parts = entries.groupBy("bucket", "component").agg(F.count("*").alias("n"))
+    whole = parts.groupBy("bucket").agg(
+        F.max(F.struct("n", "component"))["component"].alias("main"), F.max("n").alias("n_main"), F.count("*").alias("parts"), F.sum("n").alias("n"))
+    whole = stage(whole.where("parts > 1"), "open-buckets")
+    total = whole.agg(F.sum("n")).first()[0] or 0  # one number
+    small = F.col("n") <= CHUNK
+    cell = F.when(small, F.pmod(F.xxhash64("bucket"), F.lit(total // CELL + 1))).otherwise(F.col("bucket"))
+    chunks = lambda n: F.when(small, 1).otherwise(F.ceil(n / CHUNK)).cast("int")
+    whole = whole.select("bucket", "main", small.alias("small"), cell.alias("cell"), chunks(F.col("n") - F.col("n_main")).alias("outs"), chunks(F.col("n")).alias("ins"))
+    rows = entries.join(whole, "bucket").join(sketches, "node")
+    facts = ["bucket", "component", "node", "sketch"]
+
+    def dealt(side: str, others: str):
+        own = F.pmod(F.xxhash64("node"), F.col(side)).cast("int").alias(side[0])
+        return "small", "cell", own, F.explode(F.sequence(F.lit(0), F.col(others) - 1)).alias(others[0])
+
+    keys = ["small", "cell", "o", "i"]
+    outsiders = rows.where("component != main").select(*dealt("outs", "ins"), *facts)
+    members = rows.select(*dealt("ins", "outs"), *facts)
+
+    def meet(one: pa.Table, two: pa.Table) -> pa.Table:
+        found = [[], []]
+        if one.num_rows and two.num_rows:
+            sides = []
+            for t in (one, two):
+                bucket = t["bucket"].to_numpy()
+                order = np.argsort(bucket, kind="stable")
+                sketch = np.frombuffer(b"".join(t["sketch"].to_pylist()), np.uint16).reshape(-1, SKETCH)
+                sides.append((bucket[order], t["node"].to_numpy()[order], t["component"].to_numpy()[order], sketch[order]))
+            (bucket, *a), (other, *b) = sides
+            for first in np.unique(bucket, return_index=True)[1].tolist():
+                mine = slice(first, int(np.searchsorted(bucket, bucket[first], "right")))
+                theirs = slice(*(int(np.searchsorted(other, bucket[first], side)) for side in ("left", "right")))
+                for x, y in work(*(c[mine] for c in a), *(c[theirs] for c in b)):
+                    found[0].append(x)
+                    found[1].append(y)
+        kind = one.schema.field("node").type
+        return pa.table({"a": pa.array(found[0], kind), "b": pa.array(found[1], kind)})
+
+    schema = T.StructType([typed(links, "a"), typed(links, "b")])
+    met = outsiders.groupBy(*keys).cogroup(members.select(*(F.col(c).alias(c) for c in (*keys, *facts))).groupBy(*keys))
+    return met.applyInArrow(meet, schema)
+
+
+def _best_partners(threshold: float):
+    """Of each outsider the partner of another component with most matches, if it is not pruned."""
+    least = least_matches(threshold)[-1]
+
+    def work(node, component, sketch, others, theirs, sketches):
+        for i in range(len(node)):
+            matches = np.where(theirs == component[i], -1, (sketches == sketch[i]).sum(axis=1))
+            at = int(matches.argmax()) if len(matches) else 0
+            if len(matches) and matches[at] >= least:
+                yield min(node[i], others[at]), max(node[i], others[at])
+
+    return work
+
+
+def _ties(threshold: float):
+    """A spanning forest of the pairs of different components that no batch prunes."""
+    bounds = least_matches(threshold)
+
+    def work(node, component, sketch, others, theirs, sketches):
+        group = np.arange(len(others))
+        place = {n: i for i, n in enumerate(others.tolist())}
+        for i, own_node in enumerate(node.tolist()):
+            near = np.flatnonzero(theirs != component[i])
+            for step, least in enumerate(bounds):
+                part = slice(0, (step + 1) * BATCH)
+                near = near[(sketch[i, part] == sketches[near, part]).sum(axis=1) >= least]
+            if len(near):
+                at = place.get(own_node)
+                own = -1 - i if at is None else group[at]
+                roots, which = np.unique(group[near], return_index=True)
+                for root, k in zip(roots.tolist(), near[which].tolist()):
+                    if root != own:
+                        yield min(node[i], others[k]), max(node[i], others[k])
+                group[np.isin(group, np.append(roots, own))] = roots[0]
+
+    return work
+
+
+def _rest(ties: DataFrame, links: DataFrame, reps: DataFrame, bodies: DataFrame, words: int, percent: int) -> DataFrame:
+    """Links between tied documents of different components.
+
+    A family holds the components that ties connect. In each, the members outside
     its largest component meet all members of other components, chunk by chunk: a task gets
     two chunks, prunes the pairs that share no band, then by sequential batches of the sketches,
     counts the intersections of the survivors, and returns for each outsider one link to each
     component that it reaches. Pairs never become rows.
     """
-    families = components(first).withColumnRenamed("component", "family")
-    state = families.join(components(links), "node", "left")
-    state = stage(state.select("node", "family", F.coalesce("component", "node").alias("component")), "family-members")
+    families = components(ties.unionByName(_spanned(ties, links))).withColumnRenamed("component", "family")
+    state = stage(_placed(families, links).select("node", "family", "component"), "family-members")
     sized = state.join(bodies.select("node", F.octet_length("body").alias("bytes")), "node")
     parts = sized.groupBy("family", "component").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"))
     whole = parts.groupBy("family").agg(
@@ -282,6 +392,14 @@ def _rest(first: DataFrame, links: DataFrame, reps: DataFrame, bodies: DataFrame
     return met.applyInArrow(meet, schema)
 
 
+def _spanned(ties: DataFrame, links: DataFrame) -> DataFrame:
+    """The links of components in which a document is tied."""
+    state = components(links)
+    tied = ties.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(state, "node").select("component").distinct()
+    inside = state.join(tied, "component", "left_semi").select("node", "component")
+    return inside.where("node != component").select(F.col("component").alias("a"), F.col("node").alias("b"))
+
+
 class _Chunk:
     """A chunk of documents as arrays; ``places`` lists the shingles of all as vocabulary numbers."""
 
@@ -299,12 +417,14 @@ class _Chunk:
 def one_of_each_group(docs: DataFrame, words: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Pipeline stage: of each group of near-duplicates the document with the least key.
 
-    Of rows that repeat a kept key one stays; rows without a key all stay.
+    Of rows that repeat a kept key one stays; rows without a key all stay. Other columns go through
+    unchanged, whatever their names.
     """
+    inner = fresh(docs, "key")
     found = stage(near_duplicates(docs, words, percent, key, text), "near-duplicates")
-    gone = found.where("not kept").select(F.col(key).alias("_key")).distinct()
-    several = found.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("_key")).count().where("count > 1").select("_key")
-    same = F.col(key) == F.col("_key")
+    gone = found.where("not kept").select(F.col(key).alias(inner)).distinct()
+    several = found.where(F.col(key).isNotNull()).groupBy(F.col(key).alias(inner)).agg(F.count("*").alias("n")).where("n > 1").select(inner)
+    same = F.col(key) == F.col(inner)
     kept = docs.join(gone, same, "left_anti")
     single = kept.join(several, same, "left_anti")
     return single.unionByName(kept.join(several, same, "left_semi").dropDuplicates([key]))

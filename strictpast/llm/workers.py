@@ -35,3 +35,11 @@ def one_by_one(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.Reco
     for batch in batches:
         for start in range(0, batch.num_rows, rows):
             yield batch.slice(start, rows)
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """``name`` with as many underscores in front as keep it apart from the columns of ``df``."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
