@@ -4,7 +4,10 @@ A text is escaped (a dummy space in front, spaces as U+2581) and cut before each
 U+2581: a vocabulary is accepted only if no piece has U+2581 after another character, so no
 merge crosses a cut. In each segment an agenda of adjacent symbol pairs, best score first and
 leftmost among equals, is worked off; symbols that end outside the vocabulary become byte
-pieces. Distinct segments are encoded once per cache life, and each Arrow batch checks all
+pieces. The fresh segments of a batch work off their agendas side by side: a matrix holds the
+rank of every pair, each round takes the best of every row, merges it and renews the ranks
+of its two neighbours. Long segments and such with unknown characters keep a heap of their own.
+Distinct segments are encoded once per cache life, and each Arrow batch checks all
 its fresh segments, ids and decoded text, against the library.
 """
 
@@ -22,12 +25,14 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from strictpast.llm.byte_bpe import Bounded, Irregular
 from strictpast.llm.workers import importable, one_by_one, texts, typed
 
 SPACE = "▁"
 #: Segments whose ids a worker keeps; a full cache starts anew.
 CACHE = 800_000
+#: Characters up to which segments share a matrix, its cells, and bytes of text that are encoded together.
+SHORT, CELLS, BLOCK = 48, 1 << 20, 4 << 20
+NEVER = np.int32(2**31 - 1)
 
 
 class Codec:
@@ -46,8 +51,72 @@ class Codec:
             raise ValueError("a piece spans a space; segments would not be independent")
         self.pieces = {i: p for p, (_, i) in self.vocabulary.items()}
         self.bytes = {i: b for b, i in self.byte_ids.items()}
-        self.words = Bounded(self._word, CACHE)
+        self.known: dict[str, tuple[str, str]] = {}
         self.fresh: list[tuple[str, list[int], str]] = []
+        self.texts = [str(i) for i in ids]
+        self._tables(plain)
+
+    def _tables(self, plain: list[int]) -> None:
+        """Sorted keys of all mergeable pairs of pieces, with the rank and the id of what they make."""
+        order = {score: rank for rank, score in enumerate(sorted({score for score, _ in self.vocabulary.values()}))}
+        pairs = {}
+        for piece, (score, i) in self.vocabulary.items():
+            for cut in range(1, len(piece)):
+                one, two = self.vocabulary.get(piece[:cut]), self.vocabulary.get(piece[cut:])
+                if one and two:
+                    pairs[one[1] << 32 | two[1]] = (order[score], i)
+        self.keys = np.array(sorted(pairs), np.int64)
+        self.ranks, self.made = (np.array([pairs[k][j] for k in self.keys.tolist()], np.int32) for j in (0, 1))
+        chars = {ord(p): i for p, (_, i) in self.vocabulary.items() if len(p) == 1}
+        self.chars = np.array(sorted(chars), np.uint32)
+        self.char_ids = np.array([chars[c] for c in self.chars.tolist()], np.int32)
+
+    def _pairs(self, one: np.ndarray, two: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rank and merged id of adjacent symbols; NEVER where they do not merge."""
+        if not len(self.keys):
+            return np.full(one.shape, NEVER), np.zeros(one.shape, np.int32)
+        key = one.astype(np.int64) << 32 | two
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where((self.keys[at] == key) & (one >= 0) & (two >= 0), self.ranks[at], NEVER), self.made[at]
+
+    def encode_short(self, segments: list[str]) -> list[list[int] | None]:
+        """The ids of short segments, all agendas side by side; None for those with unknown characters."""
+        n, sizes = len(segments), np.array([len(s) for s in segments])
+        width = int(sizes.max())
+        codes = np.frombuffer("".join(segments).encode("utf-32-le"), np.uint32)
+        at = np.minimum(np.searchsorted(self.chars, codes), len(self.chars) - 1)
+        found = np.where(self.chars[at] == codes, self.char_ids[at], -1).astype(np.int32)
+        inside = np.arange(width) < sizes[:, None]
+        symbols = np.full((n, width + 1), -1, np.int32)  # the last column stands for "nothing"
+        symbols[:, :-1][inside] = found
+        strange = ((symbols[:, :-1] < 0) & inside).any(axis=1)
+        rank, made = np.full((n, width + 1), NEVER), np.zeros((n, width + 1), np.int32)
+        rank[:, : width - 1], made[:, : width - 1] = self._pairs(symbols[:, : width - 1], symbols[:, 1:width])
+        right = np.minimum(np.arange(1, width + 2), sizes[:, None])
+        right[right >= sizes[:, None]] = width
+        left = np.tile(np.arange(-1, width), (n, 1))
+        rows = np.flatnonzero(~strange)
+        while len(rows):
+            i = rank[rows].argmin(axis=1)
+            more = rank[rows, i] < NEVER
+            rows, i = rows[more], i[more]
+            if not len(rows):
+                break
+            j = right[rows, i]
+            after = right[rows, j]
+            symbols[rows, i], symbols[rows, j] = made[rows, i], -1
+            rank[rows, j] = NEVER
+            right[rows, i], left[rows, after] = after, i
+            rank[rows, i], made[rows, i] = self._pairs(symbols[rows, i], symbols[rows, after])
+            before = left[rows, i]
+            some = before >= 0
+            r, b = rows[some], before[some]
+            rank[r, b], made[r, b] = self._pairs(symbols[r, b], symbols[r, i[some]])
+        kept = symbols >= 0
+        kept[strange] = False
+        ends = np.cumsum(kept.sum(axis=1)).tolist()
+        flat = symbols[kept].tolist()
+        return [None if odd else flat[a:b] for a, b, odd in zip([0, *ends], ends, strange.tolist())]
 
     def encode_segment(self, segment: str) -> list[int]:
         """Work off the agenda of one segment.
@@ -97,30 +166,37 @@ class Codec:
             out.append(self.pieces[i])
         return ("".join(out) + run.decode(errors="replace")).replace(SPACE, " ")
 
-    def _word(self, word: str) -> tuple[str, str]:
-        if not word:
-            raise Irregular
-        return self._segment(SPACE + word)
+    def _learn(self, segments: list[str]) -> None:
+        """Encode segments that the cache lacks; most of them in matrices of bounded size."""
+        short = sorted((s for s in segments if len(s) <= SHORT), key=len)
+        step = CELLS // SHORT
+        for at in range(0, len(short), step):
+            part = short[at : at + step]
+            for segment, ids in zip(part, self.encode_short(part)):
+                self._keep(segment, ids)
+        for segment in segments:
+            if len(segment) > SHORT:
+                self._keep(segment, None)
 
-    def _segment(self, segment: str) -> tuple[str, str]:
-        ids = self.encode_segment(segment)
+    def _keep(self, segment: str, ids: list[int] | None) -> None:
+        if ids is None:
+            ids = self.encode_segment(segment)
         decoded = self.decode_segment(ids)
         if segment != SPACE:  # no text of its own gives this one; it ends texts only
             self.fresh.append((segment, ids, decoded))
-        return ",".join(map(str, ids)), decoded
+        self.known[segment] = ",".join([self.texts[i] for i in ids]), decoded
 
-    def __call__(self, text: str) -> tuple[str, str]:
-        """The ids of a text, joined by commas, and the text they decode to."""
-        if not text:
-            return "", ""
-        try:
-            if SPACE in text:
-                raise Irregular
-            found = list(map(self.words.__getitem__, text.split(" ")))
-        except Irregular:
-            escaped = SPACE + text.replace(" ", SPACE)
-            found = [self.words[s[1:]] if s[1:2] != SPACE and len(s) > 1 else self._segment(s) for s in re.findall(f"{SPACE}+[^{SPACE}]*", escaped)]
-        return ",".join([f[0] for f in found]), "".join([f[1] for f in found])[1:]
+    def __call__(self, texts: list[str]) -> list[tuple[str, str]]:
+        """The ids of each text, joined by commas, and the text they decode to."""
+        cut = [re.findall(f"{SPACE}+[^{SPACE}]*", SPACE + t.replace(" ", SPACE)) if t else [] for t in texts]
+        fresh = set().union(*cut).difference(self.known)
+        if len(self.known) + len(fresh) > CACHE:
+            # A full cache starts anew; what this call needs is all that stays.
+            self.known.clear()
+            fresh = set().union(*cut)
+        self._learn(list(fresh))
+        found = [[*map(self.known.__getitem__, segments)] for segments in cut]
+        return [(",".join([f[0] for f in one]), "".join([f[1] for f in one])[1:]) for one in found]
 
     def check(self) -> None:
         """Hold all segments encoded since the last call against the library."""
@@ -135,6 +211,19 @@ class Codec:
             raise ValueError(f"{segments[wrong]!r} is {ids[wrong]}, {decoded[wrong]!r}; the library has {theirs[wrong]}, {back[wrong]!r}")
 
 
+def parts_of(texts: list[str]) -> Iterator[list[str]]:
+    """Consecutive texts of some BLOCK characters together, or a longer one alone."""
+    part, size = [], 0
+    for text in texts:
+        if part and size + len(text) > BLOCK:
+            yield part
+            part, size = [], 0
+        part.append(text)
+        size += len(text)
+    if part:
+        yield part
+
+
 @functools.lru_cache(maxsize=1)
 def shared_codec(path: str) -> Codec:
     """One codec per worker, so that its cache serves all tasks that it runs."""
@@ -174,8 +263,10 @@ def _encoded(docs: DataFrame, path: str, key: str, text: str, shown: str, show:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = shared_codec(path)
         for batch in one_by_one(batches, 1000):
-            rows = [codec(t) for t in texts(batch.column(1))]
-            codec.check()
+            bodies, rows = texts(batch.column(1)), []
+            for part in parts_of(bodies):
+                rows += codec(part)
+                codec.check()
             counts = np.array([ids.count(",") + 1 if ids else 0 for ids, _ in rows], np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts), *show(rows, counts)], names=schema.names)
 
