@@ -169,14 +169,15 @@ def near_vectors(table: DataFrame, threshold: float = 0.9, key: str = "vec_id",
     or hold null or non-finite components link with nothing, nor do vectors of different length
     or rows without a key. Equal vectors fold into one before any comparison and count one link
     for each other row. ``component_id`` is the least key reachable; ``kept`` marks it. Rows that
-    repeat a key count as rows. Other columns are not read; an empty table gives an empty result.
+    repeat a key count as rows, each with the links of its own vector. Other columns are not read; an empty table gives an empty result.
     """
     importable(table.sparkSession)
     marks = [F.xxhash64(F.lit(seed), vector).alias(f"_f{seed}") for seed in (1, 2)]
     good = table.where(usable(vector) & F.col(key).isNotNull()).select(key, F.col(vector).alias("v"), *(m for m in marks))
     classes = good.groupBy("_f1", "_f2").agg(F.min(F.struct(key, "v")).alias("_least"), F.count("*").alias("weight"))
-    classes = stage(classes.select("_f1", "_f2", F.col(f"_least.{key}").alias("node"), F.col("_least.v").alias("v"), "weight"), "vector-classes")
-    # One row for each node: rows that repeat a key with other vectors link by it alone.
+    # Classes get numbers of their own, fixed by writing them: a key may stand for several vectors.
+    numbered = classes.select("_f1", "_f2", F.monotonically_increasing_id().alias("node"), F.col(f"_least.{key}").alias("least"), F.col("_least.v").alias("v"), "weight")
+    classes = stage(numbered, "vector-classes")
     vectors = classes.select("node", "v")
     sample = vectors.select(F.size("v").alias("d"), "v").withColumn("_h", F.xxhash64("v"))
     dims = [r[0] for r in sample.groupBy("d").count().select("d").collect()]
@@ -188,10 +189,12 @@ def near_vectors(table: DataFrame, threshold: float = 0.9, key: str = "vec_id",
     links = stage(exact(maybe, vectors, threshold).distinct(), "vector-links")
 
     both = links.select(F.col("a").alias("node"), F.col("b").alias("other")).unionByName(links.select(F.col("b").alias("node"), F.col("a").alias("other")))
-    weights = classes.groupBy(F.col("node").alias("other")).agg(F.sum("weight").alias("w"))
+    weights = classes.select(F.col("node").alias("other"), F.col("weight").alias("w"))
     degree = both.join(weights, "other").groupBy("node").agg(F.sum("w").alias("far"))
-    told = classes.select("_f1", "_f2", "node", "weight").join(degree, "node", "left").join(components(links), "node", "left")
-    told = told.select("_f1", "_f2", (F.col("weight") - 1 + F.coalesce("far", F.lit(0))).alias("n"), F.coalesce("component", "node").alias("c"))
+    told = classes.select("_f1", "_f2", "node", "least", "weight").join(degree, "node", "left").join(components(links), "node", "left")
+    told = told.withColumn("component", F.coalesce("component", "node"))
+    roots = told.groupBy("component").agg(F.min("least").alias("c"))
+    told = told.join(roots, "component").select("_f1", "_f2", (F.col("weight") - 1 + F.coalesce("far", F.lit(0))).alias("n"), "c")
     told = stage(told, "vector-answers")
     valid = usable(vector) & F.col(key).isNotNull()
     rows = table.select(key, *(F.when(valid, m).alias(f"_f{i + 1}") for i, m in enumerate(F.xxhash64(F.lit(s), vector) for s in (1, 2))))
