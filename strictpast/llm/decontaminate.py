@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from strictpast.llm.arrays import LOWER, WHITE, blocks, mix, odd_numbers, pieces, range_hashes, windows
-from strictpast.llm.workers import importable, typed
+from strictpast.llm.workers import fresh, importable, packed, typed, unpacked
 
 #: Words of a shingle, share of an item in a hundred, hash functions of the index.
 WORDS, PERCENT, HASHES = 5, 80, 128
@@ -176,9 +176,11 @@ def _one_pass(docs: DataFrame, shared, text: str, item_key: str, percent: int, s
 def contaminations(docs: DataFrame, items: DataFrame, key: str = "doc_id", item_key: str = "item_id", **options) -> DataFrame:
     """``(key, item_key, n_item, n_shared)``, one row for every item that a document contains."""
     found = with_leaks(docs.select(key, options.get("text", "text")), items, item_key=item_key, **options)
-    return found.select(key, F.explode(LEAKS).alias("_leak")).select(key, "_leak.*")
+    inner = fresh(found, "leak")
+    return found.select(key, F.explode(LEAKS).alias(inner)).select(key, f"{inner}.*")
 
 
 def clean_documents(docs: DataFrame, items: DataFrame, short: bool = False) -> DataFrame:
-    """Pipeline stage: the documents that contain no item."""
-    return with_leaks(docs, items, short=short).where(F.size(LEAKS) == 0).select(*docs.columns)
+    """Pipeline stage: the documents that contain no item; their columns go through, whatever their names."""
+    clean = with_leaks(packed(docs, text="text"), items, short=short).where(F.size(LEAKS) == 0)
+    return unpacked(clean, docs, text="text")

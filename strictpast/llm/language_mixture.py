@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strictpast.llm.workers import importable, one_by_one
+from strictpast.llm.workers import importable, one_by_one, packed, unpacked
 
 BUCKETS = 1 << 14
 ORDER = 3
@@ -175,8 +175,10 @@ def kept_languages(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     """Pipeline stage: the rows of ``docs`` whose language is determined and explained.
 
     Null texts, texts without letters, and texts less likely under every mixture than random
-    n-grams are rejected; all others stay unchanged. Learns from the rows not held out.
+    n-grams are rejected; all others stay unchanged, with all their columns, whatever their names.
+    Learns from the rows not held out.
     """
     model = fit(docs.where(~held_out(key)))
-    judged = identify(docs.select("*"), model)
-    return judged.where((F.col("lang_pred") != UNDETERMINED) & F.col("explained")).select(*docs.columns)
+    judged = identify(packed(docs, text="text"), model)
+    kept = judged.where((F.col("lang_pred") != UNDETERMINED) & F.col("explained"))
+    return unpacked(kept, docs, text="text")

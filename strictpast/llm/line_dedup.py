@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from strictpast.llm.arrays import WHITE, blocks, mix, owners, pieces, range_hashes, windows
-from strictpast.llm.workers import importable, one_by_one, typed
+from strictpast.llm.workers import fresh, importable, one_by_one, packed, typed, unpacked
 from strictpast.session import stage
 
 #: Lines of the shortest run that is deleted, which is also the window of selection.
@@ -136,7 +136,9 @@ def drop_repeated_lines(
     """
     importable(docs.sparkSession)
     docs = docs.drop("n_lines", "n_removed")
-    found = repeated_runs(docs, run, key, text, alone).withColumnRenamed(key, "_key")
+    names = {n: fresh(docs, n) for n in ("key", "starts", "lines")}
+    found = repeated_runs(docs.select(key, text), run, key, text, alone).select(
+        F.col(key).alias(names["key"]), F.col("starts").alias(names["starts"]), F.col("lines").alias(names["lines"]))
     schema = T.StructType([*docs.schema.fields, *T.StructType.fromDDL("n_lines bigint, n_removed bigint").fields])
     at = docs.columns.index(text)
 
@@ -157,17 +159,20 @@ def drop_repeated_lines(
             counts = np.concatenate(lines) if lines else np.empty(0, np.int64)
             yield pa.RecordBatch.from_arrays([*columns, pa.array(counts), pa.array(removed, pa.int64())], names=schema.names)
 
-    met = docs.join(found, F.col(key) == F.col("_key"), "left").select(*(docs[c] for c in docs.columns), "starts", "lines")
+    met = docs.join(found, F.col(key) == F.col(names["key"]), "left").select(*docs.columns, names["starts"], names["lines"])
     return met.mapInArrow(clean, schema)
 
 
 def deduplicated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", alone: int | None = None) -> DataFrame:
     """Pipeline stage: texts without repeated runs; documents that lose every line go.
 
-    ``n_chars``, where there is one, follows the text; ``alone`` is as above.
+    ``n_chars``, where there is one, follows the text; ``alone`` is as above. All other columns go
+    through unchanged, whatever their names.
     """
-    done = drop_repeated_lines(docs, RUN, key, text, alone).where("n_removed = 0 or n_removed < n_lines")
-    if "n_chars" in docs.columns:
-        length = F.length(text).cast(docs.schema["n_chars"].dataType)
-        done = done.withColumn("n_chars", F.when(F.col("n_removed") > 0, length).otherwise(F.col("n_chars")))
-    return done.select(*docs.columns)
+    done = drop_repeated_lines(packed(docs, key=key, text=text), RUN, "key", "text", alone)
+    done = done.where("n_removed = 0 or n_removed < n_lines")
+    if "n_chars" not in docs.columns:
+        return unpacked(done, docs, key=key, text=text)
+    length = F.length("text").cast(docs.schema["n_chars"].dataType)
+    chars = F.when(F.col("n_removed") > 0, length).otherwise(F.col("rest").getField("n_chars"))
+    return unpacked(done.withColumn("rest", F.col("rest").withField("n_chars", chars)), docs, key=key, text=text)

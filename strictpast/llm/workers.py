@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
@@ -43,3 +44,19 @@ def fresh(df: DataFrame, name: str) -> str:
     while name.lower() in taken:
         name = f"_{name}"
     return name
+
+
+def packed(docs: DataFrame, **names: str) -> DataFrame:
+    """``docs`` with the columns ``names`` under new names and all others in one struct ``rest``.
+
+    Inside an operator no user's column can then clash with one of its own.
+    """
+    others = [c for c in docs.columns if c not in names.values()]
+    rest = F.struct(*(F.col(f"`{c}`") for c in others), F.lit(0).alias(fresh(docs, "pad")))
+    return docs.select(*(F.col(f"`{old}`").alias(new) for new, old in names.items()), rest.alias("rest"))
+
+
+def unpacked(df: DataFrame, docs: DataFrame, **names: str) -> DataFrame:
+    """The columns of ``docs`` from what :func:`packed` made of it."""
+    inner = {old: new for new, old in names.items()}
+    return df.select(*((F.col(inner[c]) if c in inner else F.col("rest").getField(c)).alias(c) for c in docs.columns))
