@@ -5,12 +5,10 @@
 2. Documents with equal sets fold into a class; one representative goes on.
 3. In a band bucket every member meets a few centres, the least members under several hash
    orders, which are found by aggregation. The pairs are verified and contracted to components.
-4. Only buckets whose members lie in more than one component stay open. In rounds, each member
-   outside a bucket's largest component meets the sketches of all members of others, and its
-   best partner is verified; components are contracted between rounds, which closes most buckets.
-5. What is left apart is compared in full. All sketches of an open bucket meet once more; pairs
-   that the posterior does not prune tie their documents, of which a spanning forest is returned.
-   Tied documents form a family, and in it members outside the largest component meet all
+4. Only buckets whose members lie in more than one component stay open. In these, members outside
+   the largest component meet the sketches of all members of others; pairs that the posterior
+   does not prune tie their documents, of which a spanning forest is returned.
+5. What is tied but left apart is compared in full. Tied documents form a family, and in it members outside the largest component meet all
    members of other components on full sets, inside tasks that get two chunks of the family. So
    every pair that shares a bucket is connected already, pruned or compared, and the pairs of a
    group of copies are never listed.
@@ -46,8 +44,6 @@ MISS = 1e-6
 CENTRES = 4
 #: Documents and bytes of text of a chunk of a family, sketches of a task of small buckets.
 CHUNK, CHUNK_BYTES, CELL = 512, 8 << 20, 8192
-#: Rounds in which members of open buckets try their best partners.
-ROUNDS = 2
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -227,26 +223,21 @@ def _links(docs: DataFrame, signed: DataFrame, classes: DataFrame, words: int, p
     first = stage(first.select("a", "b"), "centre-pairs")
     survivors = stage(_sequential(first, sketches, percent / 100), "survivors")
     links = stage(_exact(survivors, bodies, words, percent), "links")
-    for _ in range(ROUNDS):
-        best = _met_in_buckets(crowded, links, sketches, _best_partners(percent / 100))
-        links = stage(links.unionByName(_exact(stage(best.distinct(), "best-pairs"), bodies, words, percent)).distinct(), "links")
-    ties = stage(_met_in_buckets(crowded, links, sketches, _ties(percent / 100)).distinct(), "ties")
-    return links.unionByName(_rest(ties, links, reps, bodies, words, percent))
+    # Every document of a shared bucket with its verified component.
+    state = involved.join(components(links), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    state = stage(state, "states")
+    ties = stage(_tied(crowded, state, sketches, percent / 100).distinct(), "ties")
+    return links.unionByName(_rest(ties, state, reps, bodies, words, percent))
 
 
-def _placed(nodes: DataFrame, links: DataFrame) -> DataFrame:
-    """``nodes`` with their verified ``component``."""
-    return nodes.join(components(links), "node", "left").withColumn("component", F.coalesce("component", "node"))
-
-
-def _met_in_buckets(crowded: DataFrame, links: DataFrame, sketches: DataFrame, work) -> DataFrame:
-    """``(a, b)`` that ``work`` finds between outsiders and members of buckets that are still open.
+def _tied(crowded: DataFrame, state: DataFrame, sketches: DataFrame, threshold: float) -> DataFrame:
+    """Ties ``(a, b)`` between outsiders and members of buckets that are still open.
 
     An outsider is a member that is not in its bucket's largest component. Small buckets share a
     task, some CELL rows together; a large one is dealt to tasks by chunks of both sides. Rows
     carry a sketch, no text.
     """
-    state = stage(_placed(crowded.select("node").distinct(), links), "states")
+    work = _forest(threshold)
     entries = crowded.select("bucket", "node").join(state, "node")
     parts = entries.groupBy("bucket", "component").agg(F.count("*").alias("n"))
     whole = parts.groupBy("bucket").agg(
@@ -287,26 +278,12 @@ def _met_in_buckets(crowded: DataFrame, links: DataFrame, sketches: DataFrame, w
         kind = one.schema.field("node").type
         return pa.table({"a": pa.array(found[0], kind), "b": pa.array(found[1], kind)})
 
-    schema = T.StructType([typed(links, "a"), typed(links, "b")])
+    schema = T.StructType([typed(state, "node", "a"), typed(state, "node", "b")])
     met = outsiders.groupBy(*keys).cogroup(members.select(*(F.col(c).alias(c) for c in (*keys, *facts))).groupBy(*keys))
     return met.applyInArrow(meet, schema)
 
 
-def _best_partners(threshold: float):
-    """Of each outsider the partner of another component with most matches, if it is not pruned."""
-    least = least_matches(threshold)[-1]
-
-    def work(node, component, sketch, others, theirs, sketches):
-        for i in range(len(node)):
-            matches = np.where(theirs == component[i], -1, (sketches == sketch[i]).sum(axis=1))
-            at = int(matches.argmax()) if len(matches) else 0
-            if len(matches) and matches[at] >= least:
-                yield min(node[i], others[at]), max(node[i], others[at])
-
-    return work
-
-
-def _ties(threshold: float):
+def _forest(threshold: float):
     """A spanning forest of the pairs of different components that no batch prunes."""
     bounds = least_matches(threshold)
 
@@ -330,7 +307,7 @@ def _ties(threshold: float):
     return work
 
 
-def _rest(ties: DataFrame, links: DataFrame, reps: DataFrame, bodies: DataFrame, words: int, percent: int) -> DataFrame:
+def _rest(ties: DataFrame, state: DataFrame, reps: DataFrame, bodies: DataFrame, words: int, percent: int) -> DataFrame:
     """Links between tied documents of different components.
 
     A family holds the components that ties connect. In each, the members outside
@@ -339,8 +316,8 @@ def _rest(ties: DataFrame, links: DataFrame, reps: DataFrame, bodies: DataFrame,
     counts the intersections of the survivors, and returns for each outsider one link to each
     component that it reaches. Pairs never become rows.
     """
-    families = components(ties.unionByName(_spanned(ties, links))).withColumnRenamed("component", "family")
-    state = stage(_placed(families, links).select("node", "family", "component"), "family-members")
+    families = components(ties.unionByName(_spanned(ties, state))).withColumnRenamed("component", "family")
+    state = stage(families.join(state, "node").select("node", "family", "component"), "family-members")
     sized = state.join(bodies.select("node", F.octet_length("body").alias("bytes")), "node")
     parts = sized.groupBy("family", "component").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"))
     whole = parts.groupBy("family").agg(
@@ -387,14 +364,13 @@ def _rest(ties: DataFrame, links: DataFrame, reps: DataFrame, bodies: DataFrame,
         return pa.table({"a": pa.array(found[0], kind), "b": pa.array(found[1], kind)})
 
     keys = ["family", "o", "i"]
-    schema = T.StructType([typed(links, "a"), typed(links, "b")])
+    schema = T.StructType([typed(state, "node", "a"), typed(state, "node", "b")])
     met = outsiders.groupBy(*keys).cogroup(members.select(*(F.col(c).alias(c) for c in (*keys, *facts))).groupBy(*keys))
     return met.applyInArrow(meet, schema)
 
 
-def _spanned(ties: DataFrame, links: DataFrame) -> DataFrame:
-    """The links of components in which a document is tied."""
-    state = components(links)
+def _spanned(ties: DataFrame, state: DataFrame) -> DataFrame:
+    """Each member of a component in which a document is tied, linked to the least one."""
     tied = ties.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(state, "node").select("component").distinct()
     inside = state.join(tied, "component", "left_semi").select("node", "component")
     return inside.where("node != component").select(F.col("component").alias("a"), F.col("node").alias("b"))

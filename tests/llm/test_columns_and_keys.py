@@ -57,7 +57,7 @@ def test_ties_connect_all_plausible_pairs():
     sketch = np.where(r.random(sketch.shape) < 0.05, r.integers(0, 60000, sketch.shape), sketch).astype(np.uint16)
     node, component = np.arange(100, 160), np.arange(60) // 2
     main = component == 0
-    found = list(minhash_dedup._ties(0.8)(node[~main], component[~main], sketch[~main], node, component, sketch))
+    found = list(minhash_dedup._forest(0.8)(node[~main], component[~main], sketch[~main], node, component, sketch))
     label = {int(n): int(c) for n, c in zip(node, component)}
 
     def root(c):
