@@ -36,8 +36,13 @@ WITH lines AS (
         SELECT doc_id, k, row_number() OVER (PARTITION BY one, two ORDER BY doc_id, k) AS copy
         FROM runs WHERE two IS NOT NULL
     ) WHERE copy > 1
+), single AS (
+    SELECT doc_id, k FROM (
+        SELECT doc_id, k, row_number() OVER (PARTITION BY bare ORDER BY doc_id, k) AS copy
+        FROM counted WHERE len(regexp_extract_all(bare, '[^\x20\x09-\x0D]+')) >= 50
+    ) WHERE copy > 1
 ), gone AS (
-    SELECT doc_id, k FROM later UNION SELECT doc_id, k + 1 FROM later
+    SELECT doc_id, k FROM later UNION SELECT doc_id, k + 1 FROM later UNION SELECT doc_id, k FROM single
 ), totals AS (
     SELECT c.doc_id, count(*) AS n_lines, count(g.k) AS n_removed
     FROM counted c LEFT JOIN gone g ON g.doc_id = c.doc_id AND g.k = c.k GROUP BY c.doc_id

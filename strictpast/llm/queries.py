@@ -88,9 +88,9 @@ def op10_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents without repeated runs of lines."""
+    """All documents without repeated runs of two lines and repeated lines of fifty words."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return line_dedup.drop_repeated_lines(docs)
+    return line_dedup.drop_repeated_lines(docs, alone=50)
 
 
 @query

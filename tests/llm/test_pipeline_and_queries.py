@@ -59,7 +59,7 @@ def test_pipeline_stages(spark):
         if name == "language_id":
             want = {i: t for i, t in state.items() if t and any(map(str.isalpha, t))}
         elif name == "line_dedup":
-            want = {i: t for i, (t, n, gone) in zip(ids, brute_lines([state[i] for i in ids], 2)) if gone == 0 or gone < n}
+            want = {i: t for i, (t, n, gone) in zip(ids, brute_lines([state[i] for i in ids], 2, 50)) if gone == 0 or gone < n}
             assert all(r.n_chars == len(r.text) for r in docs.collect())
         elif name == "minhash_dedup":
             sets = [shingles(state[i], 5) for i in ids]

@@ -129,7 +129,7 @@ def test_components(spark):
     assert components(df.limit(0)).count() == 0
 
 
-def brute_lines(texts, run):
+def brute_lines(texts, run, alone=None):
     seen, out = set(), []
     for text in texts:
         lines = [] if text is None else text.split("\n")
@@ -141,6 +141,10 @@ def brute_lines(texts, run):
             if window in seen:
                 gone.update(solid[k : k + run])
             seen.add(window)
+        for i in solid:
+            if alone is not None and len(words(lines[i])) >= alone:
+                gone |= {i} if bare[i] in seen else set()
+                seen.add(bare[i])
         out.append((None if text is None else "\n".join(x for i, x in enumerate(lines) if i not in gone), len(solid), len(gone)))
     return out
 
@@ -183,6 +187,23 @@ def test_long_single_lines_equal_brute_force(spark):
     assert stage == {i: t for i, (t, n, gone) in enumerate(want) if not gone or gone < n}
 
 
+def test_selected_positions_are_sparse_and_match_everywhere(spark):
+    """A run of many lines is one chain of matches, each written once with the lines around it."""
+    r = np.random.default_rng(24)
+    shared = [f"shared {i}" for i in range(200)]
+    texts = ["\n".join([f"own {i} {k}" for k in range(r.integers(0, 30))] + shared + [f"tail {i}"]) for i in range(12)]
+    texts += ["\n".join(["again"] * 300), "\n".join(["again"] * 301), "\n".join(shared[:5]), "\n".join(shared[:3])]
+    for run in (2, 4):
+        docs = frame(spark, texts)
+        got = {x.doc_id: (x.text, x.n_lines, x.n_removed) for x in line_dedup.drop_repeated_lines(docs, run).collect()}
+        assert [got[i] for i in range(len(texts))] == brute_lines(texts, run)
+        prints = line_dedup.fingerprints(docs, run, "doc_id", "text").where("doc_id < 12").select("doc_id", "at", F.size("picks").alias("n"), F.greatest(F.size("before"), F.size("after")).alias("reach")).collect()
+        assert len({(x.doc_id, x.at) for x in prints}) == len(prints)
+        windows = sum(len(t.split("\n")) - run + 1 for t in texts[:12])
+        assert sum(x.n for x in prints) == windows and len(prints) < windows * 0.8
+        assert max(x.reach for x in prints) == line_dedup.REACH * run
+
+
 def test_line_stage_keeps_the_columns(spark):
     docs = spark.createDataFrame([(1, "a\nb\nc", 5), (2, "x\na\nb", 5), (3, "a\nb", 3), (4, None, None), (None, "a\nb", 3)], "doc_id long, text string, n_chars int")
     got = line_dedup.deduplicated_lines(docs)
