@@ -15,8 +15,8 @@ def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Line dedup: later copies of runs of lines go, and documents that consist of them."""
-    return line_dedup.deduplicated_lines(docs)
+    """Line dedup: later copies of runs of lines and of lines of fifty words go, and documents that consist of them."""
+    return line_dedup.deduplicated_lines(docs, alone=50)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
