@@ -23,8 +23,10 @@ from strictpast.llm.workers import importable, one_by_one, packed, unpacked
 
 BUCKETS = 1 << 14
 ORDER = 3
-#: Most languages of a model: bounds the model at LANGUAGES * BUCKETS counts.
+#: Languages whose dense counts a task holds at once, and with which a text's mixture starts.
 LANGUAGES = 200
+#: Count that every bucket has in every language before any text.
+SMOOTH = 0.1
 UNDETERMINED = "und"
 
 
@@ -48,30 +50,58 @@ def grams(text: np.ndarray) -> np.ndarray:
 
 @dataclass(frozen=True)
 class Model:
-    """``likelihood[b, l]``: probability of bucket ``b`` in language ``l``."""
+    """Counts of n-grams by language, those that are not zero, in order of buckets.
+
+    ``counts[first[b]:first[b + 1]]`` belong to bucket ``b`` and to the languages ``which`` of the same
+    places; ``totals`` are the counts of each language over all buckets, smoothing included.
+    """
 
     languages: tuple[str, ...]
-    likelihood: np.ndarray
+    first: np.ndarray
+    which: np.ndarray
+    counts: np.ndarray
+    totals: np.ndarray
+
+    def likelihoods(self, buckets: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """``(kept, table)``: the languages a text's mixture starts with, and their probabilities of its buckets.
+
+        These are the LANGUAGES that explain the text best by themselves (all, if there are no more), by name.
+        """
+        lengths = self.first[buckets + 1] - self.first[buckets]
+        row = np.repeat(np.arange(len(buckets)), lengths)
+        at = np.repeat(self.first[buckets] - np.cumsum(lengths) + lengths, lengths) + np.arange(len(row))
+        which, held = self.which[at], self.counts[at]
+        kept = np.arange(len(self.languages))
+        if len(kept) > LANGUAGES:
+            gain = np.bincount(which, counts[row] * np.log1p(held / SMOOTH), minlength=len(kept))
+            kept = np.sort(np.argsort(counts.sum() * np.log(self.totals) - gain, kind="stable")[:LANGUAGES])
+        place = np.full(len(self.languages), -1)
+        place[kept] = np.arange(len(kept))
+        mine = place[which] >= 0
+        table = np.full((len(buckets), len(kept)), SMOOTH)
+        table[row[mine], place[which[mine]]] += held[mine]
+        return kept, table / self.totals[kept]
 
     def mixture(self, text: np.ndarray) -> tuple[np.ndarray, float]:
         """Proportions of the languages in a text, and its log-likelihood per n-gram."""
         buckets, counts = np.unique(grams(text), return_counts=True)
+        out = np.zeros(len(self.languages))
         if not len(buckets):
-            return np.zeros(len(self.languages)), 0.0
-        table, total = self.likelihood[buckets], counts.sum()
-        kept = list(range(len(self.languages)))
+            return out, 0.0
+        total = counts.sum()
+        start, table = self.likelihoods(buckets, counts)
+        kept = list(range(len(start)))
         shares, fit = self._maximise(table, counts, np.full(len(kept), 1 / len(kept)))
         penalty = 0.5 * np.log(total)
         while len(kept) > 1:
             weakest = int(shares.argmin())
             fewer = kept[:weakest] + kept[weakest + 1 :]
-            start = np.delete(shares, weakest) + 1e-9
-            new_shares, new_fit = self._maximise(table[:, fewer], counts, start / start.sum())
+            begin = np.delete(shares, weakest) + 1e-9
+            new_shares, new_fit = self._maximise(table[:, fewer], counts, begin / begin.sum())
             if new_fit < fit - penalty:
                 break
             kept, shares, fit = fewer, new_shares, new_fit
-        out = np.zeros(len(self.languages))
-        out[kept] = shares
+        out[start[kept]] = shares
         return out, fit / total
 
     @staticmethod
@@ -92,17 +122,21 @@ def gram_counts(labelled: DataFrame, text: str = "text", lang: str = "lang") ->
     """``(lang, bucket, n)`` over all rows with a language. Counts are summed before the shuffle."""
     importable(labelled.sparkSession)
 
+    def told(counts: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
+        for lang_, held in counts.items():
+            there = np.flatnonzero(held)
+            yield pa.RecordBatch.from_arrays([pa.array([lang_] * len(there)), pa.array(there, pa.int32()), pa.array(held[there])], names=["lang", "bucket", "n"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[str, np.ndarray] = {}
         for batch in one_by_one(batches, 1000):
             for lang_, one in zip(batch.column(1).to_pylist(), lowered_bytes(batch.column(0))):
+                if lang_ not in counts and len(counts) == LANGUAGES:
+                    yield from told(counts)
+                    counts = {}
                 held = counts.setdefault(lang_, np.zeros(BUCKETS, np.int64))
                 held += np.bincount(grams(one), minlength=BUCKETS)
-                if len(counts) > LANGUAGES:
-                    raise ValueError(f"more than {LANGUAGES} languages among the labels")
-        for lang_, held in counts.items():
-            there = np.flatnonzero(held)
-            yield pa.RecordBatch.from_arrays([pa.array([lang_] * len(there)), pa.array(there, pa.int32()), pa.array(held[there])], names=["lang", "bucket", "n"])
+        yield from told(counts)
 
     rows = labelled.where(F.col(lang).isNotNull()).select(F.col(text).alias("text"), F.col(lang).cast("string").alias("lang"))
     parts = rows.mapInArrow(run, "lang string, bucket int, n bigint")
@@ -112,18 +146,17 @@ def gram_counts(labelled: DataFrame, text: str = "text", lang: str = "lang") ->
 def fit(labelled: DataFrame, text: str = "text", lang: str = "lang") -> Model | None:
     """Learn a model from every labelled row; None without any.
 
-    The driver receives the summed counts only: at most LANGUAGES * BUCKETS rows, whatever
-    the size of the input; more languages raise an error.
+    The driver receives the summed counts that are not zero: at most BUCKETS rows for each label
+    value, whatever the number of rows. Any number of label values is learned.
     """
-    counts = gram_counts(labelled, text, lang).toArrow()
+    counts = gram_counts(labelled, text, lang).toArrow().sort_by([("bucket", "ascending"), ("lang", "ascending")])
     names, codes = np.unique(counts["lang"].to_numpy(zero_copy_only=False).astype(str), return_inverse=True)
     if not len(names):
         return None
-    if len(names) > LANGUAGES:
-        raise ValueError(f"more than {LANGUAGES} languages among the labels")
-    table = np.full((BUCKETS, len(names)), 0.1)
-    table[counts["bucket"].to_numpy(), codes] += counts["n"].to_numpy()
-    return Model(tuple(names.tolist()), table / table.sum(axis=0))
+    held = counts["n"].to_numpy()
+    totals = np.bincount(codes, held, minlength=len(names)) + SMOOTH * BUCKETS
+    first = np.searchsorted(counts["bucket"].to_numpy(), np.arange(BUCKETS + 1))
+    return Model(tuple(names.tolist()), first, codes.astype(np.int32), held, totals)
 
 
 def identify(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame:
@@ -133,8 +166,9 @@ def identify(docs: DataFrame, model: Model | None, text: str = "text") -> DataFr
     or when nothing could be learned; equal shares go to the first language by name.
     ``explained`` tells whether the mixture gives the text a higher likelihood than uniformly
     drawn n-grams would. Columns of these names in ``docs`` are replaced; repeated rows are
-    judged each, empty tables stay empty, texts are read whole. One pass without a shuffle;
-    the model is broadcast, at most LANGUAGES * BUCKETS numbers.
+    judged each, empty tables stay empty, texts are read whole. A text's mixture starts with the
+    LANGUAGES label values that are likeliest by themselves. One pass without a shuffle; the model
+    is broadcast, at most BUCKETS counts for each label value.
     """
     spark = docs.sparkSession
     importable(spark)

@@ -1,12 +1,18 @@
 """Language mixtures by held-out accuracy, chat snapshots against brute force and SQL."""
 
+import math
+import os
 import zlib
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from strictpast.llm import chat_snapshots, language_mixture
+from strictpast.llm.queries import QUERIES
+
+SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
 SYLLABLES = {"aa": "ba be bi lo la".split(), "bb": "kru tsk gro vru mzo".split(), "cc": "éa ùo îe çà ôi".split()}
 
@@ -61,11 +67,74 @@ def test_stage_rejects_only_what_is_no_language(spark, labelled):
     assert {r.doc_id for r in kept.collect()} == set(range(600))
 
 
-def test_too_many_languages_are_refused(spark, monkeypatch):
-    monkeypatch.setattr(language_mixture, "LANGUAGES", 2)
-    docs = spark.createDataFrame([(f"text {i}", f"l{i}") for i in range(5)], "text string, lang string")
-    with pytest.raises(Exception, match="more than 2 languages"):
-        language_mixture.fit(docs)
+def test_any_number_of_labels_is_learned(spark, monkeypatch):
+    rows = [(i, " ".join(f"{chr(0x4E00 + i)}{chr(0x5E00 + i)}" for _ in range(20)), f"l{i:03}") for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_mixture.fit(docs)
+    assert len(model.languages) == 300
+    got = language_mixture.identify(docs.drop("lang"), model).collect()
+    assert {r.doc_id: r.lang_pred for r in got} == {i: lang for i, _, lang in rows}
+    monkeypatch.setattr(language_mixture, "LANGUAGES", 7)
+    again = language_mixture.fit(docs)  # tasks hold seven languages at once
+    assert again.languages == model.languages and all((getattr(again, n) == getattr(model, n)).all() for n in ("first", "which", "counts", "totals"))
+    text = np.frombuffer(f" {rows[5][1]} ".encode(), np.uint8)
+    kept, table = model.likelihoods(*np.unique(language_mixture.grams(text), return_counts=True))
+    assert len(kept) == table.shape[1] == 7 and 5 in kept
+    assert model.mixture(text)[0].argmax() == 5
+
+
+def plain_mixture(counts, total, names, text):
+    """Mixture of one text by dictionaries and loops: proportions by name and likelihood."""
+    held = Counter()
+    data = b" " + text.lower().encode() + b" "
+    for i in range(len(data) - 2):
+        code = (data[i] * 257 + data[i + 1]) * 257 + data[i + 2]
+        held[(code * 0x9E3779B97F4A7C15 % 2**64) >> 50] += 1
+    n = sum(held.values())
+    chance = {b: {g: (counts[g][b] + 0.1) / total[g] for g in names} for b in held}
+
+    def maximise(shares):
+        before = -math.inf
+        for _ in range(50):
+            mixed = {b: sum(s * chance[b][g] for g, s in shares.items()) for b in held}
+            fit = sum(c * math.log(mixed[b]) for b, c in held.items())
+            if fit - before < 1e-4 * max(1.0, n**0.5) or len(shares) == 1:
+                break
+            before = fit
+            shares = {g: s * sum(c * chance[b][g] / mixed[b] for b, c in held.items()) / n for g, s in shares.items()}
+        return shares, fit
+
+    shares, fit = maximise({g: 1 / len(names) for g in names})
+    while len(shares) > 1:
+        weakest = min(shares, key=shares.get)
+        fewer = {g: s + 1e-9 for g, s in shares.items() if g != weakest}
+        fewer, less = maximise({g: s / sum(fewer.values()) for g, s in fewer.items()})
+        if less < fit - 0.5 * math.log(n):
+            break
+        shares, fit = fewer, less
+    return shares
+
+
+@pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="test tables absent")
+def test_query_equals_a_plain_mixture(spark):
+    docs = spark.read.parquet(f"{SF_DIR}/documents.parquet").select("doc_id", "text", "lang").collect()
+    counts, total = defaultdict(Counter), {}
+    for d in docs:
+        if d.text is not None and d.lang is not None and zlib.crc32(str(d.doc_id).encode()) % 4 != 2:
+            data = b" " + d.text.lower().encode() + b" "
+            counts[d.lang].update((((data[i] * 257 + data[i + 1]) * 257 + data[i + 2]) * 0x9E3779B97F4A7C15 % 2**64) >> 50 for i in range(len(data) - 2))
+    names = sorted(counts)
+    total = {g: sum(counts[g].values()) + 0.1 * 2**14 for g in names}
+    got = {r.doc_id: r for r in QUERIES["op6_language_mixture"](spark, SF_DIR).collect()}
+    assert len(got) == len(docs)
+    for d in docs:
+        mine = got[d.doc_id]
+        assert mine.held_out == (zlib.crc32(str(d.doc_id).encode()) % 4 == 2)
+        if not d.text or not any(map(str.isalpha, d.text)):
+            assert (mine.lang_pred, mine.score) == ("und", 0.0)
+        else:
+            shares = plain_mixture(counts, total, names, d.text)
+            assert mine.lang_pred == max(shares, key=shares.get) and abs(mine.score - max(shares.values())) < 1e-6
 
 
 TURNS = [
