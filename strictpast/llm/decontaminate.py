@@ -10,7 +10,8 @@ shingles that the whole document holds is counted exactly. An item of fewer word
 has, if asked for, its whole word sequence as its only shingle, which is looked up among the
 document's runs of that many words.
 
-Items are broadcast in blocks of bounded size; a larger benchmark takes several passes.
+Items of one text are one class, indexed once; keys are joined to what was found. The distinct
+texts are broadcast in blocks of bounded size; a larger benchmark takes several passes.
 """
 
 from __future__ import annotations
@@ -19,12 +20,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from strictpast.llm.arrays import LOWER, WHITE, blocks, mix, odd_numbers, pieces, range_hashes, windows
-from strictpast.llm.workers import fresh, importable, packed, typed, unpacked
+from strictpast.llm.workers import importable, packed, unpacked
 
 #: Words of a shingle, share of an item in a hundred, hash functions of the index.
 WORDS, PERCENT, HASHES = 5, 80, 128
@@ -124,60 +125,72 @@ class Index:
                     yield t, i, 1
 
 
-def item_blocks(items: DataFrame, key: str, text: str, limit: int) -> Iterator[list]:
-    """The items in blocks whose texts hold ``limit`` bytes at most on average."""
-    slim = items.select(key, text)
-    total = slim.agg(F.sum(F.octet_length(text))).first()[0] or 0
+def item_blocks(items: DataFrame, text: str, limit: int) -> Iterator[list]:
+    """``(text class, text)`` of the distinct texts, in blocks that hold ``limit`` bytes at most on average."""
+    slim = items.where(F.col(text).isNotNull()).select(text_class(text).alias("class"), F.col(text).alias("text")).distinct()
+    total = slim.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = total // limit + 1
     for part in range(parts):
-        rows = slim if parts == 1 else slim.where(F.pmod(F.xxhash64(text), F.lit(parts)) == part)
+        rows = slim if parts == 1 else slim.where(F.pmod(F.xxhash64("class"), F.lit(parts)) == part)
         yield rows.collect()
 
 
+def text_class(text: str) -> Column:
+    """What stands for all items of one text."""
+    return F.sha2(F.col(text).cast("binary"), 256)
+
+
 def with_leaks(
-    docs: DataFrame, items: DataFrame, text: str = "text", item_key: str = "item_id", item_text: str = "text",
+    docs: DataFrame, items: DataFrame, text: str = "text", item_text: str = "text",
     words: int = WORDS, percent: int = PERCENT, limit: int = ITEM_BYTES, short: bool = False,
 ) -> DataFrame:
-    """``docs`` with ``leaks``: the items that each text contains, in order of items.
+    """``docs`` with ``leaks``: the item texts that each text contains, in order of their classes.
 
-    An entry has ``item_key``, ``n_item`` (distinct shingles of the item) and ``n_shared`` (how
-    many of them the text holds, at least ``percent`` in a hundred). Shingles are ``words``
+    An entry has ``class`` (:func:`text_class`), ``n_item`` (distinct shingles of the item) and ``n_shared``
+    (how many of them the text holds, at least ``percent`` in a hundred). Shingles are ``words``
     lower-cased (A-Z) words. Items of fewer words are in no text, or with ``short`` in each that
-    holds their words in a row: these are their only shingle. Null texts contain nothing; items of one key are told each. A column ``leaks`` in ``docs`` is replaced; empty tables
-    give empty results. No shuffle: one pass over ``docs`` for each block of items.
+    holds their words in a row: these are their only shingle. Null texts contain nothing and are
+    contained nowhere. A column ``leaks`` in ``docs`` is replaced; empty tables give empty results.
+    No shuffle: one pass over ``docs`` for each block of item texts.
     """
     spark = docs.sparkSession
     importable(spark)
-    entry = T.StructType([typed(items, item_key), T.StructField("n_item", T.LongType()), T.StructField("n_shared", T.LongType())])
+    entry = T.StructType.fromDDL("class string, n_item bigint, n_shared bigint")
     kept = docs.drop(LEAKS)
     out = kept.withColumn(LEAKS, F.array().cast(T.ArrayType(entry)))
-    for rows in item_blocks(items, item_key, item_text, limit):
+    for rows in item_blocks(items, item_text, limit):
         if rows:
             index = spark.sparkContext.broadcast((Index([r[1] for r in rows], words, short=short), [r[0] for r in rows]))
-            out = _one_pass(out, index, text, item_key, percent, out.schema)
+            out = _one_pass(out, index, text, percent, out.schema)
     return out.withColumn(LEAKS, F.array_sort(LEAKS))
 
 
-def _one_pass(docs: DataFrame, shared, text: str, item_key: str, percent: int, schema: T.StructType) -> DataFrame:
+def _one_pass(docs: DataFrame, shared, text: str, percent: int, schema: T.StructType) -> DataFrame:
     at = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index, keys = shared.value
+        index, classes = shared.value
         for batch in batches:
             leaks = batch.column(batch.num_columns - 1).to_pylist()
             for row, data, offsets in blocks(batch.column(at)):
                 for t, i, n in index.search(data, offsets, percent):
-                    leaks[row + t] = [*leaks[row + t], {item_key: keys[i], "n_item": int(index.sizes[i]), "n_shared": n}]
+                    leaks[row + t] = [*leaks[row + t], {"class": classes[i], "n_item": int(index.sizes[i]), "n_shared": n}]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(leaks, batch.column(batch.num_columns - 1).type)], names=schema.names)
 
     return docs.mapInArrow(run, schema)
 
 
-def contaminations(docs: DataFrame, items: DataFrame, key: str = "doc_id", item_key: str = "item_id", **options) -> DataFrame:
-    """``(key, item_key, n_item, n_shared)``, one row for every item that a document contains."""
-    found = with_leaks(docs.select(key, options.get("text", "text")), items, item_key=item_key, **options)
-    inner = fresh(found, "leak")
-    return found.select(key, F.explode(LEAKS).alias(inner)).select(key, f"{inner}.*")
+def contaminations(
+    docs: DataFrame, items: DataFrame, key: str = "doc_id", item_key: str = "item_id", text: str = "text", item_text: str = "text", **options
+) -> DataFrame:
+    """``(key, item_key, n_item, n_shared)``, one row for every item that a document contains.
+
+    Items of one text are told each, as are items of one key; ``options`` are those of :func:`with_leaks`.
+    """
+    slim = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
+    found = with_leaks(slim, items, item_text=item_text, **options).select("key", F.inline(LEAKS))
+    named = items.select(text_class(item_text).alias("class"), F.col(item_key).alias("item"))
+    return found.join(named, "class").select(F.col("key").alias(key), F.col("item").alias(item_key), "n_item", "n_shared")
 
 
 def clean_documents(docs: DataFrame, items: DataFrame, short: bool = False) -> DataFrame:

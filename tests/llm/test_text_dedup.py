@@ -328,6 +328,22 @@ def test_short_items_are_found_whole(spark):
     assert {k[1] for k in want} == {0, 1, 2, 3, 4, 5, 8}
 
 
+def test_items_of_one_text_are_indexed_once(spark):
+    """A text that most items hold makes one row of one block, and each of its items is told."""
+    r = np.random.default_rng(27)
+    hot, other = (" ".join(random_text(r, 30)) for _ in range(2))
+    rows = [(i, hot) for i in range(500)] + [(500, other), (501, None), (502, "")]
+    bench = spark.createDataFrame(rows, "item_id long, text string")
+    blocks = list(decontaminate.item_blocks(bench, "text", 100))
+    assert sorted(x.text for block in blocks for x in block) == sorted([hot, other, ""])
+    docs = frame(spark, [f"before {hot} after", other, "nothing of it", None])
+    for limit in (100, decontaminate.ITEM_BYTES):
+        got = decontaminate.contaminations(docs, bench, limit=limit, short=True).collect()
+        assert sorted((x.doc_id, x.item_id) for x in got) == [*((0, i) for i in range(500)), (1, 500)]
+    renamed = decontaminate.contaminations(docs.select("doc_id", "text").toDF("class", "n_item"), bench.toDF("key", "leaks"), key="class", item_key="key", text="n_item", item_text="leaks")
+    assert renamed.columns == ["class", "key", "n_item", "n_shared"] and renamed.count() == 501
+
+
 def test_vectors_equal_brute_force(spark, monkeypatch):
     monkeypatch.setattr(embedding_dedup, "BLOCK", 60)
     r = np.random.default_rng(8)
