@@ -28,7 +28,7 @@ from strictpast.session import stage
 #: Lines of the shortest run that is deleted, which is also the window of selection.
 RUN = 2
 #: Lines that are written before and after a selected position, as multiples of the run.
-REACH = 2
+REACH = 1
 
 NEWLINE = np.zeros(256, bool)
 NEWLINE[0x0A] = True
