@@ -22,23 +22,26 @@ def _least_neighbours(edges: DataFrame) -> DataFrame:
     return edges.withColumn("s", F.pmod(F.xxhash64("v"), F.lit(SALT)).cast("int")).join(least, ["u", "s"])
 
 
+def _starred(edges: DataFrame) -> bool:
+    """Whether every ``u`` has one ``v`` and no ``v`` is a ``u``: then each ``v`` is the least of its component."""
+    sides = edges.select(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down"))
+    sides = sides.unionByName(edges.select(F.col("v").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    ends = sides.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    return (ends.agg(F.max(F.col("up") + F.col("down"))).first()[0] or 0) <= 1
+
+
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """``(node, component)`` of every node that occurs in ``links``; the component is its least node.
 
     Loops and repeated links do no harm; links with a null end are ignored; without links the
     result is empty. Each round is written to the shared scratch folder, so lineage stays short
-    and a lost executor costs one round at most. The driver sees two numbers a round.
+    and a lost executor costs one round at most. The driver sees one number a round.
     """
     ends = links.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))
     edges = stage(ends.distinct(), "links")
-    seen = None
-    while True:
-        marks = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
-        if marks == seen or not marks[0]:
-            break
-        seen = marks
+    while not _starred(edges):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = _least_neighbours(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = _least_neighbours(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         met = _least_neighbours(large)
         small = met.select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e"))
         edges = stage(small.select("e.*").where("u != v").distinct(), "links")

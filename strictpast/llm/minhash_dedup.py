@@ -44,6 +44,8 @@ MISS = 1e-6
 CENTRES = 4
 #: Documents and bytes of text of a chunk of a family, sketches of a task of small buckets.
 CHUNK, CHUNK_BYTES, CELL = 512, 8 << 20, 8192
+#: Parts into which the rows of a family or component are dealt when they are joined with its facts.
+PARTS = 32
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -146,14 +148,16 @@ def _exact(pairs: DataFrame, bodies: DataFrame, words: int, percent: int) -> Dat
     """The pairs with ``100 * intersection >= percent * union`` on their full shingle sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        name, held = None, None
         for batch in batches:
-            good = []
-            sides = zip(batch.column(0).to_pylist(), blocks_of_one(batch.column(2), words), blocks_of_one(batch.column(3), words))
-            for i, (a, one, two) in enumerate(sides):
-                if a != name or held is None:
-                    name, held = a, one()
-                other = two()
+            if not batch.num_rows:
+                continue
+            # Rows lie by ``a``: its text is read where it changes, those of ``b`` side by side.
+            names, good, held = batch.column(0).to_numpy(), [], None
+            changes = np.flatnonzero(np.append(True, names[1:] != names[:-1]))
+            ones = sets_of(batch.column(2).take(pa.array(changes)), words)
+            new = set(changes.tolist())
+            for i, other in enumerate(sets_of(batch.column(3), words)):
+                held = next(ones) if i in new else held
                 both = len(np.intersect1d(held, other, assume_unique=True))
                 if 100 * both >= percent * (len(held) + len(other) - both):
                     good.append(i)
@@ -164,13 +168,10 @@ def _exact(pairs: DataFrame, bodies: DataFrame, words: int, percent: int) -> Dat
     return met.select("a", "b", "one", "two").mapInArrow(run, T.StructType([typed(pairs, "a"), typed(pairs, "b")]))
 
 
-def blocks_of_one(column: pa.Array, words: int):
-    """For every text a function that returns its distinct shingles."""
-    for one in column:
-        def build(one=one):
-            data = np.frombuffer(one.as_buffer() or b"", np.uint8) if one.is_valid else np.empty(0, np.uint8)
-            return np.unique(shingle_sets(data, np.array([0, len(data)]), words)[0])
-        yield build
+def sets_of(column: pa.Array, words: int) -> Iterator[np.ndarray]:
+    """The distinct shingles of every text, a block of texts at once."""
+    for _, data, offsets in blocks(column):
+        yield from distinct_sets(*shingle_sets(data, offsets, words))
 
 
 def near_duplicates(docs: DataFrame, words: int, percent: int, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -227,11 +228,13 @@ def _links(docs: DataFrame, signed: DataFrame, classes: DataFrame, words: int, p
     state = involved.join(components(links), "node", "left").withColumn("component", F.coalesce("component", "node"))
     state = stage(state, "states")
     ties = stage(_tied(crowded, state, sketches, percent / 100).distinct(), "ties")
-    return links.unionByName(_rest(ties, state, reps, bodies, words, percent))
+    # What is verified goes on as one link from each document to the least of its component.
+    known = state.where("node != component").select(F.col("component").alias("a"), F.col("node").alias("b"))
+    return known.unionByName(_rest(ties, state, reps, bodies, words, percent))
 
 
 def _tied(crowded: DataFrame, state: DataFrame, sketches: DataFrame, threshold: float) -> DataFrame:
-    """Ties ``(a, b)`` between outsiders and members of buckets that are still open.
+    """Ties ``(a, b)`` between the components of outsiders and of members of buckets that are still open.
 
     An outsider is a member that is not in its bucket's largest component. Small buckets share a
     task, some CELL rows together; a large one is dealt to tasks by chunks of both sides. Rows
@@ -272,7 +275,8 @@ def _tied(crowded: DataFrame, state: DataFrame, sketches: DataFrame, threshold:
             for first in np.unique(bucket, return_index=True)[1].tolist():
                 mine = slice(first, int(np.searchsorted(bucket, bucket[first], "right")))
                 theirs = slice(*(int(np.searchsorted(other, bucket[first], side)) for side in ("left", "right")))
-                for x, y in work(*(c[mine] for c in a), *(c[theirs] for c in b)):
+                lies = dict(zip([*a[0][mine].tolist(), *b[0][theirs].tolist()], [*a[1][mine].tolist(), *b[1][theirs].tolist()]))
+                for x, y in {(lies[x], lies[y]) for x, y in work(*(c[mine] for c in a), *(c[theirs] for c in b))}:
                     found[0].append(x)
                     found[1].append(y)
         kind = one.schema.field("node").type
@@ -316,8 +320,8 @@ def _rest(ties: DataFrame, state: DataFrame, reps: DataFrame, bodies: DataFrame,
     counts the intersections of the survivors, and returns for each outsider one link to each
     component that it reaches. Pairs never become rows.
     """
-    families = components(ties.unionByName(_spanned(ties, state))).withColumnRenamed("component", "family")
-    state = stage(families.join(state, "node").select("node", "family", "component"), "family-members")
+    families = components(ties).select(F.col("node").alias("component"), F.col("component").alias("family"))
+    state = stage(_in_parts(state, families, "component").select("node", "family", "component"), "family-members")
     sized = state.join(bodies.select("node", F.octet_length("body").alias("bytes")), "node")
     parts = sized.groupBy("family", "component").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"))
     whole = parts.groupBy("family").agg(
@@ -328,7 +332,7 @@ def _rest(ties: DataFrame, state: DataFrame, reps: DataFrame, bodies: DataFrame,
         return F.greatest(F.ceil(n / CHUNK), F.ceil(F.col("bytes") / CHUNK_BYTES)).cast("int")
 
     whole = whole.where("parts > 1").select("family", "main", chunks(F.col("n") - F.col("n_main")).alias("outs"), chunks(F.col("n")).alias("ins"))
-    rows = state.join(whole, "family").join(reps, "node").join(bodies, "node")
+    rows = _in_parts(state, whole, "family").join(reps, "node").join(bodies, "node")
     rows = stage(rows.select("family", "component", "main", "outs", "ins", "node", "bands", "sketch", "body"), "family-rows")
     facts = ["component", "node", "bands", "sketch", "body"]
 
@@ -369,11 +373,13 @@ def _rest(ties: DataFrame, state: DataFrame, reps: DataFrame, bodies: DataFrame,
     return met.applyInArrow(meet, schema)
 
 
-def _spanned(ties: DataFrame, state: DataFrame) -> DataFrame:
-    """Each member of a component in which a document is tied, linked to the least one."""
-    tied = ties.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(state, "node").select("component").distinct()
-    inside = state.join(tied, "component", "left_semi").select("node", "component")
-    return inside.where("node != component").select(F.col("component").alias("a"), F.col("node").alias("b"))
+def _in_parts(rows: DataFrame, facts: DataFrame, key: str) -> DataFrame:
+    """``rows`` with the facts of their ``key``, of which a third of all rows may share one.
+
+    Each fact is repeated for PARTS parts, into which the rows of its key are dealt.
+    """
+    facts = facts.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+    return rows.withColumn("part", F.pmod(F.xxhash64("node"), F.lit(PARTS)).cast("int")).join(facts, [key, "part"]).drop("part")
 
 
 class _Chunk:
@@ -384,7 +390,7 @@ class _Chunk:
         self.node, self.component = (rows[c].to_numpy() for c in ("node", "component"))
         self.bands = np.array(rows["bands"].to_pylist(), np.int64).reshape(self.n, BANDS)
         self.sketch = np.frombuffer(b"".join(rows["sketch"].to_pylist()), np.uint16).reshape(self.n, SKETCH)
-        self.sets = [build() for build in blocks_of_one(rows["body"], words)]
+        self.sets = list(sets_of(rows["body"].combine_chunks(), words))
         self.sizes = np.array([len(s) for s in self.sets], np.int64)
         self.starts = np.cumsum(self.sizes) - self.sizes
         self.vocabulary, self.places = np.unique(np.concatenate([np.empty(0, np.uint64), *self.sets]), return_inverse=True)
