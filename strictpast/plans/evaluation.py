@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -19,6 +21,8 @@ DECAY_HORIZONS, NEAR, MIDDLE, FAR = (1, 2, 3, 5, 7), 1, 3, 5
 # Days of a fold, of a label and of the embargo.
 FOLD_DAYS, EMBARGO_DAYS = 252, 5
 PROMOTED, RETIRED, HELD = "promoted", "retired", "held"
+#: Rows of a group that are ranked in one task; larger groups are ranked over range partitions.
+MOST_ROWS = 1_000_000
 
 
 # --- rank correlation ---------------------------------------------------------------------
@@ -61,15 +65,70 @@ def rank_correlation(df: DataFrame, x: str, y: str, by: Sequence[str], out: str
     return sums.select(*by, "rows", F.when(varied, (F.col("xy") - square) / F.sqrt(spread)).alias(out))
 
 
-def ic_by_date(values: DataFrame, labels: DataFrame, least_rows: int = 3) -> DataFrame:
-    """``(factor_name, horizon, date, rows, ic)`` of values ``(date, ticker, factor_name, value)``.
+def rank_correlations(df: DataFrame, xs: Sequence[str], ys: Sequence[str], by: Sequence[str], most: int = MOST_ROWS) -> DataFrame:
+    """``(by, x, y, rows, ic)``: :func:`rank_correlation` of every one of ``xs`` with every one of ``ys``, by name.
 
-    Every value meets the labels of its own day and ticker. Days with fewer than ``least_rows`` pairs give no row.
+    Rows are shuffled once, by group, whatever the number of pairs: a column is sorted once and its ranks among
+    the rows of each partner are running counts. That sorts a group in one task, so groups of more than
+    ``most`` rows go the way of :func:`rank_correlation`, pair by pair. ``df`` is read twice: pass a stored one.
     """
-    require_columns(values, ["date", "ticker", "factor_name", "value"], "factor values")
-    met = values.select("date", "ticker", "factor_name", "value").join(labels.select("date", "ticker", "horizon", "forward_return"), ["date", "ticker"])
-    found = rank_correlation(met, "value", "forward_return", ["factor_name", "horizon", "date"])
-    return found.where(F.col("rows") >= least_rows)
+    by, xs, ys = list(by), list(xs), list(ys)
+    require_columns(df, [*xs, *ys, *by], "rank correlation input")
+    if most > MOST_ROWS:
+        raise ValueError(f"sums of squared ranks of more than {MOST_ROWS} rows do not fit a long")
+    sizes = stage(df.groupBy(*by).agg(F.count("*").alias("_size")).where(F.col("_size") > most), "large-groups")
+    large = sizes.select(*(F.col(c).alias(f"_g{i}") for i, c in enumerate(by)))
+    same = reduce(and_, (F.col(c).eqNullSafe(F.col(f"_g{i}")) for i, c in enumerate(by)))
+    any_large = not sizes.isEmpty()
+    ranked = df.select(*by, *xs, *ys)
+    if any_large:
+        ranked = ranked.join(large, same, "left_anti")
+    pairs = [(i, j) for i in range(len(xs)) for j in range(len(ys))]
+    both = {(i, j): (F.col(xs[i]).isNotNull() & F.col(ys[j]).isNotNull()).cast("bigint") for i, j in pairs}
+
+    def twice_ranks(column: str, side: str, met: list[tuple[int, int]]) -> dict[str, Column]:
+        """Rows up to and with the value, less half of the equal ones, and one half; doubled."""
+        order = Window.partitionBy(*by).orderBy(column)
+        upto = order.rangeBetween(Window.unboundedPreceding, Window.currentRow)
+        equal = order.rangeBetween(Window.currentRow, Window.currentRow)
+        return {f"_{side}{i}_{j}": 2 * F.sum(both[i, j]).over(upto) - F.sum(both[i, j]).over(equal) + 1 for i, j in met}
+
+    for i, x in enumerate(xs):
+        ranked = ranked.withColumns(twice_ranks(x, "x", [p for p in pairs if p[0] == i]))
+    for j, y in enumerate(ys):
+        ranked = ranked.withColumns(twice_ranks(y, "y", [p for p in pairs if p[1] == j]))
+    sums, told = [], []
+    for i, j in pairs:
+        rx, ry, here = F.col(f"_x{i}_{j}"), F.col(f"_y{i}_{j}"), both[i, j] == 1
+        products = {"xy": rx * ry, "xx": rx * rx, "yy": ry * ry}
+        sums += [F.sum(both[i, j]).alias(f"_n{i}_{j}"), *(F.sum(F.when(here, v)).alias(f"_{k}{i}_{j}") for k, v in products.items())]
+        n = F.col(f"_n{i}_{j}")
+        square = n * (n + 1) * (n + 1)
+        xy, xx, yy = (F.col(f"_{k}{i}_{j}") - square for k in products)
+        # Whole numbers throughout: a column that never varies has a spread of exactly zero.
+        ic = F.when((xx > 0) & (yy > 0), xy.cast("double") / F.sqrt(xx.cast("double") * yy.cast("double")))
+        told.append(F.struct(F.lit(xs[i]).alias("x"), F.lit(ys[j]).alias("y"), n.alias("rows"), ic.alias("ic")))
+    out = ranked.groupBy(*by).agg(*sums).select(*by, F.inline(F.array(*told))).where("rows > 0")
+    if not any_large:
+        return out
+    rest = stage(df.join(large, same, "left_semi"), "large-group-rows")
+    for x in xs:
+        for y in ys:
+            slow = rank_correlation(rest, x, y, by)
+            out = out.unionByName(slow.select(*by, F.lit(x).alias("x"), F.lit(y).alias("y"), "rows", "ic"))
+    return out
+
+
+def ic_by_date(rows: DataFrame, factors: Sequence[str], ahead: Mapping[int, str], least_rows: int = 3) -> DataFrame:
+    """``(factor_name, horizon, date, rows, ic)`` of ``rows``, one for each date and ticker.
+
+    ``factors`` are value columns, ``ahead`` the label columns by horizon (:func:`labels.forward_columns`).
+    Days with fewer than ``least_rows`` pairs give no row.
+    """
+    require_columns(rows, ["date", *factors, *ahead.values()], "factor values and labels")
+    found = rank_correlations(rows, factors, list(ahead.values()), ["date"]).where(F.col("rows") >= least_rows)
+    horizon = F.coalesce(*(F.when(F.col("y") == name, F.lit(h)) for h, name in ahead.items()))
+    return found.select(F.col("x").alias("factor_name"), horizon.cast("int").alias("horizon"), "date", "rows", "ic")
 
 
 def ic_summary(ic: DataFrame, by: Sequence[str] = ("factor_name", "horizon"), lags: int | None = None) -> DataFrame:

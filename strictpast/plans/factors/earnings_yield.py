@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,8 +23,9 @@ class EarningsYield(Factor):
             raise ValueError(f"{self.name} requires context.fundamentals")
         return filing_states(context.fundamentals)
 
-    def raw(self, panel: DataFrame, context: FactorContext) -> DataFrame:
-        asked = panel.select("date", "ticker", "mcap", eligibility(panel).alias("eligible"))
+    def raw(self, panel: DataFrame, context: FactorContext, carried: Sequence[str] = ()) -> DataFrame:
+        """``carried`` columns of the panel go through the sweep, which spares a join back to it."""
+        asked = panel.select("date", "ticker", "mcap", eligibility(panel).alias("eligible"), *(c for c in carried if c != "mcap"))
         answered = as_of_states(asked, self._states(context), unique_requests=True)
         status = F.col("net_income_status")
         mcap = positive_finite(F.col("mcap"))
@@ -43,6 +46,7 @@ class EarningsYield(Factor):
             "eligible",
             "latest_lag_days",
             "oldest_lag_days",
+            *carried,
         )
 
     def lags(self, factor_out: DataFrame, context: FactorContext) -> DataFrame:

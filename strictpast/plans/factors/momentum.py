@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strictpast.plans.factors.base import Factor, FactorContext, eligibility
@@ -21,14 +21,17 @@ class Momentum(Factor):
     required = ("date", "ticker", "adj_close")
     default_reason = "history_ineligible"
 
+    @staticmethod
+    def change() -> Column:
+        """The raw value as a column over a ticker's rows."""
+        log_price, rows = F.ln("adj_close"), by_ticker()
+        return F.lag(log_price, SKIP_ROWS).over(rows) - F.lag(log_price, LOOKBACK_ROWS).over(rows)
+
     def raw(self, panel: DataFrame, context: FactorContext) -> DataFrame:
-        log_price = F.ln("adj_close")
-        rows = by_ticker()
-        change = F.lag(log_price, SKIP_ROWS).over(rows) - F.lag(log_price, LOOKBACK_ROWS).over(rows)
         return panel.select(
             "date",
             "ticker",
-            change.alias("raw_value"),
+            self.change().alias("raw_value"),
             F.lit(None).cast("string").alias("invalid_reason"),
             eligibility(panel).alias("eligible"),
         )

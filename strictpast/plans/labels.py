@@ -52,3 +52,18 @@ def forward_returns(
     labels = winsorize(stage(labels, "labels"), "forward_return", "winsorized_return", pct, ["date", "horizon"])
     marked = {"label_end", "forward_return", "winsorized_return"}
     return labels.select(*(F.col(c).alias(c, metadata=LABEL_MARK) if c in marked else F.col(c) for c in columns_of(LABELS)))
+
+
+def forward_columns(bars: DataFrame, horizons: Sequence[int]) -> tuple[DataFrame, dict[int, str]]:
+    """``bars`` with one marked column ``ahead_<horizon>`` a horizon, and the columns by horizon.
+
+    The same returns as :func:`forward_returns` without listings and bounds, null where that has no row: one
+    row a bar instead of one a bar and horizon.
+    """
+    require_columns(bars, ["date", "ticker", "adj_close"], "bars for labels")
+    names = {int(h): f"ahead_{int(h)}" for h in horizons}
+    ahead = {}
+    for h, name in names.items():
+        later = F.lead("adj_close", h).over(by_ticker())
+        ahead[name] = finite_or_null(F.when((F.col("adj_close") > 0) & (later > 0), later / F.col("adj_close") - 1))
+    return bars.select(*bars.columns, *(c.alias(n, metadata=LABEL_MARK) for n, c in ahead.items())), names

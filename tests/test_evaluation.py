@@ -311,3 +311,36 @@ def test_costs_of_a_known_trade(spark):
     small = got[days[1], "T0"]
     assert (small.trade, small.impact_cost, small.spread_cost) == (0.0, 0.0, 0.0) and small.borrow_cost == pytest.approx(500e-4 * 0.05 / 252)
     assert got[days[0], "gone"].impact_cost is None and got[days[0], "gone"].cost is None
+
+
+# --- one pass for many pairs ------------------------------------------------------------------
+
+
+def test_rank_correlations_of_many_pairs_equal_those_of_one(spark):
+    r = np.random.default_rng(3)
+    some = lambda v: None if r.random() < 0.2 else float(v)
+    rows = [(d, some(r.integers(-2, 3)), some(r.standard_normal()), some(r.integers(0, 5)), some(r.standard_normal())) for d in (1, 2, 2, 2) for _ in range(150)]
+    rows += [(3, -0.0, 1.0, 1.0, 2.0), (3, 0.0, 1.0, 2.0, 1.0), (3, 1.0, 1.0, 3.0, float("nan")), (4, None, 1.0, 1.0, None)]
+    df = spark.createDataFrame(rows, "d int, x0 double, x1 double, y0 double, y1 double").repartition(5)
+    whole = {(v.d, v.x, v.y): (v.rows, v.ic) for v in evaluation.rank_correlations(df, ["x0", "x1"], ["y0", "y1"], ["d"]).collect()}
+    cut = {(v.d, v.x, v.y): (v.rows, v.ic) for v in evaluation.rank_correlations(df, ["x0", "x1"], ["y0", "y1"], ["d"], most=200).collect()}
+    alone = {(v.d, x, y): (v.rows, v.ic) for x in ("x0", "x1") for y in ("y0", "y1") for v in evaluation.rank_correlation(df, x, y, ["d"]).collect()}
+    assert set(whole) == set(cut) == set(alone) and whole[3, "x0", "y0"][0] == 3
+    for k, (n, ic) in alone.items():
+        assert whole[k] == cut[k] == (n, None if ic is None else pytest.approx(ic, rel=1e-12, abs=1e-12))
+
+
+def test_forward_columns_are_the_forward_returns(spark):
+    _, bars = label_bars(spark)
+    wide, names = labels.forward_columns(bars, (1, 3))
+    want = {(v.date, v.ticker, v.horizon): v.forward_return for v in labels.forward_returns(bars, (1, 3)).collect()}
+    got = {(v.date, v.ticker, h): v[n] for v in wide.collect() for h, n in names.items() if v[n] is not None}
+    assert got == want
+    with pytest.raises(ContractError, match="labels"):
+        risk.exposures(wide, [names[1]])
+
+
+def test_rank_step_shuffles_once_for_all_pairs(spark):
+    df = spark.range(40).selectExpr("int(id % 4) d", *(f"double(id * {k} % 7) {c}" for k, c in enumerate(("x0", "x1", "y0", "y1", "y2"), 2)))
+    plan = evaluation.rank_correlations(df, ["x0", "x1"], ["y0", "y1", "y2"], ["d"])._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Join" not in plan
