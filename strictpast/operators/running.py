@@ -75,6 +75,7 @@ def decayed_sums(df: DataFrame, by: Sequence[str], position: str, half_life: flo
     scaled up by at most 16 and back, so any number of positions is stable; what earlier blocks leave
     is carried from block to block in one small fold for each group (one entry a block). A null value
     adds nothing. A group's rows are sorted a block at a time; no task holds more of a group.
+    ``df`` is read twice: pass a stored or cheap one.
     """
     by, names = list(by), list(sums)
     require_columns(df, [*by, position], "decayed sums input")
@@ -82,7 +83,7 @@ def decayed_sums(df: DataFrame, by: Sequence[str], position: str, half_life: flo
     fade = 2.0 ** (-size / half_life)
     values = {n: F.coalesce((F.col(v) if isinstance(v, str) else v).cast("double"), F.lit(0.0)) for n, v in sums.items()}
     rows = df.withColumn("_block", F.floor(F.col(position) / size).cast("bigint"))
-    rows = stage(rows.withColumns({f"_v_{n}": v for n, v in values.items()}), "decayed")
+    rows = rows.withColumns({f"_v_{n}": v for n, v in values.items()})
     into = F.col(position) - F.col("_block") * size
     left = F.pow(F.lit(2.0), (into - size) / F.lit(float(half_life)))
     ends = rows.groupBy(*by, "_block").agg(F.array(*(F.sum(F.col(f"_v_{n}") * left) for n in names)).alias("e"))

@@ -33,6 +33,7 @@ def exposures(df: DataFrame, styles: Sequence[str], by: str = "date", sigma: flo
     """``df`` with each style clipped to ``sigma`` deviations of its day and standardized.
 
     All styles share two passes. A missing style, and one that does not vary on its day, is average: 0.
+    ``df`` is read three times: pass a stored one.
     """
     require_columns(df, [*styles, by], "exposures")
     refuse_labels(df.select(*styles), "exposures")
@@ -41,7 +42,6 @@ def exposures(df: DataFrame, styles: Sequence[str], by: str = "date", sigma: flo
     low = {s: F.col(f"_m_{s}") - sigma * F.col(f"_s_{s}") for s in styles}
     high = {s: F.col(f"_m_{s}") + sigma * F.col(f"_s_{s}") for s in styles}
     clipped = told.select(*rest, *(F.when(F.col(s).isNotNull(), F.least(F.greatest(s, low[s]), high[s])).alias(s) for s in styles))
-    clipped = stage(clipped, "clipped")
     told = clipped.join(_stats(clipped, styles, by), by, "left")
     # A constant style has a deviation of rounding errors.
     varied = {s: F.col(f"_s_{s}") > 1e-12 * F.greatest(F.abs(f"_m_{s}"), F.lit(1e-12)) for s in styles}
