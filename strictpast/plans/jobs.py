@@ -119,10 +119,9 @@ def run_slices(
     panel, snapshot = _stored_panel(spark, bars, panel_path, rules, stored)
     counters = {}
     for name, computed in compute_all(specs, panel, context).items():
-        # Computed once: its diagnostics and its file read the same stored rows.
-        table = stage(computed.table, "factor")
-        notes = diagnostics_dict(REGISTRY[name].diagnostics(table, context, computed.values))
-        writers.write_factor(table, factor_paths[name], notes)
+        # Its scores are stored already: flags are cheaper to derive twice than to write twice.
+        notes = diagnostics_dict(REGISTRY[name].diagnostics(computed.table, context, computed.values))
+        writers.write_factor(computed.table, factor_paths[name], notes)
         counters[name] = reports.slice_counters(spark.read.parquet(factor_paths[name])).first()
 
     now = datetime.now(timezone.utc)

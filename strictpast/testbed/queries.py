@@ -38,7 +38,7 @@ from strictpast.plans.jobs import (
     verify_candidate,
 )
 from strictpast.plans.jobs import fixed_slice as fixed_slice_job
-from strictpast.session import scratch_root
+from strictpast.session import scratch_root, stage
 from strictpast.sinks import writers
 from strictpast.sources import feeds, index_pages
 from strictpast.sources import tables
@@ -254,6 +254,8 @@ def multi_slice(t: Tables) -> DataFrame:
     facts = books.provenance(book).groupBy("candidate_name").agg(
         F.count("artifact_id").alias("artifacts"), F.count_distinct("path").alias("paths"), F.count_distinct("candidate_id").alias("candidates")
     )
+    # Stored, so that its size is known: a shuffle by the factor's name would make one task of a factor.
+    facts = stage(facts, "facts")
     met = factor_view(both).join(facts, F.col("factor_name") == F.col("candidate_name")).drop("candidate_name")
     return met.withColumn("experiments", book.experiments.agg(F.count("*")).scalar())
 
