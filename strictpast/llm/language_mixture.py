@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strictpast.llm.workers import importable, one_by_one, packed, unpacked
+from strictpast.llm.workers import importable, let_go, one_by_one, packed, unpacked
 
 BUCKETS = 1 << 14
 ORDER = 3
@@ -128,6 +128,7 @@ def gram_counts(labelled: DataFrame, text: str = "text", lang: str = "lang") ->
             yield pa.RecordBatch.from_arrays([pa.array([lang_] * len(there)), pa.array(there, pa.int32()), pa.array(held[there])], names=["lang", "bucket", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         counts: dict[str, np.ndarray] = {}
         for batch in one_by_one(batches, 1000):
             for lang_, one in zip(batch.column(1).to_pylist(), lowered_bytes(batch.column(0))):

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from strictpast.llm.arrays import WHITE, blocks, inside, mix, owners, pieces, range_hashes, windows
-from strictpast.llm.workers import fresh, importable, one_by_one, packed, typed, unpacked
+from strictpast.llm.workers import fresh, importable, let_go, one_by_one, packed, typed, unpacked
 from strictpast.session import stage
 
 #: Lines of the shortest run that is deleted, which is also the window of selection.
@@ -75,6 +75,7 @@ def fingerprints(docs: DataFrame, run: int, key: str, text: str, alone: int | No
     steps = np.arange(1, REACH * run + 1)
 
     def run_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         for batch in batches:
             for row, data, offsets in blocks(batch.column(1)):
                 hashes, first, words = line_hashes(data, offsets)

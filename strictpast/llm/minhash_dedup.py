@@ -33,7 +33,7 @@ from pyspark.sql import types as T
 
 from strictpast.llm.arrays import LOWER, WHITE, blocks, mix, odd_numbers, pieces, range_hashes, windows
 from strictpast.llm.graph import components
-from strictpast.llm.workers import fresh, importable, typed
+from strictpast.llm.workers import fresh, importable, let_go, typed
 from strictpast.session import stage
 
 #: Bands, rows of a band, hashes of the sketch and of one batch of it.
@@ -96,6 +96,7 @@ def sign(docs: DataFrame, words: int, key: str, text: str) -> DataFrame:
     schema = T.StructType([typed(docs, key), *T.StructType.fromDDL("n_shingles bigint, f1 bigint, f2 bigint, bands array<bigint>, sketch binary").fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         orders, salts = odd_numbers(BANDS * ROWS, 3), odd_numbers(BANDS, 4)
         for batch in batches:
             for row, data, offsets in blocks(batch.column(1)):

@@ -13,7 +13,6 @@ its fresh segments, ids and decoded text, against the library.
 
 from __future__ import annotations
 
-import functools
 import hashlib
 import re
 from collections.abc import Callable, Iterator
@@ -25,7 +24,7 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from strictpast.llm.workers import importable, one_by_one, texts, typed
+from strictpast.llm.workers import importable, kept_by_worker, one_by_one, texts, typed
 
 SPACE = "▁"
 #: Segments whose ids a worker keeps; a full cache starts anew.
@@ -224,7 +223,7 @@ def parts_of(texts: list[str]) -> Iterator[list[str]]:
         yield part
 
 
-@functools.lru_cache(maxsize=1)
+@kept_by_worker
 def shared_codec(path: str) -> Codec:
     """One codec per worker, so that its cache serves all tasks that it runs."""
     return Codec(path)

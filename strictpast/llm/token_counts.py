@@ -8,7 +8,6 @@ the rest, each distinct one once per cache life.
 
 from __future__ import annotations
 
-import functools
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -19,7 +18,7 @@ from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
 from strictpast.llm.byte_bpe import ByteBpe, byte_alphabet
-from strictpast.llm.workers import importable, one_by_one, texts, typed
+from strictpast.llm.workers import importable, kept_by_worker, one_by_one, texts, typed
 
 
 def whole_tokens(path: str) -> frozenset[str]:
@@ -52,7 +51,7 @@ class Counter(ByteBpe):
         return 1 if pre_token in self.whole else super()._merge(pre_token)
 
 
-@functools.lru_cache(maxsize=1)
+@kept_by_worker
 def shared_counter(path: str, whole: frozenset[str]) -> Counter:
     """One counter per worker, so that its caches serve all tasks that it runs."""
     return Counter(path, whole)

@@ -9,7 +9,6 @@ reads the table from the end of the file and decompresses only their frames.
 
 from __future__ import annotations
 
-import functools
 import struct
 import uuid
 from collections.abc import Iterator
@@ -25,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from strictpast.llm.byte_bpe import ByteBpe
-from strictpast.llm.workers import importable, one_by_one, texts, typed
+from strictpast.llm.workers import importable, kept_by_worker, one_by_one, texts, typed
 from strictpast.session import scratch_root, stage
 
 # Fixed values of the public seekable zstandard format.
@@ -101,7 +100,7 @@ class Reader:
         self.file.close()
 
 
-@functools.lru_cache(maxsize=1)
+@kept_by_worker
 def shared_encoder(path: str) -> ByteBpe:
     """One encoder to packed ids per worker, so that its caches serve all its tasks."""
     return ByteBpe(path, piece=lambda ids: struct.pack(f"<{len(ids)}I", *ids), join=b"".join)

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import functools
+import gc
 import os
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -21,6 +23,25 @@ def importable(spark: SparkSession) -> None:
         env["PYTHONPATH"] = os.pathsep.join(p for p in (ROOT, known) if p)
 
 
+_KEPT: list[Callable] = []
+
+
+def kept_by_worker(make: Callable) -> Callable:
+    """``make`` with its last result kept by the worker, until :func:`let_go`."""
+    held = functools.lru_cache(maxsize=1)(make)
+    _KEPT.append(held)
+    return held
+
+
+def let_go() -> None:
+    """Drop what other operators' tasks left in this worker: a pipeline's stages share the workers, not the caches."""
+    full = [held for held in _KEPT if held.cache_info().currsize]
+    for held in full:
+        held.cache_clear()
+    if full:
+        gc.collect()
+
+
 def typed(df: DataFrame, name: str, as_name: str | None = None) -> T.StructField:
     """The field of ``name`` in ``df``, nullable, for schemas that hand a key through."""
     return T.StructField(as_name or name, df.schema[name].dataType, True)

@@ -12,7 +12,7 @@ import sentencepiece
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from strictpast.llm import sentencepiece_codec, token_counts, token_files
+from strictpast.llm import sentencepiece_codec, token_counts, token_files, workers
 from strictpast.llm.byte_bpe import Bounded, ByteBpe
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -142,3 +142,10 @@ def test_counts_ignore_other_columns(docs):
     plain = token_counts.count_tokens(docs.select("doc_id", "text"), BYTE_BPE)
     assert by_key(plain) == by_key(token_counts.count_tokens(docs.withColumn("over_limit", F.lit(1)), BYTE_BPE))
     assert np.isin(["n_bytes", "n_tokens", "over_limit"], plain.columns).all()
+
+
+def test_codecs_of_a_worker_can_be_let_go():
+    one = sentencepiece_codec.shared_codec(PIECES)
+    assert sentencepiece_codec.shared_codec(PIECES) is one
+    workers.let_go()
+    assert all(held.cache_info().currsize == 0 for held in (sentencepiece_codec.shared_codec, token_files.shared_encoder, token_counts.shared_counter))
