@@ -211,9 +211,11 @@ def _links(docs: DataFrame, signed: DataFrame, classes: DataFrame, words: int, p
     def order(i: int):
         return F.min(F.struct(F.xxhash64(F.lit(i), "node").alias("h"), "node"))["node"]
 
-    buckets = entries.groupBy("bucket").agg(F.count("*").alias("n"), F.array(*(order(i) for i in range(CENTRES))).alias("centres"))
-    buckets = stage(buckets.where("n > 1").drop("n"), "buckets")
-    crowded = stage(entries.join(buckets, "bucket"), "bucket-members")
+    # Most buckets hold one document: only those of others are written again with their centres.
+    shared = stage(entries.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket"), "shared-buckets")
+    held = stage(entries.join(shared, "bucket"), "shared-entries")
+    buckets = stage(held.groupBy("bucket").agg(F.array(*(order(i) for i in range(CENTRES))).alias("centres")), "buckets")
+    crowded = stage(held.join(buckets, "bucket"), "bucket-members")
     involved = stage(crowded.select("node").distinct(), "bucket-nodes")
     sketches = stage(reps.select("node", "sketch").join(involved, "node"), "sketches")
     written = docs.where(F.col(text).rlike(r"[^\x20\x09-\x0D]"))
@@ -407,7 +409,8 @@ def one_of_each_group(docs: DataFrame, words: int = 5, percent: int = 80, key: s
     found = stage(near_duplicates(docs, words, percent, key, text), "near-duplicates")
     gone = found.where("not kept").select(F.col(key).alias(inner)).distinct()
     several = found.where(F.col(key).isNotNull()).groupBy(F.col(key).alias(inner)).agg(F.count("*").alias("n")).where("n > 1").select(inner)
+    # Stored, so that their size is known: the texts are shuffled only where these keys are too many to broadcast, and then once.
+    chosen = stage(several.join(gone, inner, "left_anti"), "repeated-keys")
+    marked = stage(gone.unionByName(chosen), "marked-keys")
     same = F.col(key) == F.col(inner)
-    kept = docs.join(gone, same, "left_anti")
-    single = kept.join(several, same, "left_anti")
-    return single.unionByName(kept.join(several, same, "left_semi").dropDuplicates([key]))
+    return docs.join(marked, same, "left_anti").unionByName(docs.join(chosen, same, "left_semi").dropDuplicates([key]))

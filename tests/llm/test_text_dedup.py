@@ -110,6 +110,21 @@ def test_near_duplicates_of_odd_rows(spark):
     assert minhash_dedup.near_duplicates(docs.limit(0), 3, 85).count() == 0
 
 
+def test_few_dropped_documents_do_not_shuffle_the_texts(spark):
+    """The stored table of all documents is above the limit for a broadcast, the keys that are dropped or repeated are not."""
+    rows = [(i, f"alpha{i} beta{i} gamma{i} delta{i}") for i in range(6000)] + [(7000, "Alpha1 beta1 gamma1 delta1"), (2, "alpha2 beta2 gamma2 delta2")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "24k")
+    try:
+        kept = minhash_dedup.one_of_each_group(docs, 3, 85)
+        plan = kept._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+        assert sorted(r.doc_id for r in kept.select("doc_id").collect()) == list(range(6000))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def test_pruning_keeps_the_miss_probability():
     from math import comb
 
