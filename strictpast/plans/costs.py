@@ -21,22 +21,32 @@ YEAR_DAYS, VOLUME_DAYS = 252, 21
 BASIS = 1e-4
 
 
+def mean_volume(days: int = VOLUME_DAYS) -> Column:
+    """The mean value traded over the ticker's last ``days`` rows, this one included, as a column over its bars."""
+    return F.avg(F.col("volume") * F.col("raw_close")).over(by_ticker().rowsBetween(1 - days, 0))
+
+
 def dollar_volume(bars: DataFrame, days: int = VOLUME_DAYS) -> DataFrame:
-    """``(date, ticker, adv)``: the mean value traded over the ticker's last ``days`` rows, this one included."""
-    span = by_ticker().rowsBetween(1 - days, 0)
-    return bars.select("date", "ticker", F.avg(F.col("volume") * F.col("raw_close")).over(span).alias("adv"))
+    """``(date, ticker, adv)``: :func:`mean_volume` of every bar."""
+    return bars.select("date", "ticker", mean_volume(days).alias("adv"))
 
 
-def size_tiers(bars: DataFrame) -> DataFrame:
-    """``(date, ticker, mcap, large, small)``: whether a cap is in the top or bottom two tenths of its day.
+def tier_flags(rows: DataFrame, caps: DataFrame) -> DataFrame:
+    """``rows`` plus ``large`` and ``small``: whether ``mcap`` is in the top or bottom two tenths of its day in ``caps``.
 
-    The bounds are exact quantiles from mergeable counts, not a window over the day.
+    The bounds are exact quantiles from mergeable counts, not a window over the day. ``caps``, ``(date, mcap)``,
+    is read several times: pass a stored one.
     """
-    sized = stage(bars.select("date", "ticker", "mcap"), "caps")
-    bounds = stage(group_bounds(sized, "mcap", "date", (0.2, 0.8)), "cap-bounds")
-    met = sized.join(bounds, "date", "left")
+    bounds = stage(group_bounds(caps, "mcap", "date", (0.2, 0.8)), "cap-bounds").withColumnsRenamed({"lo": "_lo", "hi": "_hi"})
     flag = lambda test: F.coalesce(test, F.lit(False))
-    return met.select("date", "ticker", "mcap", flag(F.col("mcap") >= F.col("hi")).alias("large"), flag(F.col("mcap") < F.col("lo")).alias("small"))
+    met = rows.join(bounds, "date", "left")
+    return met.select(*rows.columns, flag(F.col("mcap") >= F.col("_hi")).alias("large"), flag(F.col("mcap") < F.col("_lo")).alias("small"))
+
+
+def size_tiers(bars: DataFrame) -> DataFrame:
+    """``(date, ticker, mcap, large, small)`` of every bar."""
+    sized = stage(bars.select("date", "ticker", "mcap"), "caps")
+    return tier_flags(sized, sized)
 
 
 def position_caps(adv: Column, gmv: float, share: float = POSITION_SHARE) -> Column:
@@ -68,19 +78,25 @@ def capped_weights(df: DataFrame, raw: str, cap: str, by: str = "date", total: f
 
 
 def trade_costs(weights: DataFrame, bars: DataFrame, gmv: float, spread: str | None = None) -> DataFrame:
-    """``(date, ticker, trade, spread_cost, impact_cost, borrow_cost, cost, flat_cost)`` of ``(date, ticker, weight)``.
+    """:func:`cost_columns` of ``(date, ticker, weight)``; what they need of the market comes from ``bars``."""
+    require_columns(weights, ["date", "ticker", "weight"], "weights")
+    carried = [spread] if spread else []
+    market = stage(bars.select("date", "ticker", "mcap", mean_volume().alias("adv")), "market")
+    met = weights.select("date", "ticker", "weight", *carried).join(tier_flags(market, market), ["date", "ticker"], "left")
+    return cost_columns(met, gmv, spread)
+
+
+def cost_columns(rows: DataFrame, gmv: float, spread: str | None = None) -> DataFrame:
+    """``(date, ticker, trade, spread_cost, impact_cost, borrow_cost, cost, flat_cost)`` of ``(date, ticker, weight, adv, large, small)``.
 
     The trade is the change of a ticker's weight from its row before (from 0 at first). Costs are shares of the
-    book: half the spread on the trade (``spread`` names a column of ``weights`` with half spreads; otherwise the
+    book: half the spread on the trade (``spread`` names a column with half spreads; otherwise the
     floors by size), impact by the power law of the trade's share of volume, and a day's borrow on a short weight by size. A trade
-    without known volume has no impact cost and so no total.
+    without known volume has no impact cost and so no total. Rows are shuffled once, by ticker.
     """
-    require_columns(weights, ["date", "ticker", "weight"], "weights")
-    carried = [spread] if spread else []
-    trade = F.col("weight") - F.coalesce(F.lag("weight").over(Window.partitionBy("ticker").orderBy("date")), F.lit(0.0))
-    traded = weights.select("date", "ticker", "weight", *carried, trade.alias("trade"))
-    market = dollar_volume(bars).join(size_tiers(bars), ["date", "ticker"])
-    met = traded.join(market, ["date", "ticker"], "left")
+    require_columns(rows, ["date", "ticker", "weight", "adv", "large", "small"], "weights and market")
+    trade = F.col("weight") - F.coalesce(F.lag("weight").over(by_ticker()), F.lit(0.0))
+    met = rows.withColumn("trade", trade)
     size = F.abs("trade")
     floors = F.when(F.col("large"), LARGE_SPREAD).otherwise(OTHER_SPREAD) * BASIS
     half = F.coalesce(F.col(spread), floors) if spread else floors

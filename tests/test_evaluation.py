@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as contract
 from conftest import business_days
 from strictpast.contracts import ContractError, LABELS, columns_of
 from strictpast.operators.cross_section import winsorize
@@ -297,6 +298,13 @@ def test_capped_weights(spark):
     assert got[1, "zero"] == got[1, "minus"] == got[1, "none"] == got[4, "off"] == got[2, "nocap"] == 0.0
 
 
+def test_cost_queries_shuffle_once_after_the_scores(spark):
+    """Weights are shuffled by day, trades by ticker; rows are joined with tables of one row a day only."""
+    for name, key in (("trade_costs", "ticker"),):
+        plan = contract.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") == 1 and f"Exchange hashpartitioning({key}#" in plan and "SortMergeJoin" not in plan
+
+
 def test_costs_of_a_known_trade(spark):
     days = business_days(DAY, 2)
     bars = [(d, f"T{i}", 10.0, 1000.0, float(i + 1)) for d in days for i in range(10)]
