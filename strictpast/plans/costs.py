@@ -19,6 +19,8 @@ IMPACT, EXPONENT = 0.10, 1.5
 VOLUME_SHARE, POSITION_SHARE = 0.05, 0.02
 YEAR_DAYS, VOLUME_DAYS = 252, 21
 BASIS = 1e-4
+#: Rows of a day that are sorted in one task for their weights; larger days go over range partitions.
+MOST_ROWS = 1_000_000
 
 
 def mean_volume(days: int = VOLUME_DAYS) -> Column:
@@ -54,12 +56,13 @@ def position_caps(adv: Column, gmv: float, share: float = POSITION_SHARE) -> Col
     return F.when(adv.isNotNull(), F.least(F.lit(share), VOLUME_SHARE * adv / gmv)).otherwise(F.lit(0.0))
 
 
-def capped_weights(df: DataFrame, raw: str, cap: str, by: str = "date", total: float = 1.0) -> DataFrame:
+def capped_weights(df: DataFrame, raw: str, cap: str, by: str = "date", total: float = 1.0, most: int = MOST_ROWS) -> DataFrame:
     """``df`` plus ``weight``: shares of ``total`` by ``raw``, cut at ``cap``, the excess shared again until all fit.
 
     The end of that process is known at once. In order of cap over raw, some first rows are cut, and the
-    others share what is left; the first row whose share fits tells where. Prefix sums over range partitions
-    give each row what it would get as the first one not cut, so a day may be of any size. A raw value that is
+    others share what is left; the first row whose share fits tells where. Sums of the rows before give each row
+    what it would get as the first one not cut. A day's rows are sorted in one task; days of more than ``most``
+    rows that weigh something are dealt to range partitions, so a day may be of any size. A raw value that is
     null or not positive weighs nothing; where all caps together are below ``total``, all rows are at their caps.
     """
     require_columns(df, [raw, cap, by, "ticker"], "capped weights")
@@ -67,14 +70,37 @@ def capped_weights(df: DataFrame, raw: str, cap: str, by: str = "date", total: f
     wanted = F.col(raw) > 0
     room = F.greatest(F.coalesce(F.col(cap), F.lit(0.0)), F.lit(0.0))
     live = rows.where(wanted).withColumns({"_cap": room, "_level": room / F.col(raw)})
+    large = stage(live.groupBy(by).agg(F.count("*").alias("_size")).where(F.col("_size") > most).select(F.col(by).alias("_by")), "large-groups")
+    out = rows.where(~F.coalesce(wanted, F.lit(False))).withColumn("weight", F.lit(0.0))
+    same = F.col(by).eqNullSafe(F.col("_by"))
+    if large.isEmpty():
+        return _levelled(live, rows.columns, raw, by, total).unionByName(out)
+    dealt = _levelled_ranges(live.join(large, same, "left_semi"), rows.columns, raw, by, total)
+    return _levelled(live.join(large, same, "left_anti"), rows.columns, raw, by, total).unionByName(dealt).unionByName(out)
+
+
+def _levelled(live: DataFrame, columns: list[str], raw: str, by: str, total: float) -> DataFrame:
+    """Weights of groups that one task sorts: one shuffle, by group."""
+    order = Window.partitionBy(by).orderBy("_level", "ticker")
+    before, upto = (order.rowsBetween(Window.unboundedPreceding, end) for end in (-1, 0))
+    whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    zero = F.lit(0.0)
+    sums = live.withColumns({"_caps": F.coalesce(F.sum("_cap").over(before), zero), "_raws": F.coalesce(F.sum(raw).over(before), zero), "_all": F.sum(raw).over(whole)})
+    told = sums.withColumn("_share", (F.lit(total) - F.col("_caps")) / (F.col("_all") - F.col("_raws")))
+    fits = F.when(F.col(by).isNotNull() & (F.col("_share") <= F.col("_level")), F.col("_share"))
+    met = told.withColumn("_fits", fits).withColumns({"_met": F.count("_fits").over(upto), "_first": F.first("_fits", True).over(whole)})
+    return met.select(*columns, F.when(F.col("_met") == 0, F.col("_cap")).otherwise(F.least(F.col("_first") * F.col(raw), F.col("_cap"))).alias("weight"))
+
+
+def _levelled_ranges(live: DataFrame, columns: list[str], raw: str, by: str, total: float) -> DataFrame:
+    """The same of groups of any size: prefix sums over range partitions."""
     before = stage(prefix_sums(live, [by], ["_level", "ticker"], {"_caps": "_cap", "_raws": raw}), "cap-prefixes")
     sums = before.groupBy(by).agg(F.sum(raw).alias("_all"))
     told = before.join(sums, by).withColumn("_share", (F.lit(total) - F.col("_caps")) / (F.col("_all") - F.col("_raws")))
     first = told.where(F.col("_share") <= F.col("_level")).groupBy(by).agg(F.min(F.struct("_level", "ticker", "_share")).alias("_first"))
     met = before.join(first, by, "left")
     at_cap = F.col("_first").isNull() | (F.struct("_level", "ticker") < F.struct("_first._level", "_first.ticker"))
-    weighed = met.select(*rows.columns, F.when(at_cap, F.col("_cap")).otherwise(F.least(F.col("_first._share") * F.col(raw), F.col("_cap"))).alias("weight"))
-    return weighed.unionByName(rows.where(~F.coalesce(wanted, F.lit(False))).withColumn("weight", F.lit(0.0)))
+    return met.select(*columns, F.when(at_cap, F.col("_cap")).otherwise(F.least(F.col("_first._share") * F.col(raw), F.col("_cap"))).alias("weight"))
 
 
 def trade_costs(weights: DataFrame, bars: DataFrame, gmv: float, spread: str | None = None) -> DataFrame:

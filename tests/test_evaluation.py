@@ -298,9 +298,17 @@ def test_capped_weights(spark):
     assert got[1, "zero"] == got[1, "minus"] == got[1, "none"] == got[4, "off"] == got[2, "nocap"] == 0.0
 
 
+def test_capped_weights_of_large_days_equal_those_of_small_ones(spark):
+    r = random.Random(2)
+    rows = [(d, f"T{i:03d}", r.random() - 0.2, r.random() * scale) for d, n, scale in ((1, 150, 0.05), (2, 40, 0.01), (3, 30, 5.0)) for i in range(n)]
+    df = spark.createDataFrame([*rows, (None, "T", 1.0, 0.5)], "date int, ticker string, raw double, cap double")
+    small, mixed = ({(x.date, x.ticker): x.weight for x in costs.capped_weights(df, "raw", "cap", most=most).collect()} for most in (1000, 50))
+    assert len(small) == len(rows) + 1 and small == pytest.approx(mixed, abs=1e-12)
+
+
 def test_cost_queries_shuffle_once_after_the_scores(spark):
     """Weights are shuffled by day, trades by ticker; rows are joined with tables of one row a day only."""
-    for name, key in (("trade_costs", "ticker"),):
+    for name, key in (("capped_weights", "date"), ("trade_costs", "ticker")):
         plan = contract.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
         assert plan.count("Exchange hashpartitioning") == 1 and f"Exchange hashpartitioning({key}#" in plan and "SortMergeJoin" not in plan
 
