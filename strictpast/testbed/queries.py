@@ -587,7 +587,7 @@ def read_fundamentals(t: Tables) -> DataFrame:
 def published_snapshots(t: Tables) -> DataFrame:
     """The three publish jobs: what their manifest holds and how many rows lie at the paths it names."""
     out = scratch(t, "published")
-    changes = t.changes()
+    changes = t.stored_changes()
     universe = t.read("customer").select(F.concat(F.lit("S"), "c_custkey").alias("ticker"))
     current = t.membership().where("date_removed is null or date_removed >= date_added")
     publish_membership(current, changes, out, 1, "c0ffee1")

@@ -34,6 +34,7 @@ class Tables:
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.dir = spark, sf_dir
+        self._changes: DataFrame | None = None
 
     def read(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
@@ -121,7 +122,8 @@ class Tables:
 
     def filings(self) -> DataFrame:
         """Originals, restatements, gaps, missing values, reused ids, and yearly trap rows."""
-        q = self.quarters()
+        # Read twice: the line items behind it are summed once.
+        q = stage(self.quarters().drop("tax"), "quarters")
         k, o = F.col("k"), F.col("o")
         hole = (k + o) % 17 == 0
         net = F.when(~hole, F.col("net"))
@@ -267,6 +269,12 @@ class Tables:
     def changes(self) -> DataFrame:
         return index_pages.normalize_changes(self.changes_page())
 
+    def stored_changes(self) -> DataFrame:
+        """The change log as a stored table: its dates are parsed once for all that reads it."""
+        if self._changes is None:
+            self._changes = stage(self.changes(), "changes")
+        return self._changes
+
     def current(self) -> DataFrame:
         return index_pages.normalize_current(self.current_page())
 
@@ -328,7 +336,7 @@ class Tables:
         return idx.membership_intervals(self.current(), self.changes())[0]
 
     def membership(self) -> DataFrame:
-        current, changes = self.current(), self.changes()
+        current, changes = stage(self.current(), "current"), self.stored_changes()
         enriched = idx.enrich_intervals(idx.membership_intervals(current, changes)[0], current, changes)
         return idx.apply_patches(enriched, *self.patches())
 

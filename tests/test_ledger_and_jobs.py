@@ -15,6 +15,7 @@ from strictpast.plans.panel import UniverseRules
 from strictpast.sinks import writers
 from strictpast.sources.tables import read_membership, read_panel, read_symbol_list, snapshot_of
 from strictpast.session import scratch_root, stage
+from strictpast.testbed.tables import Tables
 
 RUN = RunInfo("exp", "ab" * 32, "c0ffee1")
 
@@ -336,3 +337,11 @@ def test_rules_catch_broken_rows(spark):
         quality.enforce(bars, quality.bar_rules(), "bars")
     twice = quality.duplicate_keys(bars.unionByName(bars.limit(1)), ["date", "ticker"])
     assert twice.count() == 1
+
+
+def test_large_tables_are_read_once_by_the_published_snapshots(spark):
+    t = Tables(spark, "/root/testdata/sf0.001")
+    assert not any("lineitem" in f for f in t.filings().inputFiles())
+    # The change log formats and parses its dates when it is stored, not in the plans that read it.
+    assert t.stored_changes() is t.stored_changes() and not any("events" in f for f in t.stored_changes().inputFiles())
+    assert "date_format" not in t.membership()._jdf.queryExecution().executedPlan().toString()
