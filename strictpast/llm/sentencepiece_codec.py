@@ -6,9 +6,10 @@ merge crosses a cut. In each segment an agenda of adjacent symbol pairs, best sc
 leftmost among equals, is worked off; symbols that end outside the vocabulary become byte
 pieces. The fresh segments of a batch work off their agendas side by side: a matrix holds the
 rank of every pair, each round takes the best of every row, merges it and renews the ranks
-of its two neighbours. Long segments and such with unknown characters keep a heap of their own.
-Distinct segments are encoded once per cache life, and each Arrow batch checks all
-its fresh segments, ids and decoded text, against the library.
+of its two neighbours. Long segments keep a heap of their own.
+Distinct segments are encoded once while the cache holds them, and each block of texts checks all
+its fresh segments, ids and decoded text, against the library. The cache has two generations: what
+is used moves to the younger one, and a full younger one takes the place of the older.
 """
 
 from __future__ import annotations
@@ -27,10 +28,10 @@ from pyspark.sql import types as T
 from strictpast.llm.workers import importable, kept_by_worker, one_by_one, texts, typed
 
 SPACE = "▁"
-#: Segments whose ids a worker keeps; a full cache starts anew.
-CACHE = 800_000
-#: Characters up to which segments share a matrix, its cells, and bytes of text that are encoded together.
-SHORT, CELLS, BLOCK = 48, 1 << 20, 4 << 20
+#: Segments, and characters of segments and ids, that one of the two generations of a worker's cache holds.
+CACHE, CHARACTERS = 200_000, 8 << 20
+#: Characters up to which segments share a matrix, its cells, and characters of text that are encoded together.
+SHORT, CELLS, BLOCK = 48, 1 << 18, 1 << 20
 NEVER = np.int32(2**31 - 1)
 
 
@@ -50,7 +51,11 @@ class Codec:
             raise ValueError("a piece spans a space; segments would not be independent")
         self.pieces = {i: p for p, (_, i) in self.vocabulary.items()}
         self.bytes = {i: b for b, i in self.byte_ids.items()}
-        self.known: dict[str, tuple[str, str]] = {}
+        #: Segments, with their spaces, to their ids; what decodes to another text than the segment.
+        self.known: dict[str, str] = {}
+        self.older: dict[str, str] = {}
+        self.held = 0
+        self.altered: dict[str, str] = {}
         self.fresh: list[tuple[str, list[int], str]] = []
         self.texts = [str(i) for i in ids]
         self._tables(plain)
@@ -69,6 +74,8 @@ class Codec:
         chars = {ord(p): i for p, (_, i) in self.vocabulary.items() if len(p) == 1}
         self.chars = np.array(sorted(chars), np.uint32)
         self.char_ids = np.array([chars[c] for c in self.chars.tolist()], np.int32)
+        #: Whether characters outside the vocabulary stand in no piece, so that nothing merges with them.
+        self.closed = all(ord(c) in chars for c in set().union(*self.vocabulary))
 
     def _pairs(self, one: np.ndarray, two: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rank and merged id of adjacent symbols; NEVER where they do not merge."""
@@ -79,16 +86,22 @@ class Codec:
         return np.where((self.keys[at] == key) & (one >= 0) & (two >= 0), self.ranks[at], NEVER), self.made[at]
 
     def encode_short(self, segments: list[str]) -> list[list[int] | None]:
-        """The ids of short segments, all agendas side by side; None for those with unknown characters."""
+        """The ids of short segments, all agendas side by side.
+
+        A character outside the vocabulary is a symbol beyond all ids, which no pair has; where pieces
+        contain such characters, the segments that hold one give None.
+        """
         n, sizes = len(segments), np.array([len(s) for s in segments])
         width = int(sizes.max())
         codes = np.frombuffer("".join(segments).encode("utf-32-le"), np.uint32)
         at = np.minimum(np.searchsorted(self.chars, codes), len(self.chars) - 1)
-        found = np.where(self.chars[at] == codes, self.char_ids[at], -1).astype(np.int32)
+        unknown = len(self.texts) + codes.astype(np.int32) if self.closed else -1
+        found = np.where(self.chars[at] == codes, self.char_ids[at], unknown).astype(np.int32)
         inside = np.arange(width) < sizes[:, None]
         symbols = np.full((n, width + 1), -1, np.int32)  # the last column stands for "nothing"
         symbols[:, :-1][inside] = found
         strange = ((symbols[:, :-1] < 0) & inside).any(axis=1)
+        spelt = (symbols >= len(self.texts)).any(axis=1).tolist()
         rank, made = np.full((n, width + 1), NEVER), np.zeros((n, width + 1), np.int32)
         rank[:, : width - 1], made[:, : width - 1] = self._pairs(symbols[:, : width - 1], symbols[:, 1:width])
         right = np.minimum(np.arange(1, width + 2), sizes[:, None])
@@ -115,7 +128,13 @@ class Codec:
         kept[strange] = False
         ends = np.cumsum(kept.sum(axis=1)).tolist()
         flat = symbols[kept].tolist()
-        return [None if odd else flat[a:b] for a, b, odd in zip([0, *ends], ends, strange.tolist())]
+        out = [None if odd else flat[a:b] for a, b, odd in zip([0, *ends], ends, strange.tolist())]
+        return [self._spell(ids) if ids and spell else ids for ids, spell in zip(out, spelt)]
+
+    def _spell(self, symbols: list[int]) -> list[int]:
+        """Ids of symbols, byte pieces for characters outside the vocabulary."""
+        most = len(self.texts)
+        return [i for s in symbols for i in ((s,) if s < most else [self.byte_ids[b] for b in chr(s - most).encode()])]
 
     def encode_segment(self, segment: str) -> list[int]:
         """Work off the agenda of one segment.
@@ -168,34 +187,42 @@ class Codec:
     def _learn(self, segments: list[str]) -> None:
         """Encode segments that the cache lacks; most of them in matrices of bounded size."""
         short = sorted((s for s in segments if len(s) <= SHORT), key=len)
-        step = CELLS // SHORT
-        for at in range(0, len(short), step):
-            part = short[at : at + step]
-            for segment, ids in zip(part, self.encode_short(part)):
-                self._keep(segment, ids)
-        for segment in segments:
-            if len(segment) > SHORT:
-                self._keep(segment, None)
-
-    def _keep(self, segment: str, ids: list[int] | None) -> None:
-        if ids is None:
-            ids = self.encode_segment(segment)
-        decoded = self.decode_segment(ids)
-        if segment != SPACE:  # no text of its own gives this one; it ends texts only
-            self.fresh.append((segment, ids, decoded))
-        self.known[segment] = ",".join([self.texts[i] for i in ids]), decoded
+        for at in range(0, len(short), CELLS // SHORT):
+            part = short[at : at + CELLS // SHORT]
+            self._keep(part, self.encode_short([s.replace(" ", SPACE) for s in part]))
+        long = [s for s in segments if len(s) > SHORT]
+        self._keep(long, [None] * len(long))
+
+    def _keep(self, segments: list[str], found: list[list[int] | None]) -> None:
+        known, fresh, shown = self.known, self.fresh, self.texts
+        for segment, ids in zip(segments, found):
+            if ids is None:
+                ids = self.encode_segment(segment.replace(" ", SPACE))
+            decoded = self.decode_segment(ids)
+            if segment != " ":  # no text of its own gives this one; it ends texts only
+                fresh.append((segment, ids, decoded))
+            if decoded != segment:
+                self.altered[segment] = decoded
+            known[segment] = text = ",".join([shown[i] for i in ids])
+            self.held += len(segment) + len(text)
+
+    def _turn(self) -> None:
+        """The younger generation of the cache is the older one from now on."""
+        self.known, self.older, self.held = {}, self.known, 0
+        self.altered = {s: d for s, d in self.altered.items() if s in self.older}
 
     def __call__(self, texts: list[str]) -> list[tuple[str, str]]:
         """The ids of each text, joined by commas, and the text they decode to."""
-        cut = [re.findall(f"{SPACE}+[^{SPACE}]*", SPACE + t.replace(" ", SPACE)) if t else [] for t in texts]
-        fresh = set().union(*cut).difference(self.known)
-        if len(self.known) + len(fresh) > CACHE:
-            # A full cache starts anew; what this call needs is all that stays.
-            self.known.clear()
-            fresh = set().union(*cut)
-        self._learn(list(fresh))
-        found = [[*map(self.known.__getitem__, segments)] for segments in cut]
-        return [(",".join([f[0] for f in one]), "".join([f[1] for f in one])[1:]) for one in found]
+        if len(self.known) > CACHE or self.held > CHARACTERS:
+            self._turn()
+        cut = [re.findall(" +[^ ]*", " " + t.replace(SPACE, " ")) if t else [] for t in texts]
+        absent = set().union(*cut).difference(self.known)
+        again = absent.intersection(self.older)
+        self.known.update(zip(again, map(self.older.__getitem__, again)))
+        self.held += sum(len(s) + len(self.older[s]) for s in again)
+        self._learn(list(absent.difference(again)))
+        ids, decoded = self.known.__getitem__, self.altered.get
+        return [(",".join(map(ids, one)), "".join(map(decoded, one, one) if self.altered else one)[1:]) for one in cut]
 
     def check(self) -> None:
         """Hold all segments encoded since the last call against the library."""

@@ -12,15 +12,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+#: Bytes of rows that go to a Python task at once, where the session does not say.
+BATCH_KEY, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 
 def importable(spark: SparkSession) -> None:
-    """Let Python workers import this package from where the driver found it."""
+    """Let Python workers import this package from where the driver found it, and bound the batches they get.
+
+    Rows here hold whole texts, one or two each: Spark's 10,000 rows or 64 MiB a batch stand in
+    the executor and in its worker, twice while a buffer grows. A longer text is a batch of its own.
+    """
     env = spark.sparkContext.environment
     known = env.get("PYTHONPATH", os.environ.get("PYTHONPATH", ""))
     if ROOT not in known.split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(p for p in (ROOT, known) if p)
+    if BATCH_KEY not in spark.conf.getAll:
+        spark.conf.set(BATCH_KEY, BATCH_BYTES)
 
 
 _KEPT: list[Callable] = []
@@ -40,6 +48,7 @@ def let_go() -> None:
         held.cache_clear()
     if full:
         gc.collect()
+        pa.default_memory_pool().release_unused()
 
 
 def typed(df: DataFrame, name: str, as_name: str | None = None) -> T.StructField:

@@ -7,6 +7,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 from pyspark.sql import functions as F
@@ -138,12 +139,56 @@ def test_a_wrong_segment_fails():
     assert codec.encode_segment(long) == codec.library.encode(long[1:])
 
 
+def test_the_cache_of_segments_is_bounded(monkeypatch):
+    """Two generations of a cache: what is used stays, what is not goes, and results never depend on it."""
+    codec = sentencepiece_codec.Codec(PIECES)
+    monkeypatch.setattr(sentencepiece_codec, "CACHE", 100)
+    monkeypatch.setattr(sentencepiece_codec, "CHARACTERS", 2000)
+    for i in range(50):
+        rows = ["the house " + " ".join(f"w{i}x{j}" for j in range(40)), f"the {'long' * 200}{i} \u2581\u2581 \u05d0\U0001f600{i} e\u0301 ", ""]
+        for (ids, decoded), text in zip(codec(rows), rows):
+            want = codec.library.encode(text)
+            assert (ids, decoded) == (",".join(map(str, want)), codec.library.decode(want))
+        encoded = {s for s, _, _ in codec.fresh}
+        codec.check()
+        assert i == 0 or not encoded & {" the", " house"}
+        assert len(codec.known) + len(codec.older) <= 2 * (100 + 50)
+        assert sum(len(s) + len(t) for held in (codec.known, codec.older) for s, t in held.items()) <= 2 * (2000 + 5000)
+        assert not codec.altered.keys() - codec.known.keys() - codec.older.keys()
+
+
+def test_unknown_characters_share_the_matrix():
+    codec = sentencepiece_codec.Codec(PIECES)
+    segments = ["▁", "▁house", "▁\u05d0\U0001f600", "▁ho\u0007use\U0010ffff", "\u0000▁"]
+    assert codec.closed
+    assert codec.encode_short(segments) == [codec.encode_segment(s) for s in segments]
+
+
 def test_counts_ignore_other_columns(docs):
     plain = token_counts.count_tokens(docs.select("doc_id", "text"), BYTE_BPE)
     assert by_key(plain) == by_key(token_counts.count_tokens(docs.withColumn("over_limit", F.lit(1)), BYTE_BPE))
     assert np.isin(["n_bytes", "n_tokens", "over_limit"], plain.columns).all()
 
 
+def test_batches_of_texts_are_bounded(spark):
+    workers.importable(spark)
+    assert spark.conf.get(workers.BATCH_KEY) == str(workers.BATCH_BYTES)
+    rows = spark.range(0, 2000, 1, 1).select("id", F.repeat(F.lit("0123456789"), 1000).alias("text"))
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows]), pa.array([batch.nbytes])], names=["n", "size"])
+
+    got = rows.mapInArrow(sizes, "n bigint, size bigint").collect()
+    assert sum(r.n for r in got) == 2000 and max(r.size for r in got) < 2 * workers.BATCH_BYTES
+    try:
+        spark.conf.set(workers.BATCH_KEY, 1 << 20)
+        workers.importable(spark)
+        assert spark.conf.get(workers.BATCH_KEY) == str(1 << 20)
+    finally:
+        spark.conf.unset(workers.BATCH_KEY)
+
+
 def test_codecs_of_a_worker_can_be_let_go():
     one = sentencepiece_codec.shared_codec(PIECES)
     assert sentencepiece_codec.shared_codec(PIECES) is one
