@@ -11,6 +11,17 @@ from strictpast.session import stage
 SALT = 8
 
 
+def in_parts(rows: DataFrame, facts: DataFrame, key: str, by: str, parts: int) -> DataFrame:
+    """``rows`` with the facts of their ``key``, of which a large part of all rows may share one.
+
+    Each fact is repeated for ``parts`` parts, into which the rows of its key are dealt by ``by``.
+    Both sides are shuffled: to the planner the repeated facts look as small as before, so it
+    broadcasts ``parts`` times its limit, which the driver has to hold.
+    """
+    facts = facts.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).hint("merge")
+    return rows.withColumn("part", F.pmod(F.xxhash64(by), F.lit(parts)).cast("int")).join(facts, [key, "part"]).drop("part")
+
+
 def _least_neighbours(edges: DataFrame) -> DataFrame:
     """Every edge ``(u, v)`` with ``m``, the least of ``u`` and its neighbours.
 
@@ -18,8 +29,7 @@ def _least_neighbours(edges: DataFrame) -> DataFrame:
     edges of a hub are split over tasks.
     """
     least = edges.groupBy("u").agg(F.least("u", F.min("v")).alias("m"))
-    least = least.withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
-    return edges.withColumn("s", F.pmod(F.xxhash64("v"), F.lit(SALT)).cast("int")).join(least, ["u", "s"])
+    return in_parts(edges, least, "u", "v", SALT)
 
 
 def _starred(edges: DataFrame) -> bool:

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from strictpast.llm.arrays import LOWER, WHITE, blocks, mix, odd_numbers, pieces, range_hashes, windows
-from strictpast.llm.graph import components
+from strictpast.llm.graph import components, in_parts
 from strictpast.llm.workers import fresh, importable, let_go, typed
 from strictpast.session import stage
 
@@ -324,7 +324,7 @@ def _rest(ties: DataFrame, state: DataFrame, reps: DataFrame, bodies: DataFrame,
     component that it reaches. Pairs never become rows.
     """
     families = components(ties).select(F.col("node").alias("component"), F.col("component").alias("family"))
-    state = stage(_in_parts(state, families, "component").select("node", "family", "component"), "family-members")
+    state = stage(in_parts(state, families, "component", "node", PARTS).select("node", "family", "component"), "family-members")
     sized = state.join(bodies.select("node", F.octet_length("body").alias("bytes")), "node")
     parts = sized.groupBy("family", "component").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"))
     whole = parts.groupBy("family").agg(
@@ -335,7 +335,7 @@ def _rest(ties: DataFrame, state: DataFrame, reps: DataFrame, bodies: DataFrame,
         return F.greatest(F.ceil(n / CHUNK), F.ceil(F.col("bytes") / CHUNK_BYTES)).cast("int")
 
     whole = whole.where("parts > 1").select("family", "main", chunks(F.col("n") - F.col("n_main")).alias("outs"), chunks(F.col("n")).alias("ins"))
-    rows = _in_parts(state, whole, "family").join(reps, "node").join(bodies, "node")
+    rows = in_parts(state, whole, "family", "node", PARTS).join(reps, "node").join(bodies, "node")
     rows = stage(rows.select("family", "component", "main", "outs", "ins", "node", "bands", "sketch", "body"), "family-rows")
     facts = ["component", "node", "bands", "sketch", "body"]
 
@@ -376,15 +376,6 @@ def _rest(ties: DataFrame, state: DataFrame, reps: DataFrame, bodies: DataFrame,
     return met.applyInArrow(meet, schema)
 
 
-def _in_parts(rows: DataFrame, facts: DataFrame, key: str) -> DataFrame:
-    """``rows`` with the facts of their ``key``, of which a third of all rows may share one.
-
-    Each fact is repeated for PARTS parts, into which the rows of its key are dealt.
-    """
-    facts = facts.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
-    return rows.withColumn("part", F.pmod(F.xxhash64("node"), F.lit(PARTS)).cast("int")).join(facts, [key, "part"]).drop("part")
-
-
 class _Chunk:
     """A chunk of documents as arrays; ``places`` lists the shingles of all as vocabulary numbers."""
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from strictpast.llm import decontaminate, embedding_dedup, line_dedup, minhash_dedup, suffix_dedup
 from strictpast.llm.arrays import PLAIN, WHITE, blocks, pieces, range_hashes
-from strictpast.llm.graph import components
+from strictpast.llm.graph import components, in_parts
 
 LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
 
@@ -144,6 +144,18 @@ def test_components(spark):
     assert components(df.limit(0)).count() == 0
 
 
+def test_facts_repeated_for_parts_are_not_broadcast(spark):
+    """The planner's size of exploded facts leaves out the copies, which the driver would hold."""
+    rows = spark.range(3000).selectExpr("id node", "if(id < 1000, 0, id % 90) key")
+    facts = spark.range(100).selectExpr("id key", "id * 7 fact")
+    met = in_parts(rows, facts, "key", "node", 32)
+    got = {(r.node, r.key, r.fact) for r in met.collect()}
+    assert got == {(i, k, 7 * k) for i in range(3000) for k in [0 if i < 1000 else i % 90]}
+    assert met.columns == ["key", "node", "fact"]
+    plan = met._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def brute_lines(texts, run, alone=None):
     seen, out = set(), []
     for text in texts:
