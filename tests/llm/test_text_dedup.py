@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from strictpast.llm import decontaminate, embedding_dedup, line_dedup, minhash_dedup, suffix_dedup
+from strictpast.llm import decontaminate, embedding_dedup, graph, line_dedup, minhash_dedup, suffix_dedup
 from strictpast.llm.arrays import PLAIN, WHITE, blocks, pieces, range_hashes
 from strictpast.llm.graph import components, in_parts
 
@@ -156,6 +156,30 @@ def test_facts_repeated_for_parts_are_not_broadcast(spark):
     assert "SortMergeJoin" in plan and "Broadcast" not in plan
 
 
+def test_the_stage_broadcasts_no_repeated_facts(spark, monkeypatch):
+    """Every table that the pipeline's MinHash stage stores, as it is planned; facts are repeated by a column part."""
+    plans, write = [], graph.stage
+
+    def kept(df, label):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return write(df, label)
+
+    monkeypatch.setattr(graph, "stage", kept)
+    monkeypatch.setattr(minhash_dedup, "stage", kept)
+    texts = families()
+    assert 0 < minhash_dedup.one_of_each_group(frame(spark, texts), 5, 80).count() < len(texts)
+    repeats = 0
+    for plan in plans:
+        above = []  # the broadcasts that a line of the plan stands under
+        for line in plan.split("\n"):
+            depth = len(re.match(r"[\s:+-]*", line).group())
+            above = [d for d in above if d < depth] + [depth] * ("BroadcastExchange" in line)
+            if re.search(r"Generate explode.*\[part#", line):
+                repeats += 1
+                assert not above, plan
+    assert repeats
+
+
 def brute_lines(texts, run, alone=None):
     seen, out = set(), []
     for text in texts:
